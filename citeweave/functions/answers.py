@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .expr import let
+
 # Fixed patterns of the answer format.
 MARKER = r"[ \t]*\[[\d\s,;^\-–]*\d[\d\s,;^\-–]*\]"
 WELL_FORMED = r"^[ \t]*\[\s*\d+(?:\s*,\s*\d+)*\s*\]$"
@@ -33,14 +35,14 @@ def parse_citations(df: DataFrame, answer: str = "answer", valid: str = "valid_n
     def written(m: Column) -> Column:
         return F.when(F.size(m.kept) > 0, F.concat(m.lead, F.lit("["), F.array_join(m.kept.cast("array<string>"), ", "), F.lit("]"))).otherwise("")
 
-    return (
-        df.withColumn("_marks", F.transform(F.regexp_extract_all(answer, F.lit(MARKER), F.lit(0)), read))
-        .withColumn("cleaned", F.array_join(
-            F.transform(F.split(answer, MARKER, -1), lambda t, i: F.concat(t, F.coalesce(written(F.get("_marks", i)), F.lit("")))), ""))
-        .withColumn("cited", F.array_distinct(F.flatten(F.transform("_marks", lambda m: m.kept))))
-        .withColumn("invalid_count", F.aggregate("_marks", F.lit(0), lambda acc, m: acc + m.bad))
-        .drop("_marks")
-    )
+    def parsed(marks: Column) -> Column:
+        text = F.transform(F.split(answer, MARKER, -1), lambda t, i: F.concat(t, F.coalesce(written(F.get(marks, i)), F.lit(""))))
+        return F.struct(
+            F.array_join(text, "").alias("cleaned"), F.array_distinct(F.flatten(F.transform(marks, lambda m: m.kept))).alias("cited"),
+            F.aggregate(marks, F.lit(0), lambda acc, m: acc + m.bad).alias("invalid_count"))
+
+    found = F.transform(F.regexp_extract_all(answer, F.lit(MARKER), F.lit(0)), read)
+    return df.withColumn("_p", let(found, parsed)).select("*", "_p.cleaned", "_p.cited", "_p.invalid_count").drop("_p")
 
 
 def rule_references(text: Column) -> Column:

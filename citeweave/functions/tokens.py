@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .expr import let
+
 WORD = r"[\p{L}\p{N}]+"
 _BLOCK = 32
 
@@ -19,23 +21,15 @@ def gaps(text: Column) -> Column:
     return F.split(F.lower(text), WORD, -1)
 
 
-def with_word_starts(df: DataFrame, words_col: str, gaps_col: str, out: str) -> DataFrame:
-    """Add the 0-based character start of every word. Prefix sums run over blocks of
-    words, so a long text costs n*block instead of n*n."""
-    advance = F.zip_with(words_col, F.slice(gaps_col, 1, F.size(words_col)), lambda w, g: F.length(w) + F.length(g))
+def word_starts(words_col: Column, gaps_col: Column) -> Column:
+    """0-based character start of every word. Prefix sums run over blocks of words, so a
+    long text costs n*block instead of n*n."""
     total = lambda a: F.aggregate(a, F.lit(0), lambda acc, x: acc + x)
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.floor(F.size("_adv") / _BLOCK).cast("int")),
-        lambda b: total(F.slice("_adv", b * _BLOCK + 1, _BLOCK)),
-    )
-    before = F.transform("_blk", lambda _x, b: total(F.slice("_blk", F.lit(1), b)))
-    start = F.transform(
-        "_adv",
-        lambda _x, i: F.get(F.col("_pre"), F.floor(i / _BLOCK).cast("int"))
-        + total(F.slice("_adv", F.floor(i / _BLOCK).cast("int") * _BLOCK + 1, i % _BLOCK))
-        + F.length(F.get(F.col(gaps_col), i)),
-    )
-    return (
-        df.withColumn("_adv", advance).withColumn("_blk", blocks).withColumn("_pre", before)
-        .withColumn(out, start).drop("_adv", "_blk", "_pre")
-    )
+    block_of = lambda i: F.floor(i / _BLOCK).cast("int")
+    advance = F.zip_with(words_col, F.slice(gaps_col, F.lit(1), F.size(words_col)), lambda w, g: F.length(w) + F.length(g))
+    sums = lambda adv: F.transform(
+        F.sequence(F.lit(0), block_of(F.size(adv))), lambda b: total(F.slice(adv, b * _BLOCK + 1, F.lit(_BLOCK))))
+    before = lambda blocks: F.transform(blocks, lambda _x, b: total(F.slice(blocks, F.lit(1), b)))
+    starts = lambda adv, pre: F.transform(
+        gaps_col, lambda g, i: F.get(pre, block_of(i)) + total(F.slice(adv, block_of(i) * _BLOCK + 1, i % _BLOCK)) + F.length(g))
+    return let(advance, lambda adv: let(let(sums(adv), before), lambda pre: starts(adv, pre)))

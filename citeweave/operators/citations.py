@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.answers import RULE_REFERENCE, parse_citations, rule_references
+from ..functions.expr import let
 from ..functions.results import citation
 from .retrieve import RESULT_FIELDS
 
@@ -77,15 +78,15 @@ def segments(answers: DataFrame, query_id: str = "query_id", answer: str = "answ
                                lambda n: F.coalesce(F.array_contains(F.col(numbers), n), F.lit(False)))
     is_cite = lambda m: m.startswith("[") & (F.size(known(m)) > 0)
     is_rule = lambda m: ~m.startswith("[") & F.array_contains(F.col(refs), m)
-    d = answers.withColumn("_t", F.regexp_extract_all(answer, F.lit(token), F.lit(0))).withColumn("_s", F.split(answer, token, -1))
     # Plain text, token, plain text, ...; a token that is unknown turns into text.
     piece = lambda kind, text, m: F.struct(F.lit(kind).alias("kind"), text.alias("text"),
                                            (known(m) if kind == "cite" else F.array().cast("array<bigint>")).alias("numbers"))
     none = F.lit("")
-    tokens = F.transform("_t", lambda m: F.when(is_cite(m), piece("cite", m, m)).when(is_rule(m), piece("rule", m, none)).otherwise(piece("text", m, none)))
-    d = d.withColumn("_k", tokens)
-    mixed = F.flatten(F.transform("_s", lambda t, i: F.filter(F.array(piece("text", t, none), F.get(F.col("_k"), i)), lambda p: p.isNotNull())))
-    d = d.withColumn("_m", F.filter(mixed, lambda p: ~((p.kind == "text") & (p.text == "")))).select(query_id, F.posexplode("_m").alias("_i", "_p")).select(query_id, "_i", "_p.*")
+    tokens = F.transform(F.regexp_extract_all(answer, F.lit(token), F.lit(0)),
+                         lambda m: F.when(is_cite(m), piece("cite", m, m)).when(is_rule(m), piece("rule", m, none)).otherwise(piece("text", m, none)))
+    mixed = let(tokens, lambda k: F.flatten(F.transform(
+        F.split(answer, token, -1), lambda t, i: F.filter(F.array(piece("text", t, none), F.get(k, i)), lambda p: p.isNotNull()))))
+    d = answers.select(query_id, F.posexplode(F.filter(mixed, lambda p: ~((p.kind == "text") & (p.text == "")))).alias("_i", "_p")).select(query_id, "_i", "_p.*")
     # Neighbouring text pieces are one segment.
     w = Window.partitionBy(query_id).orderBy("_i")
     starts = ~((F.col("kind") == "text") & F.coalesce(F.lag("kind").over(w) == "text", F.lit(False)))

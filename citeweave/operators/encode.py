@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.expr import let
 from ..functions.tokens import words
 
 K1, B, AVG_LEN = 1.2, 0.75, 256.0
@@ -22,17 +23,14 @@ def sparse_terms(df: DataFrame, text: str, k1: float = K1, b: float = B, avg_len
     tokens = words(F.col(text))
     if stop_words:
         tokens = F.filter(tokens, lambda w: ~w.isin(*stop_words))
-    d = df.withColumn("_w", F.array_sort(tokens))
-    d = d.withColumn("_last", F.filter(
-        F.transform("_w", lambda w, i: F.when(~w.eqNullSafe(F.get(F.col("_w"), i + 1)), i)), lambda i: i.isNotNull()))
-    count = lambda i, j: (i - F.coalesce(F.get(F.col("_last"), j - 1), F.lit(-1))).cast("double")
-    norm = F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.size("_w") / F.lit(avg_len))
-    weight = lambda tf: tf * F.lit(k1 + 1) / (tf + norm)
-    return (
-        d.withColumn("terms", F.transform("_last", lambda i: F.get(F.col("_w"), i)))
-        .withColumn("weights", F.transform("_last", lambda i, j: weight(count(i, j))))
-        .drop("_w", "_last")
-    )
+    last = lambda w: F.filter(F.transform(w, lambda x, i: F.when(~x.eqNullSafe(F.get(w, i + 1)), i)), lambda i: i.isNotNull())
+    count = lambda ends, i, j: (i - F.coalesce(F.get(ends, j - 1), F.lit(-1))).cast("double")
+    norm = lambda w: F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.size(w) / F.lit(avg_len))
+    weight = lambda tf, n: tf * F.lit(k1 + 1) / (tf + n)
+    pairs = let(F.array_sort(tokens), lambda w: let(last(w), lambda ends: let(norm(w), lambda n: F.struct(
+        F.transform(ends, lambda i: F.get(w, i)).alias("terms"),
+        F.transform(ends, lambda i, j: weight(count(ends, i, j), n)).alias("weights")))))
+    return df.withColumn("_v", pairs).select("*", "_v.terms", "_v.weights").drop("_v")
 
 
 def sparse_vector(df: DataFrame, text: str, out: str = "sparse", **params) -> DataFrame:

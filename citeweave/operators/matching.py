@@ -2,8 +2,10 @@
 
 Texts are cut into words with character offsets; word n-grams keep the exact text between
 their words and are joined to the dictionary on equality, so a match needs no scan of the
-dictionary and no pair is formed that is not a match. Catalyst picks broadcast or shuffle
-from the measured size of the dictionary; a frequent n-gram in a shuffle is split by salt."""
+dictionary and no pair is formed that is not a match. No join is hinted: adaptive execution
+broadcasts a dictionary only when its measured size is under the threshold, and otherwise
+splits the partition of a frequent n-gram (dictionary keys are unique, texts are the split
+side)."""
 
 from __future__ import annotations
 
@@ -11,10 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import base_forms, inflections
-from ..functions.tokens import WORD, gaps, with_word_starts, words
+from ..functions.tokens import WORD, gaps, word_starts, words
 
 ORDINARY_WORD = r"(?U)\b[a-z][a-z'-]*\b"
-SALTS = 16
 
 
 def ordinary_words(texts: DataFrame, text: str = "text", min_count: int = 3) -> DataFrame:
@@ -51,7 +52,7 @@ def phrase_matches(texts: DataFrame, keys: DataFrame, text_id: str = "text_id",
     shape = d.agg(F.max("_n").alias("longest"), F.max(F.when(F.col("_n") == 0, F.length("key"))).alias("symbol")).first()
     longest, symbol = shape["longest"] or 0, shape["symbol"] or 0
     base = texts.select(text_id, words(F.col(text)).alias("_w"), gaps(F.col(text)).alias("_g"))
-    base = with_word_starts(base, "_w", "_g", "_s")
+    base = base.withColumn("_s", word_starts(F.col("_w"), F.col("_g")))
     found = []
     if longest:
         found.append(_word_matches(base, d.filter(F.col("_n") > 0), text_id, longest))
@@ -79,9 +80,8 @@ def _word_matches(base: DataFrame, d: DataFrame, text_id: str, longest: int) ->
     grams = F.transform(sizes, lambda n: F.struct(
         F.substring(gram(n), F.lit(1), F.length(gram(n)) - F.length(F.get(F.col("gs"), n - 1))).alias("core"),
         F.get(F.col("gs"), n - 1).alias("after"), (n == F.col("left")).alias("ends_text")))
-    candidates = tokens.select(text_id, "at", "before", F.inline(grams)).withColumn("_salt", F.pmod(F.xxhash64(text_id, "at"), F.lit(SALTS)))
-    salted = d.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("bigint"))
-    m = candidates.join(salted, (F.col("core") == F.col("_core")) & (F.col("_salt") == F.col("_slot")))
+    candidates = tokens.select(text_id, "at", "before", F.inline(grams))
+    m = candidates.join(d, F.col("core") == F.col("_core"))
     # Punctuation at the edges of the name must be there, and the character beyond must not
     # be a letter or digit: it is not when some gap is left over or the text ends.
     before_ok = F.col("before").endswith(F.col("_pre")) & (

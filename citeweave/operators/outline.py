@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.expr import let
 from ..functions.hashing import content_hash
-from ..functions.text import empty_to_null, is_title, is_top_level, parent_id
+from ..functions.text import is_title, is_top_level, parent_id
 from ..sources.scans import LINE_BREAK
 from .running import ordinal
 
@@ -33,7 +34,7 @@ SECTION_TITLES = {
 }
 
 
-def _positions(lines: str, test) -> Column:
+def _positions(lines: Column, test) -> Column:
     """1-based positions of the lines that pass a test."""
     return F.filter(F.transform(lines, lambda x, i: F.when(test(x, i), i + 1)), lambda p: p.isNotNull())
 
@@ -44,26 +45,33 @@ def parse_outline(documents: DataFrame, doc_id: str = "doc_id", text: str = "tex
     Section headings are dropped; the first one opens the contents block, the next one with
     the same number closes it; a glossary line outside the contents ends the document."""
     trimmed = F.transform(F.split(text, LINE_BREAK, -1), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
-    d = documents.select(doc_id, trimmed.alias("_l"))
-    d = d.withColumn("_sec", _positions("_l", lambda x, i: x.rlike(SECTION_HEADING)))
-    number = lambda p: F.regexp_extract(F.get(F.col("_l"), p - 1), SECTION_NUMBER, 1)
-    # Positions of the first heading and of its repetition; without one the contents never end.
-    d = d.withColumn("_open", F.coalesce(F.get("_sec", F.lit(0)), F.size("_l") + 1))
-    d = d.withColumn("_num", F.regexp_extract(F.coalesce(F.get(F.col("_l"), F.col("_open") - 1), F.lit("")), SECTION_NUMBER, 1))
-    d = d.withColumn("_close", F.coalesce(F.get(F.filter("_sec", lambda p: (number(p) == F.col("_num")) & (p > F.col("_open"))), F.lit(0)), F.size("_l") + 1))
-    in_body = lambda p: (p < F.col("_open")) | (p > F.col("_close"))
-    d = d.withColumn("_end", F.coalesce(F.get(_positions("_l", lambda x, i: (x == GLOSSARY) & in_body(i + 1)), F.lit(0)), F.size("_l") + 1))
-    keep = lambda x, i: in_body(i + 1) & (i + 1 < F.col("_end")) & (x != "") & ~x.rlike(SECTION_HEADING)
-    d = d.withColumn("_k", F.filter(F.transform("_l", lambda x, i: F.when(keep(x, i), F.struct((i + 1).alias("n"), x.alias("x")))), lambda s: s.isNotNull()))
-    d = d.withColumn("_start", F.filter(F.transform("_k", lambda s, j: F.when(s.x.rlike(RULE_LINE), j + 1)), lambda p: p.isNotNull()))
-    until = lambda j: F.coalesce(F.get(F.col("_start"), j + 1), F.size("_k") + 1)
-    wrapped = lambda p, j: F.transform(
-        F.slice("_k", p, until(j) - p), lambda s, n: F.when(n == 0, F.regexp_extract(s.x, RULE_LINE, 2)).otherwise(s.x))
-    chunk = F.transform("_start", lambda p, j: F.struct(
-        F.get(F.col("_k"), p - 1).n.alias("line_no"),
-        F.regexp_extract(F.get(F.col("_k"), p - 1).x, RULE_LINE, 1).alias("rule_id"),
-        F.array_join(wrapped(p, j), " ").alias("text")))
-    rules = d.select(doc_id, F.inline(chunk))
+    number = lambda lines, p: F.regexp_extract(F.get(lines, p - 1), SECTION_NUMBER, 1)
+
+    def contents(lines: Column) -> Column:
+        # Positions of the first heading and of its repetition; without one the contents never end.
+        beyond = F.size(lines) + 1
+        return let(_positions(lines, lambda x, i: x.rlike(SECTION_HEADING)), lambda sec: let(F.coalesce(F.get(sec, F.lit(0)), beyond), lambda first: F.struct(
+            first.alias("open"),
+            F.coalesce(F.get(F.filter(sec, lambda p: (p > first) & (number(lines, p) == number(lines, first))), F.lit(0)), beyond).alias("close"))))
+
+    in_body = lambda c, p: (p < c.open) | (p > c.close)
+    glossary = lambda lines, c: F.coalesce(F.get(_positions(lines, lambda x, i: (x == GLOSSARY) & in_body(c, i + 1)), F.lit(0)), F.size(lines) + 1)
+
+    def body(lines: Column, c: Column, end: Column) -> Column:
+        keep = lambda x, i: in_body(c, i + 1) & (i + 1 < end) & (x != "") & ~x.rlike(SECTION_HEADING)
+        return F.filter(F.transform(lines, lambda x, i: F.when(keep(x, i), F.struct((i + 1).alias("n"), x.alias("x")))), lambda s: s.isNotNull())
+
+    def rules_of(kept: Column, start: Column) -> Column:
+        until = lambda j: F.coalesce(F.get(start, j + 1), F.size(kept) + 1)
+        folded = lambda p, j: F.transform(
+            F.slice(kept, p, until(j) - p), lambda s, n: F.when(n == 0, F.regexp_extract(s.x, RULE_LINE, 2)).otherwise(s.x))
+        return F.transform(start, lambda p, j: F.struct(
+            F.get(kept, p - 1).n.alias("line_no"), F.regexp_extract(F.get(kept, p - 1).x, RULE_LINE, 1).alias("rule_id"),
+            F.array_join(folded(p, j), " ").alias("text")))
+
+    chunk = let(trimmed, lambda lines: let(contents(lines), lambda c: let(glossary(lines, c), lambda end: let(
+        body(lines, c, end), lambda kept: let(_positions(kept, lambda s, j: s.x.rlike(RULE_LINE)), lambda start: rules_of(kept, start))))))
+    rules = documents.select(doc_id, F.inline(chunk))
     return rules.withColumn("parent_id", parent_id(F.col("rule_id"))).withColumn("content_hash", content_hash(F.col("rule_id"), F.col("text")))
 
 

@@ -6,7 +6,7 @@ import importlib
 
 from .registry import ORACLE, QUERIES
 
-_TOPICS = ("ingest",)
+_TOPICS = ("ingest", "sync", "matching", "search")
 
 
 def _load() -> None:
