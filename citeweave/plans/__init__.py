@@ -6,7 +6,7 @@ import importlib
 
 from .registry import ORACLE, QUERIES
 
-_TOPICS = ("ingest", "sync", "matching", "search")
+_TOPICS = ("ingest", "sync", "matching", "search", "answers", "ledger")
 
 
 def _load() -> None:
