@@ -173,14 +173,16 @@ def bar_height(value: Column, top: Column, height: int) -> Column:
 
 
 def format_metric(value: Column, kind: Column) -> Column:
-    """``-`` for null; ``pct`` one decimal with a sign, ``int`` rounded, ``fN`` N decimals."""
+    """``-`` for null; ``pct`` one decimal with a sign, ``int`` rounded, ``fN`` N decimals.
+    Digits past the ninth are noise of the order of summation and are dropped first."""
+    value = F.round(value, 9)
     return (
         F.when(value.isNull(), "-")
-        .when(kind == "pct", F.concat(F.format_string("%.1f", value * 100), F.lit("%")))
+        .when(kind == "pct", F.concat(F.format_string("%.1f", F.bround(F.round(value * 100, 9), 1)), F.lit("%")))
         .when(kind == "int", F.format_string("%d", F.bround(value, 0).cast("bigint")))
-        .when(kind == "f1", F.format_string("%.1f", value))
-        .when(kind == "f2", F.format_string("%.2f", value))
-        .otherwise(F.format_string("%.3f", value))
+        .when(kind == "f1", F.format_string("%.1f", F.bround(value, 1)))
+        .when(kind == "f2", F.format_string("%.2f", F.bround(value, 2)))
+        .otherwise(F.format_string("%.3f", F.bround(value, 3)))
     )
 
 
