@@ -11,8 +11,6 @@ from ..sources import tables as st
 from .registry import Tables, query
 from .search import HYBRID_BASE, SPARSE, hybrid_sql, points, questions, top_sql, weights_sql
 
-_NONE = F.array().cast
-
 
 def _list(cond, value):
     return F.when(cond, F.array(value)).otherwise(F.array().cast("array<string>"))
@@ -244,8 +242,8 @@ def experiment_records(t: Tables) -> DataFrame:
 
 _EXP = ", ".join(hybrid_sql(f"x{i}", 10, dense=d, sparse=s) for i, (d, s) in enumerate(EXPERIMENTS.values()))
 _UNION = " UNION ALL ".join(f"SELECT '{n}' AS e, query_id, point_id, rank FROM x{i}" for i, n in enumerate(EXPERIMENTS))
-_FMT = {"pass_rate": "printf('%.1f%%', round(100.0::DOUBLE * avg(p::INT), 9))", "mean_recall": "printf('%.3f', round(avg(r), 9))", "mean_first_hit_rank": "coalesce(printf('%.2f', round(avg(f), 9)), '-')", "forbidden_hits": "'0'", "expected_missing": "'0'", "errors": "'0'",
-        "mean_results": "printf('%.1f', round(avg(n), 9))", "mean_context_chars": "round_even(avg(c), 0)::BIGINT::VARCHAR"}
+_FMT = {"pass_rate": "printf('%.1f%%', round_even(round(100.0::DOUBLE * avg(p::INT), 9), 1))", "mean_recall": "printf('%.3f', round_even(round(avg(r), 9), 3))", "mean_first_hit_rank": "coalesce(printf('%.2f', round_even(round(avg(f), 9), 2)), '-')", "forbidden_hits": "'0'", "expected_missing": "'0'", "errors": "'0'",
+        "mean_results": "printf('%.1f', round_even(round(avg(n), 9), 1))", "mean_context_chars": "round_even(avg(c), 0)::BIGINT::VARCHAR"}
 
 
 @query("experiment_sweep", f"""WITH {HYBRID_BASE}, {_EXP}, hits AS ({_UNION}), rec AS (SELECT e, query_id, bool_or(source_type = 'rule') AS p, min(CASE WHEN source_type = 'rule' THEN rank END) AS f, avg((source_type = 'rule')::INT) AS r, count(*) AS n, sum(length(text)) AS c
