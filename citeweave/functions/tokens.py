@@ -1,14 +1,12 @@
-"""Words of a text and their character spans, as array expressions (no UDF)."""
+"""Words of a text and the text between them, as array expressions (no UDF)."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .expr import let
-
 WORD = r"[\p{L}\p{N}]+"
-_BLOCK = 32
+BLOCK = 32
 
 
 def words(text: Column) -> Column:
@@ -16,20 +14,24 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
-def gaps(text: Column) -> Column:
-    """The text between words: one more entry than ``words``."""
-    return F.split(F.lower(text), WORD, -1)
+def pieces(text: Column) -> Column:
+    """The lowercased text cut into gap, word, gap, word, ...: words have odd positions and
+    the pieces joined give the text back. One pass over the text."""
+    cut = F.regexp_extract_all(F.lower(text), F.lit(rf"{WORD}|[^\p{{L}}\p{{N}}]+"), F.lit(0))
+    starts_with_word = F.coalesce(F.get(cut, F.lit(0)).rlike(rf"^{WORD}"), F.lit(False))
+    return F.when(starts_with_word, F.concat(F.array(F.lit("")), cut)).otherwise(cut)
+
+
+def block_starts(cut: Column) -> Column:
+    """Characters before every block of BLOCK pieces. With it the start of any piece costs
+    one short join, so a long text is not scanned again per match."""
+    sizes = F.transform(F.sequence(F.lit(0), F.floor(F.size(cut) / BLOCK).cast("int")),
+                        lambda b: F.length(F.array_join(F.slice(cut, b * BLOCK + 1, F.lit(BLOCK)), "")))
+    return F.get(F.transform(F.array(sizes), lambda s: F.transform(
+        s, lambda _x, b: F.aggregate(F.slice(s, F.lit(1), b), F.lit(0), lambda acc, x: acc + x))), F.lit(0))
 
 
-def word_starts(words_col: Column, gaps_col: Column) -> Column:
-    """0-based character start of every word. Prefix sums run over blocks of words, so a
-    long text costs n*block instead of n*n."""
-    total = lambda a: F.aggregate(a, F.lit(0), lambda acc, x: acc + x)
-    block_of = lambda i: F.floor(i / _BLOCK).cast("int")
-    advance = F.zip_with(words_col, F.slice(gaps_col, F.lit(1), F.size(words_col)), lambda w, g: F.length(w) + F.length(g))
-    sums = lambda adv: F.transform(
-        F.sequence(F.lit(0), block_of(F.size(adv))), lambda b: total(F.slice(adv, b * _BLOCK + 1, F.lit(_BLOCK))))
-    before = lambda blocks: F.transform(blocks, lambda _x, b: total(F.slice(blocks, F.lit(1), b)))
-    starts = lambda adv, pre: F.transform(
-        gaps_col, lambda g, i: F.get(pre, block_of(i)) + total(F.slice(adv, block_of(i) * _BLOCK + 1, i % _BLOCK)) + F.length(g))
-    return let(advance, lambda adv: let(let(sums(adv), before), lambda pre: starts(adv, pre)))
+def piece_start(cut: Column, starts: Column, k: Column) -> Column:
+    """Characters before piece ``k``."""
+    b = F.floor(k / BLOCK).cast("int")
+    return F.get(starts, b) + F.length(F.array_join(F.slice(cut, b * BLOCK + 1, k % BLOCK), ""))

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .expr import let
+
 # Outcomes that wrote (or are writing) an answer and so use up a quota.
 ANSWER_OUTCOMES = ("generated", "error", "pending")
 CHARS_PER_TOKEN = 4
@@ -45,44 +47,40 @@ def _groups(part: Column) -> Column:
     return F.when(part == "", F.array().cast("array<string>")).otherwise(F.split(part, ":"))
 
 
+def _network(low: Column) -> Column:
+    """The /64 of an IPv6 address, null when the text is none."""
+    # A trailing dotted quad counts as two groups.
+    plain = F.regexp_replace(low, rf"{_IPV4}$", "0:0")
+    halves = let(F.split(plain, "::", -1), lambda h: F.struct(_groups(F.get(h, F.lit(0))).alias("left"), _groups(F.coalesce(F.get(h, F.lit(1)), F.lit(""))).alias("right"), F.size(h).alias("n")))
+
+    def full(h: Column) -> Column:
+        missing = 8 - F.size(h.left) - F.size(h.right)
+        return F.when((h.n == 2) & (missing >= 1), F.concat(h.left, F.array_repeat(F.lit("0"), F.greatest(F.lit(0), missing)), h.right)).when(h.n == 1, h.left)
+
+    def shown(groups: Column) -> Column:
+        # Four groups without leading zeros. The zero host half is longer than any other
+        # zero run, so "::" always stands for it and the zero groups before it.
+        net = F.array_join(F.transform(F.slice(groups, 1, 4), lambda g: F.lower(F.conv(g, 16, 16))), ":")
+        ok = (F.size(groups) == 8) & F.forall(groups, lambda g: g.rlike(rf"^{_HEX}$"))
+        return F.when(ok, F.concat(F.regexp_replace(net, r"(?:^|:)0(?::0)*$", ""), F.lit("::/64")))
+
+    return let(let(halves, full), shown)
+
+
+def _mapped(low: Column) -> Column:
+    """The IPv4 address inside an IPv4-mapped one, null when the text is none."""
+    prefix = r"^(?:(?:0{1,4}:){5}|::(?:0{1,4}:){0,4})ffff:"
+    dotted = F.regexp_extract(low, rf"{prefix}({_IPV4})$", 1)
+    pair = F.regexp_extract(low, rf"{prefix}({_HEX}:{_HEX})$", 1)
+    both = F.concat(F.lpad(F.substring_index(pair, ":", 1), 4, "0"), F.lpad(F.substring_index(pair, ":", -1), 4, "0"))
+    quad = F.concat_ws(".", *[F.conv(F.substring(both, i, 2), 16, 10) for i in (1, 3, 5, 7)])
+    return F.when(dotted != "", dotted).when(pair != "", quad)
+
+
 def ip_bucket(host: Column) -> Column:
     """IPv4 as is, an IPv4-mapped address unwrapped, IPv6 cut to its /64; anything else unchanged."""
-    low = F.lower(host)
-    address = F.split(low, "%", 2)
-    low = F.get(address, F.lit(0))
-    mapped = F.regexp_extract(low, rf"^(?:0{{1,4}}:){{5}}ffff:({_IPV4})$|^::(?:0{{1,4}}:){{0,4}}ffff:({_IPV4})$", 1)
-    mapped_short = F.regexp_extract(low, rf"^::(?:0{{1,4}}:){{0,4}}ffff:({_IPV4})$", 1)
-    mapped_hex = F.regexp_extract(low, rf"^(?:(?:0{{1,4}}:){{5}}|::(?:0{{1,4}}:){{0,4}})ffff:({_HEX}:{_HEX})$", 1)
-    byte = lambda i: F.conv(F.substring(F.concat(
-        F.lpad(F.substring_index(mapped_hex, ":", 1), 4, "0"), F.lpad(F.substring_index(mapped_hex, ":", -1), 4, "0")), i, 2), 16, 10)
-    # A trailing dotted quad counts as two groups.
-    tail = F.regexp_extract(low, rf"({_IPV4})$", 1)
-    expanded = F.when(tail != "", F.concat(F.substring(low, F.lit(1), F.length(low) - F.length(tail)), F.lit("0:0"))).otherwise(low)
-    head, rest = F.substring_index(expanded, "::", 1), F.substring_index(expanded, "::", -1)
-    squeezed = expanded.contains("::")
-    left, right = _groups(head), _groups(rest)
-    fill = F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - F.size(left) - F.size(right)))
-    full = F.when(squeezed, F.concat(left, fill, right)).otherwise(F.split(expanded, ":"))
-    valid = (
-        (F.size(full) == 8) & F.forall(full, lambda g: g.rlike(rf"^{_HEX}$"))
-        & (F.size(F.split(expanded, "::", -1)) <= 2)
-        & (~squeezed | (F.size(left) + F.size(right) <= 7))
-    )
-    # Network part: four groups without leading zeros; trailing zero groups fold into "::".
-    net = F.transform(F.slice(full, 1, 4), lambda g: F.lower(F.conv(g, 16, 16)))
-    shown = F.array_join(net, ":")
-    folded = F.regexp_replace(shown, r"(?:^|:)0(?::0)*$", "")
-    network = F.when(shown == "0:0:0:0", "::/64").otherwise(
-        F.when(F.length(folded) < F.length(shown), F.concat(folded, F.lit("::/64"))).otherwise(F.concat(shown, F.lit("::/64"))))
-    # ffff:1.2.3.4-style results come first, then IPv4, then the /64.
-    unwrapped = F.when(mapped != "", mapped).when(mapped_short != "", mapped_short).when(
-        mapped_hex != "", F.concat_ws(".", byte(1), byte(3), byte(5), byte(7)))
-    return (
-        F.when(low.rlike(rf"^{_IPV4}$"), host)
-        .when(unwrapped.isNotNull(), unwrapped)
-        .when(low.contains(":") & valid, network)
-        .otherwise(host)
-    )
+    six = lambda low: F.coalesce(_mapped(low), _network(low), host)
+    return F.when(host.contains(":"), let(F.lower(host), six)).otherwise(host)
 
 
 def day_start(ts: Column) -> Column:

@@ -102,9 +102,8 @@ BOUNDARY = r"[.!?]+(?=\s|$)|\n+"
 def sentences(segs: DataFrame, query_id: str = "query_id") -> DataFrame:
     """Pieces of segments with their sentence number. Text splits after a boundary; a
     marker with nothing but blanks since the last boundary belongs to the sentence before."""
-    ends = F.regexp_extract_all("text", F.lit(BOUNDARY), F.lit(0))
-    body = F.split("text", BOUNDARY, -1)
-    cut = F.transform(body, lambda t, i: F.struct(F.concat(t, F.coalesce(F.get(ends, i), F.lit(""))).alias("text"), F.get(ends, i).isNotNull().cast("int").alias("ends")))
+    cut = let(F.regexp_extract_all("text", F.lit(BOUNDARY), F.lit(0)), lambda ends: F.transform(F.split("text", BOUNDARY, -1), lambda t, i: F.struct(
+        F.concat(t, F.coalesce(F.get(ends, i), F.lit(""))).alias("text"), F.get(ends, i).isNotNull().cast("int").alias("ends"))))
     one = F.array(F.struct(F.col("text"), F.lit(0).alias("ends")))
     pieces = segs.select(query_id, "segment", "kind", "numbers", F.posexplode(F.when(F.col("kind") == "text", cut).otherwise(one)).alias("part", "_p")).select(
         query_id, "segment", "part", "kind", "numbers", "_p.*")

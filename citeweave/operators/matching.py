@@ -13,8 +13,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import base_forms, inflections
-from ..functions.tokens import WORD, gaps, word_starts, words
+from ..functions.tokens import WORD, block_starts, piece_start, pieces
+from ..session import materialize
 
+# Up to this many distinct first words the dictionary's first words travel as literals.
+MAX_LITERAL_WORDS = 20_000
 ORDINARY_WORD = r"(?U)\b[a-z][a-z'-]*\b"
 
 
@@ -41,47 +44,48 @@ def _prepared(keys: DataFrame) -> DataFrame:
         .withColumn("_pre", F.when(core != "", F.substring(F.col("key"), F.lit(1), at - 1)).otherwise(F.lit("")))
         .withColumn("_post", F.when(core != "", F.substring(F.col("key"), at + F.length(core), F.length("key"))).otherwise(F.lit("")))
         .withColumn("_n", F.size(F.regexp_extract_all("_core", F.lit(WORD), F.lit(0))))
+        .withColumn("_first", F.regexp_extract("_core", WORD, 0))
     )
 
 
 def phrase_matches(texts: DataFrame, keys: DataFrame, text_id: str = "text_id", text: str = "text") -> DataFrame:
     """Every occurrence of every key: text_id, key, start, end (end exclusive, characters).
     Both edges must not touch a letter or digit. ``keys`` has one row per ``key``."""
-    d = _prepared(keys)
-    # One bounded row: the word counts that occur among the names.
-    shape = d.agg(F.max("_n").alias("longest"), F.max(F.when(F.col("_n") == 0, F.length("key"))).alias("symbol")).first()
-    longest, symbol = shape["longest"] or 0, shape["symbol"] or 0
-    base = texts.select(text_id, words(F.col(text)).alias("_w"), gaps(F.col(text)).alias("_g"))
-    base = base.withColumn("_s", word_starts(F.col("_w"), F.col("_g")))
+    d = materialize(_prepared(keys), "dictionary")
+    # One bounded row: the word counts that occur, the longest symbol name, the dictionary size.
+    shape = d.agg(F.sort_array(F.collect_set("_n")).alias("sizes"), F.max(F.when(F.col("_n") == 0, F.length("key"))).alias("symbol"),
+                  F.approx_count_distinct("_first").alias("firsts")).first()
+    base = texts.select(text_id, pieces(F.col(text)).alias("_c")).withColumn("_b", block_starts(F.col("_c")))
     found = []
-    if longest:
-        found.append(_word_matches(base, d.filter(F.col("_n") > 0), text_id, longest))
-    if symbol:
-        found.append(_symbol_matches(base, d.filter(F.col("_n") == 0), text_id, symbol))
+    sizes = [n for n in shape["sizes"] if n]
+    if sizes:
+        found.append(_word_matches(base, d.filter(F.col("_n") > 0), text_id, sizes, shape["firsts"] <= MAX_LITERAL_WORDS))
+    if shape["symbol"]:
+        found.append(_symbol_matches(base, d.filter(F.col("_n") == 0), text_id, shape["symbol"]))
     if not found:
         return texts.select(text_id, F.lit("").alias("key"), F.lit(0).alias("start"), F.lit(0).alias("end")).limit(0)
     out = found[0]
     return out if len(found) == 1 else out.unionByName(found[1])
 
 
-def _word_matches(base: DataFrame, d: DataFrame, text_id: str, longest: int) -> DataFrame:
-    # Each word with the next words and gaps, enough for the longest name.
-    row = F.transform("_w", lambda w, i: F.struct(
-        F.get(F.col("_s"), i).alias("at"), w.alias("w"),
-        F.get(F.col("_g"), i).alias("before"),
-        F.slice("_w", i + 1, longest).alias("ws"), F.slice("_g", i + 2, longest).alias("gs"), (F.size("_w") - i).alias("left")))
-    tokens = base.select(text_id, F.inline(row))
-    first = d.select(F.regexp_extract("_core", WORD, 0).alias("w")).distinct()
-    tokens = tokens.join(first, "w", "left_semi")
-    gram = lambda n: F.array_join(F.flatten(F.zip_with(
-        F.slice("ws", F.lit(1), n), F.slice("gs", F.lit(1), n), lambda a, b: F.array(a, b))), "")
-    sizes = F.sequence(F.lit(1), F.size("ws"))
-    # A gram ends with the gap after its last word; cut it off and keep it for the edge test.
-    grams = F.transform(sizes, lambda n: F.struct(
-        F.substring(gram(n), F.lit(1), F.length(gram(n)) - F.length(F.get(F.col("gs"), n - 1))).alias("core"),
-        F.get(F.col("gs"), n - 1).alias("after"), (n == F.col("left")).alias("ends_text")))
-    candidates = tokens.select(text_id, "at", "before", F.inline(grams))
-    m = candidates.join(d, F.col("core") == F.col("_core"))
+def _word_matches(base: DataFrame, d: DataFrame, text_id: str, sizes: list[int], few: bool) -> DataFrame:
+    cut = F.col("_c")
+    # Grams of the word at piece k, for each length that some name has: the exact text, the
+    # gap after it, and whether the text ends there.
+    grams = lambda k: F.array_compact(F.array(*[
+        F.when(k + 2 * n - 2 < F.size(cut), F.struct(
+            F.array_join(F.slice(cut, k + 1, F.lit(2 * n - 1)), "").alias("core"), F.coalesce(F.get(cut, k + 2 * n - 1), F.lit("")).alias("after"),
+            (k + 2 * n >= F.size(cut)).alias("ends_text"))) for n in sizes]))
+    row = lambda k: F.struct(piece_start(cut, F.col("_b"), k).alias("at"), F.get(cut, k - 1).alias("before"), grams(k).alias("grams"))
+    if few:
+        # A short list of first words is part of the expression: other words never leave the row.
+        first = [r["_first"] for r in d.select("_first").distinct().toLocalIterator()]
+        at = F.filter(F.transform(cut, lambda x, k: F.when((k % 2 == 1) & x.isin(first), k)), lambda k: k.isNotNull())
+        tokens = base.select(text_id, F.inline(F.transform(at, row)))
+    else:
+        words_at = F.transform(F.sequence(F.lit(1), F.size(cut) - 1, F.lit(2)), lambda k: F.struct(F.get(cut, k).alias("_w"), row(k).alias("_r")))
+        tokens = base.filter(F.size("_c") > 1).select(text_id, F.inline(words_at)).join(d.select(F.col("_first").alias("_w")).distinct(), "_w", "left_semi").select(text_id, "_r.*")
+    m = tokens.select(text_id, "at", "before", F.inline("grams")).join(d, F.col("core") == F.col("_core"))
     # Punctuation at the edges of the name must be there, and the character beyond must not
     # be a letter or digit: it is not when some gap is left over or the text ends.
     before_ok = F.col("before").endswith(F.col("_pre")) & (
@@ -94,18 +98,18 @@ def _word_matches(base: DataFrame, d: DataFrame, text_id: str, longest: int) ->
 
 def _symbol_matches(base: DataFrame, d: DataFrame, text_id: str, longest: int) -> DataFrame:
     """Names without any letter or digit lie inside one gap between words."""
-    gap = F.transform("_g", lambda g, i: F.struct(
-        g.alias("g"), F.when(i == 0, F.lit(0)).otherwise(F.get(F.col("_s"), i - 1) + F.length(F.get(F.col("_w"), i - 1))).alias("at"),
-        (i == 0).alias("first"), (i == F.size("_w")).alias("last")))
-    rows = base.select(text_id, F.inline(gap)).filter(F.length("g") > 0)
+    cut = F.col("_c")
+    gap = F.transform(F.sequence(F.lit(0), F.size(cut) - 1, F.lit(2)), lambda k: F.struct(
+        F.get(cut, k).alias("g"), piece_start(cut, F.col("_b"), k).alias("at"), (k == 0).alias("first"), (k == F.size(cut) - 1).alias("last")))
+    rows = base.filter(F.size("_c") > 0).select(text_id, F.inline(gap)).filter(F.length("g") > 0)
     spans = F.flatten(F.transform(F.sequence(F.lit(1), F.length("g")), lambda p: F.transform(
         F.sequence(F.lit(1), F.least(F.lit(longest), F.length("g") - p + 1)),
         lambda n: F.struct(p.alias("p"), F.substring(F.col("g"), p, n).alias("piece"), F.length("g").alias("size")))))
-    pieces = rows.select(text_id, "at", "first", "last", F.inline(spans))
+    found = rows.select(text_id, "at", "first", "last", F.inline(spans))
     end = F.col("p") + F.length("piece") - 1
     edges = ((F.col("p") > 1) | F.col("first")) & ((end < F.col("size")) | F.col("last"))
     begin = F.col("at") + F.col("p") - 1
-    return pieces.filter(edges).join(d, F.col("piece") == F.col("key")).select(
+    return found.filter(edges).join(d, F.col("piece") == F.col("key")).select(
         text_id, "key", begin.alias("start"), (begin + F.length("key")).alias("end"))
 
 

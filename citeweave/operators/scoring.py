@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.answers import verdict
-from .cases import category, is_judged, requirements
+from .cases import SOURCE_KINDS, category, is_judged, requirements, tagged
 
 # Rank of the grades; no answer ranks with incorrect.
 ANSWER_ORDER = {"correct": 2, "partial": 1, "incorrect": 0, "no_answer": 0}
@@ -32,28 +32,32 @@ def requirement_ranks(needs: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def score_retrieval(cases: DataFrame, results: DataFrame) -> DataFrame:
-    """Per case: pass (null when nothing is required), recall, first hit, card checks, size."""
-    ranks = requirement_ranks(requirements(cases), results)
-    need = ranks.groupBy("case_id").agg(
-        F.count("*").alias("required"), F.count("rank").alias("found"), F.min("rank").alias("first_hit_rank"),
-        F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "kind", "value"), "rank"))).alias("requirement_ranks"))
-    got = results.groupBy("case_id").agg(
-        F.count("*").alias("result_count"), F.sum(F.length(F.coalesce("text", F.lit("")))).alias("context_chars"),
-        F.collect_set(F.when(F.col("match_type") == "card_name_match", F.col("card_name"))).alias("matched_cards"))
+    """Per case: pass (null when nothing is required), recall, first hit, card checks, size.
+
+    A case's results are a short ranked list (the limits of the search), so they travel as
+    one array and the requirements are looked up in it: results are read once."""
     none = F.array().cast("array<string>")
-    d = cases.join(need, cases["id"] == need["case_id"], "left").drop("case_id").join(got, F.col("id") == got["case_id"], "left").drop("case_id")
-    matched = F.coalesce("matched_cards", none)
-    d = d.withColumn("expected_missing", F.array_except(F.coalesce("expected_cards", none), matched)).withColumn(
-        "forbidden_hits", F.array_intersect(F.coalesce("forbidden_cards", none), matched))
+    item = F.struct("number", "source", "rule_id", "card_name", "match_type", F.length(F.coalesce("text", F.lit(""))).alias("chars"))
+    got = results.groupBy("case_id").agg(F.sort_array(F.collect_list(item)).alias("_items"))
+    d = cases.join(got, F.col("id") == F.col("case_id"), "left").drop("case_id")
+    items = F.coalesce(F.col("_items"), F.array().cast(got.schema["_items"].dataType))
+    need = F.flatten(F.array(*[tagged(kind, kind, "kind", "value") for kind in SOURCE_KINDS]))
+    rank = lambda n: F.array_min(F.transform(F.filter(items, lambda i: satisfied(n.kind, n.value, i.source, i.rule_id, i.card_name)), lambda i: i.number))
+    named = F.array_distinct(F.transform(F.filter(items, lambda i: i.match_type == "card_name_match"), lambda i: i.card_name))
+    d = d.withColumn("_ranks", F.transform(need, lambda n: F.struct(F.concat_ws(":", n.kind, n.value).alias("label"), rank(n).alias("rank")))).withColumn("matched_cards", named)
+    d = d.withColumn("expected_missing", F.array_except(F.coalesce("expected_cards", none), "matched_cards")).withColumn(
+        "forbidden_hits", F.array_intersect(F.coalesce("forbidden_cards", none), "matched_cards"))
+    found = F.array_compact(F.transform("_ranks", lambda r: r.rank))
+    required = F.size("_ranks") > 0
     cards_ok = (F.size("expected_missing") == 0) & (F.size("forbidden_hits") == 0)
     has_checks = (F.size(F.coalesce("expected_cards", none)) > 0) | (F.size(F.coalesce("forbidden_cards", none)) > 0)
-    sources_pass = F.when(F.col("required") > 0, F.col("found") == F.col("required"))
+    sources_pass = F.when(required, F.size(found) == F.size("_ranks"))
     return d.select(
         "id", category(F.col("tags")).alias("category"),
-        F.when(F.col("required") > 0, sources_pass & cards_ok).otherwise(F.when(has_checks, cards_ok)).alias("pass"),
-        sources_pass.alias("sources_pass"), (F.col("found") / F.col("required")).alias("recall"), "first_hit_rank", "requirement_ranks",
-        matched.alias("matched_cards"), "expected_missing", "forbidden_hits",
-        F.coalesce("result_count", F.lit(0)).alias("result_count"), F.coalesce("context_chars", F.lit(0)).alias("context_chars"))
+        F.when(required, sources_pass & cards_ok).otherwise(F.when(has_checks, cards_ok)).alias("pass"), sources_pass.alias("sources_pass"),
+        F.when(required, F.size(found) / F.size("_ranks")).alias("recall"), F.array_min(found).alias("first_hit_rank"), F.map_from_entries("_ranks").alias("requirement_ranks"),
+        "matched_cards", "expected_missing", "forbidden_hits", F.size(items).cast("bigint").alias("result_count"),
+        F.aggregate(items, F.lit(0).cast("bigint"), lambda acc, i: acc + i.chars).alias("context_chars"))
 
 
 def score_citations(cases: DataFrame, citations: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from .registry import Tables, query
 def cited_answers(t: Tables) -> DataFrame:
     """Assistant turns with markers, malformed markers, a rule number and a price put in."""
     c, n = F.col("conv_id"), F.col("turn")
-    return t.conversations.filter(F.col("role") == "assistant").select(
+    return t.spread("conversations", "conv_id").filter(F.col("role") == "assistant").select(
         (c * 1000 + n).alias("query_id"), c.alias("conv_id"),
         F.concat("text", F.lit(" Alpha ["), (n + 1).cast("string"), F.lit("]. Beta ["), (c % 5).cast("string"), F.lit(", 2].\nGamma [1-3] see 702.19b and $100.50 [^2].")).alias("answer"))
 
@@ -75,7 +75,7 @@ known AS (SELECT '702.1a' AS rule_id UNION ALL SELECT '100.' || n_nationkey FROM
 
 
 def _referring(t: Tables) -> DataFrame:
-    return t.documents.select(F.col("doc_id").alias("query_id"), F.concat("text", F.lit(" See 702.1a, 100."), (F.col("doc_id") % 9).cast("string"), F.lit(" not $100.2 or 100.3.4; again 702.1a (100.7).")).alias("cleaned"))
+    return t.spread("documents", "doc_id").select(F.col("doc_id").alias("query_id"), F.concat("text", F.lit(" See 702.1a, 100."), (F.col("doc_id") % 9).cast("string"), F.lit(" not $100.2 or 100.3.4; again 702.1a (100.7).")).alias("cleaned"))
 
 
 @query("rule_references", f"""WITH {REFS}, pos AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY r) - 1 AS position FROM firsts) SELECT doc_id, rule_id, position FROM pos WHERE rule_id IN (SELECT rule_id FROM known)""")

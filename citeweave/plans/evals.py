@@ -30,7 +30,7 @@ def cases(t: Tables) -> DataFrame:
 
 def case_results(t: Tables) -> DataFrame:
     """Sparse hits of every case over all documents, in the shape of results."""
-    docs = encode.sparse_vector(t.documents.select(F.col("doc_id").alias("point_id"), "text"), "text")
+    docs = encode.sparse_vector(t.spread("documents", "doc_id").select(F.col("doc_id").alias("point_id"), "text"), "text")
     asked = encode.sparse_vector(t.benchmark.select(F.col("item_id").alias("query_id"), "text"), "text")
     hits = search.sparse_topk(docs, asked, 20)
     k = F.col("doc_id")

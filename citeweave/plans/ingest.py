@@ -84,7 +84,7 @@ def outline_documents(t: Tables) -> DataFrame:
     base = (F.lit(100) + F.pmod(F.col("doc_id"), F.lit(800))).cast("string")
     numbered = F.transform(F.split("text", "\n", -1), lambda x, i: F.when(i % 6 == 0, F.concat(base, F.lit("."), (i + 1).cast("string"), F.lit(" "), x)).when(
         i % 6 == 3, F.concat(base, F.lit("."), (i - 2).cast("string"), F.lit("a "), x)).otherwise(x))
-    return t.documents.select("doc_id", F.concat(
+    return t.spread("documents", "doc_id").select("doc_id", F.concat(
         F.lit("1. Intro\n"), base, F.lit(". Contents\nGlossary\n1. Intro\n"), base, F.lit(". General\n\n"), F.array_join(numbered, "\n"),
         F.lit("\n2. More\nGlossary\n999.1 Never read.")).alias("text"))
 

@@ -134,7 +134,7 @@ def client_buckets(t: Tables) -> DataFrame:
     k = F.col("user_id") % 6
     host = (F.when(k == 0, F.concat(F.lit("203.0.113."), u)).when(k == 1, F.concat(F.lit("::ffff:10.0.0."), u)).when(k == 2, F.concat(F.lit("testclient"), u))
             .when(k == 3, F.concat(F.lit("2001:DB8:"), hexa, F.lit(":2:aaaa::1"))).when(k == 4, F.concat(F.lit("2001:0db8::"), hexa)).otherwise(F.concat(F.lit("fe80:0000:"), hexa, F.lit(":0001:1:2:3:4"))))
-    return t.events.select("event_id", fu.ip_bucket(host).alias("bucket"))
+    return t.spread("events", "event_id").select("event_id", fu.ip_bucket(host).alias("bucket"))
 
 
 @query("request_outcomes", """SELECT event_id, CASE WHEN event_id % 2 = 0 THEN NULL WHEN event_type = 'click' THEN 'cached' WHEN event_type = 'signup' THEN 'degraded_ip' WHEN event_type = 'error' THEN 'degraded_global' WHEN event_id % 3 = 0 THEN 'error' ELSE 'generated' END AS outcome,

@@ -11,8 +11,8 @@ from .registry import Tables, query
 
 
 def texts(t: Tables) -> DataFrame:
-    docs = t.documents.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("text_id"), "text")
-    turns = t.conversations.select(F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("text_id"), "text")
+    docs = t.spread("documents", "doc_id").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("text_id"), "text")
+    turns = t.spread("conversations", "conv_id").select(F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("text_id"), "text")
     return docs.union(turns)
 
 
@@ -86,14 +86,14 @@ ORDINARY = r"""ordinary AS (SELECT word, count(*) AS n FROM (SELECT unnest(regex
 
 @query("ordinary_words", f"WITH {ORDINARY} SELECT * FROM ordinary")
 def ordinary_words(t: Tables) -> DataFrame:
-    return matching.ordinary_words(t.documents)
+    return matching.ordinary_words(t.spread("documents", "doc_id"))
 
 
 @query("ordinary_word_guard", f"""WITH {TEXTS}, {NAMES}, {MATCHES}, {ORDINARY}
 SELECT m.* FROM matches m JOIN texts t USING (text_id) WHERE key NOT IN (SELECT lower(word) FROM ordinary) OR (regexp_matches(substr(t.text, start + 1, 1), '\\p{{Lu}}')
   AND regexp_replace(left(t.text, start), '[ \\t\\n"''(“‘]+$', '') <> '' AND NOT regexp_matches(regexp_replace(left(t.text, start), '[ \\t\\n"''(“‘]+$', ''), '[.!?]$'))""")
 def ordinary_word_guard(t: Tables) -> DataFrame:
-    return _typed(matching.drop_ordinary(_matches(t), texts(t), matching.ordinary_words(t.documents))).select("text_id", "key", "start", "end")
+    return _typed(matching.drop_ordinary(_matches(t), texts(t), matching.ordinary_words(t.spread("documents", "doc_id")))).select("text_id", "key", "start", "end")
 
 
 @query("names_in_texts", f"""WITH {TEXTS}, {NAMES}, {MATCHES}, {CONTAINED} SELECT text_id, key, min(start) AS start, any_value(line_no) AS line_no FROM free JOIN dict USING (key) GROUP BY text_id, key""")

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.scans import spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -17,6 +19,11 @@ class Tables:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
         self.spark, self.directory = spark, directory
 
+    def spread(self, name: str, key: str) -> DataFrame:
+        """A table whose rows are expensive to process, dealt over all cores when its file
+        has too few splits."""
+        return spread(getattr(self, name), key)
+
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.directory.rstrip('/')}/{name}.parquet")
 

@@ -23,7 +23,7 @@ def vectors(t: Tables) -> DataFrame:
 
 def points(t: Tables) -> DataFrame:
     """Documents that have a vector, as points with both vectors."""
-    docs = t.documents.join(vectors(t), F.col("doc_id") == F.col("point_id")).select("point_id", "source_type", "dense", "text", "source", "lang")
+    docs = t.spread("documents", "doc_id").join(vectors(t), F.col("doc_id") == F.col("point_id")).select("point_id", "source_type", "dense", "text", "source", "lang")
     return encode.sparse_vector(docs, "text")
 
 
@@ -55,12 +55,12 @@ def ranked(df: DataFrame) -> DataFrame:
 
 @query("sparse_terms", f"WITH {weights_sql('d', 'SELECT doc_id AS id, text FROM documents')} SELECT id AS doc_id, term, round(w, 6) AS weight FROM d")
 def sparse_terms(t: Tables) -> DataFrame:
-    return encode.postings(t.documents, "doc_id", "text").select("doc_id", "term", F.round("weight", 6).alias("weight"))
+    return encode.postings(t.spread("documents", "doc_id"), "doc_id", "text").select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
 @query("sparse_topk", f"WITH {weights_sql('d', 'SELECT doc_id AS id, text FROM documents')}, {weights_sql('q', TURNS)} {top_sql(10, SPARSE.format(q='q', d='d'))}")
 def sparse_topk(t: Tables) -> DataFrame:
-    docs = encode.sparse_vector(t.documents.select(F.col("doc_id").alias("point_id"), "text"), "text")
+    docs = encode.sparse_vector(t.spread("documents", "doc_id").select(F.col("doc_id").alias("point_id"), "text"), "text")
     return ranked(search.sparse_topk(docs, encode.sparse_vector(user_turns(t), "text"), 10))
 
 

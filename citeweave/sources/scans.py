@@ -39,6 +39,13 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("doc_id"), F.col("value").alias("text"))
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal a table with fewer splits than the cluster has cores over all cores, by a unique
+    key. Tables with enough splits stay as they are, so nothing large is ever shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def document_lines(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per line with its position; no shuffle."""
     return documents.select(doc_id, F.posexplode(F.split(text, LINE_BREAK, -1)).alias("line_no", "line"))
