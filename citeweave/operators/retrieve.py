@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.results import source_label
 from ..functions.text import image_variant
+from ..session import materialize
 from .matching import find_cards, find_keywords, keyword_rules
 from .outline import heading, with_ancestors
 from .search import hybrid_search
@@ -49,7 +50,8 @@ def drop_covered(hits: DataFrame, matched: DataFrame, keywords: DataFrame, query
     return hits.join(cards, [query_id, "oracle_id"], "left_anti").join(rules, [query_id, "rule_id"], "left_anti")
 
 
-def _fields(df: DataFrame, query_id: str, block: int, order: list, **values) -> DataFrame:
+def result_block(df: DataFrame, query_id: str, block: int, order: list, **values) -> DataFrame:
+    """Rows in the shape of results, with the place of their block and their order in it."""
     cols = [values.get(name, F.lit(None)) for name in RESULT_FIELDS]
     return df.select(query_id, F.lit(block).alias("_block"), F.struct(*order).alias("_order"), *[
         c.cast("double" if name == "score" else "string").alias(name) for name, c in zip(RESULT_FIELDS, cols)])
@@ -71,16 +73,17 @@ def retrieve(questions: DataFrame, cards: DataFrame, rules: DataFrame, points: D
              ordinary: DataFrame | None = None, query_id: str = "query_id", text: str = "text") -> DataFrame:
     """Ranked results per question. ``questions`` carries the text and its dense and sparse
     vectors; ``cards`` and ``rules`` carry a line number for file order."""
-    named = find_cards(questions, cards, ordinary, query_id, text).select(query_id, "start", "key", "entry.*")
-    card_block = _fields(named, query_id, 0, [F.col("start"), F.col("key")], source=F.lit("card"), title=F.col("name"), text=F.coalesce("oracle_text", F.lit("")),
+    # Each of these feeds a result block and the removal of covered hits.
+    named = materialize(find_cards(questions, cards, ordinary, query_id, text).select(query_id, "start", "key", "entry.*"), "names")
+    card_block = result_block(named, query_id, 0, [F.col("start"), F.col("key")], source=F.lit("card"), title=F.col("name"), text=F.coalesce("oracle_text", F.lit("")),
                          score=F.lit(1.0), match_type=F.lit("card_name_match"), oracle_id=F.col("oracle_id"), card_name=F.col("name"), scryfall_uri=F.col("scryfall_uri"))
     rulings = ruling_hits(named, points, s.card_ruling_limit, query_id).select(query_id, "point_id", "payload.*")
-    ruling_block = _fields(rulings, query_id, 1, [F.lit(0).alias("z"), F.col("point_id")], source=F.col("source_type"), title=F.coalesce("card_name", F.lit("")),
+    ruling_block = result_block(rulings, query_id, 1, [F.lit(0).alias("z"), F.col("point_id")], source=F.col("source_type"), title=F.coalesce("card_name", F.lit("")),
                            text=F.col("text"), score=F.lit(1.0), match_type=F.lit("card_ruling_match"), oracle_id=F.col("oracle_id"),
                            card_name=F.col("card_name"), published_at=F.col("published_at"), scryfall_uri=F.col("scryfall_uri"))
     # Rules of earlier keywords first; within one keyword, file order.
-    keywords = keyword_rules(find_keywords(questions, rules, query_id, text), rules, query_id)
-    keyword_block = _fields(keywords, query_id, 2, [F.col("start"), F.lpad(F.col("line_no").cast("string"), 20, "0").alias("l")], source=F.lit("rule"),
+    keywords = materialize(keyword_rules(find_keywords(questions, rules, query_id, text), rules, query_id), "keywords")
+    keyword_block = result_block(keywords, query_id, 2, [F.col("start"), F.lpad(F.col("line_no").cast("string"), 20, "0").alias("l")], source=F.lit("rule"),
                             title=F.col("rule_id"), text=F.col("text"), score=F.lit(1.0), match_type=F.lit("keyword_rule_match"), rule_id=F.col("rule_id"))
 
     def search(top_k: int, source_type: str | None) -> DataFrame:
@@ -88,15 +91,16 @@ def retrieve(questions: DataFrame, cards: DataFrame, rules: DataFrame, points: D
                              s.hybrid_score_threshold, top_k, source_type, query_id=query_id)
         return hits.join(points.select("point_id", "payload"), "point_id").select(query_id, "point_id", "score", "rank", "payload.*")
 
-    mixed = drop_covered(search(s.hybrid_top_k, None), named, keywords, query_id)
-    mixed_block = _fields(mixed, query_id, 4, [F.col("rank"), F.col("point_id")], source=F.col("source_type"), title=F.coalesce("card_name", "rule_id", F.lit("")),
+    # Small (questions * top_k) and used twice: written once, so the corpus is not searched again.
+    mixed = materialize(drop_covered(search(s.hybrid_top_k, None), named, keywords, query_id), "mixed-hits")
+    mixed_block = result_block(mixed, query_id, 4, [F.col("rank"), F.col("point_id")], source=F.col("source_type"), title=F.coalesce("card_name", "rule_id", F.lit("")),
                           text=F.col("text"), score=F.col("score"), match_type=F.lit("vector_hit"), oracle_id=F.col("oracle_id"), rule_id=F.col("rule_id"),
                           card_name=F.col("card_name"), published_at=F.col("published_at"), scryfall_uri=F.col("scryfall_uri"))
     blocks = [card_block, ruling_block, keyword_block, mixed_block]
     if s.rules_top_k > 0:
         seen = keywords.select(query_id, "rule_id").unionByName(mixed.select(query_id, "rule_id")).filter(F.col("rule_id").isNotNull()).distinct()
         only = search(s.rules_top_k, "rule").join(seen, [query_id, "rule_id"], "left_anti")
-        blocks.append(_fields(only, query_id, 3, [F.col("rank"), F.col("point_id")], source=F.lit("rule"), title=F.coalesce("rule_id", F.lit("")), text=F.col("text"),
+        blocks.append(result_block(only, query_id, 3, [F.col("rank"), F.col("point_id")], source=F.lit("rule"), title=F.coalesce("rule_id", F.lit("")), text=F.col("text"),
                               score=F.col("score"), match_type=F.lit("rule_vector_hit"), rule_id=F.col("rule_id")))
     return number_results(blocks, query_id)
 

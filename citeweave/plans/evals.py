@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import cases as cs
-from ..operators import encode, rundiff, scoring, search
+from ..operators import encode, evaluation, rundiff, scoring, search
 from ..sources import tables as st
 from .registry import Tables, query
 from .search import HYBRID_BASE, SPARSE, hybrid_sql, points, questions, top_sql, weights_sql
@@ -225,16 +225,10 @@ def runs_equal_up_to_ties(t: Tables) -> DataFrame:
 EXPERIMENTS = {"even": (0.5, 0.5), "dense": (0.8, 0.2), "sparse": (0.2, 0.8)}
 
 
-def experiment_records(t: Tables) -> DataFrame:
+def experiment_records(hits: DataFrame, p: DataFrame) -> DataFrame:
     """Case records of every experiment: a hit is a rule among the first ten results."""
-    p, q = points(t), questions(t)
-    out = None
-    dense, sparse = search.dense_topk(p, q, 50), search.sparse_topk(p, q, 50)
-    for name, (dw, sw) in EXPERIMENTS.items():
-        hits = search.fuse(dense, sparse, dw, sw, 0.0, 10).withColumn("experiment", F.lit(name))
-        out = hits if out is None else out.unionByName(hits)
     rule = F.col("source_type") == "rule"
-    d = out.join(p.select("point_id", "source_type", F.length("text").alias("n")), "point_id")
+    d = hits.join(p.select("point_id", "source_type", F.length("text").alias("n")), "point_id")
     return d.groupBy("experiment", "query_id").agg(
         F.bool_or(rule).alias("pass"), F.min(F.when(rule, F.col("rank"))).alias("first_hit_rank"), F.avg(rule.cast("int")).alias("recall"), F.count("*").alias("result_count"), F.sum("n").alias("context_chars")
     ).withColumns({"error": F.lit(None).cast("string"), "forbidden_hits": F.array().cast("array<string>"), "expected_missing": F.array().cast("array<string>")})
@@ -250,9 +244,20 @@ _FMT = {"pass_rate": "printf('%.1f%%', round_even(round(100.0::DOUBLE * avg(p::I
  FROM hits JOIN pts ON id = point_id GROUP BY e, query_id), long AS ({' UNION ALL '.join(f"SELECT {i} AS position, '{m}' AS metric, e, {_FMT[m]} AS v FROM rec GROUP BY e" for i, (m, _k, _d) in enumerate(rundiff.RETRIEVAL_METRICS))})
 SELECT position, metric, {', '.join(f"max(v) FILTER (e = '{n}') AS {n}" for n in EXPERIMENTS)} FROM long GROUP BY position, metric""")
 def experiment_sweep(t: Tables) -> DataFrame:
-    r = experiment_records(t)
-    a = r.groupBy("experiment").agg(*scoring.retrieval_metrics()).withColumn("category", F.lit(None).cast("string"))
-    return rundiff.sweep_table(a, list(EXPERIMENTS))
+    p = points(t)
+    experiments = {name: {"dense_weight": d, "sparse_weight": w} for name, (d, w) in EXPERIMENTS.items()}
+    return evaluation.sweep(p, questions(t), experiments, lambda hits: experiment_records(hits, p))
+
+
+@query("evaluation_run", f"""WITH {CASES}, {RESULTS}, {RANKS}, per AS (SELECT case_id, count(*) AS required, count(rank) AS found, min(rank) AS first_hit FROM ranks GROUP BY case_id),
+j AS (SELECT c.*, required, found, first_hit, CASE WHEN expected IS NOT NULL AND NOT EXISTS (SELECT 1 FROM results r WHERE r.case_id = c.id AND by_name AND r.card_name = c.expected) THEN 1 ELSE 0 END AS missing,
+  CASE WHEN forbidden IS NOT NULL AND EXISTS (SELECT 1 FROM results r WHERE r.case_id = c.id AND by_name AND r.card_name = c.forbidden) THEN 1 ELSE 0 END AS hit FROM cases c LEFT JOIN per p ON p.case_id = c.id),
+k AS (SELECT *, CASE WHEN required > 0 THEN found = required AND missing + hit = 0 WHEN expected IS NOT NULL OR forbidden IS NOT NULL THEN missing + hit = 0 END AS pass FROM j)
+SELECT category, count(*) AS cases, count(pass) AS scored, count(*) FILTER (pass) AS passed, round(avg(found::DOUBLE / required), 6) AS mean_recall, round(avg(first_hit), 6) AS mean_first_hit_rank, sum(hit)::BIGINT AS forbidden_hits, sum(missing)::BIGINT AS expected_missing
+FROM k GROUP BY GROUPING SETS ((category), ())""")
+def evaluation_run(t: Tables) -> DataFrame:
+    _records, totals = evaluation.run(cases(t), case_results(t))
+    return totals.select("category", "cases", "scored", "passed", F.round("mean_recall", 6).alias("mean_recall"), F.round("mean_first_hit_rank", 6).alias("mean_first_hit_rank"), "forbidden_hits", "expected_missing")
 
 
 @query("run_report")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.results import source_label
 from ..functions.text import image_variant
 from ..operators import encode, retrieve, search
+from ..session import materialize
 from .registry import Tables, query
 
 
@@ -122,13 +123,13 @@ def two_pass(t: Tables) -> DataFrame:
     def hits(k: int, kind: str | None) -> DataFrame:
         return search.hybrid_search(p, q, top_k=k, source_type=kind).join(payload, "point_id")
 
-    mixed = retrieve.drop_covered(hits(10, None), covered, covered)
+    mixed = materialize(retrieve.drop_covered(hits(10, None), covered, covered), "mixed-hits")
     seen = mixed.select("query_id", "rule_id").unionByName(covered.select("query_id", "rule_id")).filter(F.col("rule_id").isNotNull()).distinct()
     only = hits(5, "rule").join(seen, ["query_id", "rule_id"], "left_anti")
     values = lambda kind: dict(source=F.col("source_type"), title=F.coalesce("oracle_id", "rule_id"), text=F.col("text"), score=F.col("score"),
                                match_type=F.lit(kind), oracle_id=F.col("oracle_id"), rule_id=F.col("rule_id"), card_name=F.col("oracle_id"))
     order = [F.col("rank"), F.col("point_id").cast("string").alias("p")]
-    return retrieve.number_results([retrieve._fields(only, "query_id", 3, order, **values("rule_vector_hit")), retrieve._fields(mixed, "query_id", 4, order, **values("vector_hit"))])
+    return retrieve.number_results([retrieve.result_block(only, "query_id", 3, order, **values("rule_vector_hit")), retrieve.result_block(mixed, "query_id", 4, order, **values("vector_hit"))])
 
 
 TWO_PASS = f"""{HYBRID_BASE}, {hybrid_sql('h', 10)}, {hybrid_sql('r', 5, "source_type = 'rule'")},
@@ -175,3 +176,26 @@ def enrich_results(t: Tables) -> DataFrame:
                           *[none.alias(c) for c in ("mana_cost", "power", "toughness", "loyalty")], image.alias("image_uri"))
     rules = t.region.select(F.col("r_name").alias("rule_id"), none.alias("parent_id"), F.col("r_name").alias("text"))
     return retrieve.enrich(items, cards, rules).select("l_orderkey", "l_linenumber", "l_partkey", F.col("card.name").alias("card_name"), F.col("card.type_line").alias("type_line"), F.col("card.image_small").alias("image_small"))
+
+
+def retrieval_inputs(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Questions, cards, rules and points for a full retrieval: names of the matching
+    queries as cards, the keyword section of nations as rules, document vectors as points."""
+    from .matching import keyword_rules_table, names
+
+    none = F.lit(None).cast("string")
+    asked = t.conversations.filter(F.col("role") == "user").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "conv_id", "text")
+    asked = asked.join(t.embeddings, F.col("conv_id") == F.col("vec_id")).join(t.part.select("p_partkey", "p_name", "p_type"), F.col("p_partkey") == F.col("conv_id"))
+    q = encode.sparse_vector(asked.select("query_id", F.concat("text", F.lit(" "), "p_name", F.lit(" "), "p_type").alias("text"), F.col("embedding").alias("dense")), "text")
+    cards = names(t).select("line_no", "name", F.concat(F.lit("src"), F.pmod("line_no", F.lit(20)).cast("string")).alias("oracle_id"), F.col("name").alias("oracle_text"), none.alias("scryfall_uri"))
+    p = points(t)
+    rule = F.when(F.col("source_type") == "rule", F.concat(F.lit("702."), (F.col("point_id") % 30).cast("string")))
+    payload = F.struct("source_type", "text", rule.alias("rule_id"), F.when(rule.isNull(), F.col("source")).alias("card_name"), F.when(rule.isNull(), F.col("source")).alias("oracle_id"),
+                       F.when(F.col("source_type") == "ruling", "2024-01-01").alias("published_at"), none.alias("scryfall_uri"))
+    return q, cards, keyword_rules_table(t), p.select("point_id", "source_type", "dense", "sparse", payload.alias("payload"))
+
+
+@query("retrieve_full")
+def retrieve_full(t: Tables) -> DataFrame:
+    q, cards, rules, p = retrieval_inputs(t)
+    return retrieve.retrieve(q, cards, rules, p).select("query_id", "number", "source", "title", "score", "match_type")
