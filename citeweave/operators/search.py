@@ -164,7 +164,7 @@ def sparse_topk(points: DataFrame, questions: DataFrame, k: int, point_id: str =
                 entry = np.arange(sizes.sum()) + np.repeat(start[place] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
                 cell = of_query[entry] * part.num_rows + np.repeat(rows, sizes)
                 scores = np.bincount(cell, query_weights[entry] * np.repeat(weights, sizes), minlength=len(query_ids) * part.num_rows)
-                scores = np.round(scores.reshape(len(query_ids), part.num_rows), SCORE_DIGITS)
+                scores = np.round(scores.astype(float).reshape(len(query_ids), part.num_rows), SCORE_DIGITS)
                 scores[scores <= 0] = -np.inf
                 top.add(scores, _ids(part.column(0)))
             yield _emit(top, query_ids, out_schema)
