@@ -16,6 +16,8 @@ from ..functions.text import base_forms, inflections
 from ..functions.tokens import WORD, block_starts, piece_start, pieces
 from ..session import materialize
 
+# Fixed pattern: blanks, quotes and brackets that may open a sentence or a name.
+OPENING_MARKS = "[ \\t\\n\"'(“‘]+$"
 # Up to this many distinct first words the dictionary's first words travel as literals.
 MAX_LITERAL_WORDS = 20_000
 ORDINARY_WORD = r"(?U)\b[a-z][a-z'-]*\b"
@@ -48,14 +50,18 @@ def _prepared(keys: DataFrame) -> DataFrame:
     )
 
 
-def phrase_matches(texts: DataFrame, keys: DataFrame, text_id: str = "text_id", text: str = "text") -> DataFrame:
+def phrase_matches(texts: DataFrame, keys: DataFrame, text_id: str = "text_id", text: str = "text", with_named: bool = False) -> DataFrame:
     """Every occurrence of every key: text_id, key, start, end (end exclusive, characters).
-    Both edges must not touch a letter or digit. ``keys`` has one row per ``key``."""
+    Both edges must not touch a letter or digit. ``keys`` has one row per ``key``.
+
+    ``with_named`` adds ``named``: the first word is capitalised and does not start a
+    sentence. It is read off the text around the match, so texts are not joined again."""
     d = materialize(_prepared(keys), "dictionary")
     # One bounded row: the word counts that occur, the longest symbol name, the dictionary size.
     shape = d.agg(F.sort_array(F.collect_set("_n")).alias("sizes"), F.max(F.when(F.col("_n") == 0, F.length("key"))).alias("symbol"),
                   F.approx_count_distinct("_first").alias("firsts")).first()
-    base = texts.select(text_id, pieces(F.col(text)).alias("_c")).withColumn("_b", block_starts(F.col("_c")))
+    source = [F.col(text).alias("_t")] if with_named else []
+    base = texts.select(text_id, pieces(F.col(text)).alias("_c"), *source).withColumn("_b", block_starts(F.col("_c")))
     found = []
     sizes = [n for n in shape["sizes"] if n]
     if sizes:
@@ -63,7 +69,8 @@ def phrase_matches(texts: DataFrame, keys: DataFrame, text_id: str = "text_id",
     if shape["symbol"]:
         found.append(_symbol_matches(base, d.filter(F.col("_n") == 0), text_id, shape["symbol"]))
     if not found:
-        return texts.select(text_id, F.lit("").alias("key"), F.lit(0).alias("start"), F.lit(0).alias("end")).limit(0)
+        extra = [F.lit(False).alias("named")] if with_named else []
+        return texts.select(text_id, F.lit("").alias("key"), F.lit(0).alias("start"), F.lit(0).alias("end"), *extra).limit(0)
     out = found[0]
     return out if len(found) == 1 else out.unionByName(found[1])
 
@@ -76,7 +83,18 @@ def _word_matches(base: DataFrame, d: DataFrame, text_id: str, sizes: list[int],
         F.when(k + 2 * n - 2 < F.size(cut), F.struct(
             F.array_join(F.slice(cut, k + 1, F.lit(2 * n - 1)), "").alias("core"), F.coalesce(F.get(cut, k + 2 * n - 1), F.lit("")).alias("after"),
             (k + 2 * n >= F.size(cut)).alias("ends_text"))) for n in sizes]))
-    row = lambda k: F.struct(piece_start(cut, F.col("_b"), k).alias("at"), F.get(cut, k - 1).alias("before"), grams(k).alias("grams"))
+    start = lambda k: piece_start(cut, F.col("_b"), k)
+    with_named = "_t" in base.columns
+
+    def named(k: Column) -> Column:
+        capital = F.substring(F.col("_t"), start(k) + 1, F.lit(1)).rlike(r"^\p{Lu}")
+        gap = F.regexp_replace(F.get(cut, k - 1), OPENING_MARKS, "")
+        return capital & F.when(gap == "", k > 1).otherwise(~gap.rlike(r"[.!?]$"))
+
+    def row(k: Column) -> Column:
+        more = [named(k).alias("named")] if with_named else []
+        return F.struct(start(k).alias("at"), F.get(cut, k - 1).alias("before"), grams(k).alias("grams"), *more)
+
     if few:
         # A short list of first words is part of the expression: other words never leave the row.
         first = [r["_first"] for r in d.select("_first").distinct().toLocalIterator()]
@@ -85,7 +103,8 @@ def _word_matches(base: DataFrame, d: DataFrame, text_id: str, sizes: list[int],
     else:
         words_at = F.transform(F.sequence(F.lit(1), F.size(cut) - 1, F.lit(2)), lambda k: F.struct(F.get(cut, k).alias("_w"), row(k).alias("_r")))
         tokens = base.filter(F.size("_c") > 1).select(text_id, F.inline(words_at)).join(d.select(F.col("_first").alias("_w")).distinct(), "_w", "left_semi").select(text_id, "_r.*")
-    m = tokens.select(text_id, "at", "before", F.inline("grams")).join(d, F.col("core") == F.col("_core"))
+    extra = ["named"] if with_named else []
+    m = tokens.select(text_id, "at", "before", *extra, F.inline("grams")).join(d, F.col("core") == F.col("_core"))
     # Punctuation at the edges of the name must be there, and the character beyond must not
     # be a letter or digit: it is not when some gap is left over or the text ends.
     before_ok = F.col("before").endswith(F.col("_pre")) & (
@@ -93,7 +112,7 @@ def _word_matches(base: DataFrame, d: DataFrame, text_id: str, sizes: list[int],
     after_ok = F.col("after").startswith(F.col("_post")) & (
         (F.col("_post") == "") | (F.length("after") > F.length("_post")) | F.col("ends_text"))
     begin = F.col("at") - F.length("_pre")
-    return m.filter(before_ok & after_ok).select(text_id, "key", begin.alias("start"), (begin + F.length("key")).alias("end"))
+    return m.filter(before_ok & after_ok).select(text_id, "key", begin.alias("start"), (begin + F.length("key")).alias("end"), *extra)
 
 
 def _symbol_matches(base: DataFrame, d: DataFrame, text_id: str, longest: int) -> DataFrame:
@@ -109,20 +128,16 @@ def _symbol_matches(base: DataFrame, d: DataFrame, text_id: str, longest: int) -
     end = F.col("p") + F.length("piece") - 1
     edges = ((F.col("p") > 1) | F.col("first")) & ((end < F.col("size")) | F.col("last"))
     begin = F.col("at") + F.col("p") - 1
+    # A name without letters has no capital.
+    extra = [F.lit(False).alias("named")] if "_t" in base.columns else []
     return found.filter(edges).join(d, F.col("piece") == F.col("key")).select(
-        text_id, "key", begin.alias("start"), (begin + F.length("key")).alias("end"))
+        text_id, "key", begin.alias("start"), (begin + F.length("key")).alias("end"), *extra)
 
 
-def drop_ordinary(matches: DataFrame, texts: DataFrame, ordinary: DataFrame, text_id: str = "text_id", text: str = "text") -> DataFrame:
-    """A key that is an ordinary word counts only when it is capitalised inside a sentence.
-    Only the matches of such keys are joined back to their texts."""
-    flagged = matches.join(ordinary.select(F.lower("word").alias("key")).distinct().withColumn("_o", F.lit(True)), "key", "left")
-    plain = flagged.filter(F.col("_o").isNull()).drop("_o")
-    doubtful = flagged.filter(F.col("_o")).drop("_o").join(texts.select(text_id, text), text_id)
-    letter = F.substring(F.col(text), F.col("start") + 1, F.lit(1))
-    before = F.regexp_replace(F.substring(F.col(text), F.lit(1), F.col("start")), "[ \t\n\"'(“‘]+$", "")
-    named = letter.rlike(r"^\p{Lu}") & (before != "") & ~before.rlike(r"[.!?]$")
-    return plain.unionByName(doubtful.filter(named).select(plain.columns))
+def drop_ordinary(matches: DataFrame, ordinary: DataFrame) -> DataFrame:
+    """A key that is an ordinary word counts only where it is ``named``."""
+    words = ordinary.select(F.lower("word").alias("key")).distinct().withColumn("_o", F.lit(True))
+    return matches.join(words, "key", "left").filter(F.col("_o").isNull() | F.col("named")).select(matches.columns)
 
 
 def drop_contained(matches: DataFrame, text_id: str = "text_id") -> DataFrame:
@@ -165,9 +180,9 @@ def find_cards(texts: DataFrame, cards: DataFrame, ordinary: DataFrame | None =
     """Names mentioned per text, contained ones dropped: one row per (text, name) with the
     first position and the winning card row as ``entry``."""
     d = dictionary(cards)
-    m = phrase_matches(texts, d.select("key"), text_id, text)
+    m = phrase_matches(texts, d.select("key"), text_id, text, with_named=ordinary is not None)
     if ordinary is not None:
-        m = drop_ordinary(m, texts, ordinary, text_id, text)
+        m = drop_ordinary(m, ordinary)
     first = drop_contained(m, text_id).groupBy(text_id, "key").agg(F.min("start").alias("start"))
     return first.join(d, "key")
 

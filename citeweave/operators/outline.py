@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import let
 from ..functions.hashing import content_hash
 from ..functions.text import is_title, is_top_level, parent_id
-from ..sources.scans import LINE_BREAK
+from ..sources.scans import BLANKS, LINE_BREAK
 from .running import ordinal
 
 # Fixed patterns of the outline grammar.
@@ -44,7 +44,7 @@ def parse_outline(documents: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
     Section headings are dropped; the first one opens the contents block, the next one with
     the same number closes it; a glossary line outside the contents ends the document."""
-    trimmed = F.transform(F.split(text, LINE_BREAK, -1), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
+    trimmed = F.transform(F.split(text, LINE_BREAK, -1), lambda x: F.btrim(x, F.lit(BLANKS)))
     number = lambda lines, p: F.regexp_extract(F.get(lines, p - 1), SECTION_NUMBER, 1)
 
     def contents(lines: Column) -> Column:

@@ -2,7 +2,7 @@
 
 The corpus is scanned once per block of questions and never shuffled: each task scores its
 points against the block with matrix products and keeps k rows per question, so only
-tasks * questions * k rows travel. Question blocks have a fixed size, which bounds both
+tasks * questions * k rows travel (tasks: a few per core, whatever the corpus). Question blocks have a fixed size, which bounds both
 what the driver reads and what is broadcast; any number of blocks gives the whole result."""
 
 from __future__ import annotations
@@ -78,6 +78,12 @@ def _blocks(questions: DataFrame, query_id: str, columns: list[str], block: int)
     return [questions.filter(F.pmod(F.xxhash64(query_id), F.lit(n)) == i).select(*columns).toArrow() for i in range(n)]
 
 
+def _few_tasks(points: DataFrame) -> DataFrame:
+    """Merge splits without a shuffle down to a few per core: a task keeps one top-k list
+    over all its splits, so what is shuffled grows with the cores and not with the corpus."""
+    return points.coalesce(4 * points.sparkSession.sparkContext.defaultParallelism)
+
+
 def _rank(found: list[DataFrame], query_id: str, point_id: str, k: int) -> DataFrame:
     w = Window.partitionBy(query_id).orderBy(F.desc("score"), F.asc(point_id))
     return reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
@@ -121,7 +127,7 @@ def dense_topk(points: DataFrame, questions: DataFrame, k: int, point_id: str =
                 top.add(np.round(queries @ (vectors / np.where(size == 0, 1, size)).T, SCORE_DIGITS), _ids(part.column(0)))
             yield _emit(top, query_ids, out_schema)
 
-        found.append(points.filter(F.col(vector).isNotNull()).select(point_id, vector).mapInArrow(score, schema))
+        found.append(_few_tasks(points.filter(F.col(vector).isNotNull()).select(point_id, vector)).mapInArrow(score, schema))
     return _rank(found or [spark.createDataFrame([], schema)], query_id, point_id, k)
 
 
@@ -170,7 +176,7 @@ def sparse_topk(points: DataFrame, questions: DataFrame, k: int, point_id: str =
             yield _emit(top, query_ids, out_schema)
 
         source = points.select(point_id, F.col(vector).getField("indices").alias("_i"), F.col(vector).getField("values").alias("_v"))
-        found.append(source.mapInArrow(score, schema))
+        found.append(_few_tasks(source).mapInArrow(score, schema))
     return _rank(found or [spark.createDataFrame([], schema)], query_id, point_id, k)
 
 

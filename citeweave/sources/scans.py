@@ -10,7 +10,9 @@ from pyspark.sql import types as T
 
 from ..functions.text import snapshot_date
 
-LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
+LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+# The characters that count as blank at the ends of a line.
+BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def read_records(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

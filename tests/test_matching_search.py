@@ -75,8 +75,8 @@ def test_ordinary_words_need_a_capital_inside_a_sentence(spark):
     assert {r["word"] for r in words.collect()} == {"vigilance"}
     texts = ["my vigilance card", "does Vigilance work", "Vigilance works", "It ends. Vigilance works", "He said (“Vigilance”)"]
     df = spark.createDataFrame(list(enumerate(texts)), "text_id int, text string")
-    m = matching.phrase_matches(df, keys_of(spark, ["Vigilance", "Other"]))
-    assert {r["text_id"] for r in matching.drop_ordinary(m, df, words).collect()} == {1, 4}
+    m = matching.phrase_matches(df, keys_of(spark, ["Vigilance", "Other"]), with_named=True)
+    assert {r["text_id"] for r in matching.drop_ordinary(m, words).collect()} == {1, 4}
 
 
 RULES = [("702.1", "702", "Keywords here"), ("702.2", "702", "Strike"), ("702.3", "702", "Double Strike"), ("702.4", "702", "Raze"), ("702.4a", "702.4", "Razing is good."), ("702.4b", "702.4", "More."), ("702.5", "702", "Onward!"),
