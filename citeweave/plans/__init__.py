@@ -6,7 +6,7 @@ import importlib
 
 from .registry import ORACLE, QUERIES
 
-_TOPICS = ("ingest", "sync", "matching", "search", "answers", "ledger", "evals", "streams")
+_TOPICS = ("ingest", "sync", "matching", "search", "answers", "ledger", "evals", "streams", "tables")
 
 
 def _load() -> None:
