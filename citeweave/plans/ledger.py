@@ -123,7 +123,7 @@ def money_and_dates(t: Tables) -> DataFrame:
 
 
 @query("spend_formats", f"""WITH {LEDGER}, d AS (SELECT id, cost_usd / 1000 AS v, greatest(2, 4 - floor(log10(cost_usd / 1000)))::INT AS n FROM ledger), x AS (SELECT id, rtrim(CAST(round(v, n) AS DECIMAL(38, 14))::VARCHAR, '0') AS s FROM d)
-SELECT id, '$' || CASE WHEN length(split_part(s, '.', 2)) < 2 THEN rpad(s, length(split_part(s, '.', 1)) + 3, '0') ELSE s END AS spend, '7:00 PM' AS reset_at FROM x""")
+SELECT id, '$' || CASE WHEN length(split_part(s, '.', 2)) < 2 THEN rpad(s, (length(split_part(s, '.', 1)) + 3)::INT, '0') ELSE s END AS spend, '7:00 PM' AS reset_at FROM x""")
 def spend_formats(t: Tables) -> DataFrame:
     return usage(t).select("id", fu.usd_precise(F.col("cost_usd") / 1000).alias("spend"), fu.reset_time(F.col("created_at"), "America/New_York").alias("reset_at"))
 
