@@ -177,7 +177,7 @@ def response_notice(t: Tables) -> DataFrame:
                            fa.answers_left_label(F.col("user_id") % 7).alias("left_label"))
 
 
-@query("sse_transcript_rows", """SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS frame, CASE role WHEN 'user' THEN 'results' WHEN 'assistant' THEN 'delta' ELSE 'message' END AS event, to_json({'text': text}) AS data FROM conversations""")
+@query("sse_transcript_rows", """SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS frame, CASE role WHEN 'user' THEN 'results' WHEN 'assistant' THEN 'delta' ELSE 'message' END AS event, to_json({'text': text})::VARCHAR AS data FROM conversations""")
 def sse_transcript_rows(t: Tables) -> DataFrame:
     data = F.to_json(F.struct("text"))
     frame = F.when(F.col("role") == "system", F.concat(F.lit("data: "), data, F.lit("\n\n"))).otherwise(

@@ -12,6 +12,6 @@ SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    session = get_session("tests", "local[8]", 8)
+    session = get_session("tests", "local[8]", 4)
     session.sparkContext.setLogLevel("ERROR")
     return session
