@@ -37,7 +37,8 @@ def sparse_vector(df: DataFrame, text: str, out: str = "sparse", **params) -> Da
     """Add struct(indices, values) with 64-bit term ids."""
     d = sparse_terms(df, text, **params)
     ids = F.transform("terms", lambda t: F.xxhash64(t))
-    return d.withColumn(out, F.struct(ids.alias("indices"), F.col("weights").alias("values"))).drop("terms", "weights")
+    vector = F.struct(ids.alias("indices"), F.col("weights").alias("values"))
+    return d.withColumn(out, F.when(F.col(text).isNotNull(), vector)).drop("terms", "weights")
 
 
 def postings(df: DataFrame, point_id: str, text: str, **params) -> DataFrame:
@@ -68,26 +69,27 @@ def hashed_encoder(dim: int = 64) -> Callable[[], Callable[[list[str]], np.ndarr
 
 
 def dense_vector(df: DataFrame, text: str, load: Callable[[], Callable[[list[str]], np.ndarray]], out: str = "dense", batch: int = 32) -> DataFrame:
-    """Add a dense vector per row. ``load`` builds the model once per task; texts reach it
-    in small batches inside the Arrow batch."""
+    """Add a dense vector per row, null for a null text. ``load`` builds the model once per
+    task; texts reach it in small batches inside the Arrow batch."""
 
     @F.pandas_udf("array<float>")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encode = load()
         for part in parts:
-            texts = part.fillna("").tolist()
+            present = part.dropna()
+            texts = present.tolist()
             vectors: list = []
             for at in range(0, len(texts), batch):
                 vectors.extend(np.asarray(encode(texts[at:at + batch]), dtype=np.float32))
-            yield pd.Series(vectors, index=part.index, dtype=object)
+            yield pd.Series(vectors, index=present.index, dtype=object).reindex(part.index).where(part.notna(), None)
 
     return df.withColumn(out, run(F.col(text)))
 
 
 def encode_points(load: Callable[[], Callable[[list[str]], np.ndarray]], **sparse_params) -> Callable[[DataFrame], DataFrame]:
-    """The encoder a sync runs on changed chunks."""
+    """The encoder of a sync: adds both vectors from ``text_to_embed``, null for null."""
 
     def encode(changed: DataFrame) -> DataFrame:
-        return dense_vector(sparse_vector(changed, "text_to_embed", **sparse_params), "text_to_embed", load).select("point_id", "dense", "sparse")
+        return dense_vector(sparse_vector(changed, "text_to_embed", **sparse_params), "text_to_embed", load)
 
     return encode

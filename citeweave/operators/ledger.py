@@ -23,21 +23,29 @@ def answers_since(ledger: DataFrame, since: Column) -> DataFrame:
     return ledger.filter((F.col("created_at") >= since) & is_answer()).groupBy("ip_bucket").agg(F.count("*").alias("answers"))
 
 
+def _slot_width(minutes: int) -> int:
+    return max(3600, minutes * 60)
+
+
+def _slot(minutes: int) -> Column:
+    return F.floor(F.unix_micros("created_at") / 1_000_000 / _slot_width(minutes))
+
+
 def _window_counts(ledger: DataFrame, minutes: int) -> DataFrame:
     """Answers of the same bucket in the last ``minutes``, the row itself left out.
 
     Time is cut into slots at least as long as the window; rows near the end of a slot are
     copied into the next one as context. A frame then never leaves its (bucket, slot), so a
     bucket with a third of all rows is spread over all its slots."""
-    width = max(3600, minutes * 60)
+    width = _slot_width(minutes)
     seconds = F.unix_micros("created_at") / 1_000_000
-    slot = F.floor(seconds / width)
+    slot = _slot(minutes)
     near_end = seconds >= (slot + 1) * width - minutes * 60
     copies = F.when(near_end & is_answer(), F.array(slot, slot + 1)).otherwise(F.array(slot))
     rows = ledger.withColumn("_own", slot).withColumn("_slot", F.explode(copies)).withColumn("_answer", is_answer().cast("int"))
     frame = Window.partitionBy("ip_bucket", "_slot").orderBy(F.unix_micros("created_at")).rangeBetween(-minutes * 60_000_000, 0)
     counted = rows.withColumn("window_used", F.coalesce(F.sum("_answer").over(frame), F.lit(0)) - F.col("_answer"))
-    return counted.filter(F.col("_own") == F.col("_slot")).drop("_own", "_slot", "_answer")
+    return counted.filter(F.col("_own") == F.col("_slot")).drop("_own", "_answer")
 
 
 def gate_audit(ledger: DataFrame, q: Quota) -> DataFrame:
@@ -45,16 +53,19 @@ def gate_audit(ledger: DataFrame, q: Quota) -> DataFrame:
 
     Global budget first, then the daily quota, then the sliding window. Earlier rows are
     those before it in (created_at, id); the window counts equal times as earlier."""
+    # Chunk totals come from the bare ledger; the rows pass once through all windows. The
+    # first two windows share the partitioning by (bucket, slot).
+    bare = ledger.withColumn("_day", F.to_date("created_at")).withColumn("_slot", _slot(q.window_minutes))
     d = _window_counts(ledger, q.window_minutes).withColumn("_day", F.to_date("created_at"))
-    d = running_before(d, ["ip_bucket", "_day"], ["created_at", "id"], F.hour("created_at"), {"used_today": is_answer().cast("int")})
+    d = running_before(d, ["ip_bucket", "_day"], ["created_at", "id"], F.col("_slot"), {"used_today": is_answer().cast("int")}, bare)
     # The global sum has one key per day: chunks of a minute keep its tasks small.
-    d = running_before(d, ["_day"], ["created_at", "id"], F.floor(F.unix_micros("created_at") / 60_000_000), {"spent_today": F.col("cost_usd")})
+    d = running_before(d, ["_day"], ["created_at", "id"], F.floor(F.unix_micros("created_at") / 60_000_000), {"spent_today": F.col("cost_usd")}, bare)
     left = F.greatest(F.lit(0), F.lit(q.daily_answers) - F.col("used_today"))
     spent = F.round("spent_today", 9) >= q.daily_budget_usd
     day_used = F.col("used_today") >= q.daily_answers
     window_used = F.col("window_used") >= q.window_answers
     return d.withColumn("degraded", F.when(spent, "global_budget").when(day_used | window_used, "ip_quota")).withColumn(
-        "answers_remaining", F.when(~spent & day_used, 0).otherwise(left)).drop("_day")
+        "answers_remaining", F.when(~spent & day_used, 0).otherwise(left)).drop("_day", "_slot")
 
 
 def usage_days(ledger: DataFrame, today: Column, days: int = 7) -> DataFrame:

@@ -21,7 +21,7 @@ RESULT_FIELDS = ("source", "title", "text", "score", "match_type", "oracle_id",
 
 @dataclass(frozen=True)
 class SearchSettings:
-    """Parameters of one retrieval run (the defaults of the reference behaviour)."""
+    """Parameters of one retrieval run."""
 
     hybrid_dense_weight: float = 0.5
     hybrid_sparse_weight: float = 0.5

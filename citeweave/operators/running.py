@@ -12,15 +12,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def running_before(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, sums: dict[str, Column]) -> DataFrame:
+def running_before(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, sums: dict[str, Column], totals_of: DataFrame | None = None) -> DataFrame:
     """Add ``name`` = sum of the expression over the earlier rows of the key, for every
-    item of ``sums``. ``chunk`` must not decrease along ``order``."""
+    item of ``sums``. ``chunk`` must not decrease along ``order``.
+
+    ``totals_of`` is a cheaper DataFrame with the same rows (fewer columns, no windows) to
+    take the chunk totals from; they are computed apart from the rows themselves."""
     keys = list(keys)
     inputs = {f"_in_{name}": value for name, value in sums.items()}
     base = df.withColumn("_chunk", chunk).withColumns(inputs)
     within = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     local = base.withColumns({f"_loc_{name}": F.sum(f"_in_{name}").over(within) for name in sums})
-    totals = base.groupBy(*keys, "_chunk").agg(*[F.sum(f"_in_{name}").alias(f"_tot_{name}") for name in sums])
+    narrow = base if totals_of is None else totals_of.withColumn("_chunk", chunk).withColumns(inputs)
+    totals = narrow.groupBy(*keys, "_chunk").agg(*[F.sum(f"_in_{name}").alias(f"_tot_{name}") for name in sums])
     earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     prefix = totals.select(
         *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_chunk").alias("_c"),

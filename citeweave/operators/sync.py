@@ -46,24 +46,22 @@ def summary(classified: DataFrame, stale: DataFrame | None = None) -> DataFrame:
 
 
 def apply(chunks: DataFrame, points: DataFrame, encode: Callable[[DataFrame], DataFrame], prune: bool = True) -> DataFrame:
-    """The next snapshot of the point table.
+    """The next snapshot of the point table, from one full join on ``point_id``.
 
-    One pass over the stored points: a full join on ``point_id`` decides per row whether
-    the old vectors stay. ``encode`` gets only the rows to embed and returns point_id,
-    dense and sparse; what is expensive runs on what changed and nothing else."""
-    todo = classify(chunks, points)
-    vectors = encode(todo.filter(F.col("action") == EMBED).select("point_id", "text_to_embed")).select(
-        "point_id", F.col("dense").alias("_dense"), F.col("sparse").alias("_sparse"))
-    fresh = todo.join(vectors, "point_id", "left").select(
-        "point_id", *[F.col(c).alias(f"_n_{c}") for c in ("source_type", "content_hash", "payload_hash", "payload", "action")], "_dense", "_sparse")
-    sources = chunks.groupBy("source_type").agg(F.count("*").alias("_n")).select(F.col("source_type").alias("_touched"))
-    old = points.join(sources, F.col("source_type") == F.col("_touched"), "left") if prune else points.withColumn("_touched", F.lit(None).cast("string"))
-    both = old.join(fresh, "point_id", "full")
-    keep = F.col("_n_action").isNotNull() | F.col("_touched").isNull()
-    embedded = F.col("_n_action") == EMBED
-    return both.filter(keep).select(
-        "point_id",
-        *[F.when(F.col("_n_action").isNotNull(), F.col(f"_n_{c}")).otherwise(F.col(c)).alias(c) for c in ("source_type", "content_hash", "payload_hash", "payload")],
-        F.when(embedded, F.col("_dense")).otherwise(F.col("dense")).alias("dense"),
-        F.when(embedded, F.col("_sparse")).otherwise(F.col("sparse")).alias("sparse"),
-    )
+    Each side is shuffled once. ``encode`` adds ``dense`` and ``sparse`` to rows with a
+    ``text_to_embed``, which is null wherever the stored vectors stay: the encoder must give
+    null for null, so what is expensive runs on what changed and nothing else."""
+    fields = ("source_type", "content_hash", "payload_hash", "payload")
+    new = chunks.select("point_id", *[F.col(c).alias(f"_n_{c}") for c in fields], F.col("text_to_embed").alias("_text"), F.lit(True).alias("_new"))
+    old = points.withColumnsRenamed({"dense": "_dense", "sparse": "_sparse"}).withColumn("_old", F.lit(True))
+    if prune:
+        sources = chunks.groupBy("source_type").agg(F.count("*").alias("_n")).select(F.col("source_type").alias("_touched"))
+        old = old.join(sources, F.col("source_type") == F.col("_touched"), "left")
+    else:
+        old = old.withColumn("_touched", F.lit(None).cast("string"))
+    both = old.join(new, "point_id", "full").filter(F.col("_new") | F.col("_touched").isNull())
+    embed = F.col("_new") & (F.col("_old").isNull() | ~F.col("content_hash").eqNullSafe(F.col("_n_content_hash")))
+    encoded = encode(both.withColumn("_embed", F.coalesce(embed, F.lit(False))).withColumn("text_to_embed", F.when(F.col("_embed"), F.col("_text"))))
+    return encoded.select(
+        "point_id", *[F.when(F.col("_new"), F.col(f"_n_{c}")).otherwise(F.col(c)).alias(c) for c in fields],
+        *[F.when(F.col("_embed"), F.col(c)).otherwise(F.col(f"_{c}")).alias(c) for c in ("dense", "sparse")])

@@ -60,7 +60,7 @@ def sync_summary(t: Tables) -> DataFrame:
 
 def _encode(changed: DataFrame) -> DataFrame:
     # Stand-in vector: the length of the text that was embedded.
-    return changed.select("point_id", F.array(F.length("text_to_embed").cast("float")).alias("dense"), F.lit(None).cast(_SPARSE).alias("sparse"))
+    return changed.withColumn("dense", F.when(F.col("text_to_embed").isNotNull(), F.array(F.length("text_to_embed").cast("float")))).withColumn("sparse", F.lit(None).cast(_SPARSE))
 
 
 @query("sync_apply", f"""WITH {SNAPSHOTS} SELECT c.point_id, c.source_type, c.content_hash, c.payload_hash, c.payload, CASE WHEN c.action = 'embed' THEN length(c.text_to_embed)::DOUBLE ELSE s.dense END AS vector
@@ -79,7 +79,7 @@ def upsert_delete_points(t: Tables) -> DataFrame:
     chunks, stored = new_chunks(t), stored_points(t)
     todo = sync.classify(chunks, stored)
     embed = todo.filter(F.col("action") == "embed")
-    changed = embed.join(_encode(embed.select("point_id", "text_to_embed")), "point_id").select(stored.columns)
+    changed = _encode(embed).select(stored.columns)
     out = store.overwrite_payloads(store.upsert(stored, changed), todo.filter(F.col("action") == "payload"))
     out = store.delete(out, sync.stale_points(chunks, stored))
     return out.select("point_id", "source_type", "content_hash", "payload_hash", "payload", F.get("dense", F.lit(0)).cast("double").alias("vector"))

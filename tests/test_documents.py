@@ -116,8 +116,8 @@ def test_sync_embeds_only_what_changed(spark):
     asked = []
 
     def encoder(rows):
-        asked.extend(r["point_id"] for r in rows.collect())
-        return rows.select("point_id", F.array(F.lit(9.0).cast("float")).alias("dense"), F.lit(None).cast("struct<indices:array<bigint>,values:array<double>>").alias("sparse"))
+        asked.extend(r["point_id"] for r in rows.collect() if r["text_to_embed"] is not None)
+        return rows.withColumn("dense", F.array(F.lit(9.0).cast("float"))).withColumn("sparse", F.lit(None).cast("struct<indices:array<bigint>,values:array<double>>"))
 
     after = {r["point_id"]: (r["dense"][0], r["payload"]) for r in sync.apply(new, stored, encoder).collect()}
     assert sorted(asked) == ["added", "text"]
@@ -135,7 +135,7 @@ def test_encoders(spark):
     assert rows[1][0] == ["a", "b"] and rows[1][1] == pytest.approx([2.2 / (1 + norm), 4.4 / (2 + norm)])
     assert rows[2] == ([], [])
     dense = {r["id"]: r["dense"] for r in encode.dense_vector(df, "text", encode.hashed_encoder(8)).collect()}
-    assert len(dense[1]) == 8 and sum(x * x for x in dense[1]) == pytest.approx(1, abs=1e-5)
+    assert dense[3] is None and len(dense[1]) == 8 and sum(x * x for x in dense[1]) == pytest.approx(1, abs=1e-5)
 
 
 def test_scans_read_all_formats_in_file_order(spark, tmp_path):

@@ -179,11 +179,10 @@ def full_inputs(spark):
     none = F.lit(None).cast("string")
     payload = F.struct("source_type", "text", "rule_id", "card_name", "oracle_id", F.when(F.col("source_type") == "ruling", "2020-01-01").alias("published_at"), none.alias("scryfall_uri"))
     vec = encode.encode_points(encode.hashed_encoder(16))
-    encoded = points.join(vec(points.withColumnRenamed("text", "text_to_embed")), "point_id").select("point_id", "source_type", "dense", "sparse", payload.alias("payload"))
+    encoded = vec(points.withColumn("text_to_embed", F.col("text"))).select("point_id", "source_type", "dense", "sparse", payload.alias("payload"))
 
     def encode_questions(q):
-        v = vec(q.select(F.col("query_id").alias("point_id"), F.col("text").alias("text_to_embed"))).withColumnRenamed("point_id", "query_id")
-        return q.join(v, "query_id")
+        return vec(q.withColumn("text_to_embed", F.col("text"))).drop("text_to_embed")
 
     return cards, rules, encoded, encode_questions
 
