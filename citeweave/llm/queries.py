@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate
+from ..session import materialize
+from . import decontaminate, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -46,3 +47,9 @@ FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 @register("op4_decontaminate", OP4_SQL)
 def op4(spark, sf_dir):
     return decontaminate.contamination(decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+@register("op7_quality")
+def op7(spark, sf_dir):
+    found = materialize(quality.vectors(table(spark, sf_dir, "documents")), "quality")
+    return quality.score(found, quality.fit(found, table(spark, sf_dir, "labels")))
