@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
 
 from ..session import materialize
-from . import decontaminate, quality, topk
+from . import decontaminate, packing, quality, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -69,3 +70,8 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 def op10(spark, sf_dir):
     points = materialize(topk.prepare(table(spark, sf_dir, "embeddings")), "topk-points")
     return topk.search(points, points.where("id % 50 = 0"), 5)
+
+
+@register("op2_packing")
+def op2(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
