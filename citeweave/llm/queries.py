@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import materialize
-from . import bpe, decontaminate, packing, quality, topk
+from . import bpe, decontaminate, licenses, packing, pii, quality, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -80,3 +80,14 @@ def op10(spark, sf_dir):
 @register("op2_packing")
 def op2(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+@register("op6_pii")
+def op6(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    return pii.report(documents, pii.train(documents))
+
+
+@register("op8_licenses", licenses.oracle())
+def op8(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
