@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import materialize
-from . import bpe, decontaminate, licenses, packing, pii, quality, topk
+from . import bpe, decontaminate, licenses, near, packing, pii, quality, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -91,3 +91,8 @@ def op6(spark, sf_dir):
 @register("op8_licenses", licenses.oracle())
 def op8(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@register("op5_near_duplicates")
+def op5(spark, sf_dir):
+    return near.near_duplicates(table(spark, sf_dir, "documents"))
