@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import materialize
-from . import bpe, decontaminate, licenses, near, packing, pii, quality, topk
+from . import bpe, decontaminate, licenses, near, packing, pii, quality, recompress, suffixes, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -96,3 +96,13 @@ def op8(spark, sf_dir):
 @register("op5_near_duplicates")
 def op5(spark, sf_dir):
     return near.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@register("op3_suffix_dedup")
+def op3(spark, sf_dir):
+    return suffixes.dedup_bytes(table(spark, sf_dir, "documents"))
+
+
+@register("op9_substring_dedup")
+def op9(spark, sf_dir):
+    return recompress.dedup_words(table(spark, sf_dir, "documents"))
