@@ -176,5 +176,6 @@ def near_duplicates(documents: DataFrame, width: int = WIDTH) -> DataFrame:
 
 def keep_first(documents: DataFrame, width: int = WIDTH) -> DataFrame:
     """The rows of all but the documents that are not their component's first, with their columns as they were."""
-    gone = near_duplicates(documents, width).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
-    return documents.join(gone, documents["doc_id"] == gone["gone"], "left_anti")
+    gone = materialize(near_duplicates(documents, width).where("not kept").select(F.col("doc_id").alias("gone")).distinct(), "near-gone")
+    few = gone.count() <= BROADCAST_IDS
+    return documents.join(F.broadcast(gone) if few else gone, documents["doc_id"] == gone["gone"], "left_anti")
