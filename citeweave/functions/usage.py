@@ -136,10 +136,11 @@ def usd_precise(amount: Column) -> Column:
 
 
 def _fixed(value: Column, digits: Column) -> Column:
-    text = None
-    for n in range(2, 21):
-        text = F.when(digits == n, F.format_number(value, n)) if text is None else text.when(digits == n, F.format_number(value, n))
-    return text.otherwise(F.format_number(value, 20))
+    """A number with so many decimals, grouped by thousands; decimals are shifted into a whole number, so any count will do."""
+    shifted = F.when(digits <= 18, F.format_string("%.0f", F.round(value * F.pow(F.lit(10.0), digits), 0))).otherwise(F.format_string("%.0f", F.round(value * F.pow(F.lit(10.0), F.lit(18)) * F.pow(F.lit(10.0), digits - 18), 0)))
+    padded = F.lpad(shifted, F.greatest(F.length(shifted), digits + 1), "0")
+    whole = F.substring(padded, F.lit(1), F.length(padded) - digits)
+    return F.concat(F.format_number(whole.cast("decimal(38,0)"), 0), F.lit("."), F.substring(padded, F.length(padded) - digits + 1, digits))
 
 
 def short_date(ts: Column) -> Column:

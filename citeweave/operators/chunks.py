@@ -51,9 +51,9 @@ def card_chunks(cards: DataFrame) -> DataFrame:
         "scryfall_uri": F.col("scryfall_uri")})
 
 
-def rule_chunks(rules: DataFrame, max_depth: int = 3) -> DataFrame:
+def rule_chunks(rules: DataFrame) -> DataFrame:
     """Rule text behind the breadcrumb of its ancestors."""
-    r = with_ancestors(rules, max_depth)
+    r = with_ancestors(rules)
     top = F.get("ancestors", F.lit(0))
     return _chunk(r, rule_point_id(F.col("rule_id")), "rule", F.concat(breadcrumb(F.col("ancestors")), F.col("text")), {
         "text": F.col("text"), "rule_id": F.col("rule_id"),
@@ -82,11 +82,6 @@ def skipped_rulings(rulings: DataFrame, cards: DataFrame) -> DataFrame:
     return rulings.join(cards, "oracle_id", "left_anti").agg(F.count("*").alias("skipped_no_card"))
 
 
-def first_rows(chunks: DataFrame, order: str, limit: int | None) -> DataFrame:
-    """Row cap of a cheap trial run, in file order. A capped run must not prune."""
-    return chunks if limit is None else chunks.orderBy(order).limit(limit)
-
-
 def all_chunks(*parts: DataFrame) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:

@@ -18,8 +18,6 @@ from ..session import materialize
 
 # Fixed pattern: blanks, quotes and brackets that may open a sentence or a name.
 OPENING_MARKS = "[ \\t\\n\"'(“‘]+$"
-# Up to this many distinct first words the dictionary's first words travel as literals.
-MAX_LITERAL_WORDS = 20_000
 ORDINARY_WORD = r"(?U)\b[a-z][a-z'-]*\b"
 
 
@@ -57,15 +55,14 @@ def phrase_matches(texts: DataFrame, keys: DataFrame, text_id: str = "text_id",
     ``with_named`` adds ``named``: the first word is capitalised and does not start a
     sentence. It is read off the text around the match, so texts are not joined again."""
     d = materialize(_prepared(keys), "dictionary")
-    # One bounded row: the word counts that occur, the longest symbol name, the dictionary size.
-    shape = d.agg(F.sort_array(F.collect_set("_n")).alias("sizes"), F.max(F.when(F.col("_n") == 0, F.length("key"))).alias("symbol"),
-                  F.approx_count_distinct("_first").alias("firsts")).first()
+    # One bounded row: the word counts that occur and the longest symbol name.
+    shape = d.agg(F.sort_array(F.collect_set("_n")).alias("sizes"), F.max(F.when(F.col("_n") == 0, F.length("key"))).alias("symbol")).first()
     source = [F.col(text).alias("_t")] if with_named else []
     base = texts.select(text_id, pieces(F.col(text)).alias("_c"), *source).withColumn("_b", block_starts(F.col("_c")))
     found = []
     sizes = [n for n in shape["sizes"] if n]
     if sizes:
-        found.append(_word_matches(base, d.filter(F.col("_n") > 0), text_id, sizes, shape["firsts"] <= MAX_LITERAL_WORDS))
+        found.append(_word_matches(base, d.filter(F.col("_n") > 0), text_id, sizes))
     if shape["symbol"]:
         found.append(_symbol_matches(base, d.filter(F.col("_n") == 0), text_id, shape["symbol"]))
     if not found:
@@ -75,7 +72,7 @@ def phrase_matches(texts: DataFrame, keys: DataFrame, text_id: str = "text_id",
     return out if len(found) == 1 else out.unionByName(found[1])
 
 
-def _word_matches(base: DataFrame, d: DataFrame, text_id: str, sizes: list[int], few: bool) -> DataFrame:
+def _word_matches(base: DataFrame, d: DataFrame, text_id: str, sizes: list[int]) -> DataFrame:
     cut = F.col("_c")
     # Grams of the word at piece k, for each length that some name has: the exact text, the
     # gap after it, and whether the text ends there.
@@ -95,14 +92,9 @@ def _word_matches(base: DataFrame, d: DataFrame, text_id: str, sizes: list[int],
         more = [named(k).alias("named")] if with_named else []
         return F.struct(start(k).alias("at"), F.get(cut, k - 1).alias("before"), grams(k).alias("grams"), *more)
 
-    if few:
-        # A short list of first words is part of the expression: other words never leave the row.
-        first = [r["_first"] for r in d.select("_first").distinct().toLocalIterator()]
-        at = F.filter(F.transform(cut, lambda x, k: F.when((k % 2 == 1) & x.isin(first), k)), lambda k: k.isNotNull())
-        tokens = base.select(text_id, F.inline(F.transform(at, row)))
-    else:
-        words_at = F.transform(F.sequence(F.lit(1), F.size(cut) - 1, F.lit(2)), lambda k: F.struct(F.get(cut, k).alias("_w"), row(k).alias("_r")))
-        tokens = base.filter(F.size("_c") > 1).select(text_id, F.inline(words_at)).join(d.select(F.col("_first").alias("_w")).distinct(), "_w", "left_semi").select(text_id, "_r.*")
+    words_at = F.transform(F.sequence(F.lit(1), F.size(cut) - 1, F.lit(2)), lambda k: F.struct(F.get(cut, k).alias("_w"), row(k).alias("_r")))
+    first = d.select(F.col("_first").alias("_w")).distinct()
+    tokens = base.filter(F.size("_c") > 1).select(text_id, F.inline(words_at)).join(first, "_w", "left_semi").select(text_id, "_r.*")
     extra = ["named"] if with_named else []
     m = tokens.select(text_id, "at", "before", *extra, F.inline("grams")).join(d, F.col("core") == F.col("_core"))
     # Punctuation at the edges of the name must be there, and the character beyond must not

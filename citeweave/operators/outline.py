@@ -12,6 +12,7 @@ from ..functions.expr import let
 from ..functions.hashing import content_hash
 from ..functions.text import is_title, is_top_level, parent_id
 from ..sources.scans import BLANKS, LINE_BREAK
+from ..session import materialize
 from .running import ordinal
 
 # Fixed patterns of the outline grammar.
@@ -75,19 +76,25 @@ def parse_outline(documents: DataFrame, doc_id: str = "doc_id", text: str = "tex
     return rules.withColumn("parent_id", parent_id(F.col("rule_id"))).withColumn("content_hash", content_hash(F.col("rule_id"), F.col("text")))
 
 
-def with_ancestors(nodes: DataFrame, max_depth: int = 3, node: str = "rule_id", parent: str = "parent_id", text: str = "text") -> DataFrame:
-    """Add ``ancestors``: array of (id, text), top level first, stopping at the first
-    parent that is not in the table. The depth of the grammar bounds the joins."""
+def with_ancestors(nodes: DataFrame, node: str = "rule_id", parent: str = "parent_id", text: str = "text") -> DataFrame:
+    """Add ``ancestors``: array of (id, text), top level first, up to the first parent that is not in the table. One
+    join per level of the deepest tree; a node that is its own ancestor raises."""
     lookup = nodes.select(F.col(node).alias("_id"), F.col(text).alias("_t"), F.col(parent).alias("_p"))
-    out = nodes.withColumn("_next", F.col(parent)).withColumn("ancestors", F.array().cast("array<struct<id:string,text:string>>"))
-    for _ in range(max_depth - 1):
-        hop = F.array(F.struct(F.col("_id").cast("string").alias("id"), F.col("_t").alias("text")))
-        out = (
-            out.join(lookup, F.col("_next") == F.col("_id"), "left")
-            .withColumn("ancestors", F.when(F.col("_id").isNotNull(), F.concat(hop, "ancestors")).otherwise(F.col("ancestors")))
-            .withColumn("_next", F.col("_p")).drop("_id", "_t", "_p")
-        )
-    return out.drop("_next")
+    step = F.array(F.struct(F.col("_id").cast("string").alias("id"), F.col("_t").alias("text")))
+    # Chains of distinct parents only: many nodes share one.
+    chains = nodes.where(F.col(parent).isNotNull()).select(F.col(parent).alias("_from")).distinct().withColumn("_next", F.col("_from"))
+    chains = chains.withColumn("ancestors", F.array().cast("array<struct<id:string,text:string>>"))
+    while True:
+        chains = chains.join(lookup, F.col("_next") == F.col("_id"), "left")
+        chains = materialize(chains.select("_from", F.col("_p").alias("_next"), F.when(F.col("_id").isNotNull(), F.concat(step, "ancestors")).otherwise(F.col("ancestors")).alias("ancestors")), "ancestors")
+        seen = F.exists("ancestors", lambda a: a["id"] == F.col("_next").cast("string"))
+        state = chains.agg(F.count_if(F.col("_next").isNotNull()), F.count_if(seen)).first()
+        if state[1]:
+            raise ValueError("a node is its own ancestor")
+        if not state[0]:
+            break
+    out = nodes.join(chains.select(F.col("_from"), F.col("ancestors")), F.col(parent) == F.col("_from"), "left").drop("_from")
+    return out.withColumn("ancestors", F.coalesce("ancestors", F.array().cast("array<struct<id:string,text:string>>")))
 
 
 def breadcrumb(ancestors: Column) -> Column:

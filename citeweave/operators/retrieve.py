@@ -33,10 +33,12 @@ class SearchSettings:
 
 
 def ruling_hits(matched: DataFrame, points: DataFrame, limit: int, query_id: str = "query_id") -> DataFrame:
-    """Rulings of the cards matched per question, the first ``limit`` by point id. The
-    limit is taken per task before the shuffle, so a card with very many rulings is cheap."""
+    """Rulings of the cards matched per question, the first ``limit`` by point id. A question's first ``limit`` lie
+    among the first ``limit`` of each of its cards, so cards are cut before they meet questions."""
     pairs = matched.select(query_id, F.col("oracle_id").alias("_id")).filter(F.col("_id").isNotNull()).distinct()
     rulings = points.filter(F.col("source_type") == "ruling").select("point_id", "payload")
+    per_card = Window.partitionBy("payload.oracle_id").orderBy("point_id")
+    rulings = rulings.withColumn("_c", F.row_number().over(per_card)).filter(F.col("_c") <= limit).drop("_c")
     w = Window.partitionBy(query_id).orderBy("point_id")
     hits = rulings.join(pairs, F.col("payload.oracle_id") == F.col("_id")).drop("_id")
     return hits.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= limit).drop("_n")

@@ -86,25 +86,23 @@ def case_selection(t: Tables) -> DataFrame:
 
 @query("case_validation", """WITH r AS (SELECT DISTINCT '7' || lpad((doc_id % 90)::VARCHAR, 2, '0') AS p FROM documents WHERE doc_id % 3 = 0), names AS (SELECT DISTINCT source AS n FROM documents),
 ruled AS (SELECT DISTINCT source AS n FROM documents WHERE doc_id % 20 < 9), c AS (SELECT item_id AS k, '''b' || item_id || '''' AS q FROM benchmark),
-u AS (SELECT q, k, 'required_sources.rulings' AS f, 'src' || k % 25 AS n FROM c WHERE k % 2 = 0 UNION ALL SELECT q, k, 'required_sources.cards', 'src' || (k * 7) % 20 FROM c WHERE k % 5 < 2
+u AS (SELECT q, k, 'rulings' AS f, 'src' || k % 25 AS n FROM c WHERE k % 2 = 0 UNION ALL SELECT q, k, 'cards', 'src' || (k * 7) % 20 FROM c WHERE k % 5 < 2
   UNION ALL SELECT q, k, 'expected_cards', 'src' || (k * 3) % 20 FROM c WHERE k % 4 = 1 UNION ALL SELECT q, k, 'forbidden_cards', 'src' || (k * 11) % 20 FROM c WHERE k % 4 = 2)
-SELECT q || ': rule ''7' || lpad((k % 100)::VARCHAR, 2, '0') || ''' matches no rule ID' AS problem FROM c WHERE k % 3 <> 0 AND '7' || lpad((k % 100)::VARCHAR, 2, '0') NOT IN (SELECT p FROM r)
-UNION ALL SELECT q || ': ' || f || ' card ''' || n || ''' does not exist' FROM u WHERE n NOT IN (SELECT n FROM names)
-UNION ALL SELECT q || ': ''' || n || ''' has no rulings' FROM u WHERE f = 'required_sources.rulings' AND n IN (SELECT n FROM names) AND n NOT IN (SELECT n FROM ruled)""")
+SELECT 'b' || k AS case_id, 'rules' AS field, 'no_rule' AS code, '7' || lpad((k % 100)::VARCHAR, 2, '0') AS value FROM c WHERE k % 3 <> 0 AND '7' || lpad((k % 100)::VARCHAR, 2, '0') NOT IN (SELECT p FROM r)
+UNION ALL SELECT 'b' || k, f, 'no_card', n FROM u WHERE n NOT IN (SELECT n FROM names)
+UNION ALL SELECT 'b' || k, f, 'no_ruling', n FROM u WHERE f = 'rulings' AND n IN (SELECT n FROM names) AND n NOT IN (SELECT n FROM ruled)""")
 def case_validation(t: Tables) -> DataFrame:
     k = F.col("doc_id")
     rules = t.documents.filter(k % 3 == 0).select(F.concat(F.lit("7"), F.lpad((k % 90).cast("string"), 2, "0"), F.lit("."), k.cast("string")).alias("rule_id"))
     cards = t.documents.select(F.col("source").alias("name"), k.cast("string").alias("oracle_id"))
     rulings = t.documents.filter(k % 20 < 9).select(k.cast("string").alias("oracle_id"))
-    return cs.data_errors(cases(t), rules, cards, rulings).select("problem")
+    return cs.data_errors(cases(t), rules, cards, rulings)
 
 
-@query("case_schema_errors", """WITH b AS (SELECT item_id AS k, CASE WHEN item_id % 10 = 9 THEN 'entry #' || (item_id + 1) ELSE '''c' || item_id - item_id % 10 % 2 || '''' END AS l FROM benchmark), e AS (
-SELECT k, '''c' || k - k % 10 % 2 || ''': missing tags' AS problem FROM b WHERE k % 10 = 0 UNION ALL SELECT k, l || ': first tag ''odd'' is not a category (keyword, cr-only, card-ruling, interaction, negative, messy)' FROM b WHERE k % 10 = 2
-UNION ALL SELECT k, l || ': split must be one of dev, test' FROM b WHERE k % 10 = 3 UNION ALL SELECT k, l || ': unknown key ''zzz''' FROM b WHERE k % 10 = 4 UNION ALL SELECT k, l || ': verdict must be yes or no' FROM b WHERE k % 10 = 5
-UNION ALL SELECT k, l || ': unknown required_sources key ''odd''' FROM b WHERE k % 10 = 6 UNION ALL SELECT k, l || ': required_sources.rules must be a list of strings' FROM b WHERE k % 10 = 6
-UNION ALL SELECT k, l || ': should_decline must be true or false' FROM b WHERE k % 10 = 7 UNION ALL SELECT k, l || ': expected_cards must be a list of strings' FROM b WHERE k % 10 = 8 UNION ALL SELECT k, l || ': id must be a non-empty string' FROM b WHERE k % 10 = 9
-UNION ALL SELECT k, l || ': duplicate id' FROM b WHERE k % 10 % 2 = 1 AND k % 10 <> 9) SELECT k AS index, problem FROM e""")
+@query("case_schema_errors", """WITH b AS (SELECT item_id AS k, CASE WHEN item_id % 10 <> 9 THEN 'c' || item_id - item_id % 10 % 2 END AS id FROM benchmark),
+e(digit, field, code, detail) AS (VALUES (0, 'tags', 'absent', NULL), (2, 'tags', 'category', 'odd'), (3, 'split', 'value', 'prod'), (4, 'zzz', 'unknown', NULL), (5, 'verdict', 'value', 'maybe'), (6, 'required_sources.odd', 'unknown', NULL),
+  (6, 'required_sources.rules', 'type', NULL), (7, 'should_decline', 'type', NULL), (8, 'expected_cards', 'type', NULL), (9, 'id', 'type', NULL))
+SELECT k AS index, id AS case_id, field, code, detail FROM b JOIN e ON k % 10 = digit UNION ALL SELECT k, id, 'id', 'repeated', NULL FROM b WHERE k % 10 % 2 = 1 AND k % 10 <> 9""")
 def case_schema_errors(t: Tables) -> DataFrame:
     k = F.col("item_id")
     d = k % 10
@@ -174,13 +172,13 @@ _DIFF = f"""{_run_sql('ba', 17, 4, 0, 3, 2, 0, 'toxic = 0', 'doc_id % 3 = 0')},
 j AS (SELECT coalesce(b.k, n.k) AS k, b.k AS bk, n.k AS nk, n.error IS NOT NULL AND b.error IS NULL AS failed, b.error IS NOT NULL AND n.error IS NULL AS cleared, b.ra AS bra, n.ra AS nra, b.rb AS brb, n.rb AS nrb, b.fog AS bf, n.fog AS nf, b.pass AS bp, n.pass AS np,
   b.grade AS bg, n.grade AS ng, CASE b.grade WHEN 'correct' THEN 2 WHEN 'partial' THEN 1 WHEN 'incorrect' THEN 0 WHEN 'no_answer' THEN 0 END AS bo, CASE n.grade WHEN 'correct' THEN 2 WHEN 'partial' THEN 1 WHEN 'incorrect' THEN 0 WHEN 'no_answer' THEN 0 END AS no, b.vc AS bv, n.vc AS nv
   FROM ba b FULL JOIN ne n ON b.k = n.k),
-r AS (SELECT *, list_filter([CASE WHEN bra IS NOT NULL AND nra IS NULL THEN '702.1 was rank ' || bra || ', now missing' END, CASE WHEN brb IS NOT NULL AND nrb IS NULL THEN 'Bolt (cards) was rank ' || brb || ', now missing' END,
-   CASE WHEN nf AND NOT bf THEN 'forbidden card ''Fog'' now matched' END], lambda x: x IS NOT NULL) AS w0,
-  list_filter([CASE WHEN cleared THEN 'API error cleared' END, CASE WHEN bra IS NULL AND nra IS NOT NULL THEN '702.1 now found at rank ' || nra END, CASE WHEN brb IS NULL AND nrb IS NOT NULL THEN 'Bolt (cards) now found at rank ' || nrb END,
-   CASE WHEN bf AND NOT nf THEN 'forbidden card ''Fog'' no longer matched' END], lambda x: x IS NOT NULL) AS b0 FROM j WHERE bk IS NOT NULL AND nk IS NOT NULL),
-r2 AS (SELECT *, CASE WHEN failed THEN ['API error: boom'] WHEN bp AND NOT np AND len(w0) = 0 THEN ['retrieval pass → fail'] ELSE w0 END AS w1, CASE WHEN failed THEN [] WHEN NOT bp AND np AND len(b0) = 0 THEN ['retrieval fail → pass'] ELSE b0 END AS b1 FROM r),
-r3 AS (SELECT k, array_to_string(w1 || list_filter([CASE WHEN bg <> ng AND no < bo THEN 'judge: ' || bg || ' → ' || ng END, CASE WHEN bv AND NOT nv THEN 'verdict: no → yes' END], lambda x: x IS NOT NULL), '; ') AS w,
-  array_to_string(b1 || list_filter([CASE WHEN bg <> ng AND no >= bo THEN 'judge: ' || bg || ' → ' || ng END, CASE WHEN NOT bv AND nv THEN 'verdict: no → yes' END], lambda x: x IS NOT NULL), '; ') AS b FROM r2),
+r AS (SELECT *, list_filter([CASE WHEN bra IS NOT NULL AND nra IS NULL THEN 'rank:rules:702.1:' || bra || '>' END, CASE WHEN brb IS NOT NULL AND nrb IS NULL THEN 'rank:cards:Bolt:' || brb || '>' END,
+   CASE WHEN nf AND NOT bf THEN 'forbidden:Fog:+' END], lambda x: x IS NOT NULL) AS w0,
+  list_filter([CASE WHEN cleared THEN 'error:-' END, CASE WHEN bra IS NULL AND nra IS NOT NULL THEN 'rank:rules:702.1:>' || nra END, CASE WHEN brb IS NULL AND nrb IS NOT NULL THEN 'rank:cards:Bolt:>' || nrb END,
+   CASE WHEN bf AND NOT nf THEN 'forbidden:Fog:-' END], lambda x: x IS NOT NULL) AS b0 FROM j WHERE bk IS NOT NULL AND nk IS NOT NULL),
+r2 AS (SELECT *, CASE WHEN failed THEN ['error:+'] WHEN bp AND NOT np AND len(w0) = 0 THEN ['pass:1>0'] ELSE w0 END AS w1, CASE WHEN failed THEN [] WHEN NOT bp AND np AND len(b0) = 0 THEN ['pass:0>1'] ELSE b0 END AS b1 FROM r),
+r3 AS (SELECT k, array_to_string(w1 || list_filter([CASE WHEN bg <> ng AND no < bo THEN 'grade:' || bg || '>' || ng END, CASE WHEN bv AND NOT nv THEN 'verdict:no>yes' END], lambda x: x IS NOT NULL), ' ') AS w,
+  array_to_string(b1 || list_filter([CASE WHEN bg <> ng AND no >= bo THEN 'grade:' || bg || '>' || ng END, CASE WHEN NOT bv AND nv THEN 'verdict:no>yes' END], lambda x: x IS NOT NULL), ' ') AS b FROM r2),
 d AS (SELECT k::VARCHAR AS id, CASE WHEN w <> '' THEN 'regression' WHEN b <> '' THEN 'fixed' ELSE 'same' END AS status, CASE WHEN w <> '' THEN w WHEN b <> '' THEN b END AS reasons FROM r3
   UNION ALL SELECT k::VARCHAR, CASE WHEN bk IS NULL THEN 'added' ELSE 'removed' END, NULL FROM j WHERE bk IS NULL OR nk IS NULL)"""
 

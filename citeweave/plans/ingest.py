@@ -148,12 +148,12 @@ def children_in_order(t: Tables) -> DataFrame:
 _TITLES = " ".join(f"WHEN {n} THEN '{title}'" for n, title in outline.SECTION_TITLES.items())
 
 
-@query("toc_sections", f"""WITH r AS (SELECT (100 + p_partkey % 900)::VARCHAR || CASE WHEN p_partkey < 900 THEN '' ELSE '.' || p_partkey END AS rule_id, p_name AS text, p_partkey AS line_no FROM part)
+@query("toc_sections", f"""WITH r AS (SELECT (100 + p_partkey % 900)::VARCHAR || CASE WHEN p_partkey % 3 = 0 THEN '.' || p_partkey ELSE '' END AS rule_id, p_name AS text, p_partkey AS line_no FROM part)
 SELECT left(rule_id, 1)::INT AS section, CASE left(rule_id, 1)::INT {_TITLES} END AS section_title, rule_id, text,
  row_number() OVER (PARTITION BY left(rule_id, 1) ORDER BY line_no) - 1 AS position FROM r WHERE regexp_matches(rule_id, '^\\d{{3}}$')""")
 def toc_sections(t: Tables) -> DataFrame:
     number = (F.lit(100) + F.col("p_partkey") % 900).cast("string")
-    rules = t.part.select(F.concat(number, F.when(F.col("p_partkey") < 900, "").otherwise(F.concat(F.lit("."), F.col("p_partkey").cast("string")))).alias("rule_id"),
+    rules = t.part.select(F.concat(number, F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("."), F.col("p_partkey").cast("string"))).otherwise("")).alias("rule_id"),
                           F.col("p_name").alias("text"), F.col("p_partkey").alias("line_no"))
     return outline.table_of_contents(rules).select("section", "section_title", "rule_id", "text", "position")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as ft
+from ..functions.hashing import cache_key
 from ..functions import usage as fu
 from ..functions.hashing import payload_hash
 from ..functions.answers import request_outcome, shown_remaining
@@ -177,13 +178,23 @@ def normalized_queries(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", "turn", ft.normalize_query(F.col("text")).alias("normalized"))
 
 
+def question_key(text) -> "Column":
+    """Key of a question: its whole normalised text and the versions."""
+    return cache_key(ft.normalize_query(text), F.lit(1), F.lit("v1"), {"rules_top_k": F.lit(5)})
+
+
+#: Conversations with ids from here on ask again what the one so much lower asked.
+AGAIN = 1_000_000_000
+
+
 def keyed_questions(t: Tables) -> DataFrame:
-    """User turns keyed by their first 12 normalised characters and the data version."""
-    norm = ft.normalize_query(F.col("text"))
-    return t.conversations.filter(F.col("role") == "user").select("conv_id", "turn", F.concat(F.substring(norm, 1, 4), F.lit("|v1")).alias("key"))
+    """User turns, each asked once more later on, keyed by whole text and versions."""
+    asked = t.conversations.filter(F.col("role") == "user").select("conv_id", "turn", question_key(F.col("text")).alias("key"))
+    return asked.unionByName(asked.withColumn("conv_id", F.col("conv_id") + AGAIN))
 
 
-KEYED = f"keyed AS (SELECT conv_id, turn, left({NORMAL}, 4) || '|v1' AS key FROM conversations WHERE role = 'user'), cache AS (SELECT key, count(*) AS value FROM keyed WHERE turn = 0 GROUP BY key)"
+KEYED = f"""asked AS (SELECT conv_id, turn, sha256('{{"data_version":"v1","prompt_version":1,"query":' || to_json({NORMAL}) || ',"settings":{{"rules_top_k":5}}}}') AS key FROM conversations WHERE role = 'user'),
+keyed AS (SELECT * FROM asked UNION ALL SELECT conv_id + {AGAIN}, turn, key FROM asked), cache AS (SELECT key, count(*) AS value FROM keyed WHERE turn = 0 GROUP BY key)"""
 
 
 @query("cache_probe", f"WITH {KEYED} SELECT k.conv_id, k.turn, k.key, c.value, c.key IS NOT NULL AS hit FROM keyed k LEFT JOIN cache c USING (key)")
@@ -212,8 +223,6 @@ def memoized_inference(t: Tables) -> DataFrame:
 
 @query("cache_keys", """SELECT conv_id, turn, sha256('{"data_version":"v1","prompt_version":1,"query":' || to_json(""" + NORMAL + """) || ',"settings":{"hybrid_top_k":10,"rules_top_k":' || conv_id % 3 || '}}') AS key FROM conversations""")
 def cache_keys(t: Tables) -> DataFrame:
-    from ..functions.hashing import cache_key
-
     settings = {"rules_top_k": F.col("conv_id") % 3, "hybrid_top_k": F.lit(10)}
     return t.conversations.select("conv_id", "turn", cache_key(ft.normalize_query(F.col("text")), F.lit(1), F.lit("v1"), settings).alias("key"))
 

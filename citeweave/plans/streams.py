@@ -10,7 +10,7 @@ from ..session import fresh_path
 from ..streaming import answers as sa
 from ..streaming import run
 from ..streaming import usage as su
-from .ledger import ANSWER, KEYED, LEDGER, OUTCOMES, keyed_questions
+from .ledger import KEYED, LEDGER, OUTCOMES, question_key
 from .registry import Tables, query
 
 
@@ -84,11 +84,11 @@ def stream_admission(t: Tables) -> DataFrame:
 
 @query("stream_dedup_questions", f"WITH {KEYED} SELECT DISTINCT key FROM keyed")
 def stream_dedup_questions(t: Tables) -> DataFrame:
-    turns = run.read_table_stream(t.spark, t.directory, "conversations", t.conversations.schema)
-    from ..functions.text import normalize_query
-
-    keyed = turns.filter(F.col("role") == "user").select(F.concat(F.substring(normalize_query(F.col("text")), 1, 4), F.lit("|v1")).alias("key"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("conv_id") * 60 + F.col("turn")).alias("ts"))
-    return run.append_to_table(su.distinct_questions(keyed, "3650 days"), "dedup").select("key")
+    """All questions of one day, asked twice."""
+    turns = run.read_table_stream(t.spark, t.directory, "conversations", t.conversations.schema).filter(F.col("role") == "user")
+    minute = F.timestamp_seconds(F.lit(1_700_006_400) + F.col("conv_id") % 1440 * 60 + F.col("turn"))
+    keyed = turns.select(question_key(F.col("text")).alias("key"), minute.alias("ts"))
+    return run.append_to_table(su.distinct_questions(keyed.unionByName(keyed), "1 day"), "dedup").select("key")
 
 
 @query("stream_settlements", """WITH s AS (SELECT l_orderkey AS id, l_returnflag AS f, l_extendedprice AS c, (l_shipdate, l_linenumber, l_partkey, l_suppkey) AS o FROM lineitem) SELECT id, arg_max(f, o) AS outcome, arg_max(c, o) AS cost_usd FROM s GROUP BY id""")

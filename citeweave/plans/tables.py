@@ -47,11 +47,6 @@ def published_version(t: Tables) -> DataFrame:
     return tables.publish(t.orders, fresh_path(t.spark, "published"), "2024-01-01").select("version", F.col("rows").cast("bigint").alias("rows"))
 
 
-@query("trial_rows", "SELECT p_partkey FROM part ORDER BY p_partkey LIMIT 25")
-def trial_rows(t: Tables) -> DataFrame:
-    return chunks.first_rows(t.part.select("p_partkey"), "p_partkey", 25)
-
-
 @query("card_summaries", """SELECT p_partkey, concat_ws(' · ', nullif(p_type, ''), CASE WHEN p_partkey % 3 = 0 THEN p_size || '/' || p_size WHEN p_partkey % 3 = 1 THEN 'Loyalty ' || p_size END, p_name) AS summary FROM part""")
 def card_summaries(t: Tables) -> DataFrame:
     k, size = F.col("p_partkey") % 3, F.col("p_size").cast("string")

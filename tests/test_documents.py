@@ -195,8 +195,8 @@ def test_point_table(spark, tmp_path):
 
 
 def test_baseline_names_and_latest_states(spark, tmp_path):
-    assert tables.baseline_name("full", "x:phi4:latest") == "baseline-full-phi4" and tables.baseline_name("retrieval", "x:phi4") == "baseline-retrieval"
-    assert tables.baseline_name("full", "gemini:m") == "baseline-full" and tables.baseline_name("full", "x:Qwen2.5:14b") == "baseline-full-qwen2.5-14b"
+    keys = spark.createDataFrame([("full", "x:a"), ("retrieval", "x:a"), ("full", None)], "mode string, generator string").select(tables.baseline_key(F.col("mode"), F.col("generator")))
+    assert [r[0] for r in keys.collect()] == ["full/x:a", "retrieval", "full"]
     rows = spark.createDataFrame([("k", 1, "a"), ("k", 2, "b"), ("j", 1, "c")], "key string, created_at int, v string")
     assert {(r["key"], r["v"]) for r in tables.cache_entries(rows).collect()} == {("k", "b"), ("j", "c")}
     ledger = spark.createDataFrame([(1, None)], "id long, x string")

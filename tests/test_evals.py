@@ -67,7 +67,7 @@ def test_run_diff(spark):
     new = records(spark, lost={"ranks": {"rules:1": None}}, found={"ranks": {"cards:Fog": 4}}, moved={"ranks": {"rules:1": 9}}, card={"forbidden": ["Bolt"]}, fresh={}, err={"error": "503", "pass": None}, flip={"pass": False, "ranks": {"rules:2": 1}}, graded={"grade": "partial"}, verdict={"vc": True, "v": "yes"})
     got = {r["id"]: (r["status"], r["reasons"]) for r in rundiff.diff_cases(base, new).collect()}
     assert got == {
-        "lost": ("regression", "1 was rank 2, now missing"), "found": ("fixed", "Fog (cards) now found at rank 4"), "moved": ("same", None), "card": ("regression", "forbidden card 'Bolt' now matched"), "gone": ("removed", None), "fresh": ("added", None),
+        "lost": ("regression", "rank:rules:1:2>"), "found": ("fixed", "rank:cards:Fog:>4"), "moved": ("same", None), "card": ("regression", "forbidden:Bolt:+"), "gone": ("removed", None), "fresh": ("added", None),
         "err": ("regression", "API error: 503"), "flip": ("regression", "retrieval pass → fail"), "graded": ("regression", "judge: correct → partial"), "verdict": ("fixed", "verdict: no → yes")}
     counts = rundiff.diff_counts(rundiff.diff_cases(base, new)).first()
     assert (counts["regressions"], counts["fixed"], counts["added"], counts["removed"], counts["shared"], counts["exit_code"]) == (5, 2, 1, 1, 8, 1)
