@@ -1,25 +1,29 @@
-"""Exact top-k search for a whole table of questions at once.
+"""Exact top-k search for a whole table of questions at once, table to table.
 
-The corpus is scanned once per block of questions and never shuffled: each task scores its
-points against the block with matrix products and keeps k rows per question, so only
-tasks * questions * k rows travel (tasks: a few per core, whatever the corpus). Question blocks have a fixed size, which bounds both
-what the driver reads and what is broadcast; any number of blocks gives the whole result."""
+Questions and points are dealt by hash into blocks and groups of bounded size; a task gets one block of questions and
+one group of points (a tile), scores them with matrix products in Arrow tables and keeps k rows per question. Neither
+side passes the driver or is broadcast, and more rows make more tiles, never larger ones. What travels is each group
+once per block, each block once per group, and tiles * questions * k hits."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .encode import sparse_vector
 
+#: Questions and points of a tile, and points that are scored at once.
 BLOCK = 4096
+GROUP = 1024
 STEP = 256
+#: Pairs of a point's term and a question with that term that are spelled out at once.
+PAIRS = 2_000_000
 SCORE_DIGITS = 6
 
 
@@ -57,36 +61,35 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(column)), lengths)
 
 
-def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches cut to STEP rows, which bounds the score matrix."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, STEP):
-            yield batch.slice(at, STEP)
-
-
 def _ids(column: pa.Array) -> np.ndarray:
     values = column.to_numpy(zero_copy_only=False)
     return values.astype(str) if values.dtype == object else values
 
 
-def _blocks(questions: DataFrame, query_id: str, columns: list[str], block: int) -> list[pa.Table]:
-    """The questions in blocks of about ``block`` rows. More questions make more blocks,
-    never a bigger one."""
-    n = max(1, -(-questions.count() // block))
-    if n == 1:
-        return [questions.select(*columns).toArrow()]
-    return [questions.filter(F.pmod(F.xxhash64(query_id), F.lit(n)) == i).select(*columns).toArrow() for i in range(n)]
+def _tiles(points: DataFrame, questions: DataFrame, point_id: str, query_id: str, k: int, schema: T.StructType, score: Callable[[pa.Table, pa.Table, _TopK], None], group: int, block: int) -> DataFrame:
+    """Top-k rows of every tile. ``score`` feeds one tile's points to a top-k list."""
+    groups, blocks = max(1, -(-points.count() // group)), max(1, -(-questions.count() // block))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+    asked = questions.withColumn("_b", F.pmod(F.xxhash64(query_id), F.lit(blocks))).withColumn("_g", every(groups))
+    stored = points.withColumn("_g", F.pmod(F.xxhash64(point_id), F.lit(groups))).withColumn("_b", every(blocks))
+    # Both sides may come from one table.
+    asked, stored = asked.toDF(*asked.columns), stored.toDF(*stored.columns)
+    out_schema = to_arrow_schema(schema)
 
+    def tile(left: pa.Table, right: pa.Table) -> pa.Table:
+        top = _TopK(left.num_rows, k)
+        if left.num_rows and right.num_rows:
+            score(left, right, top)
+        q, scores, ids = top.rows()
+        names = left.column(query_id).to_pylist()
+        return pa.table([pa.array([names[i] for i in q], type=out_schema.field(0).type), pa.array(ids.tolist(), type=out_schema.field(1).type), pa.array(scores, type=pa.float64())], schema=out_schema)
 
-def _few_tasks(points: DataFrame) -> DataFrame:
-    """Merge splits without a shuffle down to a few per core: a task keeps one top-k list
-    over all its splits, so what is shuffled grows with the cores and not with the corpus."""
-    return points.coalesce(4 * points.sparkSession.sparkContext.defaultParallelism)
+    return asked.groupBy("_b", "_g").cogroup(stored.groupBy("_b", "_g")).applyInArrow(tile, schema)
 
 
-def _rank(found: list[DataFrame], query_id: str, point_id: str, k: int) -> DataFrame:
+def _rank(hits: DataFrame, query_id: str, point_id: str, k: int) -> DataFrame:
     w = Window.partitionBy(query_id).orderBy(F.desc("score"), F.asc(point_id))
-    return reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def _schema(points: DataFrame, questions: DataFrame, query_id: str, point_id: str) -> T.StructType:
@@ -95,89 +98,73 @@ def _schema(points: DataFrame, questions: DataFrame, query_id: str, point_id: st
         T.StructField("score", T.DoubleType())])
 
 
-def _emit(top: _TopK, query_ids: np.ndarray, schema: pa.Schema) -> pa.RecordBatch:
-    q, score, ids = top.rows()
-    return pa.RecordBatch.from_arrays([
-        pa.array(query_ids[q].tolist() if len(q) else [], type=schema.field(0).type),
-        pa.array(ids.tolist(), type=schema.field(1).type), pa.array(score, type=pa.float64())], schema=schema)
+def _unit(column: pa.ChunkedArray, rows: int) -> np.ndarray:
+    vectors = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows, -1)
+    size = np.linalg.norm(vectors, axis=1, keepdims=True)
+    return vectors / np.where(size == 0, 1, size)
 
 
 def dense_topk(points: DataFrame, questions: DataFrame, k: int, point_id: str = "point_id", query_id: str = "query_id",
-               vector: str = "dense", query_vector: str = "dense", block: int = BLOCK) -> DataFrame:
+               vector: str = "dense", query_vector: str = "dense", group: int = GROUP, block: int = BLOCK) -> DataFrame:
     """The k points with the highest cosine per question: query_id, point_id, score, rank.
     Filter the points before calling; a filter does not commute with top-k."""
-    schema = _schema(points, questions, query_id, point_id)
-    arrow = T.StructType(schema.fields)
-    spark, found = points.sparkSession, []
-    out_schema = pa.schema([(f.name, _arrow_type(f.dataType)) for f in arrow])
-    for table in _blocks(questions.filter(F.col(query_vector).isNotNull()), query_id, [query_id, query_vector], block):
-        if not table.num_rows:
-            continue
-        matrix = np.asarray(table[query_vector].to_pylist(), dtype=np.float64)
-        norm = np.linalg.norm(matrix, axis=1, keepdims=True)
-        shared = spark.sparkContext.broadcast((_ids(table[query_id].combine_chunks()), matrix / np.where(norm == 0, 1, norm)))
-
-        def score(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            query_ids, queries = shared.value
-            top = _TopK(len(query_ids), k)
-            for part in _steps(batches):
-                values, _rows = _flat(part.column(1))
-                vectors = values.astype(np.float64).reshape(part.num_rows, -1)
-                size = np.linalg.norm(vectors, axis=1, keepdims=True)
-                top.add(np.round(queries @ (vectors / np.where(size == 0, 1, size)).T, SCORE_DIGITS), _ids(part.column(0)))
-            yield _emit(top, query_ids, out_schema)
-
-        found.append(_few_tasks(points.filter(F.col(vector).isNotNull()).select(point_id, vector)).mapInArrow(score, schema))
-    return _rank(found or [spark.createDataFrame([], schema)], query_id, point_id, k)
-
-
-def _arrow_type(kind: T.DataType) -> pa.DataType:
-    return {T.LongType: pa.int64(), T.IntegerType: pa.int32(), T.DoubleType: pa.float64(), T.StringType: pa.string()}[type(kind)]
+
+    def score(left: pa.Table, right: pa.Table, top: _TopK) -> None:
+        queries = _unit(left.column("_v"), left.num_rows)
+        for at in range(0, right.num_rows, STEP):
+            part = right.slice(at, STEP)
+            top.add(np.round(queries @ _unit(part.column("_v"), part.num_rows).T, SCORE_DIGITS), _ids(part.column(point_id).combine_chunks()))
+
+    stored = points.filter(F.col(vector).isNotNull()).select(point_id, F.col(vector).alias("_v"))
+    asked = questions.filter(F.col(query_vector).isNotNull()).select(query_id, F.col(query_vector).alias("_v"))
+    return _rank(_tiles(stored, asked, point_id, query_id, k, _schema(points, questions, query_id, point_id), score, group, block), query_id, point_id, k)
 
 
 def sparse_topk(points: DataFrame, questions: DataFrame, k: int, point_id: str = "point_id", query_id: str = "query_id",
-                vector: str = "sparse", query_vector: str = "sparse", block: int = BLOCK) -> DataFrame:
+                vector: str = "sparse", query_vector: str = "sparse", group: int = GROUP, block: int = BLOCK) -> DataFrame:
     """The k points with the highest dot product of term weights per question. Points that
     share no term with a question are no hits."""
-    schema = _schema(points, questions, query_id, point_id)
-    spark, found = points.sparkSession, []
-    out_schema = pa.schema([(f.name, _arrow_type(f.dataType)) for f in schema])
-    wanted = questions.select(query_id, F.col(query_vector).getField("indices").alias("_i"), F.col(query_vector).getField("values").alias("_v"))
-    for table in _blocks(wanted, query_id, [query_id, "_i", "_v"], block):
-        if not table.num_rows:
-            continue
-        terms, rows = _flat(table["_i"].combine_chunks())
-        weights, _rows = _flat(table["_v"].combine_chunks())
+
+    def score(left: pa.Table, right: pa.Table, top: _TopK) -> None:
         # Questions by term: for term t the entries start[t]:start[t + 1].
+        terms, rows = _flat(left.column("_i").combine_chunks())
+        weights, _rows = _flat(left.column("_v").combine_chunks())
+        if not len(terms):
+            return
         vocabulary, place = np.unique(terms, return_inverse=True)
         order = np.argsort(place, kind="stable")
         start = np.concatenate([[0], np.cumsum(np.bincount(place, minlength=len(vocabulary)))])
-        shared = spark.sparkContext.broadcast((_ids(table[query_id].combine_chunks()), vocabulary, start, rows[order], weights[order]))
-
-        def score(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            query_ids, vocabulary, start, of_query, query_weights = shared.value
-            top = _TopK(len(query_ids), k)
-            for part in _steps(batches):
-                terms, rows = _flat(part.column(1))
-                weights, _rows = _flat(part.column(2))
-                if not len(vocabulary) or not len(terms):
+        of_query, query_weights = rows[order], weights[order]
+        for at in range(0, right.num_rows, STEP):
+            part = right.slice(at, STEP)
+            terms, rows = _flat(part.column("_i").combine_chunks())
+            weights, _rows = _flat(part.column("_v").combine_chunks())
+            if not len(terms):
+                continue
+            place = np.minimum(np.searchsorted(vocabulary, terms), len(vocabulary) - 1)
+            hit = vocabulary[place] == terms
+            place, rows, weights = place[hit], rows[hit], weights[hit]
+            # Every (term of a point, question with the term) pair, summed per (question, point), so many pairs at a time.
+            sizes = start[place + 1] - start[place]
+            scores = np.zeros(left.num_rows * part.num_rows)
+            cuts = np.searchsorted(np.cumsum(sizes), np.arange(PAIRS, int(sizes.sum()) + PAIRS, PAIRS), "left")
+            begin = 0
+            for end in np.minimum(cuts + 1, len(sizes)).tolist():
+                if end <= begin:
                     continue
-                place = np.minimum(np.searchsorted(vocabulary, terms), len(vocabulary) - 1)
-                hit = vocabulary[place] == terms
-                place, rows, weights = place[hit], rows[hit], weights[hit]
-                # Every (term of a point, question with the term) pair, summed per (question, point).
-                sizes = start[place + 1] - start[place]
-                entry = np.arange(sizes.sum()) + np.repeat(start[place] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
-                cell = of_query[entry] * part.num_rows + np.repeat(rows, sizes)
-                scores = np.bincount(cell, query_weights[entry] * np.repeat(weights, sizes), minlength=len(query_ids) * part.num_rows)
-                scores = np.round(scores.astype(float).reshape(len(query_ids), part.num_rows), SCORE_DIGITS)
-                scores[scores <= 0] = -np.inf
-                top.add(scores, _ids(part.column(0)))
-            yield _emit(top, query_ids, out_schema)
-
-        source = points.select(point_id, F.col(vector).getField("indices").alias("_i"), F.col(vector).getField("values").alias("_v"))
-        found.append(_few_tasks(source).mapInArrow(score, schema))
-    return _rank(found or [spark.createDataFrame([], schema)], query_id, point_id, k)
+                n, here = sizes[begin:end], slice(begin, end)
+                entry = np.arange(n.sum()) + np.repeat(start[place[here]] - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+                cell = of_query[entry] * part.num_rows + np.repeat(rows[here], n)
+                scores += np.bincount(cell, query_weights[entry] * np.repeat(weights[here], n), minlength=len(scores))
+                begin = end
+            scores = np.round(scores.reshape(left.num_rows, part.num_rows), SCORE_DIGITS)
+            scores[scores <= 0] = -np.inf
+            top.add(scores, _ids(part.column(point_id).combine_chunks()))
+
+    parts = lambda v: [F.col(v).getField("indices").alias("_i"), F.col(v).getField("values").alias("_v")]
+    stored = points.filter(F.col(vector).isNotNull()).select(point_id, *parts(vector))
+    asked = questions.filter(F.col(query_vector).isNotNull()).select(query_id, *parts(query_vector))
+    return _rank(_tiles(stored, asked, point_id, query_id, k, _schema(points, questions, query_id, point_id), score, group, block), query_id, point_id, k)
 
 
 def normalize(hits: DataFrame, by: list[str], score: str = "score", out: str = "norm") -> DataFrame:

@@ -22,15 +22,21 @@ def vectors(t: Tables) -> DataFrame:
     return t.embeddings.select(F.col("vec_id").alias("point_id"), kind.alias("source_type"), F.col("embedding").alias("dense"))
 
 
+def vector_questions(t: Tables) -> DataFrame:
+    """The vectors that ask: every twentieth id, against all vectors."""
+    return vectors(t).filter(F.col("point_id") % 20 == 0).withColumnRenamed("point_id", "query_id")
+
+
 def points(t: Tables) -> DataFrame:
-    """Documents that have a vector, as points with both vectors."""
-    docs = t.spread("documents", "doc_id").join(vectors(t), F.col("doc_id") == F.col("point_id")).select("point_id", "source_type", "dense", "text", "source", "lang")
+    """All documents as points; those without a vector are found by their words alone."""
+    docs = t.spread("documents", "doc_id").join(vectors(t), F.col("doc_id") == F.col("point_id"), "left")
+    docs = docs.select(F.col("doc_id").alias("point_id"), F.coalesce("source_type", F.lit("oracle")).alias("source_type"), "dense", "text", "source", "lang")
     return encode.sparse_vector(docs, "text")
 
 
 def questions(t: Tables) -> DataFrame:
-    """Benchmark texts with a vector, as questions with both vectors."""
-    q = t.benchmark.join(t.embeddings, F.col("item_id") == F.col("vec_id")).select(F.col("item_id").alias("query_id"), "text", F.col("embedding").alias("dense"))
+    """All benchmark texts as questions, with a vector where the table of vectors has one of that number."""
+    q = t.benchmark.join(t.embeddings, F.col("item_id") == F.col("vec_id"), "left").select(F.col("item_id").alias("query_id"), "text", F.col("embedding").alias("dense"))
     return encode.sparse_vector(q, "text")
 
 
@@ -65,34 +71,34 @@ def sparse_topk(t: Tables) -> DataFrame:
     return ranked(search.sparse_topk(docs, encode.sparse_vector(user_turns(t), "text"), 10))
 
 
-@query("dense_topk", top_sql(10, f"SELECT q.vec_id AS query_id, d.vec_id AS point_id, {COSINE.format(a='q.embedding', b='d.embedding')} AS score FROM embeddings q, embeddings d"))
+@query("dense_topk", top_sql(10, f"SELECT q.vec_id AS query_id, d.vec_id AS point_id, {COSINE.format(a='q.embedding', b='d.embedding')} AS score FROM embeddings q, embeddings d WHERE q.vec_id % 20 = 0"))
 def dense_topk(t: Tables) -> DataFrame:
     v = vectors(t)
-    return ranked(search.dense_topk(v, v.withColumnRenamed("point_id", "query_id"), 10))
+    return ranked(search.dense_topk(v, vector_questions(t), 10))
 
 
-@query("dense_topk_filtered", top_sql(5, f"SELECT q.vec_id AS query_id, d.vec_id AS point_id, {COSINE.format(a='q.embedding', b='d.embedding')} AS score FROM embeddings q, embeddings d WHERE d.label = 0"))
+@query("dense_topk_filtered", top_sql(5, f"SELECT q.vec_id AS query_id, d.vec_id AS point_id, {COSINE.format(a='q.embedding', b='d.embedding')} AS score FROM embeddings q, embeddings d WHERE d.label = 0 AND q.vec_id % 20 = 0"))
 def dense_topk_filtered(t: Tables) -> DataFrame:
     v = vectors(t)
-    return ranked(search.dense_topk(v.filter(F.col("source_type") == "rule"), v.withColumnRenamed("point_id", "query_id"), 5))
+    return ranked(search.dense_topk(v.filter(F.col("source_type") == "rule"), vector_questions(t), 5))
 
 
-@query("minmax_scores", f"""WITH hits AS ({top_sql(50, f"SELECT q.vec_id AS query_id, d.vec_id AS point_id, {COSINE.format(a='q.embedding', b='d.embedding')} AS score FROM embeddings q, embeddings d")})
+@query("minmax_scores", f"""WITH hits AS ({top_sql(50, f"SELECT q.vec_id AS query_id, d.vec_id AS point_id, {COSINE.format(a='q.embedding', b='d.embedding')} AS score FROM embeddings q, embeddings d WHERE q.vec_id % 20 = 0")})
 SELECT query_id, point_id, round(CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0::DOUBLE ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END, 6) AS norm FROM hits WINDOW w AS (PARTITION BY query_id)""")
 def minmax_scores(t: Tables) -> DataFrame:
     v = vectors(t)
-    hits = search.dense_topk(v, v.withColumnRenamed("point_id", "query_id"), 50)
+    hits = search.dense_topk(v, vector_questions(t), 50)
     return search.normalize(hits, ["query_id"]).select("query_id", "point_id", F.round("norm", 6).alias("norm"))
 
 
-HYBRID_BASE = f"""pts AS (SELECT doc_id AS id, text, embedding, CASE WHEN label = 0 THEN 'rule' WHEN label < 4 THEN 'ruling' ELSE 'oracle' END AS source_type, source, lang FROM documents JOIN embeddings ON doc_id = vec_id),
-qs AS (SELECT item_id AS id, text, embedding FROM benchmark JOIN embeddings ON item_id = vec_id), {weights_sql('d', 'SELECT id, text FROM pts')}, {weights_sql('q', 'SELECT id, text FROM qs')}"""
+HYBRID_BASE = f"""pts AS (SELECT doc_id AS id, text, embedding, CASE WHEN label = 0 THEN 'rule' WHEN label < 4 THEN 'ruling' ELSE 'oracle' END AS source_type, source, lang FROM documents LEFT JOIN embeddings ON doc_id = vec_id),
+qs AS (SELECT item_id AS id, text, embedding FROM benchmark LEFT JOIN embeddings ON item_id = vec_id), {weights_sql('d', 'SELECT id, text FROM pts')}, {weights_sql('q', 'SELECT id, text FROM qs')}"""
 
 
 def hybrid_sql(name: str, top_k: int, where: str = "TRUE", dense: float = 0.5, sparse: float = 0.5, threshold: float = 0.0) -> str:
     """SQL for a hybrid search over ``pts`` and ``qs`` of HYBRID_BASE."""
     norm = "CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0::DOUBLE ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END"
-    dense_sql = f"SELECT qs.id AS query_id, pts.id AS point_id, {COSINE.format(a='qs.embedding', b='pts.embedding')} AS score FROM qs, pts WHERE {where}"
+    dense_sql = f"SELECT qs.id AS query_id, pts.id AS point_id, {COSINE.format(a='qs.embedding', b='pts.embedding')} AS score FROM qs, pts WHERE qs.embedding IS NOT NULL AND pts.embedding IS NOT NULL AND {where}"
     sparse_sql = f"SELECT q.id AS query_id, d.id AS point_id, round(sum(q.w * d.w), 6) AS score FROM q JOIN d USING (term) JOIN pts ON pts.id = d.id WHERE {where} GROUP BY q.id, d.id"
     return f"""{name}_dn AS (SELECT query_id, point_id, {norm} AS norm FROM ({top_sql(50, dense_sql)}) WINDOW w AS (PARTITION BY query_id)),
 {name}_sn AS (SELECT query_id, point_id, {norm} AS norm FROM ({top_sql(50, sparse_sql)}) WINDOW w AS (PARTITION BY query_id)),
@@ -185,8 +191,8 @@ def retrieval_inputs(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame, DataFr
 
     none = F.lit(None).cast("string")
     asked = t.conversations.filter(F.col("role") == "user").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "conv_id", "text")
-    asked = asked.join(t.embeddings, F.col("conv_id") == F.col("vec_id")).join(t.part.select("p_partkey", "p_name", "p_type"), F.col("p_partkey") == F.col("conv_id"))
-    q = encode.sparse_vector(asked.select("query_id", F.concat("text", F.lit(" "), "p_name", F.lit(" "), "p_type").alias("text"), F.col("embedding").alias("dense")), "text")
+    asked = asked.join(t.embeddings, F.col("conv_id") == F.col("vec_id"), "left").join(t.part.select("p_partkey", "p_name", "p_type"), F.col("p_partkey") == F.col("conv_id"), "left")
+    q = encode.sparse_vector(asked.select("query_id", F.concat_ws(" ", "text", "p_name", "p_type").alias("text"), F.col("embedding").alias("dense")), "text")
     cards = names(t).select("line_no", "name", F.concat(F.lit("src"), F.pmod("line_no", F.lit(20)).cast("string")).alias("oracle_id"), F.col("name").alias("oracle_text"), none.alias("scryfall_uri"))
     p = points(t)
     rule = F.when(F.col("source_type") == "rule", F.concat(F.lit("702."), (F.col("point_id") % 30).cast("string")))

@@ -77,7 +77,13 @@ def stream_daily_usage(t: Tables) -> DataFrame:
     return last.select(F.col("date").cast("string").alias("date"), "outcome", "u.requests", F.round("u.spend_usd", 6).alias("spend_usd"))
 
 
-@query("stream_admission")
+_OPEN = "len(list_filter(adm, lambda x: x::DATE = r.at::DATE)) < 2 AND len(list_filter(adm, lambda x: x >= r.at - INTERVAL 120 MINUTE)) < 1"
+
+
+@query("stream_admission", f"""WITH RECURSIVE {LEDGER}, gated AS (SELECT id, ip_bucket, created_at AS at, row_number() OVER (PARTITION BY ip_bucket ORDER BY created_at, id) AS n FROM ledger WHERE NOT is_admin AND outcome <> 'cached'),
+walk AS (SELECT DISTINCT ip_bucket, 0::BIGINT AS n, []::TIMESTAMP[] AS adm, NULL::BIGINT AS id, FALSE AS refused FROM gated
+  UNION ALL SELECT r.ip_bucket, r.n, CASE WHEN {_OPEN} THEN list_append(adm, r.at::TIMESTAMP) ELSE adm END, r.id, NOT ({_OPEN}) FROM walk w JOIN gated r ON r.ip_bucket = w.ip_bucket AND r.n = w.n + 1)
+SELECT l.id, l.ip_bucket, CASE WHEN w.refused THEN 'ip_quota' END AS degraded FROM ledger l LEFT JOIN walk w ON w.id = l.id""")
 def stream_admission(t: Tables) -> DataFrame:
     return run.append_to_table(su.admission(usage_stream(t), Quota(daily_answers=2, window_answers=1, window_minutes=120)), "admission").select("id", "ip_bucket", "degraded")
 

@@ -47,25 +47,46 @@ _ADMISSION = "id long, created_at timestamp, ip_bucket string, degraded string"
 
 
 def admission(requests: DataFrame, q: Quota, late: str = "10 minutes") -> DataFrame:
-    """Decide every request of a stream in time order per bucket; only admitted requests
-    count. State keeps the admitted times that can still matter: today's and the window's.
+    """Decide every request of a stream in time order per bucket (id, created_at, ip_bucket, is_admin, outcome).
+
+    Only visitors' requests that need a new answer pass the gate, and only admitted ones use up quota: administrators
+    and answers out of the cache are let through and not counted. Requests of one micro-batch are judged by time;
+    one that comes later than ``late`` behind the newest is judged against what was admitted before it arrived. State
+    holds the admitted times that can still matter, and goes when the watermark has left the bucket's last day and window
+    behind.
 
     The global budget is one key for all buckets, so it is applied afterwards to the
     admitted rows (``operators.ledger.gate_audit`` for the exact audit)."""
+    width = q.window_minutes * 60_000_000
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         admitted = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["created_at", "id"])
-        times = rows["created_at"].astype("datetime64[us]").astype("int64").to_numpy()
-        codes = admit_times(times, q, admitted)
-        last = int(times[-1])
-        horizon = min(last // DAY_US * DAY_US, last - q.window_minutes * 60_000_000)
-        state.update(([t for t in admitted if t >= horizon],))
-        names = np.array([None, "ip_quota", "ip_quota"], dtype=object)
-        yield pd.DataFrame({"id": rows["id"], "created_at": rows["created_at"], "ip_bucket": key[0], "degraded": names[codes]})
-
-    return requests.select("id", "created_at", "ip_bucket").groupBy("ip_bucket").applyInPandasWithState(
-        step, _ADMISSION, "admitted array<long>", "append", GroupStateTimeout.NoTimeout)
+        for rows in sorted_batches(batches):
+            gated = (~rows["is_admin"].fillna(False).astype(bool) & (rows["outcome"] != "cached")).to_numpy()
+            times = rows["created_at"].astype("datetime64[us]").astype("int64").to_numpy()
+            codes = np.zeros(len(rows), dtype=np.int8)
+            codes[gated] = admit_times(times[gated], q, admitted)
+            last = int(times[-1])
+            admitted = [t for t in admitted if t >= min(last // DAY_US * DAY_US, last - width)]
+            names = np.array([None, "ip_quota", "ip_quota"], dtype=object)
+            yield pd.DataFrame({"id": rows["id"], "created_at": rows["created_at"], "ip_bucket": key[0], "degraded": names[codes]})
+        newest = max(admitted, default=0)
+        state.update((admitted,))
+        until = max(newest // DAY_US * DAY_US + DAY_US, newest + width) // 1000
+        state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
+
+    keyed = requests.withWatermark("created_at", late).select("id", "created_at", "ip_bucket", "is_admin", "outcome")
+    return keyed.groupBy("ip_bucket").applyInPandasWithState(step, _ADMISSION, "admitted array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def sorted_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A group's rows of one micro-batch in time order. Bound a micro-batch by ``files_per_trigger``."""
+    rows = pd.concat(list(batches))
+    if len(rows):
+        yield rows.sort_values(["created_at", "id"])
 
 
 def daily_usage(ledger: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -77,8 +98,8 @@ def daily_usage(ledger: DataFrame, late: str = "1 hour") -> DataFrame:
 
 
 def settlements(events: DataFrame) -> DataFrame:
-    """Latest state per answer of a stream of reserve / settle events (update mode). An
-    answer that never settles keeps its pending row at the worst-case cost."""
+    """Latest state per answer of a stream of reserve / settle / cancel events (update mode). An
+    answer that never settles keeps its pending row at the worst-case cost, and so its state."""
     return events.groupBy("id").agg(F.max_by(F.struct("outcome", "cost_usd"), "ts").alias("s")).select("id", "s.outcome", "s.cost_usd")
 
 

@@ -34,9 +34,7 @@ def random_texts():
     return texts + ["", "∞", "a∞", "For glory!", "for glory!x", "+2 mace", "1+2 mace", "Lightning Bolt strikes Bolt", "Voltaic Boltcaster", "fog bank\nfog"]
 
 
-@pytest.mark.parametrize("literal_limit", [matching.MAX_LITERAL_WORDS, 0])
-def test_phrase_matches_equal_brute_force(spark, random_texts, monkeypatch, literal_limit):
-    monkeypatch.setattr(matching, "MAX_LITERAL_WORDS", literal_limit)
+def test_phrase_matches_equal_brute_force(spark, random_texts):
     df = spark.createDataFrame(list(enumerate(random_texts)), "text_id int, text string")
     found = {}
     for r in matching.phrase_matches(df, keys_of(spark, NAMES)).collect():
