@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # What a sync does with one chunk.
@@ -23,14 +23,16 @@ def classify(chunks: DataFrame, stored: DataFrame) -> DataFrame:
     return chunks.join(old, "point_id", "left").withColumn("action", action).drop("_content", "_payload", "_known")
 
 
+def touched(chunks: DataFrame, source_type: str = "source_type") -> Column:
+    """Whether a row's source type is one that the chunks bring: a scalar subquery over their few source types, so
+    that the store is never shuffled by them. An empty input touches nothing."""
+    types = chunks.agg(F.collect_set("source_type")).scalar()
+    return F.coalesce(F.array_contains(types, F.col(source_type)), F.lit(False))
+
+
 def stale_points(chunks: DataFrame, stored: DataFrame) -> DataFrame:
-    """Stored ids that the chunks no longer produce. Only source types present among the
-    chunks are touched, so an empty input prunes nothing."""
-    sources = chunks.groupBy("source_type").agg(F.count("*").alias("_n")).select("source_type")
-    return (
-        stored.select("point_id", "source_type").join(sources, "source_type", "left_semi")
-        .join(chunks.select("point_id"), "point_id", "left_anti")
-    )
+    """Stored ids that the chunks no longer produce, of the source types that the chunks bring."""
+    return stored.select("point_id", "source_type").filter(touched(chunks)).join(chunks.select("point_id"), "point_id", "left_anti")
 
 
 def summary(classified: DataFrame, stale: DataFrame | None = None) -> DataFrame:
@@ -46,22 +48,16 @@ def summary(classified: DataFrame, stale: DataFrame | None = None) -> DataFrame:
 
 
 def apply(chunks: DataFrame, points: DataFrame, encode: Callable[[DataFrame], DataFrame], prune: bool = True) -> DataFrame:
-    """The next snapshot of the point table, from one full join on ``point_id``.
+    """The next snapshot of the point table.
 
-    Each side is shuffled once. ``encode`` adds ``dense`` and ``sparse`` to rows with a
-    ``text_to_embed``, which is null wherever the stored vectors stay: the encoder must give
-    null for null, so what is expensive runs on what changed and nothing else."""
+    Chunks are compared with the stored hashes alone; the encoder sees nothing but the rows to embed, and adds
+    ``dense`` and ``sparse`` to them. The stored rows with their vectors meet only the verdicts, by ``point_id``."""
     fields = ("source_type", "content_hash", "payload_hash", "payload")
-    new = chunks.select("point_id", *[F.col(c).alias(f"_n_{c}") for c in fields], F.col("text_to_embed").alias("_text"), F.lit(True).alias("_new"))
-    old = points.withColumnsRenamed({"dense": "_dense", "sparse": "_sparse"}).withColumn("_old", F.lit(True))
-    if prune:
-        sources = chunks.groupBy("source_type").agg(F.count("*").alias("_n")).select(F.col("source_type").alias("_touched"))
-        old = old.join(sources, F.col("source_type") == F.col("_touched"), "left")
-    else:
-        old = old.withColumn("_touched", F.lit(None).cast("string"))
-    both = old.join(new, "point_id", "full").filter(F.col("_new") | F.col("_touched").isNull())
-    embed = F.col("_new") & (F.col("_old").isNull() | ~F.col("content_hash").eqNullSafe(F.col("_n_content_hash")))
-    encoded = encode(both.withColumn("_embed", F.coalesce(embed, F.lit(False))).withColumn("text_to_embed", F.when(F.col("_embed"), F.col("_text"))))
-    return encoded.select(
-        "point_id", *[F.when(F.col("_new"), F.col(f"_n_{c}")).otherwise(F.col(c)).alias(c) for c in fields],
-        *[F.when(F.col("_embed"), F.col(c)).otherwise(F.col(f"_{c}")).alias(c) for c in ("dense", "sparse")])
+    todo = classify(chunks, points.select("point_id", "content_hash", "payload_hash"))
+    made = encode(todo.filter(F.col("action") == EMBED)).select("point_id", *fields, "dense", "sparse")
+    verdicts = todo.select("point_id", "action", *[F.col(c).alias(f"_n_{c}") for c in fields])
+    stays = F.coalesce(F.col("action") != EMBED, ~touched(chunks) if prune else F.lit(True))
+    kept = points.join(verdicts, "point_id", "left").filter(stays)
+    told = F.col("action").isNotNull()
+    kept = kept.select("point_id", *[F.when(told, F.col(f"_n_{c}")).otherwise(F.col(c)).alias(c) for c in fields], "dense", "sparse")
+    return kept.unionByName(made)

@@ -107,20 +107,25 @@ def stream_settlements(t: Tables) -> DataFrame:
 
 @query("stream_sync", """SELECT doc_id::VARCHAR AS point_id, sha256(text) AS content_hash, length(text)::DOUBLE AS vector FROM documents""")
 def stream_sync(t: Tables) -> DataFrame:
-    from .sync import _encode, new_chunks, stored_points
+    """The documents as one snapshot that comes in several batches, its end in the last."""
+    from .sync import _encode, stored_points
 
     base = fresh_path(t.spark, "points")
     stored_points(t).write.parquet(f"{base}/start")
-    snapshot = new_chunks(t).limit(0).schema
+    chunks = t.documents.select(F.col("doc_id").cast("string").alias("point_id"), F.concat(F.lit("s"), F.pmod("doc_id", F.lit(3)).cast("string")).alias("source_type"), F.col("text").alias("text_to_embed"),
+                                F.sha2("text", 256).alias("content_hash"), F.sha2(F.concat("lang", "source"), 256).alias("payload_hash"), F.col("lang").alias("payload"), F.lit(False).alias("ends_snapshot"))
+    chunks.repartition(3, "point_id").write.parquet(f"{base}/arriving")
+    end = t.spark.range(1).select(*[(F.lit(True) if f.name == "ends_snapshot" else F.lit(None)).cast(f.dataType).alias(f.name) for f in chunks.schema])
     done: list[int] = []
-    docs = run.read_table_stream(t.spark, t.directory, "documents", t.documents.schema)
-    chunks = docs.select(F.col("doc_id").cast("string").alias("point_id"), F.concat(F.lit("s"), F.pmod("doc_id", F.lit(3)).cast("string")).alias("source_type"), F.col("text").alias("text_to_embed"),
-                         F.sha2("text", 256).alias("content_hash"), F.sha2(F.concat("lang", "source"), 256).alias("payload_hash"), F.col("lang").alias("payload")).select(snapshot.names)
-    write = su.sync_batches(lambda: f"{base}/{done[-1] if done else 'start'}", lambda i: f"{base}/{i}", _encode)
+    write = su.sync_batches(lambda: f"{base}/{done[-1] if done else 'start'}", lambda i: f"{base}/{i}", _encode, f"{base}/seen")
 
     def step(batch: DataFrame, batch_id: int) -> None:
         write(batch, batch_id)
         done.append(batch_id)
 
-    run.each_batch(chunks, "sync", step, "append")
+    stream = run.read_table_stream(t.spark, f"{base}/arriving", "", chunks.schema, files_per_trigger=1)
+    checkpoint = fresh_path(t.spark, "sync-checkpoint")
+    run.each_batch(stream, "sync", step, "append", checkpoint)
+    end.write.mode("append").parquet(f"{base}/arriving")
+    run.each_batch(stream, "sync", step, "append", checkpoint)
     return t.spark.read.parquet(f"{base}/{done[-1]}").select("point_id", "content_hash", F.get("dense", F.lit(0)).cast("double").alias("vector"))

@@ -13,7 +13,7 @@ def create_if_absent(spark: SparkSession, path: str) -> DataFrame:
     """The point table at ``path``; written empty, partitioned by source type, when missing."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
-        spark.createDataFrame([], schemas.POINT).write.parquet(path)
+        spark.createDataFrame([], schemas.POINT).write.partitionBy("source_type").parquet(path)
     return spark.read.schema(schemas.POINT).parquet(path)
 
 

@@ -30,11 +30,12 @@ def append_to_table(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def each_batch(stream: DataFrame, name: str, write: Callable[[DataFrame, int], None], mode: str = "update") -> None:
-    """Run a query on everything available, handing every micro-batch to ``write``."""
+def each_batch(stream: DataFrame, name: str, write: Callable[[DataFrame, int], None], mode: str = "update", checkpoint: str | None = None) -> None:
+    """Run a query on everything available, handing every micro-batch to ``write``. With a ``checkpoint`` it goes on
+    where the last run with that folder stopped."""
     query = (
         stream.writeStream.outputMode(mode).foreachBatch(write)
-        .option("checkpointLocation", fresh_path(stream.sparkSession, f"{name}-checkpoint")).trigger(availableNow=True).start()
+        .option("checkpointLocation", checkpoint or fresh_path(stream.sparkSession, f"{name}-checkpoint")).trigger(availableNow=True).start()
     )
     query.awaitTermination()
 

@@ -109,13 +109,21 @@ def distinct_questions(questions: DataFrame, within: str = "1 day", ts: str = "t
     return questions.withWatermark(ts, within).dropDuplicatesWithinWatermark([key])
 
 
-def sync_batches(points_path: Callable[[], str], next_path: Callable[[int], str], encode: Callable[[DataFrame], DataFrame], prune: bool = True):
-    """A foreachBatch writer that syncs the point table with each batch of chunks. One batch
-    must be one complete snapshot of its sources; the new table goes to ``next_path``."""
+def sync_batches(points_path: Callable[[], str], next_path: Callable[[int], str], encode: Callable[[DataFrame], DataFrame], seen_path: str):
+    """A foreachBatch writer that syncs the point table with a snapshot that arrives in any number of batches.
+
+    Rows have the columns of chunks and ``ends_snapshot``: true in one last row, without a point id, which says that the
+    snapshot is complete. Only then are points pruned that no batch of the snapshot has brought. The new table goes to
+    ``next_path``, the ids seen so far to ``seen_path``; a batch that is repeated writes the same again."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        points = spark.read.parquet(points_path())
-        sync.apply(batch, points, encode, prune).write.mode("overwrite").parquet(next_path(batch_id))
+        rows = batch.filter(F.col("point_id").isNotNull()).drop("ends_snapshot")
+        rows.select("point_id", "source_type").write.mode("overwrite").parquet(f"{seen_path}/batch={batch_id}")
+        out = sync.apply(rows, spark.read.parquet(points_path()), encode, prune=False)
+        if not batch.filter("ends_snapshot").isEmpty():
+            seen = spark.read.parquet(seen_path)
+            out = out.join(sync.stale_points(seen, out).select("point_id"), "point_id", "left_anti")
+        out.write.mode("overwrite").parquet(next_path(batch_id))
 
     return write

@@ -118,16 +118,19 @@ def test_admission_equals_a_plain_loop():
 
 
 def test_admission_stream_keeps_state_between_batches(spark, tmp_path):
+    schema = "id long, created_at timestamp, ip_bucket string, is_admin boolean, outcome string"
     q = Quota(daily_answers=3, window_answers=2, window_minutes=10)
-    rows = [(i, NOW + dt.timedelta(minutes=i), "b") for i in range(40)] + [(100 + i, NOW + dt.timedelta(minutes=7 * i), "c") for i in range(10)]
+    rows = [(i, NOW + dt.timedelta(minutes=i), "b", False, "generated") for i in range(40)] + [(100 + i, NOW + dt.timedelta(minutes=7 * i), "c", False, "pending") for i in range(10)]
+    free = [(200 + i, NOW + dt.timedelta(minutes=i), "b", i % 2 == 0, "cached" if i % 2 else "generated") for i in range(39)]
+    rows += free
     for n in range(4):
         part = [r for r in rows if (r[1] - NOW).seconds // 60 // 10 == n]
-        spark.createDataFrame(part, "id long, created_at timestamp, ip_bucket string").coalesce(1).write.parquet(str(tmp_path / "in" / f"{n}"))
-    schema = "id long, created_at timestamp, ip_bucket string"
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"{n}"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(str(tmp_path / "in" / "*"))
     got = {r["id"]: r["degraded"] for r in run.append_to_table(su.admission(stream, q), "admission-test").collect()}
+    assert all(got[r[0]] is None for r in free)
     for bucket in "bc":
-        mine = sorted((r for r in rows if r[2] == bucket and r[0] in got), key=lambda r: r[1])
+        mine = sorted((r for r in rows if r[2] == bucket and r[0] in got and r[0] < 200), key=lambda r: r[1])
         base = dt.datetime(1970, 1, 1)
         want = naive_admission([int((r[1] - base).total_seconds() * 1_000_000) for r in mine], q)
         assert [got[r[0]] is not None for r in mine] == [w > 0 for w in want]

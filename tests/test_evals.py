@@ -68,7 +68,7 @@ def test_run_diff(spark):
     got = {r["id"]: (r["status"], r["reasons"]) for r in rundiff.diff_cases(base, new).collect()}
     assert got == {
         "lost": ("regression", "rank:rules:1:2>"), "found": ("fixed", "rank:cards:Fog:>4"), "moved": ("same", None), "card": ("regression", "forbidden:Bolt:+"), "gone": ("removed", None), "fresh": ("added", None),
-        "err": ("regression", "API error: 503"), "flip": ("regression", "retrieval pass → fail"), "graded": ("regression", "judge: correct → partial"), "verdict": ("fixed", "verdict: no → yes")}
+        "err": ("regression", "error:+"), "flip": ("regression", "pass:1>0"), "graded": ("regression", "grade:correct>partial"), "verdict": ("fixed", "verdict:no>yes")}
     counts = rundiff.diff_counts(rundiff.diff_cases(base, new)).first()
     assert (counts["regressions"], counts["fixed"], counts["added"], counts["removed"], counts["shared"], counts["exit_code"]) == (5, 2, 1, 1, 8, 1)
     assert rundiff.diff_counts(rundiff.diff_cases(base, new), filtered=True).first()["removed"] == 0
@@ -96,12 +96,15 @@ def test_case_file_checks(spark):
     df = spark.createDataFrame([(i, json.dumps(e)) for i, e in enumerate(entries)], "index int, entry string")
     got = {}
     for r in cs.schema_errors(df).collect():
-        got.setdefault(r["index"], set()).add(r["problem"])
+        got.setdefault(r["index"], set()).add((r["case_id"], r["field"], r["code"], r["detail"]))
     assert 0 not in got
-    assert got[1] == {"'ok': question must be a non-empty string", "'ok': tags must be a non-empty list of strings", "'ok': split must be one of dev, test", "'ok': unknown key 'zzz'", "'ok': duplicate id"}
-    assert got[2] == {"entry #3: missing question", "entry #3: missing split", "entry #3: id must be a non-empty string", "entry #3: first tag 'odd' is not a category (keyword, cr-only, card-ruling, interaction, negative, messy)",
-                      "entry #3: verdict must be yes or no", "entry #3: unknown required_sources key 'odd'", "entry #3: required_sources.cards must be a list of strings", "entry #3: should_decline must be true or false", "entry #3: gold_answer must be a string"}
-    assert got[3] == {"entry #4: not a mapping"}
+    assert got[1] == {("ok", "question", "type", None), ("ok", "tags", "type", None), ("ok", "split", "value", "x"), ("ok", "zzz", "unknown", None), ("ok", "id", "repeated", None)}
+    assert got[2] == {(None, *found) for found in (
+        ("question", "absent", None), ("split", "absent", None), ("id", "type", None), ("tags", "category", "odd"), ("verdict", "value", "maybe"), ("required_sources.odd", "unknown", None),
+        ("required_sources.cards", "type", None), ("should_decline", "type", None), ("gold_answer", "type", None))}
+    assert got[3] == {(None, "entry", "shape", None)}
+    read = cs.read_cases(df.limit(1)).first()
+    assert (read["id"], read["verdict"], read["rules"], read["should_decline"]) == ("ok", "yes", ["1"], False)
 
 
 def test_case_data_checks_and_selection(spark):
@@ -109,6 +112,6 @@ def test_case_data_checks_and_selection(spark):
     rules = spark.createDataFrame([("702.19b",)], "rule_id string")
     cards = spark.createDataFrame([("Fog", "1"), ("Bolt", "2")], "name string, oracle_id string")
     rulings = spark.createDataFrame([("1",)], "oracle_id string")
-    assert {r["problem"] for r in cs.data_errors(cases, rules, cards, rulings).collect()} == {
-        "'a': rule '800' matches no rule ID", "'a': required_sources.cards card 'Nope' does not exist", "'a': 'Bolt' has no rulings"}
+    assert {tuple(r) for r in cs.data_errors(cases, rules, cards, rulings).collect()} == {
+        ("a", "rules", "no_rule", "800"), ("a", "cards", "no_card", "Nope"), ("a", "rulings", "no_ruling", "Bolt")}
     assert [r["id"] for r in cs.select(cases, "all", tags=["x"]).collect()] == ["b"] and cs.select(cases, "dev", ids=["b"]).count() == 0
