@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -76,7 +76,13 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Rolling:
     """Fingerprints of any range of a sequence from one running sum: a polynomial modulo 2**64 in an odd base."""
 
+    _made: dict[int, tuple] = {}
+
     def __init__(self, seed: int):
+        self.seed = seed
+        if seed in self._made:
+            self.base, self.inverse, self.table, self.up, self.down = self._made[seed]
+            return
         base = int(mix(np.array([seed * 2 + 1], np.uint64))[0]) | 1
         self.base, self.inverse = base, pow(base, -1, 1 << 64)
         self.up = self.down = np.ones(1, np.uint64)
@@ -89,6 +95,7 @@ class Rolling:
                 steps = np.full(n, factor, np.uint64)
                 steps[0] = 1
                 setattr(self, name, np.multiply.accumulate(steps))
+        self._made[self.seed] = (self.base, self.inverse, self.table, self.up, self.down)
 
     def load(self, symbols: np.ndarray) -> Rolling:
         """Take a sequence of bytes or of 64-bit values."""

@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -63,17 +64,20 @@ class Owned:
 
     def __init__(self, parsed: Parsed, length: int):
         self.parsed, self.length = parsed, length
-        self.one, self.two = Rolling(21).load(parsed.units), Rolling(22).load(parsed.units)
-        place = parsed.place
-        owner = np.repeat(np.arange(len(place) - 1), np.diff(place))
-        w = np.arange(len(owner))
-        rest = w[w + length <= place[owner + 1]] if len(w) else w
-        self.document = owner
+        self.one = Rolling(21).load(parsed.units)
+        place, n = parsed.place, len(parsed.units)
+        # Windows that end within their document.
+        fits = np.ones(n, bool)
+        for back in place[1:]:
+            fits[max(0, back - length + 1) : back] = False
+        rest = np.flatnonzero(fits)
         #: One entry per level: windows, the index of their first and of their last anchor.
         self.groups: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for level in parsed.levels:
-            first = np.searchsorted(level.low, rest, "left")
-            last = np.searchsorted(level.high, rest + length, "right") - 1
+            # How many stretches begin before a place, and how many end by it.
+            begun = np.cumsum(np.bincount(level.low + 1, minlength=n + 2)[: n + 2])
+            ended = np.cumsum(np.bincount(level.high, minlength=n + 2)[: n + 2])
+            first, last = begun[rest], ended[rest + length] - 1
             mine = first <= last
             self.groups.append((rest[mine], first[mine], last[mine]))
             rest = rest[~mine]
@@ -82,6 +86,11 @@ class Owned:
         self.levels = [*parsed.levels, Level(rest, rest, rest + length)]
         self.groups.append((rest, own, own))
 
+    @cached_property
+    def two(self) -> Rolling:
+        """A second, independent fingerprint."""
+        return Rolling(22).load(self.parsed.units)
+
     def names(self, k: int, which: np.ndarray) -> np.ndarray:
         level = self.levels[k]
         low, at = level.low[which], level.at[which]
@@ -90,7 +99,7 @@ class Owned:
     def places(self, k: int, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The document of each anchor, and the anchor's number in it."""
         level = self.levels[k]
-        doc = self.document[level.low[which]]
+        doc = np.searchsorted(self.parsed.place, level.low[which], "right") - 1
         return doc, (level.at[which] - self.parsed.place[doc]) * 4 + k
 
     def emitted(self):
@@ -129,9 +138,10 @@ def _packed(documents: DataFrame) -> DataFrame:
     """key, z: the texts, compressed one by one."""
 
     def run(batches):
-        squeeze = zstandard.ZstdCompressor(level=3)
+        squeeze = zstandard.ZstdCompressor(level=1)
         for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([squeeze.compress((t or "").encode()) for t in batch.column("text").to_pylist()], pa.binary())], ["key", "z"])
+            raw = batch.column("text").cast(pa.large_string()).cast(pa.large_binary()).to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([squeeze.compress(t or b"") for t in raw], pa.binary())], ["key", "z"])
 
     return documents.select("key", "text").mapInArrow(run, "key long, z binary")
 
@@ -145,7 +155,7 @@ def _texts(batches, limit: int = 400_000):
         while at < batch.num_rows:
             n = max(1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, "right")) - at)
             part = batch.slice(at, n)
-            text = pa.array([expand.decompress(z).decode() for z in part.column("z").to_pylist()], pa.string())
+            text = pa.array([expand.decompress(z) for z in part.column("z").to_pylist()], pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([*part.columns, text], [*part.schema.names, "text"])
             at += n
 

@@ -1,6 +1,6 @@
 """Repeated byte strings by prefix-free parsing.
 
-A rolling hash of ``WINDOW`` bytes triggers a phrase border where it is smaller than at all ``REACH`` places on either
+A hash of the ``WINDOW`` = 8 bytes at hand, rolled along the text, triggers a phrase border where it is smaller than at all ``REACH`` places on either
 side. A phrase runs from the trigger's neighbourhood to the next one's, overlapping it, so that no phrase is a prefix of another and
 a border shows wherever its neighbourhood occurs; where triggers lie too far apart, denser ones of a shorter reach
 stand in. Distinct phrases with what follows them are the dictionary, the sequence of phrases in a text is the parse.
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import repeats
-from .arrays import Rolling, flat, slices
+from .arrays import flat, slices
 
 LENGTH = 200
 WINDOW = 8
@@ -34,25 +34,33 @@ REACH = (24, 6, 2)
 
 def _least_after(values: np.ndarray, reach: int) -> np.ndarray:
     """The least of the next ``reach`` values at each place (nothing beyond the end)."""
-    n, big = len(values), np.uint64(2**64 - 1)
-    least, size = np.concatenate([values, np.full(reach + 1, big)]), 1
+    n = len(values)
+    least = np.full(n + reach + 1, ~np.uint32(0))
+    least[:n] = values
+    size = 1
     while size * 2 <= reach:
-        least = np.minimum(least, np.concatenate([least[size:], np.full(size, big)]))
+        np.minimum(least[:-size], least[size:], out=least[:-size])
         size *= 2
     return np.minimum(least[1 : n + 1], least[1 + reach - size : n + 1 + reach - size])
 
 
+def _triggers(hashes: np.ndarray, reach: int) -> np.ndarray:
+    """Places whose hash is smaller than all others within reach on either side."""
+    return np.flatnonzero((hashes < _least_after(hashes, reach)) & (hashes < _least_after(hashes[::-1], reach)[::-1]))
+
+
 def parse(column: pa.Array) -> repeats.Parsed:
     """Bytes as units, and trigger borders at two densities."""
     data, offsets = flat(column)
     n = len(data)
-    hashes = np.zeros(0, np.uint64)
+    hashes = np.zeros(0, np.uint32)
     if n >= WINDOW:
-        at = np.arange(n - WINDOW + 1)
-        hashes = Rolling(11).load(data).ranges(at, at + WINDOW)
+        # The eight bytes from each place on as one number, multiplied; the upper half is the hash.
+        eight = np.ndarray(n - WINDOW + 1, np.uint64, np.ascontiguousarray(data), strides=(1,))
+        hashes = ((eight * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
     levels = []
     for reach in REACH:
-        borders = np.flatnonzero((hashes < _least_after(hashes, reach)) & (hashes < _least_after(hashes[::-1], reach)[::-1]))
+        borders = _triggers(hashes, reach)
         doc = np.searchsorted(offsets, borders, "right") - 1
         whole = (borders - reach >= offsets[doc]) & (borders + reach + WINDOW <= offsets[doc + 1])
         borders = borders[whole]
