@@ -89,7 +89,7 @@ def completion(text: Column, failure: Column, finish_reason: Column) -> Column:
 
 
 def notice(answer: Column, degraded: Column, remaining: Column) -> Column:
-    """Which notice replaces the answer, if any."""
+    """Code of what is shown where an answer is wanting: out of budget, out of quota for now or for the day, or nothing written."""
     return (
         F.when(degraded == "global_budget", "paused")
         .when(degraded == "ip_quota", F.when(F.coalesce(remaining, F.lit(0)) != 0, "breather").otherwise("quota_used"))

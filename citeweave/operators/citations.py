@@ -122,8 +122,8 @@ def sentences(segs: DataFrame, query_id: str = "query_id") -> DataFrame:
 
 
 def lead(pieces: DataFrame, query_id: str = "query_id", max_chars: int = 140) -> DataFrame:
-    """The first sentence as a summary line when it is short, ends like a sentence and more
-    follows; null otherwise."""
+    """Per answer its opening sentence, where at most ``max_chars`` of text with a closing mark stand in it and the
+    answer goes on after it; otherwise null."""
     first = F.sort_array(F.collect_list(F.when((F.col("sentence") == 0) & (F.col("kind") == "text"), F.struct("segment", "part", "text"))))
     text = F.regexp_replace(F.array_join(F.transform(first, lambda p: p.text), ""), r"^\s+|\s+$", "")
     more = F.bool_or((F.col("sentence") != 0) & ((F.col("kind") != "text") | F.col("text").rlike(r"\S")))

@@ -48,19 +48,17 @@ def postings(df: DataFrame, point_id: str, text: str, **params) -> DataFrame:
 
 
 def hashed_encoder(dim: int = 64) -> Callable[[], Callable[[list[str]], np.ndarray]]:
-    """Factory of a deterministic encoder: signed hashed character trigrams, unit length."""
+    """Factory of a deterministic encoder: signed hashed character trigrams, unit length. A trigram of code points
+    a, b, c has the hash (961 a + 31 b + c) * 2654435761 modulo 2**32; its upper bit is the sign, the rest gives the place."""
 
     def load():
-        import zlib
-
         def encode(texts: list[str]) -> np.ndarray:
-            out = np.zeros((len(texts), dim), dtype=np.float32)
+            out = np.zeros((len(texts), dim))
             for row, text in enumerate(texts):
-                padded = f"  {text.lower()} "
-                for i in range(len(padded) - 2):
-                    h = zlib.crc32(padded[i:i + 3].encode("utf-8"))
-                    out[row, h % dim] += 1.0 if h & 0x80000000 else -1.0
-            norm = np.linalg.norm(out, axis=1, keepdims=True)
+                points = np.frombuffer(f"  {text.lower()} ".encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+                hashes = (points[:-2] * np.uint64(961) + points[1:-1] * np.uint64(31) + points[2:]) * np.uint64(2654435761) & np.uint64(0xFFFFFFFF)
+                out[row] = np.bincount((hashes >> np.uint64(8) & np.uint64(0x7FFFFF)).astype(np.int64) % dim, np.where(hashes >> np.uint64(31), 1.0, -1.0), dim)
+            norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
             return out / np.where(norm == 0, 1, norm)
 
         return encode

@@ -7,9 +7,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.answers import history_replay
+from ..functions.hashing import answer_key, judge_key
 from ..functions.results import stat_line, summary_line
-from ..functions.usage import Pricing
+from ..functions.usage import Pricing, day_start
 from ..operators import answering, caching, chunks, citations, encode, requests, retrieve
+from ..operators.caching import PER_REQUEST_FIELDS, cached_form
 from ..session import fresh_path
 from ..sources import scans, tables
 from ..streaming import answers as sa
@@ -96,9 +98,47 @@ def live_citations(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", "turn", shown.alias("shown"), F.array_join(citations.live_numbers(draft, known).cast("array<string>"), ",").alias("numbers"))
 
 
-@query("dense_encoding")
+@query("dense_encoding", """WITH l AS (SELECT doc_id, list_transform(string_split('  ' || lower(text) || ' ', ''), lambda c: unicode(c)::BIGINT) AS l FROM documents),
+h AS (SELECT doc_id, unnest(list_transform(range(1, len(l) - 1), lambda i: ((961 * l[i] + 31 * l[i + 1] + l[i + 2]) * 2654435761) % 4294967296)) AS h FROM l),
+s AS (SELECT doc_id, (h // 256) % 8388608 % 16 AS place, sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END)::DOUBLE AS n FROM h GROUP BY ALL)
+SELECT doc_id, place::INTEGER AS place, (n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)))::FLOAT::DOUBLE AS value FROM s WHERE n <> 0""")
 def dense_encoding(t: Tables) -> DataFrame:
-    return encode.dense_vector(t.spread("documents", "doc_id").select("doc_id", "text"), "text", encode.hashed_encoder(16))
+    made = encode.dense_vector(t.spread("documents", "doc_id").select("doc_id", "text"), "text", encode.hashed_encoder(16))
+    return made.select("doc_id", F.posexplode("dense").alias("place", "value")).filter("value <> 0").withColumn("value", F.col("value").cast("double"))
+
+
+@query("point_ids_of_type", "SELECT doc_id::VARCHAR AS point_id FROM documents WHERE doc_id % 7 <> 0 AND doc_id % 3 = 1")
+def point_ids_of_type(t: Tables) -> DataFrame:
+    from ..sources.points import point_ids
+    from .sync import stored_points
+
+    return point_ids(stored_points(t), "s1")
+
+
+@query("utc_day_starts", "SELECT event_id, date_trunc('day', ts)::TIMESTAMP AS day FROM events")
+def utc_day_starts(t: Tables) -> DataFrame:
+    return t.events.select("event_id", day_start(F.col("ts").cast("timestamp_ntz")).alias("day"))
+
+
+@query("eval_keys", """SELECT doc_id, sha256('{"a_kind":"answer","context_hash":' || to_json(source) || ',"generator":"g","overrides":"{}","prompt_version":1,"question":' || to_json(text) || '}') AS answer_key,
+ sha256('{"a_kind":"judge","answer":' || to_json(text) || ',"gold":' || to_json(lang) || ',"model":"m","prompt_version":2,"question":' || to_json(text) || ',"should_decline":' || (doc_id % 2 = 0) || '}') AS judge_key FROM documents""")
+def eval_keys(t: Tables) -> DataFrame:
+    text, one = F.col("text"), F.lit(1)
+    return t.documents.select(
+        "doc_id", answer_key(text, F.col("source"), F.lit("g"), one, F.lit("{}")).alias("answer_key"), judge_key(text, F.col("lang"), text, F.lit("m"), F.lit(2), F.col("doc_id") % 2 == 0).alias("judge_key"))
+
+
+@query("cached_forms", "SELECT doc_id, text AS answer, source FROM documents")
+def cached_forms(t: Tables) -> DataFrame:
+    extra = {name: F.lit("x") for name in PER_REQUEST_FIELDS}
+    return cached_form(t.documents.select("doc_id", F.col("text").alias("answer"), "source").withColumns(extra))
+
+
+@query("all_sources_as_points", "SELECT p_partkey::VARCHAR AS point_id, 'oracle' AS source_type FROM part UNION ALL SELECT doc_id::VARCHAR, 'ruling' FROM documents")
+def all_sources_as_points(t: Tables) -> DataFrame:
+    cards = t.part.select(F.col("p_partkey").cast("string").alias("point_id"), F.lit("oracle").alias("source_type"))
+    rulings = t.documents.select(F.lit("ruling").alias("source_type"), F.col("doc_id").cast("string").alias("point_id"))
+    return chunks.all_chunks(cards, rulings)
 
 
 @query("stream_head_done_join", """SELECT conv_id AS stream_id, min(turn) FILTER (role = 'user') AS head, max(turn) FILTER (role = 'assistant') AS done FROM conversations GROUP BY conv_id HAVING count(*) FILTER (role = 'user') > 0 AND count(*) FILTER (role = 'assistant') > 0""")
