@@ -97,6 +97,7 @@ def notice(answer: Column, degraded: Column, remaining: Column) -> Column:
     )
 
 
+# How few answers left count as low, and the wording of the labels below.
 RUNNING_LOW_AT = 3
 
 

@@ -250,6 +250,30 @@ def test_a_table_of_questions_is_answered_in_one_job(spark):
     assert calls.value == 4 and again[1]["cached"] and again[4]["cached"] and not again[5]["cached"]
 
 
+def test_requests_pass_the_gate_with_their_own_settings(spark):
+    cards, rules, points, enc = full_inputs(spark)
+    rows = [(i, "Does Fog work?" if i < 4 else f"question {i}", {"rules_top_k": "1"} if i == 3 else None, "b", i == 6, i != 5, NOW + dt.timedelta(seconds=i)) for i in range(1, 8)]
+    asked = spark.createDataFrame(rows, "query_id long, query string, overrides map<string,string>, ip_bucket string, is_admin boolean, generate boolean, created_at timestamp").withColumns(
+        {"fresh": F.lit(False), "may_refresh": F.lit(False), "source": F.lit(None).cast("string")})
+    past = spark.createDataFrame([(NOW, "b", False, "generated", 0.5)], "created_at timestamp, ip_bucket string, is_admin boolean, outcome string, cost_usd double")
+    empty = spark.createDataFrame([], "key string, answer string, created_at timestamp")
+
+    def load():
+        return lambda rows: pd.DataFrame({"key": rows["key"], "text": "Yes.", "input_tokens": 1, "output_tokens": 1, "thinking_tokens": 0, "finish_reason": "STOP", "failure": None})
+
+    args = dict(encode=enc, cards=cards, rules=rules, points=points, cache=empty, load=load, data_version="v1", generator="g:m", model="m", ledger=past)
+    plain = asked.withColumn("overrides", F.lit(None).cast("map<string,string>"))
+    made = answering.answer_questions(plain, quota=Quota(daily_budget_usd=9.0, daily_answers=3, window_answers=9, window_minutes=10), **args)
+    got = {r["query_id"]: (r["answer"], r["degraded"]) for r in made.responses.collect()}
+    assert got == {1: ("Yes.", None), 2: ("Yes.", None), 3: (None, "ip_quota"), 4: (None, "ip_quota"), 5: (None, None), 6: ("Yes.", None), 7: (None, "ip_quota")}
+    assert sorted(r["outcome"] for r in made.ledger.collect()) == ["degraded_ip"] * 3 + ["generated"] * 3
+    broke = answering.answer_questions(plain, quota=Quota(daily_budget_usd=0.5, daily_answers=3, window_answers=9, window_minutes=10), **args)
+    assert {r["degraded"] for r in broke.responses.filter("query_id not in (5, 6)").collect()} == {"global_budget"}
+    tried = answering.answer_questions(asked, eval_mode=True, **args)
+    keys = {r["query_id"]: r["key"] for r in tried.responses.collect()}
+    assert keys[1] == keys[2] != keys[3]
+
+
 def test_history_page_and_cache_hits(spark):
     h = spark.createDataFrame([(i, NOW - dt.timedelta(minutes=i // 2)) for i in range(10)], "id long, created_at timestamp")
     assert [r["id"] for r in tables.history_page(h, 3, 1).collect()] == [0, 3, 2]
