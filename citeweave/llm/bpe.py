@@ -1,6 +1,6 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
-A rolling hash over 16 bytes cuts every text into chunks (about 512 bytes) at places that depend on the bytes alone,
+A rolling hash over 16 bytes cuts every text into chunks (about 1,024 bytes) at places that depend on the bytes alone,
 so copies and shared passages give equal chunks wherever they stand. A task encodes each distinct chunk once and keeps
 its ids and its decoded form by the chunk's 128-bit fingerprint. A cut may tear a word; the loose ends of neighbouring
 chunks are then joined again: the torn word is re-encoded together with whole words on either side, and the window is
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, types as T
 from .arrays import Rolling, flat, slices
 from .wordids import WordIds
 
-CHUNK_BITS = 9
+CHUNK_BITS = 10
 WINDOW = 16
 LONGEST_CHUNK = 1 << 14
 CACHE_BYTES = 96 << 20
@@ -98,13 +98,18 @@ class Coder:
         self.held = 0
         self.checked: set[str] = set()
 
-    def _finish(self, chunk: Chunk) -> None:
-        numbers = self.table.numbers(chunk.words)
-        chunk.ids = self.table.expand(numbers)[0]
-        chunk.shown = " ".join([s for s in map(self.table.shown.__getitem__, numbers.tolist()) if s])
-        chunk.first, chunk.last = chunk.words[:FLANK], chunk.words[-FLANK:]
-        self.held += 8 * len(chunk.ids) + 400
-        chunk.words = None
+    def _finish(self, chunks: list[Chunk]) -> None:
+        numbers = self.table.numbers([w for c in chunks for w in c.words])
+        ids, lengths = self.table.expand(numbers)
+        words = np.cumsum([0, *(len(c.words) for c in chunks)])
+        places = np.concatenate(([0], np.cumsum(lengths)))[words].tolist()
+        shown = list(map(self.table.shown.__getitem__, numbers.tolist()))
+        for i, chunk in enumerate(chunks):
+            chunk.ids = ids[places[i] : places[i + 1]].copy()
+            chunk.shown = " ".join(filter(None, shown[words[i] : words[i + 1]]))
+            chunk.first, chunk.last = chunk.words[:FLANK], chunk.words[-FLANK:]
+            self.held += 8 * len(chunk.ids) + 400
+            chunk.words = None
 
     def _join(self, before: Chunk | None, torn: str, after: Chunk | None) -> tuple[np.ndarray, str] | None:
         """The ids of the torn word between the chunks' whole words: a window of it and its neighbours is re-encoded,
@@ -139,8 +144,7 @@ class Coder:
             if name not in self.chunks:
                 fresh[name] = self.chunks[name] = Chunk(raw[a:z].translate(_ONE_SPACE).decode())
         self.table.learn({w for c in fresh.values() for w in c.words})
-        for chunk in fresh.values():
-            self._finish(chunk)
+        self._finish(list(fresh.values()))
         bounds = np.searchsorted(starts, offsets)
         # Torn words of the batch, learned in one call; a join then looks at what stands beside them.
         plans = []

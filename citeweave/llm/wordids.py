@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 
@@ -35,7 +36,7 @@ class WordIds:
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while len(self.starts) < n + len(fresh) + 1:
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-        self.flat[self.used : total] = np.fromiter((i for x in ids for i in x), np.uint32, total - self.used)
+        self.flat[self.used : total] = np.fromiter(chain.from_iterable(ids), np.uint32, total - self.used)
         self.starts[n : n + len(fresh) + 1] = self.used + np.concatenate(([0], np.cumsum(lengths)))
         self.place.update(zip(fresh, range(n, n + len(fresh))))
         if self.show:
