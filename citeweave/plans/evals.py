@@ -258,7 +258,29 @@ def evaluation_run(t: Tables) -> DataFrame:
     return totals.select("category", "cases", "scored", "passed", F.round("mean_recall", 6).alias("mean_recall"), F.round("mean_first_hit_rank", 6).alias("mean_first_hit_rank"), "forbidden_hits", "expected_missing")
 
 
-@query("run_report")
+_REPORT = {
+    "pass_rate": "avg(outcome::INT)", "mean_recall": "avg((n % 11) / 10.0::DOUBLE) FILTER (NOT err)", "mean_first_hit_rank": "avg(CASE WHEN k % 7 <> 0 THEN k % 7 END) FILTER (NOT err)", "forbidden_hits": "sum(k % 3) FILTER (NOT err)",
+    "expected_missing": "sum(k % 2) FILTER (NOT err)", "errors": "count(*) FILTER (err)", "mean_results": "avg(k % 20) FILTER (NOT err)", "mean_context_chars": "avg(n) FILTER (NOT err)",
+    "correct_rate": "avg((grade = 'correct')::INT) FILTER (graded)", "partial_rate": "avg((grade = 'partial')::INT) FILTER (graded)", "incorrect_rate": "avg((grade = 'incorrect')::INT) FILTER (graded)",
+    "verdict_accuracy": "avg((k % 4 = 0)::INT) FILTER (whole AND k % 2 = 0)", "decline_accuracy": "avg((grade = 'declined_properly')::INT) FILTER (whole AND k % 9 = 0)", "invalid_citations": "sum(k % 4) FILTER (whole)",
+    "judge_errors": "count(*) FILTER (whole AND grade = 'error')", "answer_cache_hit_rate": "avg((k % 3 = 0)::INT) FILTER (whole)", "judge_cache_hit_rate": "avg((k % 6 = 0)::INT) FILTER (whole)",
+    "mean_generate_ms": "avg(n * 2.0::DOUBLE) FILTER (whole AND k % 3 <> 0)", "context_overruns": "count(*) FILTER (whole AND k % 31 = 0)", "max_prompt_tokens": "max(n) FILTER (whole)",
+}
+_SHOWN = {"pct": "printf('%.1f%%', round_even(round(v * 100, 9), 1))", "int": "printf('%d', round_even(v, 0)::BIGINT)", "f1": "printf('%.1f', round_even(v, 1))", "f2": "printf('%.2f', round_even(v, 2))", "f3": "printf('%.3f', round_even(v, 3))"}
+_SHOWN_SQL = "CASE WHEN v IS NULL THEN '-' " + " ".join(f"WHEN kind = '{k}' THEN {f}" for k, f in _SHOWN.items()) + " END"
+_METRICS = rundiff.RETRIEVAL_METRICS + rundiff.FULL_METRICS
+
+
+def _report_sql(name: str, passed: str) -> str:
+    """One run's metrics in long form: position, metric, kind, direction, v, shown."""
+    rows = " UNION ALL ".join(f"SELECT {i} AS position, '{m}' AS metric, '{k}' AS kind, {d} AS direction, {_REPORT[m]}::DOUBLE AS v FROM {name}_r" for i, (m, k, d) in enumerate(_METRICS))
+    return f"{name}_r AS (SELECT *, CASE WHEN err THEN FALSE ELSE {passed} END AS outcome FROM rec), {name} AS (SELECT position, metric, kind, direction, v, {_SHOWN_SQL} AS shown FROM (SELECT * REPLACE (round(v, 9) AS v) FROM ({rows})))"
+
+
+@query("run_report", f"""WITH rec AS (SELECT *, whole AND k % 9 <> 0 AND grade <> 'error' AS graded FROM (SELECT doc_id AS k, n_chars AS n, doc_id % 19 = 0 AS err, doc_id % 23 <> 0 AS whole, CASE WHEN toxic = 0 THEN quality = 1 END AS pass,
+  CASE WHEN doc_id % 9 = 0 THEN CASE WHEN doc_id % 2 = 0 THEN 'declined_properly' ELSE 'answered_anyway' END ELSE ['correct', 'partial', 'incorrect', 'error'][doc_id % 4 + 1] END AS grade FROM labels JOIN documents USING (doc_id))),
+{_report_sql('a', 'pass')}, {_report_sql('b', 'coalesce(pass, TRUE)')}
+SELECT b.position, b.metric, a.shown AS baseline, b.shown AS this_run, CASE WHEN a.v IS NULL OR b.v IS NULL OR b.direction = 0 OR a.shown = b.shown THEN '' WHEN (b.v - a.v) * b.direction > 0 THEN '▲' ELSE '▼' END AS mark FROM a JOIN b USING (position)""")
 def run_report(t: Tables) -> DataFrame:
     base = scoring.aggregate(records(t), "full")
     new = scoring.aggregate(records(t).withColumn("pass", F.coalesce(F.col("pass"), F.lit(True))), "full")
