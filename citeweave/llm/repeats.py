@@ -195,7 +195,8 @@ def repeated_windows(documents: DataFrame, parse: Parser, length: int, question:
         shared = anchors.groupBy("f").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("f")
     else:
         shared = anchors.groupBy("f").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("f")
-    lists = anchors.join(shared, "f").groupBy("key").agg(F.collect_set("a").alias("shared"))
+    # Written first: a join of two plain exchanges is one that Spark can split where a name is very common.
+    lists = anchors.join(materialize(shared, "repeats-shared"), "f").groupBy("key").agg(F.collect_set("a").alias("shared"))
     found = materialize(_packed(documents).join(lists, "key"), "repeats-candidates")
 
     def list_entries(batches):
