@@ -213,22 +213,23 @@ step(lvl, text_id, r, earlier, chosen) AS (SELECT 0, text_id, r, earlier, CASE W
   FROM (SELECT a.lvl, a.text_id, a.r, a.earlier, a.chosen, count(*) FILTER (b.chosen) AS yes, count(*) FILTER (NOT b.chosen) AS no FROM step a LEFT JOIN step b ON a.text_id = b.text_id AND list_contains(a.earlier, b.r)
         GROUP BY ALL) s WHERE lvl < 12),
 picked AS (SELECT k.text_id, f.rule_id, min(k.start) AS start FROM ranked k JOIN (SELECT text_id, r FROM step WHERE lvl = 12 AND chosen) USING (text_id, r) JOIN forms f ON f.form = k.key GROUP BY ALL)"""
-_FULL = f"""{HYBRID_BASE.replace(HYBRID_QUESTIONS, _ASKED)}, {hybrid_sql('h', 10)}, {hybrid_sql('r', 5, "source_type = 'rule'")}, texts AS (SELECT id AS text_id, text FROM qs), {NAMES}, {MATCHES}, {CONTAINED}, {KEYWORDS}, {_FORM_MATCHES}, {_GREEDY},
+FULL_RESULTS = f"""{HYBRID_BASE.replace(HYBRID_QUESTIONS, _ASKED)}, {hybrid_sql('h', 10)}, {hybrid_sql('r', 5, "source_type = 'rule'")}, texts AS (SELECT id AS text_id, text FROM qs), {NAMES}, {MATCHES}, {CONTAINED}, {KEYWORDS}, {_FORM_MATCHES}, {_GREEDY},
 named AS (SELECT f.text_id, f.key, min(f.start) AS start, any_value(n.name) AS name, any_value('src' || n.line_no % 20) AS oracle_id FROM free f JOIN dict USING (key) JOIN names n ON n.line_no = dict.line_no GROUP BY f.text_id, f.key),
-sections AS (SELECT rule_id, rule_id AS head, line_no FROM heads UNION ALL SELECT '702.' || (c_nationkey + 1) || 'c' || c_custkey, '702.' || (c_nationkey + 1), 1000 + c_custkey FROM customer),
-kw AS (SELECT k.text_id, k.start, x.rule_id, x.line_no FROM picked k JOIN sections x ON x.head = k.rule_id),
+sections AS (SELECT rule_id, rule_id AS head, line_no, text FROM heads UNION ALL SELECT '702.' || (c_nationkey + 1) || 'c' || c_custkey, '702.' || (c_nationkey + 1), 1000 + c_custkey, c_name FROM customer),
+kw AS (SELECT k.text_id, k.start, x.rule_id, x.line_no, x.text FROM picked k JOIN sections x ON x.head = k.rule_id),
 pay AS (SELECT id AS point_id, source_type, CASE WHEN source_type = 'rule' THEN '702.' || id % 30 END AS rule_id, CASE WHEN source_type <> 'rule' THEN source END AS oracle_id FROM pts),
 ruled AS (SELECT *, row_number() OVER (PARTITION BY text_id ORDER BY point_id) AS n FROM (SELECT DISTINCT text_id, oracle_id FROM named) m JOIN pay USING (oracle_id) WHERE source_type = 'ruling'),
 mixed AS (SELECT h.*, source_type, rule_id, oracle_id FROM h JOIN pay USING (point_id) WHERE NOT EXISTS (SELECT 1 FROM named m WHERE m.text_id = h.query_id AND m.oracle_id = pay.oracle_id) AND NOT EXISTS (SELECT 1 FROM kw k WHERE k.text_id = h.query_id AND k.rule_id = pay.rule_id)),
 only_rules AS (SELECT r.*, rule_id FROM r JOIN pay USING (point_id) WHERE NOT EXISTS (SELECT 1 FROM kw k WHERE k.text_id = r.query_id AND k.rule_id = pay.rule_id) AND NOT EXISTS (SELECT 1 FROM mixed m WHERE m.query_id = r.query_id AND m.rule_id = pay.rule_id)),
-blocks AS (SELECT text_id AS query_id, 0 AS block, start::DOUBLE AS a, key AS b, 'card' AS source, name AS title, 1.0::DOUBLE AS score, 'card_name_match' AS match_type FROM named
-  UNION ALL SELECT text_id, 1, 0, point_id::VARCHAR, 'ruling', oracle_id, 1.0, 'card_ruling_match' FROM ruled WHERE n <= 20
-  UNION ALL SELECT text_id, 2, start, lpad(line_no::VARCHAR, 20, '0'), 'rule', rule_id, 1.0, 'keyword_rule_match' FROM kw
-  UNION ALL SELECT query_id, 3, rank, point_id::VARCHAR, 'rule', rule_id, score, 'rule_vector_hit' FROM only_rules
-  UNION ALL SELECT query_id, 4, rank, point_id::VARCHAR, source_type, coalesce(oracle_id, rule_id, ''), score, 'vector_hit' FROM mixed)"""
+blocks AS (SELECT text_id AS query_id, 0 AS block, start::DOUBLE AS a, key AS b, 'card' AS source, name AS title, 1.0::DOUBLE AS score, 'card_name_match' AS match_type, name AS text, 'Card — ' || name AS label FROM named
+  UNION ALL SELECT text_id, 1, 0, point_id::VARCHAR, 'ruling', oracle_id, 1.0, 'card_ruling_match', (SELECT text FROM pts WHERE pts.id = point_id), 'Ruling — ' || oracle_id || ' (2024-01-01)' FROM ruled WHERE n <= 20
+  UNION ALL SELECT text_id, 2, start, lpad(line_no::VARCHAR, 20, '0'), 'rule', rule_id, 1.0, 'keyword_rule_match', text, 'Rule ' || rule_id FROM kw
+  UNION ALL SELECT query_id, 3, rank, point_id::VARCHAR, 'rule', rule_id, score, 'rule_vector_hit', (SELECT text FROM pts WHERE pts.id = point_id), 'Rule ' || rule_id FROM only_rules
+  UNION ALL SELECT query_id, 4, rank, point_id::VARCHAR, source_type, coalesce(oracle_id, rule_id, ''), score, 'vector_hit', (SELECT text FROM pts WHERE pts.id = point_id), CASE source_type WHEN 'rule' THEN 'Rule ' || rule_id WHEN 'ruling' THEN 'Ruling — ' || oracle_id || ' (2024-01-01)' ELSE 'Card — ' || oracle_id END FROM mixed),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY block, a, b) AS number FROM blocks)"""
 
 
-@query("retrieve_full", f"WITH RECURSIVE {_FULL} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY block, a, b) AS number, source, title, score, match_type FROM blocks")
+@query("retrieve_full", f"WITH RECURSIVE {FULL_RESULTS} SELECT query_id, number, source, title, score, match_type FROM numbered")
 def retrieve_full(t: Tables) -> DataFrame:
     q, cards, rules, p = retrieval_inputs(t)
     return retrieve.retrieve(q, cards, rules, p).select("query_id", "number", "source", "title", "score", "match_type")

