@@ -39,3 +39,10 @@ def sweep(points: DataFrame, questions: DataFrame, experiments: dict[str, dict[s
     records = score(reduce(DataFrame.unionByName, hits))
     totals = records.groupBy("experiment").agg(*scoring.retrieval_metrics()).withColumn("category", F.lit(None).cast("string"))
     return rundiff.sweep_table(totals, list(experiments))
+
+
+def result_identifiers(results: DataFrame, query_id: str = "query_id") -> DataFrame:
+    """What identifies each result of a run: question, rank, kind, key and score. Two runs are equal up to ties when
+    ``rundiff.ties_differ`` finds nothing between them by question, kind, key and score."""
+    key = F.coalesce(F.when(F.col("source") == "rule", F.col("rule_id")), F.col("oracle_id"), F.col("title"))
+    return results.select(query_id, F.col("number").alias("rank"), F.col("source").alias("kind"), key.alias("key"), "score")

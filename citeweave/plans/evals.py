@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import cases as cs
 from ..operators import encode, evaluation, rundiff, scoring, search
 from ..sources import tables as st
+from ..session import fresh_path
 from .registry import Tables, query
 from .search import HYBRID_BASE, SPARSE, hybrid_sql, points, questions, top_sql, weights_sql
 
@@ -287,6 +288,17 @@ def run_report(t: Tables) -> DataFrame:
     return rundiff.report(base, new, "full")
 
 
+@query("run_round_trip", """SELECT 'r1' AS run_id, doc_id::VARCHAR AS id, lang AS category FROM labels JOIN documents USING (doc_id) UNION ALL SELECT 'r2', doc_id::VARCHAR, lang FROM labels JOIN documents USING (doc_id) WHERE toxic = 1""")
+def run_round_trip(t: Tables) -> DataFrame:
+    """Two runs written and read back."""
+    base = fresh_path(t.spark, "runs")
+    toxic = t.labels.filter("toxic = 1").select(F.col("doc_id").cast("string").alias("id"))
+    for run_id, found in (("r1", records(t)), ("r2", records(t).join(toxic, "id", "left_semi"))):
+        meta = t.spark.range(1).select(F.lit("full").alias("mode"), F.lit(None).cast("timestamp").alias("started_at"))
+        st.write_run(base, run_id, meta, found, scoring.aggregate(found, "full"))
+    return st.read_run(t.spark, base, "case_results").select("run_id", "id", "category")
+
+
 @query("run_names", """SELECT o_orderkey, strftime(o_orderdate, '%Y%m%dT%H%M%SZ') || '-' || o_custkey || CASE WHEN o_orderstatus = 'F' THEN '-dirty' ELSE '' END || '-full' || CASE WHEN o_orderkey % 2 = 0 THEN '-exp' ELSE '' END AS run_name FROM orders""")
 def run_names(t: Tables) -> DataFrame:
     name = st.run_name(F.col("o_orderdate"), F.col("o_custkey").cast("string"), F.col("o_orderstatus") == "F", F.lit("full"), F.when(F.col("o_orderkey") % 2 == 0, "exp"))

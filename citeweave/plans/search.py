@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.results import source_label
 from ..functions.text import image_variant
-from ..operators import encode, retrieve, search
+from ..operators import encode, evaluation, retrieve, search
 from ..session import materialize
 from .matching import CONTAINED, KEYWORDS, MATCHES, NAMES
 from .registry import Tables, query
@@ -156,6 +156,11 @@ def hybrid_two_pass(t: Tables) -> DataFrame:
     return two_pass(t).select("query_id", F.col("number").cast("bigint").alias("number"), "source", "title", "score", "match_type")
 
 
+@query("result_identifiers", f"WITH {TWO_PASS} SELECT query_id, number AS rank, source AS kind, coalesce(CASE WHEN source = 'rule' THEN rule_id END, oracle_id, title) AS key, score FROM results")
+def result_identifiers(t: Tables) -> DataFrame:
+    return evaluation.result_identifiers(two_pass(t)).withColumn("rank", F.col("rank").cast("bigint"))
+
+
 @query("context_blocks", f"""WITH {TWO_PASS}, ctx AS (SELECT query_id, string_agg('[' || number || '] ' || label || ': ' || text, chr(10) || chr(10) ORDER BY number) AS context, count(*) AS sources FROM labelled GROUP BY query_id)
 SELECT query_id, sources, length(context) AS context_chars, sha256(context) AS context_hash, 100 + length('Context:' || chr(10) || context || chr(10) || chr(10) || 'Question: ' || qs.text) AS prompt_chars FROM ctx JOIN qs ON qs.id = query_id""")
 def context_blocks(t: Tables) -> DataFrame:

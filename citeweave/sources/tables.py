@@ -95,6 +95,19 @@ def publish(df: DataFrame, base: str, version: str, now: datetime | None = None)
     return spark.read.parquet(f"{base}/_versions")
 
 
+def write_run(base: str, run_id: str, metadata: DataFrame, records: DataFrame, aggregates: DataFrame) -> None:
+    """One evaluation run as three tables under ``base``, each in a folder of the run. The metadata go last: a run
+    without them is not there."""
+    for name, part in (("case_results", records), ("aggregates", aggregates), ("runs", metadata)):
+        part.write.mode("overwrite").parquet(f"{base}/{name}/run_id={quote(run_id, safe=str())}")
+
+
+def read_run(spark: SparkSession, base: str, name: str, run_id: str | None = None) -> DataFrame:
+    """A table of all runs or, with ``run_id``, of that one (``runs``, ``case_results``, ``aggregates``)."""
+    rows = spark.read.parquet(f"{base}/{name}")
+    return rows if run_id is None else rows.filter(F.col("run_id") == run_id)
+
+
 def latest_run(runs: DataFrame, mode: str | None = None) -> DataFrame:
     """The newest run, optionally of one mode."""
     pool = runs if mode is None else runs.filter(F.col("mode") == mode)
