@@ -93,16 +93,54 @@ def op8(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
-@register("op5_near_duplicates")
+OP5_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 75 * (x.n + y.n - common)),
+reach AS (SELECT a AS node, a AS seen FROM links UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.seen),
+c AS (SELECT node AS doc_id, min(seen) AS component FROM reach GROUP BY node)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(component, doc_id) AS component_id, coalesce(component, doc_id) = doc_id AS kept FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
+
+
+@register("op5_near_duplicates", OP5_SQL)
 def op5(spark, sf_dir):
     return near.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-@register("op3_suffix_dedup")
+OP3_SQL = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+s AS (SELECT doc_id, i, md5(b[i : i + 199]) AS h FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 198)) AS i FROM d)),
+again AS (SELECT h FROM s GROUP BY h HAVING count(*) > 1),
+g AS (SELECT doc_id, i, coalesce(i - lag(i) OVER w > 200, TRUE) AS opens FROM s SEMI JOIN again USING (h) WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+spans AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS z FROM (SELECT *, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM g) GROUP BY doc_id, n),
+kept AS (SELECT doc_id, coalesce(lag(z) OVER w, 1) AS a, a AS z, z AS next, lead(a) OVER w IS NULL AS final FROM spans WINDOW w AS (PARTITION BY doc_id ORDER BY a)),
+parts AS (SELECT doc_id, a, z FROM kept UNION ALL SELECT doc_id, next, NULL FROM kept WHERE final),
+cut AS (SELECT doc_id, string_agg(hex(CASE WHEN p.z IS NULL THEN b[p.a :] WHEN p.z > p.a THEN b[p.a : p.z - 1] ELSE ''::BLOB END), '' ORDER BY p.a) AS rest FROM parts p JOIN d USING (doc_id) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n_spans, sum(z - a)::BIGINT AS n_removed FROM spans GROUP BY doc_id)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(CASE WHEN rest IS NULL THEN b ELSE unhex(rest) END) AS kept_sha256
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN cut USING (doc_id)
+"""
+
+
+@register("op3_suffix_dedup", OP3_SQL)
 def op3(spark, sf_dir):
     return suffixes.dedup_bytes(table(spark, sf_dir, "documents"))
 
 
-@register("op9_substring_dedup")
+OP9_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+s AS (SELECT doc_id, i, md5(array_to_string(w[i : i + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d)),
+firsts AS (SELECT h, min(doc_id) AS origin FROM s GROUP BY h),
+gone AS (SELECT doc_id, list_distinct(flatten(list(range(i, i + 50)))) AS p FROM s JOIN firsts USING (h) WHERE doc_id > origin GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(p), 0)::BIGINT AS n_removed,
+ sha256(array_to_string(CASE WHEN p IS NULL THEN w ELSE list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(p, i)), lambda i: w[i]) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id)
+"""
+
+
+@register("op9_substring_dedup", OP9_SQL)
 def op9(spark, sf_dir):
     return recompress.dedup_words(table(spark, sf_dir, "documents"))
