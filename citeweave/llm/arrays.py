@@ -5,13 +5,15 @@ fixed multiple of the slice size, or of the longest single document where that i
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at once.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 512 << 10
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -32,12 +34,28 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def release() -> None:
+    """Give memory that is free back to the system. A Python worker outlives its task, and the executor's other
+    processes need the room; the C library keeps it otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most ``limit`` bytes of text, or of one row."""
+    """The same rows in batches of at most ``limit`` bytes of text, or of one row. Free memory goes back at the end."""
+    try:
+        yield from _sliced(batches, column, limit)
+    finally:
+        release()
+
+
+def _sliced(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        ends = flat(batch.column(column))[1][1:]
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
         while at < batch.num_rows:
             before = ends[at - 1] if at else 0

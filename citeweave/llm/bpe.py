@@ -6,8 +6,8 @@ its ids and its decoded form by the chunk's 128-bit fingerprint. A cut may tear
 chunks are then joined again: the torn word is re-encoded together with whole words on either side, and the window is
 widened until those come out exactly as they stand in the chunks; where they never do, the whole text is encoded.
 
-The chunk table belongs to a Python worker, not to the cluster: a global table needs every text to be shuffled at
-least once, which costs more than encoding a chunk again in each task. It starts anew beyond ``CACHE_BYTES``.
+The chunk table belongs to a task, not to the cluster: a global table needs every text to be shuffled at
+least once, which costs more than encoding a chunk again in each task. It also starts anew beyond ``CACHE_BYTES``.
 
 This holds for tokenizers whose words end at ASCII white space and that drop it, as the given one does: between words
 the result never depends on what stands around. Words are separated here at space, tab and line ends only; all other
@@ -25,26 +25,31 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
-from .arrays import Rolling, flat, slices
+from .arrays import Rolling, flat, release, slices
 from .wordids import WordIds
 
 CHUNK_BITS = 10
 WINDOW = 16
 LONGEST_CHUNK = 1 << 14
 CACHE_BYTES = 96 << 20
+#: Words whose ids and decoded forms are kept, and words in one call of the tokenizer, whose results are large.
+MOST_WORDS = 600_000
+AT_ONCE = 8_000
 #: Most words on either side of a torn one that are re-encoded with it; beyond, the whole text is encoded.
 FLANK = 8
+#: Bytes of text worked on at once.
+SLICE = 1 << 20
 
 _ONE_SPACE = bytes.maketrans(b"\t\n\r", b"   ")
 
 
-def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def cuts(data: np.ndarray, offsets: np.ndarray, rolling: Rolling) -> np.ndarray:
     """Where chunks begin, and the end of the data. Documents begin chunks; a chunk begins at a whole character."""
     n = len(data)
     marked = np.zeros(n + 1, bool)
     if n > WINDOW:
         ends = np.arange(WINDOW, n)
-        prints = Rolling(3).load(data).ranges(ends - WINDOW, ends)
+        prints = rolling.ranges(ends - WINDOW, ends)
         hits = ends[(prints >> np.uint64(64 - CHUNK_BITS)) == 0]
         hits = hits[(data[hits] & 0xC0) != 0x80]
         # The hashed window must lie within the document.
@@ -82,7 +87,8 @@ class Chunk:
 class Coder:
     """Encodes batches of texts with one tokenizer, keeping chunks and words between batches."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, words: int = MOST_WORDS, chunk_bytes: int = CACHE_BYTES):
+        self.chunk_bytes = chunk_bytes
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -91,12 +97,19 @@ class Coder:
         tokenizer.no_padding()
         self.joinable = tokenizer.decoder is None  # then decoding puts a space between tokens, and nothing else
         self.table = WordIds(
-            lambda words: [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)],
+            lambda words: [e.ids for at in range(0, len(words), AT_ONCE) for e in tokenizer.encode_batch_fast(words[at : at + AT_ONCE], add_special_tokens=False)],
             lambda ids: tokenizer.decode_batch(ids, skip_special_tokens=False),
+            words,
         )
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop all chunks and words; a worker lives on when its task is done, and others need the memory."""
         self.chunks: dict[bytes, Chunk] = {}
         self.held = 0
         self.checked: set[str] = set()
+        self.table.clear()
+        release()
 
     def _finish(self, chunks: list[Chunk]) -> None:
         numbers = self.table.numbers([w for c in chunks for w in c.words])
@@ -130,13 +143,13 @@ class Coder:
 
     def batch(self, column: pa.Array) -> list[tuple[np.ndarray, str]]:
         """Ids and decoded text of each text."""
-        if self.held > CACHE_BYTES or self.table.full():
-            self.chunks, self.held = {}, 0
-            self.table.clear()
+        if self.held > self.chunk_bytes or self.table.full():
+            self.forget()
         data, offsets = flat(column)
-        places = cuts(data, offsets)
+        one = Rolling(5).load(data)
+        places = cuts(data, offsets, one)
         starts, ends = places[:-1], places[1:]
-        prints = np.column_stack([Rolling(5).load(data).ranges(starts, ends), Rolling(6).load(data).ranges(starts, ends)])
+        prints = np.column_stack([one.ranges(starts, ends), Rolling(6).load(data).ranges(starts, ends)])
         keys = prints.tobytes()
         names = [keys[16 * i : 16 * i + 16] for i in range(len(starts))]
         raw, fresh = data.tobytes(), {}
@@ -160,6 +173,7 @@ class Coder:
             plan.append((before, "".join(torn), None))
             plans.append(plan)
         self.table.learn({w for plan in plans for _, w, _ in plan if w})
+        self._check(plans)
         out = []
         for d, plan in enumerate(plans):
             ids, shown = [], []
@@ -182,35 +196,58 @@ class Coder:
             out.append((all_ids, " ".join(shown) if self.joinable else self.tokenizer.decode(all_ids.tolist(), skip_special_tokens=False)))
         return out
 
+    def _check(self, plans: list[list]) -> None:
+        """Re-encode the batch's new torn words between their next whole words, all in one call, and note those that
+        come out, with their neighbours, as they stand in the table."""
+        if len(self.checked) > 50_000:
+            self.checked.clear()
+        windows: dict[str, list[str]] = {}
+        for plan in plans:
+            for before, torn, after in plan:
+                if torn and torn not in self.checked and torn not in windows:
+                    windows[torn] = [*(before.last[-1:] if before else []), torn, *(after.first[:1] if after else [])]
+        if not windows:
+            return
+        ids, lengths = self.table.expand(self.table.numbers([w for x in windows.values() for w in x]))
+        ends = np.concatenate(([0], np.cumsum(lengths)))[np.cumsum([0, *map(len, windows.values())])].tolist()
+        coded = self.tokenizer.encode_batch_fast([" ".join(x) for x in windows.values()], add_special_tokens=False)
+        for i, (torn, window) in enumerate(zip(windows, coded)):
+            if window.ids == ids[ends[i] : ends[i + 1]].tolist():
+                self.checked.add(torn)
+
     def _agreed(self, before: Chunk | None, torn: str, after: Chunk | None) -> tuple[np.ndarray, str] | None:
-        """The torn word's ids. Once it has come out between neighbours as it does alone, the table's entry serves."""
-        number = self.table.place[torn]
-        alone = self.table.expand(np.array([number]))[0]
+        """The torn word's ids: the table's where it has come out between neighbours as it does alone."""
         if torn not in self.checked:
-            joined = self._join(before, torn, after)
-            if joined is None or not np.array_equal(joined[0], alone):
-                return joined
-            if len(self.checked) > 200_000:
-                self.checked.clear()
-            self.checked.add(torn)
-        return alone, self.table.shown[number]
+            return self._join(before, torn, after)
+        number = self.table.place[torn]
+        return self.table.flat[self.table.starts[number] : self.table.starts[number + 1]], self.table.shown[number]
+
+
+_coders: dict[tuple, Coder] = {}
 
 
-_coders: dict[str, Coder] = {}
+def coder(path: str, words: int = MOST_WORDS, chunk_bytes: int = CACHE_BYTES) -> Coder:
+    key = (path, words, chunk_bytes)
+    if key not in _coders:
+        _coders[key] = Coder(*key)
+    return _coders[key]
 
 
-def coder(path: str) -> Coder:
-    if path not in _coders:
-        _coders[path] = Coder(path)
-    return _coders[path]
+def _coded(batches, path: str, words: int = MOST_WORDS, chunk_bytes: int = CACHE_BYTES, slice_bytes: int = SLICE):
+    """Slices of a task with the ids and the decoded form of their texts."""
+    own = coder(path, words, chunk_bytes)
+    try:
+        for batch in slices(batches, limit=slice_bytes):
+            yield batch, own.batch(batch.column("text"))
+    finally:
+        own.forget()
 
 
 def encode(documents: DataFrame, tokenizer_path: str) -> DataFrame:
     """doc_id, ids, decoded for every row. ``tokenizer_path`` is the file's place on every executor."""
 
     def run(batches):
-        for batch in slices(batches):
-            coded = coder(tokenizer_path).batch(batch.column("text"))
+        for batch, coded in _coded(batches, tokenizer_path):
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(pa.int64()), pa.array([i.astype(np.int32) for i, _ in coded], pa.list_(pa.int32())), pa.array([s for _, s in coded], pa.string())], ["doc_id", "ids", "decoded"]
             )
@@ -218,13 +255,13 @@ def encode(documents: DataFrame, tokenizer_path: str) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 
-def digest(documents: DataFrame, tokenizer_path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 for every row, without the ids leaving the task."""
+def digest(documents: DataFrame, tokenizer_path: str, words: int = MOST_WORDS, chunk_bytes: int = CACHE_BYTES, slice_bytes: int = SLICE) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 for every row, without the ids leaving the task. The last three
+    bound a worker's memory, at the price of encoding words again; they never change a result."""
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
     def run(batches):
-        for batch in slices(batches):
-            coded = coder(tokenizer_path).batch(batch.column("text"))
+        for batch, coded in _coded(batches, tokenizer_path, words, chunk_bytes, slice_bytes):
             columns = [
                 batch.column("doc_id").cast(pa.int64()),
                 pa.array([len(i) for i, _ in coded], pa.int64()),

@@ -5,7 +5,7 @@ hashes. One hash function serves all: the sketch is the ``K`` smallest names. Do
 first, and only the class's smallest document goes on.
 
 Candidates. Two sets of similarity 0.75 share each of the K smallest names of their union with probability 0.75 at
-least, so they share fewer than ``SHARED`` = 24 of 64 retained names with a probability below 1e-11 (and none is lost
+least, so they share fewer than ``SHARED`` = 24 of 64 retained names with a probability below 1e-10 (and none is lost
 where both sets are retained whole). Hence it is enough to list a document under its rarest retained names, all but the
 ``SHARED`` - 1 most frequent: linked documents still meet in one inverted list. Passages and lines that many documents
 share never make long lists that way, unless they dominate the documents.

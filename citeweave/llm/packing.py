@@ -174,6 +174,7 @@ def pack_documents(documents: DataFrame, ranks_path: str, row: int = ROW, pool_t
                 docs, ids, held = [], [], 0
         if docs:
             yield from flush(part, first_row, docs, ids, coder.end)
+        coder.table.clear()
 
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PACKED)
 

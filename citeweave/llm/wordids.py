@@ -7,15 +7,15 @@ from itertools import chain
 
 import numpy as np
 
-#: Words that a table holds before it starts anew.
+#: Words that a table holds before it starts anew, by default.
 MOST_WORDS = 600_000
 
 
 class WordIds:
     """A growing table from word to ids. ``encode`` turns a list of words into lists of ids."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], show: Callable[[list[list[int]]], list[str]] | None = None):
-        self.encode, self.show = encode, show
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], show: Callable[[list[list[int]]], list[str]] | None = None, most: int = MOST_WORDS):
+        self.encode, self.show, self.most = encode, show, most
         self.clear()
 
     def clear(self) -> None:
@@ -44,7 +44,7 @@ class WordIds:
         self.used = total
 
     def full(self) -> bool:
-        return len(self.place) > MOST_WORDS
+        return len(self.place) > self.most
 
     def numbers(self, words: list[str]) -> np.ndarray:
         """Places in the table; every word must have been learned."""

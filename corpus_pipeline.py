@@ -38,8 +38,9 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, number of tokens, digests of the ids and of the decoded text."""
-    return bpe.digest(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """doc_id, number of tokens, digests of the ids and of the decoded text. Small tables: the executors have run four
+    stages before, and their memory is well used."""
+    return bpe.digest(docs, public_tokenizers.path("word_bpe_49k.json"), words=80_000, chunk_bytes=4 << 20, slice_bytes=128 << 10)
 
 
 STAGES = [
