@@ -5,7 +5,7 @@ every task gets as a broadcast; a document's words are numbered by the benchmark
 up in the set, and each hit is compared word by word before it counts.
 
 The benchmark side is bounded: its words are counted first, and items are taken in blocks of at most
-``block_words`` words, one broadcast and one scan for each block. Hits of several blocks are united by document.
+``block_words`` words, one broadcast and one scan for each block. Hits of several blocks are united within the row.
 
 Defined results: a null or empty text has no words and is clean; null items and items without words give no window;
 repeated items and repeated documents each count for themselves by row, equal ``item_id`` counts once; a null
@@ -139,19 +139,15 @@ def _scan_block(documents: DataFrame, items: list[tuple[str, str]], window: int,
 
 def scan(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Per document: doc_id, n_words, hit_spans (of words, end exclusive, joined), items."""
-    parts = [_scan_block(documents, block, window) for block in _blocks(benchmark, block_words) if block]
-    if not parts:
-        return _scan_block(documents, [], window)
-    if len(parts) == 1:
-        return parts[0]
-    # Several blocks: the spans of a document are joined by their covered words.
-    united = parts[0]
-    for p in parts[1:]:
-        united = united.unionByName(p)
-    hits = (
-        united.groupBy("doc_id")
-        .agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hit_spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    )
+    blocks = [block for block in _blocks(benchmark, block_words) if block]
+    if len(blocks) < 2:
+        return _scan_block(documents, blocks[0] if blocks else [], window)
+    # Several blocks: each row takes its spans of all blocks along; they are joined by their covered words.
+    out, each = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), SCANNED.names[1:]
+    for k, block in enumerate(blocks):
+        out = _scan_block(out, block, window, T.StructType([T.StructField(f"{c}_{k}", SCANNED[c].dataType) for c in each]))
+    together = {c: F.flatten(F.array(*(f"{c}_{k}" for k in range(len(blocks))))) for c in ("hit_spans", "items")}
+    hits = out.select("doc_id", F.col("n_words_0").alias("n_words"), together["hit_spans"].alias("spans"), F.array_sort(F.array_distinct(together["items"])).alias("items"))
     start = F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("end"))
     empty = F.array().cast(SPANS)
     folded = F.aggregate(

@@ -294,6 +294,16 @@ def test_contamination(spark, docs, corpus):
     assert decontaminate.clean(docs, benchmark, block_words=300).count() == kept.count()
 
 
+def test_several_blocks_keep_rows_of_null_and_repeated_ids_apart(spark, corpus):
+    items = [(i, corpus[k][1]) for i, k in enumerate((20, 80, 81, 82, 83, 115))]
+    some = corpus + [(None, corpus[80][1]), (None, corpus[81][1]), (None, None), (80, corpus[115][1]), (80, "clean"), (81, corpus[82][1] + " " + corpus[20][1])]
+    frame, benchmark = spark.createDataFrame(some, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert len(list(decontaminate._blocks(benchmark, 300))) > 1
+    assert grouped(decontaminate.contamination(decontaminate.scan(frame, benchmark, block_words=300))) == brute_contamination(some, items)
+    one, several = decontaminate.scan(frame, benchmark), decontaminate.scan(frame, benchmark, block_words=300)
+    assert one.schema == several.schema and Counter(map(repr, one.collect())) == Counter(map(repr, several.collect()))
+
+
 def test_spans_are_removed():
     assert decontaminate.without_spans("A, b c! d", [(1, 3)]) == "A, ! d" and decontaminate.without_spans(None, [(0, 1)]) is None
 
