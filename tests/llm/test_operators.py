@@ -5,6 +5,7 @@ import math
 import random
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -359,6 +360,28 @@ def test_a_notice_with_a_word_changed_matches_by_dice(spark):
     assert row["license"] == "GPL-3.0" and row["dice"] == round(2 * len(mine & other) / (len(mine) + len(other)), 9)
 
 
+def test_wrapped_embedded_and_full_licences(spark):
+    full = {p.stem: p.read_text() for p in (Path(licenses.__file__).parent / "texts").glob("*.txt")}
+    cases = [
+        ("MIT", "# Copyright\n# Permission is hereby granted, free of charge, to any person obtaining a copy\n# of this software and associated documentation files (the \"Software\"), to deal\n# in the Software without restriction\nx = 1\n" + "y = f(x)\n" * 40),
+        ("MIT", "This project is licensed under the MIT License. Copyright (c) 2020 ACME Corp."),
+        ("Apache-2.0", 'Copyright 2020 The Authors. Licensed under the Apache License, Version 2.0 (the "License");'),
+        ("MIT", "Some words before. Released under\nthe MIT\nLicense. " + prose(random.Random(1), 2000)),
+        ("GPL-2.0", "A tool. It is licensed under the GNU General Public License, version 2. See below."),
+        *((n, f"Copyright (c) 2020 ACME\n\n{t}") for n, t in full.items()),
+        *((n, f"{prose(random.Random(2), 700)}\n{' '.join(full[n].split())} {prose(random.Random(3), 700)}") for n in ("MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC")),
+        (None, "Permission is hereby granted to the mit of the license. " + prose(random.Random(4), 500)),
+    ]
+    got = licenses.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r["license"], r["n_matches"]) for r in got] == [(n, 1 if n else 0) for n, _ in cases]
+
+
+def test_windows_apart_count_each_and_lines_are_not_counted_again(spark):
+    text = "We say: released under the MIT License. " + prose(random.Random(5), 30) + " Here: released under the MIT\nLicense, and there: licensed under CC BY 4.0, as said.\nLicensed under CC BY-NC 4.0.\nend"
+    row = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (row["n_matches"], row["licenses"]) == (4, "CC-BY-4.0,CC-BY-NC-4.0,MIT")
+
+
 # --- top k -------------------------------------------------------------------------------------------------------------
 
 
