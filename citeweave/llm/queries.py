@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import materialize
-from . import bpe, decontaminate, licenses, near, packing, pii, quality, recompress, suffixes, topk
+from . import bpe, decontaminate, licenses, near, packing, pii, quality, recompress, repair, suffixes, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -144,3 +144,54 @@ FROM d LEFT JOIN gone USING (doc_id)
 @register("op9_substring_dedup", OP9_SQL)
 def op9(spark, sf_dir):
     return recompress.dedup_words(table(spark, sf_dir, "documents"))
+
+
+def _op13_sql() -> str:
+    """Damage by CRC in bit operations; repairs by a running list of the four states' lightest repairs, each a string of cost and audit."""
+
+    def add(x: str, cost: str, edit: str) -> str:
+        return f"CASE WHEN {x} = '~' THEN '~' ELSE lpad(({x}[1:8]::BIGINT + {cost})::VARCHAR, 8, '0') || {x}[9:] || '{edit}' END"
+
+    e, s, u, a = (f"acc[{i}]" for i in (1, 2, 3, 4))
+    closed = {"u": f"least({u}, {add(e, '2', 'I')}, {add(s, '2', 'I')}, {add(a, '2', 'I')})"}
+    opened = f"list_transform([[{e}, {s}, {closed['u']}, {a}]], lambda q: [q[1], q[2], q[3], least(q[4], {add('q[3]', '2', 'I')})])[1]"
+    e, s, u, a = (f"q[{i}]" for i in (1, 2, 3, 4))
+    kind, more = "row[1]", "(CASE WHEN row[2] = 'truncated' THEN 1 ELSE 0 END)"
+    before = f"least({e}, {s}, {a})"
+
+    def to(state: str, source: str, initial: str) -> str:
+        written = f"{add(source, more, 'K')}" if initial == "s" else f"least({add(source, '2 + ' + more, 'R')}, CASE WHEN {kind} = '{initial}' THEN {add(source, more, 'K')} ELSE '~' END)"
+        good = "row[2] NOT IN ('blank', 'duplicate')" + (f" AND {kind} = 's'" if initial == "s" else "")
+        return f"least({add(state, '3', 'D')}, CASE WHEN {good} THEN {written} ELSE '~' END)"
+
+    step = f"list_transform([{opened}], lambda q: [{add(e, '3', 'D')}, {to(s, e, 's')}, {to(u, before, 'u')}, {to(a, u, 'a')}])[1]"
+    final = f"least(st[1], st[4], {add('st[3]', '2', 'I')}, {add('st[2]', '4', 'II')})"
+    return rf"""
+WITH bits AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+hashed AS (SELECT * EXCLUDE (t, k), xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(k, ''), lambda x: ord(x)::BIGINT)), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 20 AS h FROM keyed, bits),
+damaged AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE WHEN h = 1 THEN '' WHEN h = 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE WHEN h = 3 THEN [0, 1] ELSE [0] END) AS copy
+            FROM hashed WHERE h <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth FROM damaged),
+judged AS (SELECT conv_id, turn, role, text, i, role[1:1] AS kind, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 'truncated' ELSE '' END AS fault,
+           role[1:1] || lead(role[1:1]) OVER (PARTITION BY conv_id ORDER BY i) AS pair FROM placed),
+whole AS (SELECT conv_id, (coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0))::BIGINT AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+                 count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, list_reduce(list_prepend(['00000000', '~', '~', '~'], list([kind, fault] ORDER BY i)), lambda acc, row: {step}) AS st FROM judged GROUP BY conv_id),
+best AS (SELECT * EXCLUDE (st), {final} AS w FROM whole),
+edits AS (SELECT conv_id, w, e, edit, count(*) FILTER (edit <> 'I') OVER o AS i, count(*) FILTER (edit <> 'D') OVER o AS written, count(*) FILTER (edit <> 'D') OVER (PARTITION BY conv_id) AS total
+          FROM (SELECT conv_id, w, unnest(range(1, len(w) - 7)) AS e, w[7 + e + 1] AS edit FROM best) WINDOW o AS (PARTITION BY conv_id ORDER BY e)),
+lines AS (SELECT x.conv_id, e, CASE WHEN edit = 'K' THEN role WHEN (total - written) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END AS line
+          FROM edits x LEFT JOIN judged y ON x.conv_id IS NOT DISTINCT FROM y.conv_id AND x.i = y.i WHERE edit <> 'D'),
+texts AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY e) AS t FROM lines GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(w[1:8]::BIGINT, 0) AS cost, coalesce(w[9:], '') AS audit, sha256(coalesce(t, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN best b ON c.conv_id IS NOT DISTINCT FROM b.conv_id LEFT JOIN texts x ON c.conv_id IS NOT DISTINCT FROM x.conv_id
+"""
+
+
+OP13_SQL = _op13_sql()
+
+
+@register("op13_conversation_repair", OP13_SQL)
+def op13(spark, sf_dir):
+    return repair.report(table(spark, sf_dir, "conversations"))
