@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import materialize
-from . import bpe, decontaminate, licenses, near, packing, pii, quality, recompress, repair, suffixes, topk
+from . import bpe, decontaminate, licenses, near, packing, pii, quality, recompress, repair, suffixes, topk, toxicity, whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -189,6 +189,16 @@ FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN best b ON c.conv_i
 """
 
 
+@register("op11_whitening")
+def op11(spark, sf_dir):
+    return whiten.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@register("op12_toxicity")
+def op12(spark, sf_dir):
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 OP13_SQL = _op13_sql()
 
 
