@@ -6,6 +6,7 @@ fixed multiple of the slice size, or of the longest single document where that i
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -91,8 +92,88 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Fingerprints are computed modulo this prime.
+PRIME = (1 << 61) - 1
+_P, _LOW31, _LOW30, _LOW29, _LOW32 = np.uint64(PRIME), np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1), np.uint64((1 << 29) - 1), np.uint64((1 << 32) - 1)
+_29, _30, _31, _32, _61 = (np.uint64(n) for n in (29, 30, 31, 32, 61))
+
+
+#: Values worked on at once, so that what lies between stays in a core's cache.
+_AT_ONCE = 1 << 14
+
+
+def _folded(x: np.ndarray) -> np.ndarray:
+    """Values modulo the prime up to one more fold (below 2**61 + 8), in place."""
+    high = x >> _61
+    x &= _P
+    x += high
+    return x
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """Values modulo the prime, in place."""
+    _folded(x)
+    x -= (x >= _P) * _P
+    return x
+
+
+def _times(a: np.ndarray, b: np.ndarray, small: bool) -> np.ndarray:
+    """Folded products: halves of 31 bits, 2**61 being one. ``small``: a lies below 2**31."""
+    b1 = b >> _31
+    b0 = b & _LOW31
+    if small:
+        middle = a * b1
+        out = a * b0
+    else:
+        a1, a0 = a >> _31, a & _LOW31
+        middle = a1 * b0
+        a1 *= b1
+        a1 += a1
+        middle += a0 * b1
+        out = a1
+        out += a0 * b0
+    out += middle >> _30
+    middle &= _LOW30
+    middle <<= _31
+    out += middle
+    return _folded(out)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo the prime of values below it."""
+    return _reduced(_times(a, b, False))
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.ones(1, np.uint64)
+    while len(out) < n:
+        out = np.concatenate([out, times(out, np.array([pow(base, len(out), PRIME)], np.uint64))])
+    return out[:n]
+
+
+def _sums(values: np.ndarray, powers: np.ndarray, small: bool) -> np.ndarray:
+    """Running sums of the products modulo the prime, from zero on; halves are summed apart so that nothing overflows."""
+    out = np.zeros(len(values) + 1, np.uint64)
+    last = np.uint64(0)
+    for at in range(0, len(values), _AT_ONCE):
+        part = values[at : at + _AT_ONCE]
+        product = _times(part, powers[at : at + len(part)], small)
+        high = np.cumsum(product >> _32)
+        product &= _LOW32
+        low = np.cumsum(product)
+        low += high >> _29
+        high &= _LOW29
+        high <<= _32
+        low += high
+        low += last
+        out[at + 1 : at + 1 + len(low)] = _folded(low)
+        last = low[-1]
+    return out
+
+
 class Rolling:
-    """Fingerprints of any range of a sequence from one running sum: a polynomial modulo 2**64 in an odd base."""
+    """Fingerprints of any range of a sequence from one running sum: a polynomial modulo 2**61 - 1 in a base drawn from
+    all residues. Two different sequences of n symbols agree for at most n of the bases, whatever their structure."""
 
     _made: dict[int, tuple] = {}
 
@@ -101,30 +182,38 @@ class Rolling:
         if seed in self._made:
             self.base, self.inverse, self.table, self.up, self.down = self._made[seed]
             return
-        base = int(mix(np.array([seed * 2 + 1], np.uint64))[0]) | 1
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
+        drawn = hashlib.blake2b(b"rolling fingerprint %d" % seed, digest_size=16).digest()
+        self.base = int.from_bytes(drawn, "little") % (PRIME - 2) + 2
+        self.inverse = pow(self.base, -1, PRIME)
         self.up = self.down = np.ones(1, np.uint64)
-        self.table = mix(np.arange(256, dtype=np.uint64) + np.uint64(seed * 1000 + 17))
+        self.table = np.arange(256, dtype=np.uint64) + np.uint64(1)
 
-    def _powers(self, n: int) -> None:
+    def _reach(self, n: int) -> None:
         if len(self.up) < n:
             n = max(n, 1 << 16)
-            for name, factor in (("up", self.base), ("down", self.inverse)):
-                steps = np.full(n, factor, np.uint64)
-                steps[0] = 1
-                setattr(self, name, np.multiply.accumulate(steps))
+            self.up, self.down = _powers(self.base, n), _powers(self.inverse, n)
         self._made[self.seed] = (self.base, self.inverse, self.table, self.up, self.down)
 
     def load(self, symbols: np.ndarray) -> Rolling:
         """Take a sequence of bytes or of 64-bit values."""
-        values = self.table[symbols] if symbols.dtype == np.uint8 else mix(symbols.astype(np.uint64))
-        self._powers(len(values) + 1)
-        self.sums = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values * self.up[: len(values)], out=self.sums[1:])
+        small = symbols.dtype == np.uint8
+        values = self.table[symbols] if small else _folded(mix(symbols.astype(np.uint64)))
+        self._reach(len(values) + 1)
+        self.sums = _sums(values, self.up, small)
         return self
 
     def ranges(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
+        """A 64-bit fingerprint of each range, of its symbols and their number."""
+        out = np.empty(len(starts), np.uint64)
+        for at in range(0, len(starts), _AT_ONCE):
+            a, z = starts[at : at + _AT_ONCE], ends[at : at + _AT_ONCE]
+            part = self.sums[z]
+            part += _P + _P
+            part -= self.sums[a]
+            part = _reduced(_times(_folded(part), self.down[a], False))
+            part += (z - a).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            out[at : at + _AT_ONCE] = mix(part)
+        return out
 
 
 def signed(x: np.ndarray) -> np.ndarray:

@@ -4,8 +4,9 @@ The windows of the benchmark items (13 words; the whole item where it has fewer)
 every task gets as a broadcast; a document's words are numbered by the benchmark's vocabulary, its windows are looked
 up in the set, and each hit is compared word by word before it counts.
 
-The benchmark side is bounded: its words are counted first, and items are taken in blocks of at most
-``block_words`` words, one broadcast and one scan for each block. Hits of several blocks are united within the row.
+The benchmark side is bounded: its distinct items are measured first and, where they exceed ``block_words`` bytes, dealt
+into blocks of about half that size by a hash. Blocks are collected, broadcast and dropped one after the other; each pass
+over the texts writes its hits by row, and the hits of a row are united at the end.
 
 Defined results: a null or empty text has no words and is clean; null items and items without words give no window;
 repeated items and repeated documents each count for themselves by row, equal ``item_id`` counts once; a null
@@ -18,8 +19,9 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from ..session import materialize
 from .arrays import LOWER, Rolling, flat, per_document, slices, words
 
 WINDOW = 13
@@ -86,19 +88,23 @@ class WindowSet:
                     p += 1
 
 
-def _blocks(benchmark: DataFrame, block_words: int):
-    """The items in blocks of at most so many bytes of text (a word has one at least), or of one item."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").alias("body")).where("item is not null and body is not null")
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").alias("body")).where("item is not null and body is not null").distinct()
+
+
+def _count_blocks(items: DataFrame, block_words: int) -> int:
+    """How many blocks the items need, a word having one byte at least."""
     size = items.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    n = -(-size // block_words) if size else 0
-    for b in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item", "body"), F.lit(n)) == b)
-        yield [(r["item"], r["body"]) for r in part.collect()]
+    return 1 if size <= block_words else -(-2 * size // block_words)
+
 
+def _block(items: DataFrame, n: int, b: int) -> list[tuple[str, str]]:
+    part = items if n == 1 else items.where(F.pmod(F.xxhash64("item", "body"), F.lit(n)) == b)
+    return [(r["item"], r["body"]) for r in part.collect()]
 
-def _scan_block(documents: DataFrame, items: list[tuple[str, str]], window: int, extra: T.StructType | None = None) -> DataFrame:
-    shared = documents.sparkSession.sparkContext.broadcast(WindowSet(items, window))
-    names = documents.columns
+
+def _scan_block(documents: DataFrame, shared, key: str) -> DataFrame:
+    """The key, n_words, hit_spans and items of every row, for the windows of one broadcast block."""
 
     def run(batches):
         table = shared.value
@@ -113,52 +119,56 @@ def _scan_block(documents: DataFrame, items: list[tuple[str, str]], window: int,
             names_of: dict[int, set] = {}
             for i, n, found in table.occurrences(ids, place[doc + 1]):
                 d = int(doc[i])
-                run_of = spans.setdefault(d, [])
-                run_of.append((i, i + n))
+                spans.setdefault(d, []).append((i, i + n))
                 names_of.setdefault(d, set()).update(found)
-            out_spans, out_items = [], []
-            for d in range(batch.num_rows):
-                joined: list[list[int]] = []
-                for a, z in sorted(spans.get(d, ())):
-                    if joined and a <= joined[-1][1]:
-                        joined[-1][1] = max(z, joined[-1][1])
-                    else:
-                        joined.append([a, z])
-                out_spans.append([{"start": a - int(place[d]), "end": z - int(place[d])} for a, z in joined])
-                out_items.append(sorted(names_of.get(d, ())))
-            columns = [batch.column(c) for c in names] if extra else [batch.column("doc_id").cast(pa.int64())]
+            out_spans = [[{"start": a - int(place[d]), "end": z - int(place[d])} for a, z in _joined(spans.get(d, ()))] for d in range(batch.num_rows)]
             span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            columns += [pa.array(np.diff(place), pa.int64()), pa.array(out_spans, span_type), pa.array(out_items, pa.list_(pa.string()))]
-            labels = [*names] if extra else ["doc_id"]
-            yield pa.RecordBatch.from_arrays(columns, [*labels, *(SCANNED.names[1:] if not extra else extra.names)])
+            columns = [batch.column(key), pa.array(np.diff(place), pa.int64()), pa.array(out_spans, span_type), pa.array([sorted(names_of.get(d, ())) for d in range(batch.num_rows)], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, [key, *SCANNED.names[1:]])
+
+    return documents.select(key, "text").mapInArrow(run, T.StructType([T.StructField(key, T.LongType()), *SCANNED.fields[1:]]))
+
 
-    if extra:
-        return documents.mapInArrow(run, T.StructType([*documents.schema, *extra]))
-    return documents.select("doc_id", "text").mapInArrow(run, SCANNED)
+def _joined(spans) -> list[list[int]]:
+    """Spans united where they touch, in order."""
+    out: list[list[int]] = []
+    for a, z in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(z, out[-1][1])
+        else:
+            out.append([a, z])
+    return out
+
+
+def _united(batches):
+    """Rows of key, n_words, several lists of spans and of items: one list of each."""
+    for batch in batches:
+        spans = [[{"start": a, "end": z} for a, z in _joined((s["start"], s["end"]) for s in row)] for row in batch.column("hit_spans").to_pylist()]
+        items = [sorted(set(row)) for row in batch.column("items").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("n_words"), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(items, pa.list_(pa.string()))], ["key", *SCANNED.names[1:]])
+
+
+def _hits(rows: DataFrame, items: DataFrame, n: int, window: int) -> DataFrame:
+    """key, n_words, hit_spans, items of every row (key, text), one block of the benchmark after the other."""
+    spark, found = rows.sparkSession, None
+    for b in range(n):
+        shared = spark.sparkContext.broadcast(WindowSet(_block(items, n, b), window))
+        part = _scan_block(rows, shared, "key")
+        part = materialize(part if b == 0 else part.where(F.size("hit_spans") > 0), "decontaminate-hits")
+        shared.destroy()
+        found = part if found is None else found.unionByName(part)
+    together = found.groupBy("key").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hit_spans")).alias("hit_spans"), F.flatten(F.collect_list("items")).alias("items"))
+    return together.mapInArrow(_united, T.StructType([T.StructField("key", T.LongType()), *SCANNED.fields[1:]]))
 
 
 def scan(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Per document: doc_id, n_words, hit_spans (of words, end exclusive, joined), items."""
-    blocks = [block for block in _blocks(benchmark, block_words) if block]
-    if len(blocks) < 2:
-        return _scan_block(documents, blocks[0] if blocks else [], window)
-    # Several blocks: each row takes its spans of all blocks along; they are joined by their covered words.
-    out, each = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), SCANNED.names[1:]
-    for k, block in enumerate(blocks):
-        out = _scan_block(out, block, window, T.StructType([T.StructField(f"{c}_{k}", SCANNED[c].dataType) for c in each]))
-    together = {c: F.flatten(F.array(*(f"{c}_{k}" for k in range(len(blocks))))) for c in ("hit_spans", "items")}
-    hits = out.select("doc_id", F.col("n_words_0").alias("n_words"), together["hit_spans"].alias("spans"), F.array_sort(F.array_distinct(together["items"])).alias("items"))
-    start = F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("end"))
-    empty = F.array().cast(SPANS)
-    folded = F.aggregate(
-        F.array_sort("spans"),
-        F.struct(empty.alias("done"), start.alias("open")),
-        lambda acc, s: F.when(s["start"] <= acc["open"]["end"], F.struct(acc["done"].alias("done"), F.struct(acc["open"]["start"].alias("start"), F.greatest(acc["open"]["end"], s["end"]).alias("end")).alias("open"))).otherwise(
-            F.struct(F.concat(acc["done"], F.array(acc["open"])).alias("done"), s.alias("open"))
-        ),
-        lambda acc: F.filter(F.concat(acc["done"], F.array(acc["open"])), lambda s: s["start"] >= 0),
-    )
-    return hits.select("doc_id", "n_words", folded.alias("hit_spans"), "items")
+    rows, items = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _items(benchmark)
+    n = _count_blocks(items, block_words)
+    if n == 1:
+        return _scan_block(rows, documents.sparkSession.sparkContext.broadcast(WindowSet(_block(items, 1, 0), window)), "doc_id")
+    rows = materialize(rows.withColumn("key", F.monotonically_increasing_id()), "decontaminate-rows")
+    return rows.select("key", "doc_id").join(_hits(rows, items, n, window), "key").select(*SCANNED.names)
 
 
 def contamination(scanned: DataFrame) -> DataFrame:
@@ -182,17 +192,43 @@ def without_spans(text: str | None, spans: list[tuple[int, int]]) -> str | None:
     return b"".join([*kept, raw[at:]]).decode()
 
 
+def _is_contaminated() -> Column:
+    hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
+    return (hit > 0) & (20 * hit >= F.col("n_words"))
+
+
 def clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of documents that are not contaminated, with their columns as they were."""
-    out = documents
-    for k, block in enumerate(_blocks(benchmark, block_words)):
-        if not block:
-            continue
-        extra = T.StructType([T.StructField(f"_{c}_{k}_decontaminate", SCANNED[c].dataType) for c in SCANNED.names[1:]])
-        out = _scan_block(out, block, window, extra)
-    marks = [c for c in out.columns if c not in documents.columns]
-    if not marks:
-        return documents
-    covered = [F.transform(F.filter(c, lambda s: s["end"] > s["start"]), lambda s: F.sequence(s["start"], s["end"] - 1)) for c in marks if "hit_spans" in c]
-    n_hit = F.size(F.array_distinct(F.flatten(F.concat(*covered))))
-    return out.where(~((n_hit > 0) & (20 * n_hit >= F.col(marks[0])))).select(*documents.columns)
+    items = _items(benchmark)
+    n = _count_blocks(items, block_words)
+    key = "key"
+    while key in {c.lower() for c in documents.columns}:
+        key += "_"
+    if n == 1:
+        shared = documents.sparkSession.sparkContext.broadcast(WindowSet(_block(items, 1, 0), window))
+        return _kept(documents, shared)
+    rows = materialize(documents.withColumn(key, F.monotonically_increasing_id()), "decontaminate-rows")
+    bad = _hits(rows.select(F.col(key).alias("key"), "text"), items, n, window).where(_is_contaminated()).select(F.col("key").alias(key))
+    return rows.join(bad, key, "left_anti").select(*documents.columns)
+
+
+def _kept(documents: DataFrame, shared) -> DataFrame:
+    """The rows that the windows of one broadcast block leave clean."""
+
+    def run(batches):
+        table = shared.value
+        for batch in slices(batches):
+            data, offsets = flat(batch.column("text"))
+            data = LOWER[data]
+            starts, ends, doc = words(data, offsets, BREAK)
+            raw = data.tobytes()
+            ids = np.fromiter((table.number.get(raw[s:e], -1) for s, e in zip(starts.tolist(), ends.tolist())), np.int64, len(starts))
+            place = per_document(doc, batch.num_rows)
+            edge = np.zeros(len(ids) + 1, np.int64)
+            for i, n, _ in table.occurrences(ids, place[doc + 1]):
+                edge[i] += 1
+                edge[i + n] -= 1
+            hit = np.bincount(doc[np.cumsum(edge)[:-1] > 0], minlength=batch.num_rows)
+            yield batch.filter(pa.array((hit == 0) | (20 * hit < np.diff(place))))
+
+    return documents.mapInArrow(run, documents.schema)

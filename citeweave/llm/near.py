@@ -38,8 +38,6 @@ WIDTH = 5
 K = 64
 SHARED = 24
 SHORT = 16
-#: Most candidate ids that are broadcast to the texts; beyond, the texts are shuffled to them.
-BROADCAST_IDS = 1_000_000
 
 
 def _sets(column: pa.Array, width: int) -> list[np.ndarray]:
@@ -65,7 +63,9 @@ def _lists(sets: list[np.ndarray]) -> pa.Array:
 
 
 def sketches(documents: DataFrame, width: int = WIDTH, k: int = K) -> DataFrame:
-    """doc_id, n (size of the set), s1, s2 (a digest of the set), sketch."""
+    """The ids (long columns beside text), n (size of the set), s1, s2 (a digest of the set), sketch."""
+
+    names = [c for c in documents.columns if c != "text"]
 
     def run(batches):
         for batch in slices(batches):
@@ -73,15 +73,14 @@ def sketches(documents: DataFrame, width: int = WIDTH, k: int = K) -> DataFrame:
             joined = np.concatenate([*sets, np.zeros(0, np.int64)]).view(np.uint64)
             ends = np.cumsum([len(s) for s in sets])
             digests = [pa.array(signed(Rolling(seed).load(joined).ranges(ends - [len(s) for s in sets], ends))) for seed in (8, 9)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *digests, _lists([s[:k] for s in sets])], ["doc_id", "n", "s1", "s2", "sketch"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array([len(s) for s in sets], pa.int64()), *digests, _lists([s[:k] for s in sets])], [*names, "n", "s1", "s2", "sketch"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, sketch array<long>")
+    return documents.select(*names, "text").mapInArrow(run, ", ".join(f"{c} long" for c in names) + ", n long, s1 long, s2 long, sketch array<long>")
 
 
 def _full_sets(documents: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """doc, n, names of the documents whose id is in ``ids`` (doc)."""
-    few = ids.count() <= BROADCAST_IDS
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc"), "text").join(F.broadcast(ids) if few else ids, "doc", "left_semi")
+    """doc, n, names of the documents whose key is in ``ids`` (doc)."""
+    rows = documents.select(F.col("key").alias("doc"), "text").join(ids, "doc", "left_semi")
 
     def run(batches):
         for batch in slices(batches):
@@ -158,24 +157,39 @@ def _crowded(sets: DataFrame) -> DataFrame:
     return first.unionByName(second)
 
 
+def _keyed(documents: DataFrame) -> tuple[DataFrame, bool]:
+    """doc_id, key, text, and whether ids repeat: the key is the id where ids are distinct, else a number of the row."""
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        return materialize(rows.withColumn("key", F.monotonically_increasing_id()), "near-keyed"), True
+    return rows.withColumn("key", F.col("doc_id")), False
+
+
 def near_duplicates(documents: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row."""
-    found = materialize(sketches(documents, width), "near-sketches")
+    rows, repeated = _keyed(documents)
+    found = materialize(sketches(rows, width), "near-sketches")
     filled = found.where("n > 0 and doc_id is not null")
-    classes = materialize(filled.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("leader")), "near-classes")
-    leaders = filled.join(classes.select("n", "s1", "s2", F.col("leader").alias("doc_id")), ["doc_id", "n", "s1", "s2"]).select(F.col("doc_id").alias("doc"), "n", "sketch").dropDuplicates(["doc", "n"])
-    same = filled.join(classes, ["n", "s1", "s2"]).select(F.col("doc_id").alias("node"), "leader")
-    repeated = filled.groupBy("doc_id").agg(F.count_distinct("n", "s1", "s2").alias("texts")).where("texts > 1")
-    several = same.join(repeated.select(F.col("doc_id").alias("node")), "node", "left_semi").select(F.col("node").alias("a"), F.col("leader").alias("b"))
-    label = components(links(documents, leaders, width).unionByName(several)).withColumnRenamed("node", "leader")
-    named = classes.join(label, "leader", "left").select("n", "s1", "s2", F.coalesce("component", "leader").alias("component"))
-    rows = found.select("doc_id", "n", "s1", "s2").join(named, ["n", "s1", "s2"], "left")
-    component = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component")), F.col("doc_id"))
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    # Equal sets are one class, which its smallest document stands for.
+    smallest = F.min(F.struct("doc_id", "key"))
+    classes = materialize(filled.groupBy("n", "s1", "s2").agg(smallest.alias("p")).select("n", "s1", "s2", F.col("p.doc_id").alias("first"), F.col("p.key").alias("leader")), "near-classes")
+    leaders = filled.join(classes.select(F.col("leader").alias("key")), "key").select(F.col("key").alias("doc"), "n", "sketch")
+    pairs = links(rows, leaders, width)
+    if repeated:  # the texts of one id belong together, whatever they say
+        mine = filled.join(classes.select("n", "s1", "s2", "leader"), ["n", "s1", "s2"]).select("doc_id", "leader")
+        pairs = pairs.unionByName(mine.join(mine.groupBy("doc_id").agg(F.min("leader").alias("b")), "doc_id").select(F.col("leader").alias("a"), "b").where("a <> b"))
+    label = components(pairs).withColumnRenamed("node", "leader")
+    named = classes.join(label, "leader", "left").withColumn("component_id", F.coalesce("component", "leader"))
+    if repeated:  # components are named by keys so far; their smallest ids name them for good
+        named = materialize(named.withColumnRenamed("component_id", "by"), "near-named")
+        named = named.join(named.groupBy("by").agg(F.min("first").alias("component_id")), "by")
+    named = named.select("n", "s1", "s2", "component_id")
+    out = found.select("doc_id", "n", "s1", "s2").join(named, ["n", "s1", "s2"], "left")
+    component = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component_id")), F.col("doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_first(documents: DataFrame, width: int = WIDTH) -> DataFrame:
     """The rows of all but the documents that are not their component's first, with their columns as they were."""
     gone = materialize(near_duplicates(documents, width).where("not kept").select(F.col("doc_id").alias("gone")).distinct(), "near-gone")
-    few = gone.count() <= BROADCAST_IDS
-    return documents.join(F.broadcast(gone) if few else gone, documents["doc_id"] == gone["gone"], "left_anti")
+    return documents.join(gone, documents["doc_id"] == gone["gone"], "left_anti")

@@ -151,10 +151,18 @@ def _overlaps(spans: Column, s: Column) -> Column:
     return F.exists(spans, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
 
 
-def found(documents: DataFrame) -> DataFrame:
-    """The rows with their base spans and candidates, as fields of _citeweave_pii."""
+def _free(documents: DataFrame, name: str) -> str:
+    """A column name like this one that the documents do not have, in any case of its letters."""
+    taken = {c.lower() for c in documents.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def found(documents: DataFrame, name: str) -> DataFrame:
+    """The rows with their base spans and candidates, as fields of a new column."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return documents.withColumn("_citeweave_pii", let(text, lambda t: F.struct(base_spans(t).alias("base"), candidates(t).alias("candidates"))))
+    return documents.withColumn(name, let(text, lambda t: F.struct(base_spans(t).alias("base"), candidates(t).alias("candidates"))))
 
 
 class Trees:
@@ -218,18 +226,19 @@ class Trees:
 def train(documents: DataFrame) -> Trees:
     """Trees from the cells of all candidates of all documents."""
     held = F.coalesce(F.pmod(F.crc32(F.col("text").cast("binary")), F.lit(4)) == 2, F.lit(False))
-    rows = found(documents.select("text")).select(held.alias("held"), F.col("_citeweave_pii.base").alias("base"), F.explode("_citeweave_pii.candidates").alias("s"))
+    rows = found(documents.select("text"), "pii").select(held.alias("held"), F.col("pii.base").alias("base"), F.explode("pii.candidates").alias("s"))
     marked = rows.select("held", _overlaps(F.col("base"), F.col("s")).alias("hit"), *(F.col("s")[f].alias(f) for f in RANGES))
     counts = [F.count_if(F.col("hit") & ~F.col("held")).alias("yes"), F.count_if(~F.col("hit") & ~F.col("held")).alias("no"), F.count_if(F.col("hit") & F.col("held")).alias("held_yes"), F.count_if(~F.col("hit") & F.col("held")).alias("held_no")]
     cells = marked.groupBy(*RANGES).agg(*counts).orderBy(*RANGES)
     return Trees([r.asDict() for r in cells.collect()])
 
 
-def spans(documents: DataFrame, trees: Trees) -> DataFrame:
-    """The rows with _citeweave_base and _citeweave_all: array<struct<start, k, end>>, sorted by start and kind."""
-    added = F.filter("_citeweave_pii.candidates", lambda s: (trees.score(s) >= trees.threshold) & ~_overlaps(F.col("_citeweave_pii.base"), s)) if trees.trees else F.slice("_citeweave_pii.candidates", 1, 0)
+def spans(documents: DataFrame, trees: Trees, name: str) -> DataFrame:
+    """The rows with a new column of two arrays, base and all: struct<start, k, end>, sorted by start and kind."""
+    own, base, proposed = _free(documents, "_pii"), f"{_free(documents, '_pii')}.base", f"{_free(documents, '_pii')}.candidates"
+    added = F.filter(proposed, lambda s: (trees.score(s) >= trees.threshold) & ~_overlaps(F.col(base), s)) if trees.trees else F.slice(proposed, 1, 0)
     plain = F.transform(added, lambda s: F.struct(s["start"].alias("start"), s["k"].alias("k"), s["end"].alias("end")))
-    return found(documents).withColumn("_citeweave_base", F.col("_citeweave_pii.base")).withColumn("_citeweave_all", F.array_sort(F.concat("_citeweave_pii.base", plain))).drop("_citeweave_pii")
+    return found(documents, own).withColumn(name, F.struct(F.col(base).alias("base"), F.array_sort(F.concat(base, plain)).alias("all"))).drop(own)
 
 
 def _written(spans_of: str) -> Column:
@@ -239,9 +248,9 @@ def _written(spans_of: str) -> Column:
 
 def report(documents: DataFrame, trees: Trees) -> DataFrame:
     """doc_id, counts of the base kinds, a digest of the base spans and all spans."""
-    rows = spans(documents.select("doc_id", "text"), trees)
-    counts = [F.size(F.filter("_citeweave_base", partial(_is_kind, k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS[:4])]
-    return rows.select(F.col("doc_id").cast("long"), *counts, F.sha2(_written("_citeweave_base"), 256).alias("base_sha256"), _written("_citeweave_all").alias("spans"))
+    rows = spans(documents.select("doc_id", "text"), trees, "spans")
+    counts = [F.size(F.filter("spans.base", partial(_is_kind, k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS[:4])]
+    return rows.select(F.col("doc_id").cast("long"), *counts, F.sha2(_written("spans.base"), 256).alias("base_sha256"), _written("spans.all").alias("spans"))
 
 
 def redact(documents: DataFrame, trees: Trees, mark: Callable[[str], str] = lambda kind: f"[{kind}]") -> DataFrame:
@@ -253,5 +262,7 @@ def redact(documents: DataFrame, trees: Trees, mark: Callable[[str], str] = lamb
         fresh = F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substr(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.element_at(marks, s["k"] + 1)).alias("out"))
         return F.when(s["start"] >= acc["at"], fresh).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")))
 
-    text = F.when(F.size("_citeweave_all") == 0, F.col("text")).otherwise(F.aggregate("_citeweave_all", start, step, lambda acc: F.concat(acc["out"], F.substr(F.col("text"), acc["at"] + 1, F.length("text")))))
-    return spans(documents, trees).withColumn("text", text).select(*documents.columns)
+    name = _free(documents, "_spans")
+    every = f"{name}.all"
+    text = F.when(F.size(every) == 0, F.col("text")).otherwise(F.aggregate(every, start, step, lambda acc: F.concat(acc["out"], F.substr(F.col("text"), acc["at"] + 1, F.length("text")))))
+    return spans(documents, trees, name).withColumn("text", text).select(*documents.columns)

@@ -1,7 +1,7 @@
 """Repeated word passages by recompression.
 
 Words get names; then rounds rename the whole corpus alike. In every fourth round, each run of one symbol becomes one symbol named by the symbol and the run's length; in every round the names are split in two halves by one bit of a hash that changes with the round, and
-every pair of a left and a right symbol becomes one symbol named by both. Names are 64-bit fingerprints of what they
+every pair of a left and a right symbol becomes one symbol named by both. Names are fingerprints of what they
 stand for, so all tasks give the same name to the same thing without asking each other. A border between symbols that
 survives a round does so because of the symbols beside it alone; each border therefore carries the stretch of words that
 it has depended on so far, and within any occurrence of that stretch the same border stands: equal passages have equal
@@ -12,8 +12,9 @@ window by window (see ``repeats``). Windows without such a border inside use a l
 runs of a word) stand for themselves.
 
 Defined results: a null or empty text has no words and keeps none; a passage is kept in the document with the smallest
-id that has it, so repeats within one document stay, and so do passages of rows that share a ``doc_id``; rows with a null ``doc_id`` take no part and are kept whole. Repeated rows are judged as one document each by the smallest
-other id. Other columns are ignored."""
+id that has it, so repeats within one document stay, and so do passages of rows that share a ``doc_id``; rows with a null
+``doc_id`` take no part and are kept whole. Rows that share a ``doc_id`` are judged each by its own text against the rows of
+smaller ids. Other columns are ignored."""
 
 from __future__ import annotations
 
@@ -43,8 +44,8 @@ def rounds(names: np.ndarray, place: np.ndarray, n_rounds: int = ROUNDS):
     at = np.arange(n)
     fixed = np.zeros(n, bool)
     fixed[place[:-1][place[:-1] < n]] = True
+    # Where a document begins, its first word stands for itself, as it does inside a longer text.
     low, high = at.copy(), at.copy()
-    low[fixed] = -_FAR
     for r in range(n_rounds):
         if not len(names):
             break
@@ -82,7 +83,8 @@ def parse(column: pa.Array) -> repeats.Parsed:
             inside = (low >= place[owner]) & (high <= place[owner + 1])
             found[r] = repeats.Level(at[inside], low[inside], high[inside])
     none = np.zeros(0, np.int64)
-    return repeats.Parsed(place, prints, [found.get(r, repeats.Level(none, none, none)) for r in LEVELS])
+    # Names of words are compared in place of the words: a second name, independent of the first, makes 122 bits.
+    return repeats.Parsed(place, prints, [found.get(r, repeats.Level(none, none, none)) for r in LEVELS], lambda: Rolling(3).load(data).ranges(starts, ends))
 
 
 def _kept(column: pa.Array, removed: np.ndarray | None) -> list[tuple[int, int, bytes]]:
@@ -109,9 +111,12 @@ def dedup_words(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for every row."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     several = rows.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count() > 0
-    # Rows that share an id are one document for the others: its texts are searched together, a break apart.
-    whole = rows.where("doc_id is not null")
-    plain = whole.select(F.col("doc_id").alias("key"), "text")
+    if several:  # rows are told apart by their texts, and compared by their ids
+        rows = rows.withColumn("key", F.xxhash64("doc_id", "text"))
+        plain = rows.where("doc_id is not null").select("key", F.col("doc_id").alias("rank"), "text").dropDuplicates(["key"])
+    else:
+        rows = rows.withColumn("key", F.col("doc_id"))
+        plain = rows.where("doc_id is not null").select(F.col("doc_id").alias("key"), "text")
     found = repeats.repeated_windows(plain, parse, length, "first")
 
     def cut(batches):
@@ -121,11 +126,9 @@ def dedup_words(documents: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def uncut(batches):
         for batch in slices(batches):
-            yield _rows(batch, ["doc_id"], _kept(batch.column("text"), None))
+            yield _rows(batch, ["doc_id", "key"], _kept(batch.column("text"), None))
 
     lost = found.mapInArrow(cut, "key long, n_words long, n_removed long, kept_sha256 string").where("n_removed > 0")
-    if several:
-        lost = lost.dropDuplicates(["key"])
-    lost = lost.select(F.col("key").alias("doc_id"), F.col("n_removed").alias("lost"), F.col("kept_sha256").alias("rest"))
-    base = rows.mapInArrow(uncut, "doc_id long, n_words long, n_removed long, kept_sha256 string")
-    return base.join(lost, "doc_id", "left").select("doc_id", "n_words", F.coalesce("lost", "n_removed").alias("n_removed"), F.coalesce("rest", "kept_sha256").alias("kept_sha256"))
+    lost = lost.select("key", F.col("n_removed").alias("lost"), F.col("kept_sha256").alias("rest"))
+    base = rows.mapInArrow(uncut, "doc_id long, key long, n_words long, n_removed long, kept_sha256 string")
+    return base.join(lost, "key", "left").select("doc_id", "n_words", F.coalesce("lost", "n_removed").alias("n_removed"), F.coalesce("rest", "kept_sha256").alias("kept_sha256"))

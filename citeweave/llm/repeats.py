@@ -49,11 +49,13 @@ class Level:
 
 @dataclass
 class Parsed:
-    """A slice of documents: where each document's units begin (n + 1 places), the units, and levels, best first."""
+    """A slice of documents: where each document's units begin (n + 1 places), the units, and levels, best first. Where
+    units are names, ``others`` gives them names that are independent of the first."""
 
     place: np.ndarray
     units: np.ndarray
     levels: list[Level]
+    others: Callable[[], np.ndarray] | None = None
 
 
 Parser = Callable[[pa.Array], Parsed]
@@ -89,7 +91,7 @@ class Owned:
     @cached_property
     def two(self) -> Rolling:
         """A second, independent fingerprint."""
-        return Rolling(22).load(self.parsed.units)
+        return Rolling(22).load(self.parsed.others() if self.parsed.others else self.parsed.units)
 
     def names(self, k: int, which: np.ndarray) -> np.ndarray:
         level = self.levels[k]
@@ -100,7 +102,7 @@ class Owned:
         """The document of each anchor, and the anchor's number in it."""
         level = self.levels[k]
         doc = np.searchsorted(self.parsed.place, level.low[which], "right") - 1
-        return doc, (level.at[which] - self.parsed.place[doc]) * 4 + k
+        return doc, (level.at[which] - self.parsed.place[doc]) * 8 + k
 
     def emitted(self):
         """The anchors that are named: all of the best level, of the others those with windows."""
@@ -135,15 +137,16 @@ class Owned:
 
 
 def _packed(documents: DataFrame) -> DataFrame:
-    """key, z: the texts, compressed one by one."""
+    """key, z (and rank, where the documents have it): the texts, compressed one by one."""
+    names = [c for c in documents.columns if c != "text"]
 
     def run(batches):
         squeeze = zstandard.ZstdCompressor(level=1)
         for batch in slices(batches):
             raw = batch.column("text").cast(pa.large_string()).cast(pa.large_binary()).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([squeeze.compress(t or b"") for t in raw], pa.binary())], ["key", "z"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array([squeeze.compress(t or b"") for t in raw], pa.binary())], [*names, "z"])
 
-    return documents.select("key", "text").mapInArrow(run, "key long, z binary")
+    return documents.select(*names, "text").mapInArrow(run, ", ".join(f"{c} long" for c in names) + ", z binary")
 
 
 def _texts(batches, limit: int = 400_000):
@@ -180,36 +183,52 @@ def _prints(owned: Owned, k: int, which: np.ndarray, begin: np.ndarray, end: np.
 def repeated_windows(documents: DataFrame, parse: Parser, length: int, question: str) -> DataFrame:
     """key, z, shared, settled_not, starts: the documents (key long, text) that may hold repeated windows. ``starts`` are
     the starts of repeated windows among the entries in ``settled_not`` (numbers of anchors); of all other entries over
-    ``shared`` anchors, every window is repeated. ``marks`` turns such a row into units to remove."""
+    ``shared`` anchors, every window is repeated. ``marks`` turns such a row into units to remove.
+
+    Documents may have a column rank (long), the id that ``"first"`` compares, where several keys share an id; else the
+    key is the id."""
+    ranked = question == "first" and "rank" in documents.columns
+    ids = ["key", "rank"] if ranked else ["key"]
+    rank = ids[-1]
+    documents = documents.select(*ids, "text")
+    longs = ", ".join(f"{c} long" for c in ids)
 
     def name_anchors(batches):
         for batch in slices(batches):
             owned = Owned(parse(batch.column("text")), length)
-            keys = np.asarray(batch.column("key"))
+            keys = [np.asarray(batch.column(c)) for c in ids]
             for k, which in owned.emitted():
                 doc, number = owned.places(k, which)
-                yield pa.RecordBatch.from_arrays([pa.array(owned.names(k, which)), pa.array(keys[doc]), pa.array(number)], ["f", "key", "a"])
+                yield pa.RecordBatch.from_arrays([pa.array(owned.names(k, which)), *(pa.array(c[doc]) for c in keys), pa.array(number)], ["f", *ids, "a"])
 
-    anchors = documents.select("key", "text").mapInArrow(name_anchors, "f long, key long, a long")
+    anchors = documents.mapInArrow(name_anchors, f"f long, {longs}, a long")
     if question == "count":
         shared = anchors.groupBy("f").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("f")
     else:
-        shared = anchors.groupBy("f").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("f")
+        shared = anchors.groupBy("f").agg(F.min(rank).alias("low"), F.max(rank).alias("high")).where("low < high").select("f")
     # Written first: a join of two plain exchanges is one that Spark can split where a name is very common.
     lists = anchors.join(materialize(shared, "repeats-shared"), "f").groupBy("key").agg(F.collect_set("a").alias("shared"))
     found = materialize(_packed(documents).join(lists, "key"), "repeats-candidates")
 
     def list_entries(batches):
         for batch in _texts(batches):
-            keys = np.asarray(batch.column("key"))
+            keys = [np.asarray(batch.column(c)) for c in ids]
             for owned, k, which, doc, number, names, begin, end in _entry_columns(batch, parse, length):
                 c1, c2 = _prints(owned, k, which, begin, end)
-                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(c1), pa.array(c2), pa.array(keys[doc]), pa.array(number)], ["f", "c1", "c2", "key", "a"])
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(c1), pa.array(c2), *(pa.array(c[doc]) for c in keys), pa.array(number)], ["f", "c1", "c2", *ids, "a"])
 
-    entries = found.mapInArrow(list_entries, "f long, c1 long, c2 long, key long, a long")
+    entries = found.mapInArrow(list_entries, f"f long, c1 long, c2 long, {longs}, a long")
     # One row per dictionary entry: how often it occurs, and its first place.
-    dictionary = materialize(entries.groupBy("f", "c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "a")).alias("first")), "repeats-dictionary")
-    several = dictionary.groupBy("f").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("f", F.lit(True).alias("several"))
+    by = ["f", "c1", "c2"]
+    if ranked:  # the first places of all documents with the smallest id
+        placed = materialize(entries.groupBy(*by, *ids).agg(F.min("a").alias("a")), "repeats-places")
+        lowest = placed.groupBy(*by).agg(F.min("rank").alias("rank"))
+        dictionary = materialize(placed.join(lowest, [*by, "rank"]).select(*by, F.lit(1).alias("n"), F.struct("key", "a").alias("first")), "repeats-dictionary")
+        kinds = F.count_distinct("c1", "c2")
+    else:
+        dictionary = materialize(entries.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "a")).alias("first")), "repeats-dictionary")
+        kinds = F.count(F.lit(1))
+    several = dictionary.groupBy("f").agg(kinds.alias("kinds")).where("kinds > 1").select("f", F.lit(True).alias("several"))
     judged = dictionary.join(several, "f", "left").select("first", "n", F.coalesce("several", F.lit(False)).alias("several"))
     if question == "count":  # entries that occur once are open, or unique; examples of the others stand for two occurrences
         judged = judged.select(F.col("first.key").alias("key"), F.col("first.a").alias("a"), (F.col("n") == 1).alias("open"), "several").where("open or several")
@@ -222,7 +241,7 @@ def repeated_windows(documents: DataFrame, parse: Parser, length: int, question:
 
     def list_windows(batches):
         for batch in _texts(batches):
-            keys = np.asarray(batch.column("key"))
+            keys, ranks = np.asarray(batch.column("key")), np.asarray(batch.column(rank))
             compared, unsettled = _ints(batch.column("compared")), [set(x.tolist()) for x in _ints(batch.column("settled_not"))]
             chosen = {(d, a) for d, x in enumerate(compared) for a in x.tolist()}
             out: list[tuple] = []
@@ -233,19 +252,19 @@ def repeated_windows(documents: DataFrame, parse: Parser, length: int, question:
                     away = owned.levels[k].at[which[i]] - w
                     for block in np.unique(away // BLOCK):
                         part = away // BLOCK == block
-                        out.append((names[i], int(block), int(keys[doc[i]]), number[i] in unsettled[doc[i]], int(w[part][0] - owned.parsed.place[doc[i]]), int(away[part][0]), prints[part]))
+                        out.append((names[i], int(block), int(keys[doc[i]]), int(ranks[doc[i]]), number[i] in unsettled[doc[i]], int(w[part][0] - owned.parsed.place[doc[i]]), int(away[part][0]), prints[part]))
             if out:
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(zip(*out), kinds)], ["f", "block", "key", "open", "start", "away", "prints"])
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(zip(*out), kinds)], ["f", "block", "key", "rank", "open", "start", "away", "prints"])
 
-    rows = found.join(state.where(F.size("compared") > 0), "key").mapInArrow(list_windows, "f long, block long, key long, open boolean, start long, away long, prints array<long>")
-    rows = rows.repartition("f", "block").select("f", "block", "key", "open", "start", "away", F.posexplode("prints").alias("i", "w"))
+    rows = found.join(state.where(F.size("compared") > 0), "key").mapInArrow(list_windows, "f long, block long, key long, rank long, open boolean, start long, away long, prints array<long>")
+    rows = rows.repartition("f", "block").select("f", "block", "key", "rank", "open", "start", "away", F.posexplode("prints").alias("i", "w"))
     rows = rows.withColumn("away", F.col("away") - F.col("i")).withColumn("start", F.col("start") + F.col("i"))
     same = Window.partitionBy("f", "block", "away", "w")
     if question == "count":
         rows = rows.withColumn("total", F.sum(F.when(F.col("open"), 1).otherwise(2)).over(same)).where("open and total > 1")
     else:
-        rows = rows.withColumn("first", F.min("key").over(same)).where("key > first")
+        rows = rows.withColumn("first", F.min("rank").over(same)).where("rank > first")
     starts = rows.groupBy("key").agg(F.collect_list("start").alias("starts"))
     return found.join(state.select("key", "settled_not"), "key", "left").join(starts, "key", "left").select("key", "z", "shared", "settled_not", "starts")
 

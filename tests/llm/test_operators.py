@@ -76,6 +76,31 @@ def test_ranges_have_equal_fingerprints_only_where_equal():
     assert got[0] == got[1] != got[2]
 
 
+def thue_morse(order, a="a", b="b"):
+    """A word of 2**order letters and its complement: their sums agree modulo 2**64 in every odd base from order 10 on."""
+    bits = [0]
+    for _ in range(order):
+        bits += [1 - x for x in bits]
+    return "".join((a, b)[x] for x in bits), "".join((b, a)[x] for x in bits)
+
+
+@pytest.mark.parametrize("order", [9, 10, 12])
+def test_fingerprints_of_words_that_sums_modulo_two_confuse(spark, order):
+    one, two = thue_morse(order)
+    data = np.frombuffer((one + two).encode(), np.uint8)
+    for seed in range(10):
+        got = arrays.Rolling(seed).load(data).ranges(np.array([0, len(one)]), np.array([len(one), len(data)]))
+        assert got[0] != got[1]
+    texts = [(1, one), (2, two), (3, f"{'go ' * 49}{one}"), (4, f"{'go ' * 49}{two}"), (5, " ".join(one)), (6, " ".join(two)), (7, f"x {' '.join(one)}")]
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain = Tokenizer.from_file(path)
+    assert {r[0]: r[1] for r in bpe.encode(frame, path).collect()} == {d: plain.encode(t, add_special_tokens=False).ids for d, t in texts}
+    assert {r[0]: tuple(r)[1:] for r in near.near_duplicates(frame).collect()} == brute_components(texts)
+    assert grouped(recompress.dedup_words(frame)) == repeated_words(texts, 50)
+    assert grouped(suffixes.dedup_bytes(frame)) == repeated_bytes(texts, 200)
+
+
 # --- coding ---------------------------------------------------------------------------------------------------------
 
 
@@ -180,6 +205,27 @@ def test_repeated_passages(docs, corpus):
     assert grouped(recompress.dedup_words(docs)) == repeated_words(corpus, 50)
 
 
+def test_passages_of_rows_that_share_an_id(spark):
+    rng = random.Random(19)
+    p, tail, other = prose(rng, 60), prose(rng, 9), prose(rng, 70)
+    some = [(5, p), (7, f"{p} {tail}"), (7, other), (7, f"x {p} y {p}"), (9, other), (9, f"{other} {tail}"), (9, f"{p} {other}"), (None, p), (None, other), (5, p), (9, other), (3, tail)]
+    some += [(d, prose(rng, 40) + f" {q} " + prose(rng, 10)) for q in (prose(rng, 120), prose(rng, 55)) for d in (20, 20, 20, 21, 22, 22)]
+    want = repeated_words([r for r in some if r[0] is not None], 50) | {None: sorted((len(t.split()), 0, hashlib.sha256(t.encode()).hexdigest()) for d, t in some if d is None)}
+    assert grouped(recompress.dedup_words(spark.createDataFrame(some, "doc_id long, text string"))) == want
+
+
+def test_passages_at_either_end_of_documents(spark):
+    rng = random.Random(23)
+    some = []
+    for i in range(0, 400, 4):
+        p = prose(rng, rng.randrange(50, 58))
+        a, b = prose(rng, rng.randrange(0, 4)), prose(rng, rng.randrange(0, 4))
+        some += [(i, f"{a} {p} {b}"), (i + 1, f"{p} {prose(rng, 2)}"), (i + 2, f"{prose(rng, 2)} {p}"), (i + 3, p)]
+    assert grouped(recompress.dedup_words(spark.createDataFrame(some, "doc_id long, text string"))) == repeated_words(some, 50)
+    texts = [(d, t) for d, t in some]
+    assert grouped(suffixes.dedup_bytes(spark.createDataFrame(texts, "doc_id long, text string"))) == repeated_bytes(texts, 200)
+
+
 def test_passages_within_one_document_stay(spark):
     rng = random.Random(9)
     p, q = prose(rng, 60), prose(rng, 80)
@@ -187,8 +233,9 @@ def test_passages_within_one_document_stay(spark):
     assert grouped(recompress.dedup_words(spark.createDataFrame(some, "doc_id long, text string"))) == repeated_words(some, 50)
 
 
-def test_borders_inside_equal_passages_are_equal():
-    rng = random.Random(3)
+@pytest.mark.parametrize("seed", range(40))
+def test_borders_inside_equal_passages_are_equal(seed):
+    rng = random.Random(seed)
     middle = prose(rng, 300)
     parsed = recompress.parse(pa.array([f"{prose(rng, 40)} {middle} {prose(rng, 30)}", f"{middle} tail", middle]))
     for level in parsed.levels:
@@ -247,6 +294,14 @@ def test_null_ids_and_two_texts_of_one_id(spark):
     assert got == {None: [(0, None, True), (36, None, True)], 5: [(36, 5, True)] * 2, 8: [(36, 5, False)], 9: [(0, 9, True)]}
 
 
+def test_texts_of_one_id_keep_their_links(spark):
+    rng = random.Random(14)
+    x, y = prose(rng, 40), prose(rng, 40)
+    rows_ = [(5, x), (5, y), (8, f"{y} k"), (9, f"{x} k"), (3, prose(rng, 40)), (4, f"{y} l"), (4, x + " m"), (4, ""), (2, None)]
+    got = grouped(near.near_duplicates(spark.createDataFrame(rows_, "doc_id long, text string")))
+    assert got == {5: [(36, 4, False)] * 2, 8: [(37, 4, False)], 9: [(37, 4, False)], 3: [(36, 3, True)], 4: [(0, 4, True), (37, 4, True), (37, 4, True)], 2: [(0, 2, True)]}
+
+
 def test_near_duplicates_of_no_rows(nothing):
     assert near.near_duplicates(nothing).count() == 0
 
@@ -290,16 +345,18 @@ def test_contamination(spark, docs, corpus):
     assert grouped(decontaminate.contamination(decontaminate.scan(docs, benchmark))) == want
     blocks = grouped(decontaminate.contamination(decontaminate.scan(docs.dropDuplicates(["doc_id"]), benchmark, block_words=300)))
     assert blocks == {k: v[:1] for k, v in want.items()}
+    docs = docs.withColumnsRenamed({"n": "key_"}).withColumn("hit_spans", F.lit(1)).withColumn("_n_words_0_decontaminate", F.lit("x"))
     kept = decontaminate.clean(docs, benchmark)
     assert kept.columns == docs.columns and Counter(r[0] for r in kept.select("doc_id").collect()) == Counter(d for d, _ in corpus if not want[d][0][4])
-    assert decontaminate.clean(docs, benchmark, block_words=300).count() == kept.count()
+    several = decontaminate.clean(docs, benchmark, block_words=300)
+    assert several.columns == docs.columns and Counter(map(repr, several.collect())) == Counter(map(repr, kept.collect()))
 
 
 def test_several_blocks_keep_rows_of_null_and_repeated_ids_apart(spark, corpus):
     items = [(i, corpus[k][1]) for i, k in enumerate((20, 80, 81, 82, 83, 115))]
     some = corpus + [(None, corpus[80][1]), (None, corpus[81][1]), (None, None), (80, corpus[115][1]), (80, "clean"), (81, corpus[82][1] + " " + corpus[20][1])]
     frame, benchmark = spark.createDataFrame(some, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    assert len(list(decontaminate._blocks(benchmark, 300))) > 1
+    assert decontaminate._count_blocks(decontaminate._items(benchmark), 300) > 3
     assert grouped(decontaminate.contamination(decontaminate.scan(frame, benchmark, block_words=300))) == brute_contamination(some, items)
     one, several = decontaminate.scan(frame, benchmark), decontaminate.scan(frame, benchmark, block_words=300)
     assert one.schema == several.schema and Counter(map(repr, one.collect())) == Counter(map(repr, several.collect()))
@@ -389,15 +446,17 @@ def test_top_k_with_ties_odd_vectors_and_many_tiles(spark):
     rng = random.Random(8)
     vectors = [(i, [rng.choice([-1.0, -0.3, 0.0, 0.5, 1.0]) for _ in range(4)]) for i in range(300)]
     odd = [(1000, None), (1001, [1.0, None, 0.0, 0.0]), (1002, [math.nan, 0.0, 0.0, 0.0]), (1003, [math.inf, 0.0, 0.0, 0.0]), (None, [1.0] * 4), (1004, [1.0, 2.0]), (1050, [])]
-    frame = spark.createDataFrame(vectors + odd + vectors[:5], "vec_id long, embedding array<double>").withColumn("id", F.lit(1))
-    points = topk.prepare(frame)
+    again = [*vectors[:5], (100, vectors[7][1]), (50, vectors[3][1])]
+    frame = spark.createDataFrame(vectors + odd + again, "vec_id long, embedding array<double>").withColumn("id", F.lit(1)).withColumn("key", F.lit("x"))
+    points = topk.prepare(frame).cache()
     got = sorted(map(tuple, topk.search(points, points.where("id % 50 = 0"), 5, group=40, block=3, buckets=16).collect()))
     want = []
-    floored = {i: [math.floor(256 * x) for x in v] for i, v in vectors}
-    for q in range(0, 300, 50):
-        best = sorted((-sum(a * b for a, b in zip(floored[q], v)), i) for i, v in floored.items() if i != q)[:5]
-        want += [(q, rank, i, -s) for rank, (s, i) in enumerate(best, 1)]
-    assert got == want
+    floored = [(i, [math.floor(256 * x) for x in v]) for i, v in vectors + again]
+    for at, (q, mine) in enumerate(floored):
+        if q % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(mine, v)), i) for j, (i, v) in enumerate(floored) if j != at)[:5]
+            want += [(q, rank, i, -s) for rank, (s, i) in enumerate(best, 1)]
+    assert got == sorted(want)
 
 
 def test_fewer_candidates_than_k_and_no_rows(spark):

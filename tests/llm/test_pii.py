@@ -85,3 +85,12 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert pii.report(docs, pii.train(docs)).count() == 0
     assert pii.report(docs, pii.Trees([])).where(F.col("spans") != "").count() == 0
+
+
+def test_clashing_names_come_back_as_they_were(spark):
+    text = "write to a.b@c.org or +49 170 1234567"
+    docs = spark.createDataFrame([(1, text, "x", 7, None, "s")], "doc_id long, text string, _pii string, _pii_ int, _SPANS string, _citeweave_base string")
+    out = pii.redact(docs, pii.train(docs))
+    row = out.first()
+    assert out.columns == docs.columns and tuple(row)[2:] == ("x", 7, None, "s") and row["text"] == "write to [email] or [phone]"
+    assert len(pii.report(docs, pii.train(docs)).first()["spans"].split(",")) == 2
