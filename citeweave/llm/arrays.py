@@ -117,31 +117,24 @@ def _reduced(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _times(a: np.ndarray, b: np.ndarray, small: bool) -> np.ndarray:
-    """Folded products: halves of 31 bits, 2**61 being one. ``small``: a lies below 2**31."""
-    b1 = b >> _31
-    b0 = b & _LOW31
-    if small:
-        middle = a * b1
-        out = a * b0
-    else:
-        a1, a0 = a >> _31, a & _LOW31
-        middle = a1 * b0
-        a1 *= b1
-        a1 += a1
-        middle += a0 * b1
-        out = a1
-        out += a0 * b0
-    out += middle >> _30
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Folded products: halves of 31 bits, 2**61 being one."""
+    a1, a0, b1, b0 = a >> _31, a & _LOW31, b >> _31, b & _LOW31
+    middle = a1 * b0
+    middle += a0 * b1
+    a1 *= b1
+    a1 += a1
+    a1 += a0 * b0
+    a1 += middle >> _30
     middle &= _LOW30
     middle <<= _31
-    out += middle
-    return _folded(out)
+    a1 += middle
+    return _folded(a1)
 
 
 def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Products modulo the prime of values below it."""
-    return _reduced(_times(a, b, False))
+    return _reduced(_times(a, b))
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -152,22 +145,32 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 def _sums(values: np.ndarray, powers: np.ndarray, small: bool) -> np.ndarray:
-    """Running sums of the products modulo the prime, from zero on; halves are summed apart so that nothing overflows."""
+    """Running sums of the products modulo the prime, from zero on. ``small`` values, below 512, are summed before
+    their products are reduced; others are reduced and summed by halves, so that nothing overflows."""
     out = np.zeros(len(values) + 1, np.uint64)
     last = np.uint64(0)
     for at in range(0, len(values), _AT_ONCE):
         part = values[at : at + _AT_ONCE]
-        product = _times(part, powers[at : at + len(part)], small)
-        high = np.cumsum(product >> _32)
-        product &= _LOW32
-        low = np.cumsum(product)
-        low += high >> _29
-        high &= _LOW29
-        high <<= _32
+        by = powers[at : at + len(part)]
+        if small:
+            high, low, bits, shift = by >> _31, by & _LOW31, _LOW30, _31
+            high *= part
+            low *= part
+            high = np.cumsum(high, out=high)
+            low = np.cumsum(low, out=low)
+            low += high >> _30
+        else:
+            product = _times(part, by)
+            high = np.cumsum(product >> _32)
+            product &= _LOW32
+            low, bits, shift = np.cumsum(product, out=product), _LOW29, _32
+            low += high >> _29
+        high &= bits
+        high <<= shift
         low += high
         low += last
         out[at + 1 : at + 1 + len(low)] = _folded(low)
-        last = low[-1]
+        last = out[at + len(low)]
     return out
 
 
@@ -210,7 +213,7 @@ class Rolling:
             part = self.sums[z]
             part += _P + _P
             part -= self.sums[a]
-            part = _reduced(_times(_folded(part), self.down[a], False))
+            part = _reduced(_times(_folded(part), self.down[a]))
             part += (z - a).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
             out[at : at + _AT_ONCE] = mix(part)
         return out

@@ -66,27 +66,36 @@ class Owned:
 
     def __init__(self, parsed: Parsed, length: int):
         self.parsed, self.length = parsed, length
-        self.one = Rolling(21).load(parsed.units)
-        place, n = parsed.place, len(parsed.units)
-        # Windows that end within their document.
-        fits = np.ones(n, bool)
+        place, n, best = parsed.place, len(parsed.units), parsed.levels[0]
+        # Of the best level, each anchor has a run of windows: from behind the anchor before to its own stretch, inside its document.
+        doc = np.searchsorted(place, best.low, "right") - 1
+        behind = np.append(-1, best.low[:-1]) + 1 if len(best.low) else best.low
+        #: First and last window of each anchor of the best level (none where the first lies behind the last).
+        self.begin = np.maximum(np.maximum(behind, best.high - length), place[doc])
+        self.end = np.minimum(best.low, place[doc + 1] - length)
+        runs = self.begin <= self.end
+        edge = np.zeros(n + 1, np.int32)
+        np.add.at(edge, self.begin[runs], 1)
+        np.add.at(edge, self.end[runs] + 1, -1)
+        # Windows that end within their document and have no anchor yet.
+        open_ = np.cumsum(edge[:n], dtype=np.int32) == 0
         for back in place[1:]:
-            fits[max(0, back - length + 1) : back] = False
-        rest = np.flatnonzero(fits)
-        #: One entry per level: windows, the index of their first and of their last anchor.
-        self.groups: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for level in parsed.levels:
-            # How many stretches begin before a place, and how many end by it.
-            begun = np.cumsum(np.bincount(level.low + 1, minlength=n + 2)[: n + 2])
-            ended = np.cumsum(np.bincount(level.high, minlength=n + 2)[: n + 2])
-            first, last = begun[rest], ended[rest + length] - 1
-            mine = first <= last
-            self.groups.append((rest[mine], first[mine], last[mine]))
+            open_[max(0, back - length + 1) : back] = False
+        rest = np.flatnonzero(open_)
+        #: For every further level: windows, and the index of each one's first anchor.
+        self.groups: list[tuple[np.ndarray, np.ndarray]] = []
+        for level in parsed.levels[1:]:
+            first = np.searchsorted(level.low, rest, "left")
+            mine = first < np.searchsorted(level.high, rest + length, "right")
+            self.groups.append((rest[mine], first[mine]))
             rest = rest[~mine]
         # A window without an anchor is its own anchor.
-        own = np.arange(len(rest))
         self.levels = [*parsed.levels, Level(rest, rest, rest + length)]
-        self.groups.append((rest, own, own))
+        self.groups.append((rest, np.arange(len(rest))))
+
+    @cached_property
+    def one(self) -> Rolling:
+        return Rolling(21).load(self.parsed.units)
 
     @cached_property
     def two(self) -> Rolling:
@@ -106,8 +115,9 @@ class Owned:
 
     def emitted(self):
         """The anchors that are named: all of the best level, of the others those with windows."""
-        for k, (_, first, _) in enumerate(self.groups):
-            yield k, np.arange(len(self.levels[k].at)) if k == 0 else np.unique(first)
+        yield 0, np.arange(len(self.levels[0].at))
+        for k, (_, first) in enumerate(self.groups, 1):
+            yield k, np.unique(first)
 
     def entries(self, shared: list[np.ndarray]):
         """For each level the anchors that have windows left when only shared anchors count: level, anchor, first and last window.
@@ -115,19 +125,26 @@ class Owned:
         keys = np.concatenate([np.zeros(0, np.int64), *shared])
         docs = np.repeat(np.arange(len(shared)), [len(s) for s in shared])
         wanted = np.sort(docs.astype(np.int64) << np.int64(40) | keys)
-        for k, (windows, first, last) in enumerate(self.groups):
-            if not len(windows):
-                continue
-            every = np.arange(len(self.levels[k].at))
-            doc, number = self.places(k, every)
+
+        def good(k: int, which: np.ndarray) -> np.ndarray:
+            doc, number = self.places(k, which)
             mine = doc.astype(np.int64) << np.int64(40) | number
             spot = np.minimum(np.searchsorted(wanted, mine), max(len(wanted) - 1, 0))
-            good = wanted[spot] == mine if len(wanted) else np.zeros(len(mine), bool)
-            if k == 0:
-                total = np.concatenate(([0], np.cumsum(good)))
-                keep = total[last + 1] - total[first] == last + 1 - first
-            else:
-                keep = good[first]
+            return wanted[spot] == mine if len(wanted) else np.zeros(len(mine), bool)
+
+        best = self.levels[0]
+        m = len(best.at)
+        if m:
+            # A window stays while it ends before the stretch of the next anchor that is not shared.
+            bad = np.minimum.accumulate(np.where(good(0, np.arange(m)), m, np.arange(m))[::-1])[::-1]
+            end = np.minimum(self.end, np.append(best.high, np.iinfo(np.int64).max)[bad] - self.length - 1)
+            which = np.flatnonzero(self.begin <= end)
+            if len(which):
+                yield 0, which, self.begin[which], end[which]
+        for k, (windows, first) in enumerate(self.groups, 1):
+            if not len(windows):
+                continue
+            keep = good(k, first)
             windows, first = windows[keep], first[keep]
             if not len(windows):
                 continue
