@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
 from dataclasses import asdict, dataclass
 
 import numpy as np
@@ -37,10 +36,6 @@ class Answered:
     ledger: DataFrame
 
 
-#: Most different retrieval settings in one job; each is a search of its own.
-MOST_SETTINGS = 64
-
-
 def effective_settings(s: SearchSettings):
     """The retrieval settings of a request as a struct: its overrides over the job's."""
     value = lambda k, kind, default: F.coalesce(F.element_at("overrides", k).try_cast(kind), F.lit(default)).cast(kind).alias(k)
@@ -92,14 +87,14 @@ def answer_questions(requests: DataFrame, encode: Callable[[DataFrame], DataFram
     ``requests``: query_id, query, overrides, fresh, may_refresh, source, ip_bucket,
     is_admin, created_at, and optionally generate (false: results only). ``cache``: key, answer, created_at. ``encode``
     adds the two vectors to the questions; ``load`` gives a batch function from (key, query, context) to
-    GENERATED. Requests with the same key are generated once; the key holds the request's own settings, and requests are
-    searched by groups of equal settings. With ``ledger`` and ``quota``, visitors' requests that no cached answer serves
+    GENERATED. Requests with the same key are generated once; the key holds the request's own settings, and one search
+    serves all settings. With ``ledger`` and ``quota``, visitors' requests that no cached answer serves
     pass the gate; refused ones get results and no answer. Stages that feed several
     others are written to the shared folder, so nothing expensive runs twice."""
     if "generate" not in requests.columns:
         requests = requests.withColumn("generate", F.lit(True))
     checked = resolve(requests, eval_mode)
-    asked = checked.filter(F.col("status") == 200).withColumn("_settings", effective_settings(s)).withColumn("_group", F.to_json("_settings"))
+    asked = checked.filter(F.col("status") == 200).withColumn("_settings", effective_settings(s))
     key = cache_key(normalize_query(F.col("query")), F.lit(prompt_version), F.lit(data_version), {k: F.col(f"_settings.{k}") for k in asdict(s)}, F.lit(generator))
     asked = asked.withColumn("key", key)
     known = cache.select("key", F.col("answer").alias("cached_answer"), F.col("created_at").alias("cached_at"))
@@ -112,15 +107,8 @@ def answer_questions(requests: DataFrame, encode: Callable[[DataFrame], DataFram
         todo = todo.withColumn("degraded", F.lit(None).cast("string"))
     todo = materialize(todo, "requests")
 
-    groups = [r["_group"] for r in todo.select("_group").distinct().limit(MOST_SETTINGS + 1).collect()]
-    if len(groups) > MOST_SETTINGS:
-        raise ValueError(f"more than {MOST_SETTINGS} different settings in one job")
-    questions = encode(todo.select("query_id", F.col("query").alias("text"), "_group"))
-    found = []
-    for g in groups or [None]:
-        own = SearchSettings(**todo.filter(F.col("_group") == g).select("_settings.*").first().asDict()) if g else s
-        found.append(retrieve(questions.filter(F.col("_group").eqNullSafe(F.lit(g))).drop("_group"), cards, rules, points, own, ordinary))
-    results = materialize(reduce(DataFrame.unionByName, found), "results")
+    questions = encode(todo.select("query_id", F.col("query").alias("text")))
+    results = materialize(retrieve(questions, cards, rules, points, s, ordinary, settings=todo.select("query_id", "_settings.*")), "results")
     prompts = todo.join(build_context(results), "query_id", "left").withColumn("context", F.coalesce("context", F.lit("")))
     wanted = F.col("generate") & F.col("degraded").isNull()
     once = caching.misses(prompts.filter(wanted).select("key", "query", "context"), cache.limit(0))

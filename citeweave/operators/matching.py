@@ -9,8 +9,13 @@ side)."""
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import base_forms, inflections
 from ..functions.tokens import WORD, block_starts, piece_start, pieces
@@ -18,6 +23,8 @@ from ..session import materialize
 
 # Fixed pattern: blanks, quotes and brackets that may open a sentence or a name.
 OPENING_MARKS = "[ \\t\\n\"'(“‘]+$"
+#: 64-bit words of the bitmap of first words.
+FILTER_WORDS = 1 << 11
 ORDINARY_WORD = r"(?U)\b[a-z][a-z'-]*\b"
 
 
@@ -72,6 +79,19 @@ def phrase_matches(texts: DataFrame, keys: DataFrame, text_id: str = "text_id",
     return out if len(found) == 1 else out.unionByName(found[1])
 
 
+def _slot(word: Column) -> Column:
+    """The place of a word in the bitmap."""
+    return F.pmod(F.xxhash64(word), F.lit(64 * FILTER_WORDS))
+
+
+def first_word_filter(d: DataFrame) -> Column:
+    """An array of FILTER_WORDS numbers whose bits say which first words the names have, as a subquery. Its size does not
+    depend on the dictionary; more names let more other words through, and the join drops those."""
+    bits = d.select(_slot(F.col("_first")).alias("s")).groupBy(F.shiftright("s", 6).alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("b"))
+    every = d.sparkSession.range(FILTER_WORDS).join(bits, F.col("id") == F.col("i"), "left").select("id", F.coalesce("b", F.lit(0).cast("bigint")).alias("b"))
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "b"))), lambda x: x.b).alias("bits")).scalar()
+
+
 def _word_matches(base: DataFrame, d: DataFrame, text_id: str, sizes: list[int]) -> DataFrame:
     cut = F.col("_c")
     # Grams of the word at piece k, for each length that some name has: the exact text, the
@@ -92,9 +112,9 @@ def _word_matches(base: DataFrame, d: DataFrame, text_id: str, sizes: list[int])
         more = [named(k).alias("named")] if with_named else []
         return F.struct(start(k).alias("at"), F.get(cut, k - 1).alias("before"), grams(k).alias("grams"), *more)
 
-    words_at = F.transform(F.sequence(F.lit(1), F.size(cut) - 1, F.lit(2)), lambda k: F.struct(F.get(cut, k).alias("_w"), row(k).alias("_r")))
-    first = d.select(F.col("_first").alias("_w")).distinct()
-    tokens = base.filter(F.size("_c") > 1).select(text_id, F.inline(words_at)).join(first, "_w", "left_semi").select(text_id, "_r.*")
+    may_open = lambda w: F.getbit(F.get(F.col("_bits"), F.shiftright(_slot(w), 6).cast("int")), _slot(w).bitwiseAND(F.lit(63)).cast("int")) == 1
+    openings = F.filter(F.sequence(F.lit(1), F.size(cut) - 1, F.lit(2)), lambda k: may_open(F.get(cut, k)))
+    tokens = base.filter(F.size("_c") > 1).withColumn("_bits", first_word_filter(d)).select(text_id, F.inline(F.transform(openings, row)))
     extra = ["named"] if with_named else []
     m = tokens.select(text_id, "at", "before", *extra, F.inline("grams")).join(d, F.col("core") == F.col("_core"))
     # Punctuation at the edges of the name must be there, and the character beyond must not
@@ -148,10 +168,33 @@ def greedy_spans(matches: DataFrame, text_id: str = "text_id") -> DataFrame:
     clustered = matches.withColumn("_open", opens.cast("int")).withColumn("_cluster", F.sum("_open").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     span = F.struct((F.col("start") - F.col("end")).alias("neg_length"), F.col("start").alias("start"), F.col("end").alias("end"), F.col("key").alias("key"))
     groups = clustered.groupBy(text_id, "_cluster").agg(F.sort_array(F.collect_list(span)).alias("_spans"))
-    none = F.filter("_spans", lambda s: F.lit(False))
-    chosen = F.aggregate("_spans", none, lambda acc, s: F.when(
-        F.exists(acc, lambda a: (s.end > a.start) & (s.start < a.end)), acc).otherwise(F.concat(acc, F.array(s))))
-    return groups.select(text_id, F.inline(chosen)).drop("neg_length")
+    schema = T.StructType([matches.schema[c] for c in (text_id, "start", "end", "key")])
+    return groups.select(text_id, "_spans").mapInArrow(_sweep, schema)
+
+
+def _sweep(batches):
+    """Of each cluster, spans in order of preference, those that cross no one chosen before. The chosen ones are disjoint
+    and kept in order, so that a span only meets its two neighbours."""
+    for batch in batches:
+        lists = batch.column(1)
+        flat, sizes = lists.flatten(), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        starts, ends = flat.field("start").to_numpy(), flat.field("end").to_numpy()
+        keep = np.ones(len(starts), bool)
+        behind = np.cumsum(sizes)
+        for i in np.flatnonzero(sizes > 1).tolist():
+            first, last = int(behind[i] - sizes[i]), int(behind[i])
+            opened: list[int] = []
+            closed: list[int] = []
+            for at, (start, end) in enumerate(zip(starts[first:last].tolist(), ends[first:last].tolist()), first):
+                place = bisect_left(opened, start)
+                if (place and closed[place - 1] > start) or (place < len(opened) and opened[place] < end):
+                    keep[at] = False
+                else:
+                    opened.insert(place, start)
+                    closed.insert(place, end)
+        kept = pa.array(keep)
+        owner = pa.array(np.repeat(np.arange(len(sizes)), sizes)[keep])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), *(flat.field(c).filter(kept) for c in ("start", "end", "key"))], [batch.schema.names[0], "start", "end", "key"])
 
 
 def keyword_forms(headings: DataFrame, rule_id: str = "rule_id", text: str = "text", order: str = "line_no") -> DataFrame:

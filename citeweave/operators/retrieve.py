@@ -14,7 +14,7 @@ from ..functions.text import image_variant
 from ..session import materialize
 from .matching import find_cards, find_keywords, keyword_rules
 from .outline import heading, with_ancestors
-from .search import hybrid_search
+from .search import hybrid_search, hybrid_search_by
 
 RESULT_FIELDS = ("source", "title", "text", "score", "match_type", "oracle_id", "rule_id", "card_name", "published_at", "scryfall_uri")
 
@@ -32,16 +32,20 @@ class SearchSettings:
     card_ruling_limit: int = 20
 
 
-def ruling_hits(matched: DataFrame, points: DataFrame, limit: int, query_id: str = "query_id") -> DataFrame:
+def ruling_hits(matched: DataFrame, points: DataFrame, limit: int | DataFrame, query_id: str = "query_id") -> DataFrame:
     """Rulings of the cards matched per question, the first ``limit`` by point id. A question's first ``limit`` lie
-    among the first ``limit`` of each of its cards, so cards are cut before they meet questions."""
+    among the first ``limit`` of each of its cards, so cards are cut before they meet questions. ``limit`` may be a table
+    of query_id and card_ruling_limit."""
     pairs = matched.select(query_id, F.col("oracle_id").alias("_id")).filter(F.col("_id").isNotNull()).distinct()
+    most = limit if isinstance(limit, int) else limit.agg(F.max("card_ruling_limit")).first()[0] or 0
     rulings = points.filter(F.col("source_type") == "ruling").select("point_id", "payload")
     per_card = Window.partitionBy("payload.oracle_id").orderBy("point_id")
-    rulings = rulings.withColumn("_c", F.row_number().over(per_card)).filter(F.col("_c") <= limit).drop("_c")
+    rulings = rulings.withColumn("_c", F.row_number().over(per_card)).filter(F.col("_c") <= most).drop("_c")
     w = Window.partitionBy(query_id).orderBy("point_id")
-    hits = rulings.join(pairs, F.col("payload.oracle_id") == F.col("_id")).drop("_id")
-    return hits.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= limit).drop("_n")
+    hits = rulings.join(pairs, F.col("payload.oracle_id") == F.col("_id")).drop("_id").withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= most)
+    if not isinstance(limit, int):
+        hits = hits.join(limit.select(query_id, "card_ruling_limit"), query_id).filter(F.col("_n") <= F.col("card_ruling_limit")).drop("card_ruling_limit")
+    return hits.drop("_n")
 
 
 def drop_covered(hits: DataFrame, matched: DataFrame, keywords: DataFrame, query_id: str = "query_id") -> DataFrame:
@@ -72,14 +76,15 @@ def number_results(blocks: list[DataFrame], query_id: str = "query_id") -> DataF
 
 
 def retrieve(questions: DataFrame, cards: DataFrame, rules: DataFrame, points: DataFrame, s: SearchSettings = SearchSettings(),
-             ordinary: DataFrame | None = None, query_id: str = "query_id", text: str = "text") -> DataFrame:
+             ordinary: DataFrame | None = None, query_id: str = "query_id", text: str = "text", settings: DataFrame | None = None) -> DataFrame:
     """Ranked results per question. ``questions`` carries the text and its dense and sparse
-    vectors; ``cards`` and ``rules`` carry a line number for file order."""
+    vectors; ``cards`` and ``rules`` carry a line number for file order. ``settings`` gives every question its own
+    parameters (query_id and the fields of SearchSettings); without it, all have those of ``s``."""
     # Each of these feeds a result block and the removal of covered hits.
     named = materialize(find_cards(questions, cards, ordinary, query_id, text).select(query_id, "start", "key", "entry.*"), "names")
     card_block = result_block(named, query_id, 0, [F.col("start"), F.col("key")], source=F.lit("card"), title=F.col("name"), text=F.coalesce("oracle_text", F.lit("")),
                          score=F.lit(1.0), match_type=F.lit("card_name_match"), oracle_id=F.col("oracle_id"), card_name=F.col("name"), scryfall_uri=F.col("scryfall_uri"))
-    rulings = ruling_hits(named, points, s.card_ruling_limit, query_id).select(query_id, "point_id", "payload.*")
+    rulings = ruling_hits(named, points, s.card_ruling_limit if settings is None else settings, query_id).select(query_id, "point_id", "payload.*")
     ruling_block = result_block(rulings, query_id, 1, [F.lit(0).alias("z"), F.col("point_id")], source=F.col("source_type"), title=F.coalesce("card_name", F.lit("")),
                            text=F.col("text"), score=F.lit(1.0), match_type=F.lit("card_ruling_match"), oracle_id=F.col("oracle_id"),
                            card_name=F.col("card_name"), published_at=F.col("published_at"), scryfall_uri=F.col("scryfall_uri"))
@@ -88,20 +93,25 @@ def retrieve(questions: DataFrame, cards: DataFrame, rules: DataFrame, points: D
     keyword_block = result_block(keywords, query_id, 2, [F.col("start"), F.lpad(F.col("line_no").cast("string"), 20, "0").alias("l")], source=F.lit("rule"),
                             title=F.col("rule_id"), text=F.col("text"), score=F.lit(1.0), match_type=F.lit("keyword_rule_match"), rule_id=F.col("rule_id"))
 
-    def search(top_k: int, source_type: str | None) -> DataFrame:
-        hits = hybrid_search(points, questions, s.hybrid_per_branch_limit, s.hybrid_dense_weight, s.hybrid_sparse_weight,
-                             s.hybrid_score_threshold, top_k, source_type, query_id=query_id)
+    def search(top_k: str, source_type: str | None) -> DataFrame:
+        if settings is None:
+            hits = hybrid_search(points, questions, s.hybrid_per_branch_limit, s.hybrid_dense_weight, s.hybrid_sparse_weight,
+                                 s.hybrid_score_threshold, getattr(s, top_k), source_type, query_id=query_id)
+        else:
+            own = settings.select(query_id, F.col("hybrid_dense_weight").alias("dense_weight"), F.col("hybrid_sparse_weight").alias("sparse_weight"), F.col("hybrid_score_threshold").alias("threshold"),
+                                  F.col(top_k).alias("top_k"), F.col("hybrid_per_branch_limit").alias("per_branch"))
+            hits = hybrid_search_by(points, questions, own, source_type, query_id=query_id)
         return hits.join(points.select("point_id", "payload"), "point_id").select(query_id, "point_id", "score", "rank", "payload.*")
 
     # Small (questions * top_k) and used twice: written once, so the corpus is not searched again.
-    mixed = materialize(drop_covered(search(s.hybrid_top_k, None), named, keywords, query_id), "mixed-hits")
+    mixed = materialize(drop_covered(search("hybrid_top_k", None), named, keywords, query_id), "mixed-hits")
     mixed_block = result_block(mixed, query_id, 4, [F.col("rank"), F.col("point_id")], source=F.col("source_type"), title=F.coalesce("card_name", "rule_id", F.lit("")),
                           text=F.col("text"), score=F.col("score"), match_type=F.lit("vector_hit"), oracle_id=F.col("oracle_id"), rule_id=F.col("rule_id"),
                           card_name=F.col("card_name"), published_at=F.col("published_at"), scryfall_uri=F.col("scryfall_uri"))
     blocks = [card_block, ruling_block, keyword_block, mixed_block]
-    if s.rules_top_k > 0:
+    if settings is not None or s.rules_top_k > 0:
         seen = keywords.select(query_id, "rule_id").unionByName(mixed.select(query_id, "rule_id")).filter(F.col("rule_id").isNotNull()).distinct()
-        only = search(s.rules_top_k, "rule").join(seen, [query_id, "rule_id"], "left_anti")
+        only = search("rules_top_k", "rule").join(seen, [query_id, "rule_id"], "left_anti")
         blocks.append(result_block(only, query_id, 3, [F.col("rank"), F.col("point_id")], source=F.lit("rule"), title=F.coalesce("rule_id", F.lit("")), text=F.col("text"),
                               score=F.col("score"), match_type=F.lit("rule_vector_hit"), rule_id=F.col("rule_id")))
     return number_results(blocks, query_id)
@@ -112,8 +122,8 @@ def label(r: DataFrame) -> DataFrame:
 
 
 def build_context(results: DataFrame, query_id: str = "query_id") -> DataFrame:
-    """One numbered context per question and its hash. A question has at most a few dozen
-    results (the limits of the blocks), so the list is short."""
+    """One numbered context per question and its hash. Hits and rulings of a question are bounded by its settings; the
+    subrules of the keywords it names are not, and a context holds them all."""
     block = F.concat(F.lit("["), F.col("number").cast("string"), F.lit("] "), F.col("label"), F.lit(": "), F.col("text"))
     parts = F.sort_array(F.collect_list(F.struct("number", block.alias("b"))))
     joined = F.array_join(F.transform(parts, lambda p: p.b), "\n\n")

@@ -1,9 +1,15 @@
-"""Exact top-k search for a whole table of questions at once, table to table.
+"""Exact top-k search for a whole table of questions at once, table to table, reading only groups that can matter.
 
-Questions and points are dealt by hash into blocks and groups of bounded size; a task gets one block of questions and
-one group of points (a tile), scores them with matrix products in Arrow tables and keeps k rows per question. Neither
-side passes the driver or is broadcast, and more rows make more tiles, never larger ones. What travels is each group
-once per block, each block once per group, and tiles * questions * k hits."""
+Points are written in groups of bounded size that hold similar points, and every (question, group) pair gets an upper
+bound of the scores in it. Dense points lie around pivots: by the triangle inequality for angles, no point of a group
+scores more than the cosine of (angle to the pivot - radius of the group). Sparse points lie in the order of a signature of
+their terms, and the index is the inverted list of the groups: per term the groups that hold it with their extreme
+weights, so that a question's bound is the sum over its terms. A question first visits its most promising groups until
+they hold k points, which gives it a kth score; then it visits the groups whose bound reaches that score, and no others.
+
+A visit is a tile, one block of questions next to one group, scored with matrix products in Arrow tables; k rows per question
+leave it. Neither side passes the driver or is broadcast; the pivots are at most ``PIVOTS`` vectors. What travels is
+each visited group once per block of questions, each question once per visited group, and k hits per visit."""
 
 from __future__ import annotations
 
@@ -16,12 +22,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..session import materialize
 from .encode import sparse_vector
 
 #: Questions and points of a tile, and points that are scored at once.
 BLOCK = 4096
 GROUP = 1024
 STEP = 256
+#: Most vectors that dense points are grouped around.
+PIVOTS = 512
+#: How many times as many points the pivots are chosen from.
+SPREAD = 8
+#: Bounds this far below a kth score still count: scores are rounded, angles are computed.
+SLACK = 1e-5
 #: Pairs of a point's term and a question with that term that are spelled out at once.
 PAIRS = 2_000_000
 SCORE_DIGITS = 6
@@ -66,12 +79,10 @@ def _ids(column: pa.Array) -> np.ndarray:
     return values.astype(str) if values.dtype == object else values
 
 
-def _tiles(points: DataFrame, questions: DataFrame, point_id: str, query_id: str, k: int, schema: T.StructType, score: Callable[[pa.Table, pa.Table, _TopK], None], group: int, block: int) -> DataFrame:
-    """Top-k rows of every tile. ``score`` feeds one tile's points to a top-k list."""
-    groups, blocks = max(1, -(-points.count() // group)), max(1, -(-questions.count() // block))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
-    asked = questions.withColumn("_b", F.pmod(F.xxhash64(query_id), F.lit(blocks))).withColumn("_g", every(groups))
-    stored = points.withColumn("_g", F.pmod(F.xxhash64(point_id), F.lit(groups))).withColumn("_b", every(blocks))
+def _tiles(points: DataFrame, questions: DataFrame, visits: DataFrame, point_id: str, query_id: str, k: int, schema: T.StructType, score: Callable[[pa.Table, pa.Table, _TopK], None], blocks: int) -> DataFrame:
+    """Top-k rows of every tile of ``visits`` (query_id, _g). ``score`` feeds one tile's points to a top-k list."""
+    asked = questions.join(visits.select(query_id, "_g"), query_id).withColumn("_b", F.pmod(F.xxhash64(query_id), F.lit(blocks)))
+    stored = points.join(asked.select("_g", "_b").distinct(), "_g")
     # Both sides may come from one table.
     asked, stored = asked.toDF(*asked.columns), stored.toDF(*stored.columns)
     out_schema = to_arrow_schema(schema)
@@ -84,7 +95,21 @@ def _tiles(points: DataFrame, questions: DataFrame, point_id: str, query_id: str
         names = left.column(query_id).to_pylist()
         return pa.table([pa.array([names[i] for i in q], type=out_schema.field(0).type), pa.array(ids.tolist(), type=out_schema.field(1).type), pa.array(scores, type=pa.float64())], schema=out_schema)
 
-    return asked.groupBy("_b", "_g").cogroup(stored.groupBy("_b", "_g")).applyInArrow(tile, schema)
+    return asked.groupBy("_g", "_b").cogroup(stored.groupBy("_g", "_b")).applyInArrow(tile, schema)
+
+
+def _search(points: DataFrame, questions: DataFrame, bounds: DataFrame, point_id: str, query_id: str, k: int, schema: T.StructType, score, block: int) -> tuple[DataFrame, DataFrame]:
+    """(ranked hits, visited pairs of question and group). ``points`` carry their group _g, ``bounds`` are query_id, _g, bound."""
+    blocks = max(1, -(-questions.count() // block))
+    sizes = points.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
+    best_first = Window.partitionBy(query_id).orderBy(F.desc("bound"), "_g").rowsBetween(Window.unboundedPreceding, -1)
+    pairs = materialize(bounds.join(sizes, "_g").withColumn("_before", F.coalesce(F.sum("_n").over(best_first), F.lit(0))), "search-bounds")
+    first = pairs.filter(F.col("_before") < k)
+    hits = materialize(_tiles(points, questions, first, point_id, query_id, k, schema, score, blocks), "search-hits")
+    kth = _rank(hits, query_id, point_id, k).filter(F.col("rank") == k).select(query_id, F.col("score").alias("_kth"))
+    rest = pairs.filter(F.col("_before") >= k).join(kth, query_id, "left").filter(F.col("_kth").isNull() | (F.col("bound") >= F.col("_kth") - SLACK)).drop("_kth")
+    more = _tiles(points, questions, rest, point_id, query_id, k, schema, score, blocks)
+    return _rank(hits.unionByName(more), query_id, point_id, k), first.unionByName(rest)
 
 
 def _rank(hits: DataFrame, query_id: str, point_id: str, k: int) -> DataFrame:
@@ -98,16 +123,71 @@ def _schema(points: DataFrame, questions: DataFrame, query_id: str, point_id: st
         T.StructField("score", T.DoubleType())])
 
 
-def _unit(column: pa.ChunkedArray, rows: int) -> np.ndarray:
-    vectors = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows, -1)
+def _unit(column: pa.Array | pa.ChunkedArray, rows: int) -> np.ndarray:
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    vectors = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows, -1 if rows else 0)
     size = np.linalg.norm(vectors, axis=1, keepdims=True)
     return vectors / np.where(size == 0, 1, size)
 
 
-def dense_topk(points: DataFrame, questions: DataFrame, k: int, point_id: str = "point_id", query_id: str = "query_id",
-               vector: str = "dense", query_vector: str = "dense", group: int = GROUP, block: int = BLOCK) -> DataFrame:
-    """The k points with the highest cosine per question: query_id, point_id, score, rank.
-    Filter the points before calling; a filter does not commute with top-k."""
+def _angles(units: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    if not len(pivots):
+        return np.zeros((len(units), 0))
+    return np.arccos(np.clip(units @ pivots.T, -1, 1))
+
+
+def _far_apart(units: np.ndarray, number: int) -> np.ndarray:
+    """So many of the vectors, each the farthest from those before it."""
+    chosen = [0] if len(units) else []
+    nearest = units @ units[0] if len(units) else np.zeros(0)
+    while len(chosen) < min(number, len(units)):
+        chosen.append(int(nearest.argmin()))
+        nearest = np.maximum(nearest, units @ units[chosen[-1]])
+    return units[chosen]
+
+
+def _around_pivots(stored: DataFrame, asked: DataFrame, point_id: str, query_id: str, group: int, pivots: int) -> tuple[DataFrame, DataFrame]:
+    """(points with their group, bounds): points go to the nearest pivot; pivots are far apart among the points with the
+    smallest hashes, and one with many points has several groups of equal radius."""
+    number = min(pivots, -(-stored.count() // group))
+    sample = stored.withColumn("_h", F.xxhash64(point_id)).orderBy("_h", point_id).limit(SPREAD * max(1, number)).select("_v").toArrow()
+    centres = _far_apart(_unit(sample.column("_v"), sample.num_rows), number)
+    placed_schema = T.StructType([*stored.schema, T.StructField("_c", T.IntegerType()), T.StructField("_a", T.DoubleType())])
+
+    def place(batches):
+        for batch in batches:
+            if batch.num_rows:
+                angles = _angles(_unit(batch.column("_v"), batch.num_rows), centres)
+                nearest = angles.argmin(axis=1)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nearest, pa.int32()), pa.array(angles[np.arange(len(nearest)), nearest])], placed_schema.names)
+
+    placed = materialize(stored.mapInArrow(place, placed_schema), "search-placed")
+    # At most ``pivots`` rows.
+    found = {r["_c"]: (r["n"], r["radius"]) for r in placed.groupBy("_c").agg(F.count(F.lit(1)).alias("n"), F.max("_a").alias("radius")).collect()}
+    parts = [-(-found[c][0] // group) if c in found else 0 for c in range(number)]
+    starts = np.cumsum([0, *parts])[:-1]
+    of = lambda values: F.get(F.array(*[F.lit(int(v)) for v in values]).cast("array<bigint>"), F.col("_c"))
+    grouped = placed.select(point_id, "_v", (of(starts) + F.pmod(F.xxhash64(point_id, F.lit(3)), of([max(1, n) for n in parts]))).cast("bigint").alias("_g"))
+    owner = np.repeat(np.arange(number), np.array(parts, int))
+    radius = np.array([found[c][1] if c in found else 0.0 for c in range(number)], float)
+    bound_schema = T.StructType([asked.schema[query_id], T.StructField("_g", T.LongType()), T.StructField("bound", T.DoubleType())])
+
+    def bound(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, STEP):
+                part = batch.slice(at, STEP)
+                most = np.cos(np.maximum(_angles(_unit(part.column("_v"), part.num_rows), centres) - radius, 0))[:, owner]
+                ids = part.column(query_id).take(pa.array(np.repeat(np.arange(part.num_rows), len(owner))))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.tile(np.arange(len(owner)), part.num_rows)), pa.array(most.ravel())], bound_schema.names)
+
+    return grouped, asked.mapInArrow(bound, bound_schema)
+
+
+def dense_search(points: DataFrame, questions: DataFrame, k: int, point_id: str = "point_id", query_id: str = "query_id",
+                 vector: str = "dense", query_vector: str = "dense", group: int | None = None, block: int = BLOCK, pivots: int = PIVOTS) -> tuple[DataFrame, DataFrame]:
+    """(the k points with the highest cosine per question: query_id, point_id, score, rank; the pairs of question and
+    group that were scored)."""
 
     def score(left: pa.Table, right: pa.Table, top: _TopK) -> None:
         queries = _unit(left.column("_v"), left.num_rows)
@@ -117,13 +197,35 @@ def dense_topk(points: DataFrame, questions: DataFrame, k: int, point_id: str =
 
     stored = points.filter(F.col(vector).isNotNull()).select(point_id, F.col(vector).alias("_v"))
     asked = questions.filter(F.col(query_vector).isNotNull()).select(query_id, F.col(query_vector).alias("_v"))
-    return _rank(_tiles(stored, asked, point_id, query_id, k, _schema(points, questions, query_id, point_id), score, group, block), query_id, point_id, k)
+    grouped, bounds = _around_pivots(stored, asked, point_id, query_id, group or GROUP, pivots)
+    return _search(grouped, asked, bounds, point_id, query_id, k, _schema(points, questions, query_id, point_id), score, block)
+
+
+def dense_topk(points: DataFrame, questions: DataFrame, k: int, point_id: str = "point_id", query_id: str = "query_id", vector: str = "dense", query_vector: str = "dense", **sizes) -> DataFrame:
+    """The hits of ``dense_search``. Filter the points before calling; a filter does not commute with top-k."""
+    return dense_search(points, questions, k, point_id, query_id, vector, query_vector, **sizes)[0]
+
+
+def _by_signature(stored: DataFrame, point_id: str, group: int) -> DataFrame:
+    """Points with their group: neighbours in the order of the least hashes of their terms, so that points with common
+    terms lie together."""
+    groups = max(1, -(-stored.count() // group))
+    least = lambda seed: F.array_min(F.transform("_i", lambda t: F.xxhash64(t, F.lit(seed))))
+    signed = stored.select("*", least(1).alias("_s"), least(2).alias("_t"))
+    dealt = signed.repartitionByRange(groups, "_s", "_t", point_id) if groups > 1 else signed.coalesce(1)
+    return materialize(dealt.select(point_id, "_i", "_v", F.spark_partition_id().cast("bigint").alias("_g")), "search-groups")
+
+
+def group_index(grouped: DataFrame) -> DataFrame:
+    """The inverted index of groups: term, _g, low, high (extreme weights of the term in the group)."""
+    postings = grouped.select("_g", F.inline(F.arrays_zip(F.col("_i").alias("term"), F.col("_v").alias("weight"))))
+    return postings.groupBy("term", "_g").agg(F.min("weight").alias("low"), F.max("weight").alias("high"))
 
 
-def sparse_topk(points: DataFrame, questions: DataFrame, k: int, point_id: str = "point_id", query_id: str = "query_id",
-                vector: str = "sparse", query_vector: str = "sparse", group: int = GROUP, block: int = BLOCK) -> DataFrame:
-    """The k points with the highest dot product of term weights per question. Points that
-    share no term with a question are no hits."""
+def sparse_search(points: DataFrame, questions: DataFrame, k: int, point_id: str = "point_id", query_id: str = "query_id",
+                  vector: str = "sparse", query_vector: str = "sparse", group: int | None = None, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(the k points with the highest dot product of term weights per question, the pairs of question and group that
+    were scored). Points that share no term with a question are no hits."""
 
     def score(left: pa.Table, right: pa.Table, top: _TopK) -> None:
         # Questions by term: for term t the entries start[t]:start[t + 1].
@@ -162,9 +264,19 @@ def sparse_topk(points: DataFrame, questions: DataFrame, k: int, point_id: str =
             top.add(scores, _ids(part.column(point_id).combine_chunks()))
 
     parts = lambda v: [F.col(v).getField("indices").alias("_i"), F.col(v).getField("values").alias("_v")]
-    stored = points.filter(F.col(vector).isNotNull()).select(point_id, *parts(vector))
+    stored = points.filter(F.col(vector).isNotNull() & (F.size(F.col(vector).getField("indices")) > 0)).select(point_id, *parts(vector))
     asked = questions.filter(F.col(query_vector).isNotNull()).select(query_id, *parts(query_vector))
-    return _rank(_tiles(stored, asked, point_id, query_id, k, _schema(points, questions, query_id, point_id), score, group, block), query_id, point_id, k)
+    grouped = _by_signature(stored, point_id, group or GROUP)
+    terms = asked.select(query_id, F.inline(F.arrays_zip(F.col("_i").alias("term"), F.col("_v").alias("asked"))))
+    # A point of the group may have the term or not.
+    most = F.greatest(F.col("asked") * F.col("low"), F.col("asked") * F.col("high"), F.lit(0.0))
+    bounds = terms.join(group_index(grouped), "term").groupBy(query_id, "_g").agg(F.sum(most).alias("bound"))
+    return _search(grouped, asked, bounds, point_id, query_id, k, _schema(points, questions, query_id, point_id), score, block)
+
+
+def sparse_topk(points: DataFrame, questions: DataFrame, k: int, point_id: str = "point_id", query_id: str = "query_id", vector: str = "sparse", query_vector: str = "sparse", **sizes) -> DataFrame:
+    """The hits of ``sparse_search``."""
+    return sparse_search(points, questions, k, point_id, query_id, vector, query_vector, **sizes)[0]
 
 
 def normalize(hits: DataFrame, by: list[str], score: str = "score", out: str = "norm") -> DataFrame:
@@ -180,14 +292,28 @@ def fuse(dense_hits: DataFrame, sparse_hits: DataFrame, dense_weight: float, spa
          point_id: str = "point_id", query_id: str = "query_id") -> DataFrame:
     """Weighted sum of the normalised branches; a point missing from a branch gets 0 there.
     The branches are stacked and grouped by (question, point): one exchange, no full join."""
-    both = dense_hits.select(query_id, point_id, "score", F.lit("dense").alias("branch")).unionByName(
-        sparse_hits.select(query_id, point_id, "score", F.lit("sparse").alias("branch")))
+    lit = lambda v: F.lit(float(v))
+    return _fused(dense_hits, sparse_hits, lit(dense_weight), lit(sparse_weight), lit(threshold), F.lit(top_k), None, point_id, query_id)
+
+
+def fuse_by(dense_hits: DataFrame, sparse_hits: DataFrame, settings: DataFrame, point_id: str = "point_id", query_id: str = "query_id") -> DataFrame:
+    """``fuse`` with each question's own dense_weight, sparse_weight, threshold, top_k and per_branch: the hits are those of
+    a search at the largest ``per_branch``, of which a question takes its own."""
+    own = [F.max(c) for c in ("dense_weight", "sparse_weight", "threshold", "top_k")]
+    cut = lambda hits: hits.join(settings, query_id).filter(F.col("rank") <= F.col("per_branch"))
+    return _fused(cut(dense_hits), cut(sparse_hits), *own, ["dense_weight", "sparse_weight", "threshold", "top_k"], point_id, query_id)
+
+
+def _fused(dense_hits: DataFrame, sparse_hits: DataFrame, dense_weight, sparse_weight, threshold, top_k, carried: list[str] | None, point_id: str, query_id: str) -> DataFrame:
+    names = [query_id, point_id, "score", *(carried or [])]
+    both = dense_hits.select(*names, F.lit("dense").alias("branch")).unionByName(sparse_hits.select(*names, F.lit("sparse").alias("branch")))
     norm = normalize(both, [query_id, "branch"])
     part = lambda name: F.coalesce(F.max(F.when(F.col("branch") == name, F.col("norm"))), F.lit(0.0))
-    total = F.round(F.lit(float(dense_weight)) * part("dense") + F.lit(float(sparse_weight)) * part("sparse"), SCORE_DIGITS)
-    fused = norm.groupBy(query_id, point_id).agg(total.alias("score")).filter(F.col("score") >= threshold)
+    total = F.round(dense_weight * part("dense") + sparse_weight * part("sparse"), SCORE_DIGITS)
+    fused = norm.groupBy(query_id, point_id).agg(total.alias("score"), threshold.alias("_threshold"), top_k.alias("_top_k")).filter(F.col("score") >= F.col("_threshold"))
     w = Window.partitionBy(query_id).orderBy(F.desc("score"), F.asc(point_id))
-    return fused.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_k)
+    ranked = fused.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= F.col("_top_k"))
+    return ranked.drop("_threshold", "_top_k")
 
 
 def hybrid_search(points: DataFrame, questions: DataFrame, per_branch: int = 50, dense_weight: float = 0.5, sparse_weight: float = 0.5,
@@ -201,6 +327,14 @@ def hybrid_search(points: DataFrame, questions: DataFrame, per_branch: int = 50,
         dense_weight, sparse_weight, threshold, top_k, point_id, query_id)
 
 
+def hybrid_search_by(points: DataFrame, questions: DataFrame, settings: DataFrame, source_type: str | None = None, point_id: str = "point_id", query_id: str = "query_id") -> DataFrame:
+    """``hybrid_search`` with settings as a table: query_id and the columns that ``fuse_by`` reads. One search at the
+    largest ``per_branch`` serves all questions, however many settings there are."""
+    most = settings.agg(F.max("per_branch")).first()[0] or 1
+    pool = points if source_type is None else points.filter(F.col("source_type") == source_type)
+    return fuse_by(dense_topk(pool, questions, most, point_id, query_id), sparse_topk(pool, questions, most, point_id, query_id), settings, point_id, query_id)
+
+
 def encode_questions(questions: DataFrame, text: str = "text", **params) -> DataFrame:
     """Questions go through the document encoder."""
     return sparse_vector(questions, text, **params)

@@ -238,3 +238,16 @@ numbered AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY block,
 def retrieve_full(t: Tables) -> DataFrame:
     q, cards, rules, p = retrieval_inputs(t)
     return retrieve.retrieve(q, cards, rules, p).select("query_id", "number", "source", "title", "score", "match_type")
+
+
+_OWN_RESULTS = FULL_RESULTS.replace("FROM ruled WHERE n <= 20", "FROM ruled WHERE n <= text_id % 7").replace("FROM h JOIN pay", "FROM (SELECT * FROM h WHERE rank <= 1 + query_id % 10) h JOIN pay").replace("FROM r JOIN pay", "FROM (SELECT * FROM r WHERE rank <= query_id % 6) r JOIN pay")
+
+
+@query("retrieve_by_settings", f"WITH RECURSIVE {_OWN_RESULTS} SELECT query_id, number, source, title, score, match_type FROM numbered")
+def retrieve_by_settings(t: Tables) -> DataFrame:
+    """The full retrieval with every question's own limits."""
+    q, cards, rules, p = retrieval_inputs(t)
+    k = F.col("query_id")
+    own = q.select("query_id", F.lit(0.5).alias("hybrid_dense_weight"), F.lit(0.5).alias("hybrid_sparse_weight"), (1 + k % 10).cast("int").alias("hybrid_top_k"), F.lit(50).alias("hybrid_per_branch_limit"),
+                   F.lit(0.0).alias("hybrid_score_threshold"), (k % 6).cast("int").alias("rules_top_k"), (k % 7).cast("int").alias("card_ruling_limit"))
+    return retrieve.retrieve(q, cards, rules, p, settings=own).select("query_id", "number", "source", "title", "score", "match_type")

@@ -159,15 +159,18 @@ def _generator():
     return write
 
 
-@query("answered_questions", f"""WITH RECURSIVE {FULL_RESULTS}, ctx AS (SELECT query_id, length(string_agg('[' || number || '] ' || label || ': ' || text, chr(10) || chr(10) ORDER BY number)) AS n FROM numbered GROUP BY query_id)
-SELECT id AS query_id, CASE WHEN n IS NULL THEN 'Yes. See 0.' ELSE 'Yes [1]. See ' || n || '.' END AS answer, TRUE AS answer_complete, (n IS NOT NULL)::INT AS cited_count, CASE WHEN n IS NULL THEN 2 ELSE 1 END AS invalid_count, FALSE AS cached
-FROM qs LEFT JOIN ctx ON query_id = id WHERE length(text) <= 500""")
+@query("answered_questions", f"""WITH RECURSIVE {FULL_RESULTS}, ctx AS (SELECT query_id, length(string_agg('[' || number || '] ' || label || ': ' || text, chr(10) || chr(10) ORDER BY number)) AS n, count(*) AS m FROM numbered GROUP BY query_id)
+SELECT id AS query_id, id % 3 = 0 AS bare, CASE WHEN bare THEN NULL WHEN n IS NULL THEN 'Yes. See 0.' WHEN m >= 99 THEN 'Yes [1]. See ' || n || ' [99].' ELSE 'Yes [1]. See ' || n || '.' END AS answer, CASE WHEN NOT bare THEN TRUE END AS answer_complete,
+ CASE WHEN NOT bare THEN (n IS NOT NULL)::INT + (coalesce(m, 0) >= 99)::INT END AS cited_count, CASE WHEN NOT bare THEN (n IS NULL)::INT + (coalesce(m, 0) < 99)::INT END AS invalid_count, FALSE AS cached
+FROM qs LEFT JOIN ctx ON query_id = id WHERE length(text) <= 500 AND id % 5 <> 0""")
 def answered_questions(t: Tables) -> DataFrame:
+    """Questions of visitors: every third wants results only, every fifth brings settings that visitors may not bring."""
     q, cards, rules, points = retrieval_inputs(t)
-    vectors = q.select("query_id", "dense", "sparse")
+    vectors, no_map = q.select("query_id", "dense", "sparse"), F.create_map().cast("map<string,string>")
     asked = q.select("query_id", F.col("text").alias("query")).withColumns({
-        "overrides": F.create_map().cast("map<string,string>"), "fresh": F.lit(False), "may_refresh": F.lit(False), "source": F.lit(None).cast("string"), "ip_bucket": F.lit("b"), "is_admin": F.lit(False),
+        "overrides": F.when(F.col("query_id") % 5 == 0, F.create_map(F.lit("rules_top_k"), F.lit("1"))).otherwise(no_map), "generate": F.col("query_id") % 3 != 0,
+        "fresh": F.lit(False), "may_refresh": F.lit(False), "source": F.lit(None).cast("string"), "ip_bucket": F.lit("b"), "is_admin": F.lit(False),
         "created_at": F.timestamp_seconds(F.col("query_id") + 1_700_000_000)})
     empty = t.spark.createDataFrame([], "key string, answer string, created_at timestamp")
     a = answering.answer_questions(asked, lambda d: d.join(vectors, "query_id"), cards, rules, points, empty, _generator, "v1", "g:m", "m", retrieve.SearchSettings(), Pricing(1.0, 2.0))
-    return a.responses.select("query_id", "answer", "answer_complete", "cited_count", "invalid_count", "cached")
+    return a.responses.select("query_id", (F.col("query_id") % 3 == 0).alias("bare"), "answer", "answer_complete", "cited_count", "invalid_count", "cached")

@@ -210,3 +210,86 @@ def test_rules_only_search_can_be_turned_off(spark):
     on = retrieve.retrieve(asked, cards, rules.limit(0), points, retrieve.SearchSettings(rules_top_k=5, hybrid_top_k=1))
     assert {r["match_type"] for r in off.collect()} == {"vector_hit"}
     assert [r["match_type"] for r in on.orderBy("number").collect()] == ["rule_vector_hit", "vector_hit"]
+
+
+def test_greedy_spans_of_a_long_chain(spark):
+    chain = spark.range(100_000).select(F.lit(1).alias("text_id"), F.lit("k").alias("key"), F.col("id").cast("int").alias("start"), (F.col("id") + 2 + (F.col("id") * 7919 % 5 == 0).cast("int")).cast("int").alias("end"))
+    got = [(r["start"], r["end"]) for r in matching.greedy_spans(chain).orderBy("start").collect()]
+    free = np.ones(100_010, bool)
+    want = []
+    for i in sorted(range(100_000), key=lambda i: (-(2 + (i * 7919 % 5 == 0)), i)):
+        end = i + 2 + (i * 7919 % 5 == 0)
+        if free[i:end].all():
+            free[i:end] = False
+            want.append((i, end))
+    assert got == sorted(want)
+
+
+def test_no_gram_is_built_for_words_that_open_no_name(spark):
+    texts = spark.createDataFrame([(1, "Bolt of the fog " * 50)], "text_id int, text string")
+    plan = matching.phrase_matches(texts, keys_of(spark, NAMES))._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" not in plan and "getbit" in plan and plan.index("getbit") < plan.index("array_join")
+
+
+def clustered(rng, n, dim=8, centres=12):
+    base = rng.normal(size=(centres, dim)) * 5
+    return base[rng.integers(0, centres, n)] + rng.normal(size=(n, dim)) * 0.2
+
+
+@pytest.mark.parametrize("group", [7, 40])
+def test_dense_search_visits_only_groups_that_can_matter(spark, group):
+    rng = np.random.default_rng(7)
+    base = clustered(rng, 600)
+    base[5] = base[17] = 0
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(base)], "point_id long, dense array<float>")
+    asked = df.filter("point_id % 9 = 0 or point_id in (5, 17)").withColumnRenamed("point_id", "query_id")
+    hits, visits = search.dense_search(df, asked, 6, group=group, block=16, pivots=40)
+    got = {}
+    for r in hits.collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["point_id"], round(r["score"], 6)))
+    exact = np.array(base, np.float32).astype(float)
+    for q, rows in got.items():
+        want = sorted(((i, cosine(exact[q], v)) for i, v in enumerate(exact)), key=lambda x: (-x[1], x[0]))[:6]
+        assert [r[1:] for r in sorted(rows)] == [(i, pytest.approx(s, abs=1e-6)) for i, s in want]
+    asked_n, seen = asked.count(), visits.distinct().count()
+    groups = visits.select("_g").distinct().count()  # a question without direction visits them all
+    assert len(got) == asked_n and visits.count() == seen < 0.5 * asked_n * groups
+
+
+@pytest.mark.parametrize("group", [5, 30])
+def test_sparse_search_visits_only_groups_that_can_matter(spark, group):
+    rng = random.Random(6)
+    worlds = [[f"{w}{i}" for i in range(30)] for w in "abcdefgh"]
+    texts = [" ".join(rng.choice(rng.choice(worlds) if rng.random() < 0.05 else worlds[i % 8]) for _ in range(rng.randint(0, 25))) for i in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "point_id long, text string")
+    docs, asked = encode.sparse_vector(df, "text"), encode.sparse_vector(df.filter("point_id % 11 = 0").withColumnRenamed("point_id", "query_id"), "text")
+    hits, visits = search.sparse_search(docs, asked, 5, group=group, block=8)
+    got = {}
+    for r in hits.collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["point_id"], r["score"]))
+
+    def weights(t):
+        w = t.split()
+        return {x: w.count(x) * 2.2 / (w.count(x) + 1.2 * (0.25 + 0.75 * len(w) / 256)) for x in set(w)}
+
+    for q in range(0, 400, 11):
+        mine = weights(texts[q])
+        scores = [(i, round(sum(mine[x] * w[x] for x in mine if x in w), 6)) for i, w in ((i, weights(t)) for i, t in enumerate(texts))]
+        want = sorted((s for s in scores if s[1] > 0), key=lambda s: (-s[1], s[0]))[:5]
+        assert [g[1:] for g in sorted(got.get(q, []))] == want
+    assert visits.count() < 0.6 * asked.count() * (400 / group)
+
+
+def test_settings_by_question_equal_one_search_each(spark):
+    rng = np.random.default_rng(3)
+    words = "alpha beta gamma delta epsilon zeta".split()
+    rows = [(i, "rule" if i % 3 else "oracle", " ".join(rng.choice(words, 5)), [float(x) for x in rng.normal(size=6)]) for i in range(80)]
+    points = encode.sparse_vector(spark.createDataFrame(rows, "point_id long, source_type string, text string, dense array<float>"), "text")
+    asked = points.filter("point_id < 6").withColumnRenamed("point_id", "query_id")
+    settings = [(q, 0.2 * q, 1 - 0.2 * q, 0.1 * q, 3 + q, 10 + 5 * q) for q in range(6)]
+    table = spark.createDataFrame(settings, "query_id long, dense_weight double, sparse_weight double, threshold double, top_k int, per_branch int")
+    got = sorted(map(tuple, search.hybrid_search_by(points, asked, table, "rule").select("query_id", "point_id", "score", "rank").collect()))
+    want = []
+    for q, d, s, t, k, n in settings:
+        want += map(tuple, search.hybrid_search(points, asked.filter(F.col("query_id") == q), n, d, s, t, k, "rule").select("query_id", "point_id", "score", "rank").collect())
+    assert got == sorted(want)
