@@ -197,6 +197,8 @@ def dense_search(points: DataFrame, questions: DataFrame, k: int, point_id: str
 
     stored = points.filter(F.col(vector).isNotNull()).select(point_id, F.col(vector).alias("_v"))
     asked = questions.filter(F.col(query_vector).isNotNull()).select(query_id, F.col(query_vector).alias("_v"))
+    # Vectors may be costly to make, and are read several times.
+    stored, asked = materialize(stored, "search-points"), materialize(asked, "search-questions")
     grouped, bounds = _around_pivots(stored, asked, point_id, query_id, group or GROUP, pivots)
     return _search(grouped, asked, bounds, point_id, query_id, k, _schema(points, questions, query_id, point_id), score, block)
 
@@ -266,6 +268,7 @@ def sparse_search(points: DataFrame, questions: DataFrame, k: int, point_id: str
     parts = lambda v: [F.col(v).getField("indices").alias("_i"), F.col(v).getField("values").alias("_v")]
     stored = points.filter(F.col(vector).isNotNull() & (F.size(F.col(vector).getField("indices")) > 0)).select(point_id, *parts(vector))
     asked = questions.filter(F.col(query_vector).isNotNull()).select(query_id, *parts(query_vector))
+    stored, asked = materialize(stored, "search-points"), materialize(asked, "search-questions")
     grouped = _by_signature(stored, point_id, group or GROUP)
     terms = asked.select(query_id, F.inline(F.arrays_zip(F.col("_i").alias("term"), F.col("_v").alias("asked"))))
     # A point of the group may have the term or not.
