@@ -126,7 +126,8 @@ def links(documents: DataFrame, leaders: DataFrame, width: int = WIDTH) -> DataF
     pairs = one.join(two, "v").where((F.col("a") < F.col("b")) & _similar_sizes("x", "y")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("overlap"))
     pairs = materialize(pairs, "near-pairs")
     crowded = materialize(lists.join(lengths.where(f"m > {SHORT}").select("v"), "v", "left_semi").select("doc").distinct(), "near-crowded")
-    wanted = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).unionByName(crowded).distinct()
+    # Written first: its size is known then, and where it is small the texts need not be shuffled to it.
+    wanted = materialize(pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).unionByName(crowded).distinct(), "near-wanted")
     sets = materialize(_full_sets(documents, wanted, width), "near-sets")
     found = materialize(_check(pairs, sets), "near-links")
     if crowded.isEmpty():
