@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.usage import Quota
-from ..session import fresh_path
+from ..session import fresh_path, materialize
 from ..streaming import answers as sa
 from ..streaming import run
 from ..streaming import usage as su
@@ -46,13 +46,27 @@ def fold_answers_batch(t: Tables) -> DataFrame:
     return _shown(sa.fold_batch(answer_events(t)))
 
 
+def arriving_events(t: Tables, slots: int = 2) -> DataFrame:
+    """The recorded streams in ``slots`` arrivals by time, each event up to eight minutes late: later ones overtake it."""
+    events = materialize(answer_events(t), "answer-events")
+    first, last = events.agg(F.min(F.unix_seconds("ts")), F.max(F.unix_seconds("ts"))).first()
+    late = F.pmod(F.xxhash64("stream_id", "seq"), F.lit(480))
+    place = (F.unix_seconds("ts") + late - F.lit(first)) * slots / F.lit((last or 0) - (first or 0) + 481)
+    return events.withColumn("slot", F.floor(place))
+
+
 @query("stream_final_answers", f"WITH {FINAL}")
 def stream_final_answers(t: Tables) -> DataFrame:
-    path = fresh_path(t.spark, "answer-events")
-    events = answer_events(t)
-    events.write.parquet(path)
-    stream = t.spark.readStream.schema(events.schema).parquet(path)
-    return _shown(sa.final_answers(run.updates_to_table(sa.fold_stream(stream), "final-answers")))
+    return _shown(sa.final_answers(run.in_arrivals(arriving_events(t), "slot", 2, sa.fold_stream, "final-answers")))
+
+
+@query("stream_live_view", """SELECT 's' || conv_id AS stream_id, string_agg(role || ' [' || (turn + 1) || '] ', '' ORDER BY turn) AS answer, CASE WHEN max(turn) >= 1 THEN '1,2' ELSE '1' END AS live_citations
+FROM conversations WHERE conv_id % 5 = 2 GROUP BY conv_id""")
+def stream_live_view(t: Tables) -> DataFrame:
+    """What readers of the streams that never end see last."""
+    live = sa.live_view(run.in_arrivals(arriving_events(t), "slot", 2, sa.fold_stream, "live-view").filter(F.pmod(F.substring("stream_id", 2, 20).cast("long"), F.lit(5)) == 2))
+    last = live.groupBy("stream_id").agg(F.max_by(F.struct("answer", "live_citations"), F.struct("seq", F.length("answer"))).alias("s"))
+    return _shown(last.select("stream_id", "s.*"))
 
 
 @query("accumulated_chunks", """SELECT conv_id AS stream_id, string_agg(text, '' ORDER BY turn) AS text, arg_max(CASE WHEN role = 'user' THEN turn END, turn) FILTER (role = 'user') AS input_tokens, (SELECT 'STOP') AS finish_reason FROM conversations GROUP BY conv_id""")
@@ -105,6 +119,32 @@ def stream_settlements(t: Tables) -> DataFrame:
     return updates.groupBy("id").agg(F.max_by(F.struct("outcome", "cost_usd"), "batch").alias("s")).select("id", "s.*")
 
 
+_CLOSED = """CASE event_id % 5 WHEN 0 THEN 'settled' WHEN 1 THEN 'cancelled' WHEN 2 THEN 'cancelled' WHEN 3 THEN 'pending' ELSE 'settled' END AS outcome,
+ round(CASE event_id % 5 WHEN 0 THEN value / 1000 WHEN 1 THEN 0 WHEN 2 THEN 0 ELSE value / 100 END, 6) AS cost_usd"""
+
+
+@query("stream_reservations", f"SELECT event_id AS id, {_CLOSED} FROM events")
+def stream_reservations(t: Tables) -> DataFrame:
+    """Every event reserves; by its id it settles, cancels, does both, neither, or settles without a cost. Two arrivals, in
+    which closings overtake their reservations."""
+    e = t.events.select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").cast("double").alias("v"), F.pmod("event_id", F.lit(5)).alias("m"))
+    later = lambda minutes: F.col("ts") + F.make_dt_interval(mins=F.lit(minutes))
+    steps = F.array(
+        F.struct(F.lit("reserve").alias("kind"), F.col("ts").alias("ts"), (F.col("v") / 100).alias("cost_usd")),
+        F.when(F.col("m") == 0, F.struct(F.lit("settle").alias("kind"), later(1).alias("ts"), (F.col("v") / 1000).alias("cost_usd"))),
+        F.when(F.col("m").isin(1, 2), F.struct(F.lit("cancel").alias("kind"), later(1).alias("ts"), F.lit(None).cast("double").alias("cost_usd"))),
+        F.when(F.col("m") == 2, F.struct(F.lit("settle").alias("kind"), later(2).alias("ts"), (F.col("v") / 1000).alias("cost_usd"))),
+        F.when(F.col("m") == 4, F.struct(F.lit("settle").alias("kind"), later(1).alias("ts"), F.lit(None).cast("double").alias("cost_usd"))))
+    events = materialize(e.select("id", F.explode(F.array_compact(steps)).alias("s")).select("id", "s.*"), "reservation-events")
+    first, last = events.agg(F.min(F.unix_seconds("ts")), F.max(F.unix_seconds("ts"))).first()
+    late = F.pmod(F.xxhash64("id", "kind"), F.lit(480))
+    place = (F.unix_seconds("ts") + late - F.lit(first)) * 2 / F.lit((last or 0) - (first or 0) + 481)
+    updates = run.in_arrivals(events.withColumn("slot", F.floor(place)), "slot", 2, su.reservations, "reservations")
+    last_state = updates.groupBy("id").agg(F.max_by(F.struct("outcome", "cost_usd"), F.struct("batch", F.col("outcome") == "expired")).alias("s"))
+    outcome = F.when(F.col("s.outcome") == "expired", "pending").otherwise(F.col("s.outcome"))
+    return last_state.select("id", outcome.alias("outcome"), F.round("s.cost_usd", 6).alias("cost_usd"))
+
+
 @query("stream_sync", """SELECT doc_id::VARCHAR AS point_id, sha256(text) AS content_hash, length(text)::DOUBLE AS vector FROM documents""")
 def stream_sync(t: Tables) -> DataFrame:
     """The documents as one snapshot that comes in several batches, its end in the last."""

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from ..functions.text import visible_draft
 from ..operators.citations import live_numbers
@@ -72,46 +72,81 @@ def fold_batch(events: DataFrame, broken: str = "The connection was lost.") -> D
         F.when(phase == "result", F.col("end.complete")).alias("complete"), F.when(~good, UNREADABLE).alias("message")), broken)
 
 
-_STATE = "phase string, draft string, answer string, complete boolean, message string, sources array<long>, seq long"
+_EVENT = "event string, text string, complete boolean, sources array<long>, seq long, at long"
+_STATE = "phase string, draft string, answer string, complete boolean, message string, sources array<long>, seq long, events long"
 _OUT = f"stream_id string, {_STATE}, timed_out boolean"
+_START = ("loading", "", None, None, None, [], -1, 0)
+
+
+def _advance(state: tuple, rows: list[tuple]) -> tuple:
+    """The state after further events, in order of ``seq``: everything up to the end of the stream at once."""
+    if not rows:
+        return state
+    phase, draft, answer, complete, message, sources, seq, events = state
+    seq, events = max(seq, rows[-1][4]), events + len(rows)
+    if phase == "loading":
+        first, rows = rows[0], rows[1:]
+        if first[0] == "results":
+            phase, sources = "streaming", list(first[3] or [])
+        else:
+            phase, message = "failed", UNREADABLE
+    if phase == "streaming":
+        end = next((i for i, r in enumerate(rows) if r[0] in ("results", "done")), len(rows))
+        draft += "".join(r[1] or "" for r in rows[:end] if r[0] == "delta")
+        if end < len(rows):
+            phase, answer, complete = ("result", rows[end][1], rows[end][2]) if rows[end][0] == "done" else ("cut", None, None)
+    return phase, draft, answer, complete, message, sources, seq, events
+
+
+class AnswerFold(StatefulProcessor):
+    """State of one answer: what is folded for good, and the events that an earlier one may still precede. One value, as
+    every access to state is a round trip from Python: one read and one write per stream and micro-batch."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.known = handle.getValueState("known", f"{_STATE}, last long, tail array<struct<{_EVENT.replace(' ', ':').replace(',:', ', ')}>>")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        mark, known = timerValues.getCurrentWatermarkInMs(), self.known.get()
+        *state, last, tail = known if known is not None else (*_START, -1, [])
+        tail = sorted([tuple(e) for e in tail] + [(r.event, r.text, r.complete, r.sources, r.seq, r.at) for r in rows], key=lambda r: (r[4], r[5]))
+        last = max([last, *(r[5] for r in tail)])
+        if known is None:
+            self.handle.registerTimer(max(last, mark) + 1)
+        # Nothing at or before the watermark can still arrive.
+        safe = next((i for i, r in enumerate(tail) if r[5] > mark), len(tail))
+        now = _advance(tuple(state), tail[:safe])
+        self.known.update((*now, last, tail[safe:]))
+        yield Row(stream_id=key[0], **dict(zip(_NAMES, _advance(now, tail[safe:]))), timed_out=False)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
+        *state, last, tail = self.known.get()
+        if last >= timerValues.getCurrentWatermarkInMs():
+            self.handle.registerTimer(last + 1)
+            return
+        self.known.clear()
+        state = _advance(tuple(state), [tuple(e) for e in tail])
+        if state[0] in ("loading", "streaming"):
+            yield Row(stream_id=key[0], **dict(zip(_NAMES, state)), timed_out=True)
+
+
+_NAMES = [part.split()[0] for part in _STATE.split(", ")]
 
 
 def fold_stream(events: DataFrame, silence: str = "10 minutes") -> DataFrame:
-    """The same fold as a stateful streaming query: per micro-batch the state of every
-    stream that moved. A stream silent for ``silence`` of event time is broken."""
-    typed = typed_events(events).withWatermark("ts", silence)
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        phase, draft, answer, complete, message, sources, seq = state.get if state.exists else ("loading", "", None, None, None, [], -1)
-        timed_out = state.hasTimedOut
-        if timed_out:
-            state.remove()
-        else:
-            rows = pd.concat(list(batches)).sort_values("seq")
-            for event, text, done, numbers, at in zip(rows["event"], rows["text"], rows["complete"], rows["sources"], rows["seq"]):
-                seq = int(at)
-                if phase == "loading" and event == "results":
-                    phase, sources = "streaming", [] if numbers is None else [int(n) for n in numbers]
-                elif phase == "loading":
-                    phase, message = "failed", UNREADABLE
-                elif phase == "streaming" and event == "delta":
-                    draft += text or ""
-                elif phase == "streaming" and event == "done":
-                    phase, answer, complete = "result", text, None if done is None or pd.isna(done) else bool(done)
-                elif phase == "streaming" and event == "results":
-                    phase = "cut"
-            state.update((phase, draft, answer, complete, message, sources, seq))
-            if phase in ("loading", "streaming"):
-                state.setTimeoutTimestamp(max(int(rows["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs() + 1) + 1)
-        yield pd.DataFrame([{"stream_id": key[0], "phase": phase, "draft": draft, "answer": answer, "complete": complete,
-                             "message": message, "sources": sources, "seq": seq, "timed_out": timed_out}])
-
-    return typed.groupBy("stream_id").applyInPandasWithState(step, _OUT, _STATE, "update", GroupStateTimeout.EventTimeTimeout)
+    """The same fold as a stateful streaming query: per micro-batch the fold of all that has arrived of every stream that
+    moved. Events may come in any order of batches, no more than ``silence`` behind the newest; a stream's times must not
+    fall as ``seq`` rises. A stream silent for ``silence`` of event time is broken unless it has ended, and its state goes
+    either way, so an event after that begins a stream of its own, which ``final_answers`` lets yield to the longer one.
+
+    Needs the RocksDB state store, which the functions of ``run`` set."""
+    typed = typed_events(events).withWatermark("ts", silence).withColumn("at", F.unix_millis("ts"))
+    return typed.groupBy("stream_id").transformWithState(AnswerFold(), _OUT, "Update", "EventTime")
 
 
 def final_answers(updates: DataFrame, broken: str = "The connection was lost.") -> DataFrame:
     """Last state per stream of a table of updates, with streams that stopped half-way cut off."""
-    last = updates.groupBy("stream_id").agg(F.max_by(F.struct(*[c for c in updates.columns if c not in ("stream_id", "batch")]), F.struct("seq", "timed_out")).alias("s"))
+    last = updates.groupBy("stream_id").agg(F.max_by(F.struct(*[c for c in updates.columns if c not in ("stream_id", "batch")]), F.struct("events", "timed_out")).alias("s"))
     d = last.select("stream_id", "s.*").withColumn("phase", F.when(F.col("phase") == "cut", "streaming").otherwise(F.col("phase")))
     return _final(d, broken)
 

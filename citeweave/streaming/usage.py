@@ -6,9 +6,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from ..functions.usage import Quota
 from ..operators import sync
@@ -103,6 +105,55 @@ def settlements(events: DataFrame) -> DataFrame:
     return events.groupBy("id").agg(F.max_by(F.struct("outcome", "cost_usd"), "ts").alias("s")).select("id", "s.outcome", "s.cost_usd")
 
 
+class Reservation(StatefulProcessor):
+    """State of one answer's cost: what was reserved, and the first event that closed it."""
+
+    def __init__(self, patience_ms: int) -> None:
+        self.patience = patience_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", "reserved double, kind string, cost double, at long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        known = self.held.get()
+        reserved, kind, cost, at = known if known is not None else (None, None, None, None)
+        events = list(rows)
+        costs = [r.cost_usd for r in events if r.kind == "reserve" and r.cost_usd is not None]
+        reserved = max([*costs, *([reserved] if reserved is not None else [])], default=None)
+        closings = [(r.at, r.kind, r.cost_usd) for r in events if r.kind in ("settle", "cancel")] + ([(at, kind, cost)] if kind else [])
+        if closings:
+            at, kind, cost = min(closings, key=lambda c: (c[0], c[1]))
+        if known is None:
+            self.handle.registerTimer(max(max(r.at for r in events) + self.patience, timerValues.getCurrentWatermarkInMs() + 1))
+        self.held.update((reserved, kind, cost, at))
+        yield _shown(key[0], reserved, kind, cost)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
+        reserved, kind, _, _ = self.held.get()
+        self.held.clear()
+        if kind is None:
+            yield Row(id=key[0], outcome="expired", cost_usd=reserved)
+
+
+def _shown(id_: int, reserved: float | None, kind: str | None, cost: float | None) -> Row:
+    outcome, amount = {"settle": ("settled", reserved if cost is None else cost), "cancel": ("cancelled", 0.0), None: ("pending", reserved)}[kind]
+    return Row(id=id_, outcome=outcome, cost_usd=amount)
+
+
+def reservations(events: DataFrame, late: str = "10 minutes", patience_minutes: int = 60) -> DataFrame:
+    """Cost per answer from events (id, kind, ts, cost_usd), update mode, one row per answer and micro-batch that moved it.
+
+    ``reserve`` holds the worst case; the first ``settle`` or ``cancel`` by time closes it, whichever batch it comes in: at
+    its own cost (without one, at the worst case), or at nothing. A closing may overtake its reservation. After
+    ``patience_minutes`` of event time the state goes, with a last row ``expired`` at the worst case where nothing closed it;
+    a closing that comes later still counts by itself. Other kinds are ignored, rows without an id are dropped, and of equal
+    times a cancel comes first. Needs the RocksDB state store, which the functions of ``run`` set."""
+    known = events.withWatermark("ts", late).where("id is not null and kind in ('reserve', 'settle', 'cancel')")
+    rows = known.select(F.col("id").cast("long").alias("id"), "kind", F.col("cost_usd").cast("double").alias("cost_usd"), "ts", F.unix_millis("ts").alias("at"))
+    return rows.groupBy("id").transformWithState(Reservation(patience_minutes * 60_000), "id long, outcome string, cost_usd double", "Update", "EventTime")
+
+
 def distinct_questions(questions: DataFrame, within: str = "1 day", ts: str = "ts", key: str = "key") -> DataFrame:
     """The first request of every key; the key holds the data version, so a new version
     makes a question new."""

@@ -181,6 +181,42 @@ def test_silent_stream_times_out(spark, tmp_path):
     assert [(r["stream_id"], r["draft"]) for r in rows] == [("quiet", "half")]
 
 
+def test_stream_fold_with_events_out_of_order(spark):
+    rng = random.Random(4)
+    for slots in (2, 5):
+        arrival = {(s, n): rng.randrange(slots) for s, n, _, _ in EVENTS}
+        rows = [(s, n, NOW + dt.timedelta(seconds=n), e, d, arrival[s, n]) for s, n, e, d in EVENTS]
+        table = spark.createDataFrame(rows, "stream_id string, seq long, ts timestamp, event string, data string, slot long")
+        assert folded(sa.final_answers(run.in_arrivals(table, "slot", slots, sa.fold_stream, "disorder-test"))) == FOLDED
+
+
+def test_state_of_finished_streams_goes(spark, tmp_path):
+    rows = [(s, n, NOW + dt.timedelta(seconds=n), e, d, 0) for s, n, e, d in EVENTS] + [("new", 0, NOW + dt.timedelta(days=1), "results", "{}", 1)]
+    table = spark.createDataFrame(rows, "stream_id string, seq long, ts timestamp, event string, data string, slot long")
+    kept, source, path = (str(tmp_path / name) for name in ("checkpoint", "in", "out"))
+    for part, left in ((0, 7), (1, 1)):
+        table.filter(F.col("slot") == part).drop("slot").write.mode("append").parquet(source)
+        stream = spark.readStream.schema(table.drop("slot").schema).parquet(source)
+        updates = run.updates_to_table(sa.fold_stream(stream), "state-test", "update", kept, path)
+        with run.rocksdb(spark):
+            assert spark.read.format("statestore").option("stateVarName", "known").load(kept).count() == left
+    assert folded(sa.final_answers(updates.filter("stream_id <> 'new'"))) == FOLDED
+
+
+def test_reservations_settle_cancel_and_expire(spark):
+    minute = lambda n: NOW + dt.timedelta(minutes=n)
+    rows = [(1, "reserve", 0, 5.0, 0), (1, "settle", 1, 2.0, 0), (2, "reserve", 0, 5.0, 0), (2, "cancel", 2, None, 1), (3, "settle", 3, 1.0, 0), (3, "reserve", 2, 5.0, 1),
+            (4, "reserve", 0, 7.0, 0), (5, "settle", 4, 3.0, 0), (5, "cancel", 3, None, 1), (5, "reserve", 1, 9.0, 1), (6, "reserve", 2, 4.0, 0), (6, "settle", 5, None, 1), (7, "other", 1, 1.0, 0),
+            (None, "reserve", 1, 1.0, 0), (8, "reserve", 24 * 60, 6.0, 2), (9, "settle", 2, 8.0, 1), (9, "settle", 1, 3.0, 1)]
+    table = spark.createDataFrame([(i, k, minute(m), c, s) for i, k, m, c, s in rows], "id long, kind string, ts timestamp, cost_usd double, slot long")
+    updates = run.in_arrivals(table, "slot", 3, su.reservations, "reservation-test")
+    last = updates.groupBy("id").agg(F.max_by(F.struct("outcome", "cost_usd"), F.struct("batch", F.col("outcome") == "expired")).alias("s")).select("id", "s.*")
+    want = {1: ("settled", 2.0), 2: ("cancelled", 0.0), 3: ("settled", 1.0), 4: ("expired", 7.0), 5: ("cancelled", 0.0), 6: ("settled", 4.0), 8: ("pending", 6.0), 9: ("settled", 3.0)}
+    assert {r["id"]: (r["outcome"], r["cost_usd"]) for r in last.collect()} == want
+    empty = run.in_arrivals(table.limit(0), "slot", 1, su.reservations, "reservation-test")
+    assert empty.count() == 0
+
+
 def test_head_and_done_join(spark, tmp_path):
     e = events(spark)
     e.write.parquet(str(tmp_path / "e"))
