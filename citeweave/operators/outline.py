@@ -77,22 +77,26 @@ def parse_outline(documents: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
 
 def with_ancestors(nodes: DataFrame, node: str = "rule_id", parent: str = "parent_id", text: str = "text") -> DataFrame:
-    """Add ``ancestors``: array of (id, text), top level first, up to the first parent that is not in the table. One
-    join per level of the deepest tree; a node that is its own ancestor raises."""
-    lookup = nodes.select(F.col(node).alias("_id"), F.col(text).alias("_t"), F.col(parent).alias("_p"))
-    step = F.array(F.struct(F.col("_id").cast("string").alias("id"), F.col("_t").alias("text")))
-    # Chains of distinct parents only: many nodes share one.
-    chains = nodes.where(F.col(parent).isNotNull()).select(F.col(parent).alias("_from")).distinct().withColumn("_next", F.col("_from"))
-    chains = chains.withColumn("ancestors", F.array().cast("array<struct<id:string,text:string>>"))
+    """Add ``ancestors``: array of (id, text), top level first, up to the first parent that is not in the table. Chains
+    double: a round joins each to the chain of the node that it stops at, so rounds grow with the logarithm of the depth.
+    A node that is its own ancestor raises."""
+    item = "array<struct<id:string,text:string>>"
+    # Chains of distinct parents only, each with the parent itself: many nodes share one.
+    parents = nodes.where(F.col(parent).isNotNull()).select(F.col(parent).alias("_child_of")).distinct()
+    start = F.array(F.struct(F.col(node).cast("string").alias("id"), F.col(text).alias("text"))).cast(item)
+    chains = nodes.select(F.col(node).alias("_from"), F.col(parent).alias("_next"), start.alias("ancestors"))
+    chains = materialize(chains.join(parents, F.col("_from") == F.col("_child_of"), "left_semi"), "ancestors")
     while True:
-        chains = chains.join(lookup, F.col("_next") == F.col("_id"), "left")
-        chains = materialize(chains.select("_from", F.col("_p").alias("_next"), F.when(F.col("_id").isNotNull(), F.concat(step, "ancestors")).otherwise(F.col("ancestors")).alias("ancestors")), "ancestors")
         seen = F.exists("ancestors", lambda a: a["id"] == F.col("_next").cast("string"))
         state = chains.agg(F.count_if(F.col("_next").isNotNull()), F.count_if(seen)).first()
         if state[1]:
             raise ValueError("a node is its own ancestor")
         if not state[0]:
             break
+        above = chains.select(F.col("_from").alias("_at"), F.col("_next").alias("_beyond"), F.col("ancestors").alias("_above"))
+        longer = chains.where(F.col("_next").isNotNull()).join(above, F.col("_next") == F.col("_at"), "left")
+        longer = longer.select("_from", F.col("_beyond").alias("_next"), F.concat(F.coalesce("_above", F.array().cast(item)), F.col("ancestors")).alias("ancestors"))
+        chains = materialize(chains.where(F.col("_next").isNull()).unionByName(longer), "ancestors")
     out = nodes.join(chains.select(F.col("_from"), F.col("ancestors")), F.col(parent) == F.col("_from"), "left").drop("_from")
     return out.withColumn("ancestors", F.coalesce("ancestors", F.array().cast("array<struct<id:string,text:string>>")))
 

@@ -61,6 +61,21 @@ def test_breadcrumbs_headings_children(spark):
     assert kids == {("601", 0): "601.2", ("601", 1): "601.3", ("601.2", 0): "601.2a"}
 
 
+def test_ancestors_double_per_round(spark, monkeypatch):
+    rounds = []
+    keep = outline.materialize
+    monkeypatch.setattr(outline, "materialize", lambda df, name: rounds.append(name) or keep(df, name))
+    chain = [(str(i), str(i - 1) if i else None, f"t{i}") for i in range(500)]
+    rows = chain + [("orphan", "gone", "o"), ("child", "orphan", "c"), ("leaf", "499", "l")]
+    got = {r["rule_id"]: [a["id"] for a in r["ancestors"]] for r in outline.with_ancestors(spark.createDataFrame(rows, "rule_id string, parent_id string, text string")).collect()}
+    assert got == {str(i): [str(j) for j in range(i)] for i in range(500)} | {"orphan": [], "child": ["orphan"], "leaf": [str(j) for j in range(500)]}
+    assert len(rounds) == 1 + 9
+    for loop in ([("a", "a", "x")], [("a", "b", "x"), ("b", "c", "y"), ("c", "a", "z"), ("d", "a", "w"), ("e", "d", "v")]):
+        with pytest.raises(ValueError):
+            outline.with_ancestors(spark.createDataFrame(loop, "rule_id string, parent_id string, text string"))
+    assert outline.with_ancestors(spark.createDataFrame([], "rule_id string, parent_id string, text string")).count() == 0
+
+
 def test_neighbours_and_windows(spark):
     n = {r["rule_id"]: (r["prev"], r["next"]) for r in outline.neighbours(tree(spark).withColumn("g", F.lit(1)), ["g"], "line_no", "rule_id").collect()}
     assert n["601"] == (None, "601.2") and n["601.3"] == ("601.2a", "999.1")
