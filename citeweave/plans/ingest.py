@@ -67,8 +67,7 @@ def feed_entry(t: Tables) -> DataFrame:
     entry = F.struct(F.lit("oracle_cards").alias("type"), newer.alias("jsonl_download_uri"), older.alias("download_uri"))
     other = F.struct(F.lit("rulings").alias("type"), F.col("url").alias("jsonl_download_uri"), F.lit(None).cast("string").alias("download_uri"))
     feeds = t.pages.select("page_id", F.to_json(F.struct(F.array(other, entry).alias("data"))).alias("body"))
-    located = scans.resolve_feed_entry(feeds, "oracle_cards")
-    return located.join(t.pages.select("page_id", "url"), "url").select("type", "page_id", "url", "filename")
+    return scans.resolve_feed_entry(feeds, "oracle_cards").select("type", "page_id", "url", "filename")
 
 
 @query("latest_snapshot", """SELECT event_id, user_id, event_type, CAST(CAST(ts AS DATE) AS VARCHAR) AS snapshot_date FROM events
