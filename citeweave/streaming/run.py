@@ -13,12 +13,12 @@ from ..session import fresh_path
 
 
 def read_table_stream(spark: SparkSession, directory: str, name: str, schema: T.StructType, files_per_trigger: int | None = None) -> DataFrame:
-    """One Parquet table of a directory as a stream. A file source reads a directory, so a
-    glob picks the table's own file."""
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet" if name else "*.parquet")
+    """One Parquet table of a directory as a stream, be it one file or a folder of files; without a name, the files of
+    the directory. A file source takes a plain path for a folder, so the table is named by a pattern that only it meets."""
+    reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(directory)
+    return reader.parquet(f"{directory.rstrip('/')}/{name}.parque[t]" if name else directory)
 
 
 @contextmanager
