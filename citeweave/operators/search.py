@@ -25,7 +25,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..session import materialize
 from .encode import sparse_vector
 
-#: Questions and points of a tile, and points that are scored at once.
+#: Questions and points of a tile in small searches, and vectors that are scored at once.
 BLOCK = 4096
 GROUP = 1024
 STEP = 256
@@ -35,6 +35,17 @@ PIVOTS = 512
 SPREAD = 8
 #: Bounds this far below a kth score still count: scores are rounded, angles are computed.
 SLACK = 1e-5
+#: Terms of the questions or of the points of a tile, and the most rows of either side, in a sparse search. The larger a
+#: tile, the less often either side is sent.
+TERMS = 4_000_000
+LARGEST_BLOCK, LARGEST_GROUP = 32768, 16384
+#: Groups from which on they grow.
+GROUPS = 32
+#: Scores that a tile computes at once.
+CELLS = 1 << 20
+#: A term that one in so many questions has is scored by matrix products, at most HEAVY of them.
+COMMON = 64
+HEAVY = 512
 #: Pairs of a point's term and a question with that term that are spelled out at once.
 PAIRS = 2_000_000
 SCORE_DIGITS = 6
@@ -44,28 +55,31 @@ class _TopK:
     """Best k (score, id) pairs per question over the batches of one task."""
 
     def __init__(self, n: int, k: int):
-        self.k, self.scores, self.ids = k, np.full((n, 0), -np.inf), None
+        self.k, self.edge, self.held = k, np.full(n, -np.inf), None
 
     def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
-        # Score first, then the smaller id: same order as the final ranking.
-        if scores.shape[1] > self.k:
+        if scores.shape[1] > self.k and np.isneginf(self.edge).any():
             # Cut by score alone; ties at the edge stay in for the exact order below.
-            edge = np.partition(scores, -self.k, axis=1)[:, -self.k][:, None]
-            width = int((scores >= edge).sum(axis=1).max())
-            cut = np.argpartition(-scores, min(width, scores.shape[1]) - 1, axis=1)[:, :width]
-            scores, found = np.take_along_axis(scores, cut, 1), ids[cut]
+            edge = np.maximum(self.edge, np.partition(scores, -self.k, axis=1)[:, -self.k])
         else:
-            found = np.broadcast_to(ids, scores.shape)
-        if self.ids is not None:
-            scores, found = np.concatenate([self.scores, scores], axis=1), np.concatenate([self.ids, found], axis=1)
-        order = np.lexsort((found, -scores), axis=1)[:, : self.k]
-        self.scores, self.ids = np.take_along_axis(scores, order, 1), np.take_along_axis(found, order, 1)
+            edge = self.edge
+        rows, places = np.nonzero((scores >= edge[:, None]) & (scores > -np.inf))
+        if not len(rows):
+            return
+        found = [rows, scores[rows, places], ids[places]]
+        if self.held is not None:
+            found = [np.concatenate(pair) for pair in zip(self.held, found)]
+        # Score first, then the smaller id: same order as the final ranking.
+        order = np.lexsort((found[2], -found[1], found[0]))
+        rows = found[0][order]
+        place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        kept = order[place < self.k]
+        self.held = [column[kept] for column in found]
+        last = order[place == self.k - 1]
+        self.edge[found[0][last]] = found[1][last]
 
     def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        if self.ids is None:
-            return np.empty(0, int), np.empty(0), np.empty(0)
-        q, c = np.nonzero(np.isfinite(self.scores))
-        return q, self.scores[q, c], self.ids[q, c]
+        return self.held or (np.empty(0, int), np.empty(0), np.empty(0))
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -218,63 +232,88 @@ def _by_signature(stored: DataFrame, point_id: str, group: int) -> DataFrame:
     return materialize(dealt.select(point_id, "_i", "_v", F.spark_partition_id().cast("bigint").alias("_g")), "search-groups")
 
 
+def _rows_of_terms(vectors: DataFrame) -> int:
+    """How many of the vectors have TERMS terms."""
+    mean = vectors.agg(F.avg(F.size("_i"))).first()[0] or 1
+    return max(1, int(TERMS / max(1, mean)))
+
+
 def group_index(grouped: DataFrame) -> DataFrame:
     """The inverted index of groups: term, _g, low, high (extreme weights of the term in the group)."""
     postings = grouped.select("_g", F.inline(F.arrays_zip(F.col("_i").alias("term"), F.col("_v").alias("weight"))))
     return postings.groupBy("term", "_g").agg(F.min("weight").alias("low"), F.max("weight").alias("high"))
 
 
+def _score_terms(left: pa.Table, right: pa.Table, top: _TopK, point_id: str) -> None:
+    """The dot products of a tile: terms that many questions have by matrix products, others pair by pair."""
+    # Questions by term: for term t the entries start[t]:start[t + 1].
+    terms, rows = _flat(left.column("_i").combine_chunks())
+    weights, _rows = _flat(left.column("_v").combine_chunks())
+    if not len(terms):
+        return
+    vocabulary, place = np.unique(terms, return_inverse=True)
+    uses = np.bincount(place, minlength=len(vocabulary))
+    order = np.argsort(place, kind="stable")
+    start = np.concatenate([[0], np.cumsum(uses)])
+    of_query, query_weights = rows[order], weights[order]
+    heavy = np.argsort(-uses, kind="stable")[:HEAVY]
+    heavy = heavy[uses[heavy] * COMMON >= left.num_rows]
+    column = np.full(len(vocabulary), -1)
+    column[heavy] = np.arange(len(heavy))
+    common = np.zeros((left.num_rows, len(heavy)))
+    of_heavy = column[place] >= 0
+    np.add.at(common, (rows[of_heavy], column[place[of_heavy]]), weights[of_heavy])
+    step = max(1, CELLS // left.num_rows)
+    for at in range(0, right.num_rows, step):
+        part = right.slice(at, step)
+        terms, rows = _flat(part.column("_i").combine_chunks())
+        weights, _rows = _flat(part.column("_v").combine_chunks())
+        if not len(terms):
+            continue
+        place = np.minimum(np.searchsorted(vocabulary, terms), len(vocabulary) - 1)
+        hit = vocabulary[place] == terms
+        place, rows, weights = place[hit], rows[hit], weights[hit]
+        mass = np.zeros((len(heavy), part.num_rows))
+        of_heavy = column[place] >= 0
+        np.add.at(mass, (column[place[of_heavy]], rows[of_heavy]), weights[of_heavy])
+        scores = (common @ mass).ravel()
+        place, rows, weights = place[~of_heavy], rows[~of_heavy], weights[~of_heavy]
+        # Every other (term of a point, question with the term) pair, summed per (question, point), so many pairs at a time.
+        sizes = start[place + 1] - start[place]
+        cuts = np.searchsorted(np.cumsum(sizes), np.arange(PAIRS, int(sizes.sum()) + PAIRS, PAIRS), "left")
+        begin = 0
+        for end in np.minimum(cuts + 1, len(sizes)).tolist():
+            if end <= begin:
+                continue
+            n, here = sizes[begin:end], slice(begin, end)
+            entry = np.arange(n.sum()) + np.repeat(start[place[here]] - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+            cell = of_query[entry] * part.num_rows + np.repeat(rows[here], n)
+            scores += np.bincount(cell, query_weights[entry] * np.repeat(weights[here], n), minlength=len(scores))
+            begin = end
+        scores = np.round(scores.reshape(left.num_rows, part.num_rows), SCORE_DIGITS)
+        scores[scores <= 0] = -np.inf
+        top.add(scores, _ids(part.column(point_id).combine_chunks()))
+
+
 def sparse_search(points: DataFrame, questions: DataFrame, k: int, point_id: str = "point_id", query_id: str = "query_id",
-                  vector: str = "sparse", query_vector: str = "sparse", group: int | None = None, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+                  vector: str = "sparse", query_vector: str = "sparse", group: int | None = None, block: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(the k points with the highest dot product of term weights per question, the pairs of question and group that
     were scored). Points that share no term with a question are no hits."""
 
     def score(left: pa.Table, right: pa.Table, top: _TopK) -> None:
-        # Questions by term: for term t the entries start[t]:start[t + 1].
-        terms, rows = _flat(left.column("_i").combine_chunks())
-        weights, _rows = _flat(left.column("_v").combine_chunks())
-        if not len(terms):
-            return
-        vocabulary, place = np.unique(terms, return_inverse=True)
-        order = np.argsort(place, kind="stable")
-        start = np.concatenate([[0], np.cumsum(np.bincount(place, minlength=len(vocabulary)))])
-        of_query, query_weights = rows[order], weights[order]
-        for at in range(0, right.num_rows, STEP):
-            part = right.slice(at, STEP)
-            terms, rows = _flat(part.column("_i").combine_chunks())
-            weights, _rows = _flat(part.column("_v").combine_chunks())
-            if not len(terms):
-                continue
-            place = np.minimum(np.searchsorted(vocabulary, terms), len(vocabulary) - 1)
-            hit = vocabulary[place] == terms
-            place, rows, weights = place[hit], rows[hit], weights[hit]
-            # Every (term of a point, question with the term) pair, summed per (question, point), so many pairs at a time.
-            sizes = start[place + 1] - start[place]
-            scores = np.zeros(left.num_rows * part.num_rows)
-            cuts = np.searchsorted(np.cumsum(sizes), np.arange(PAIRS, int(sizes.sum()) + PAIRS, PAIRS), "left")
-            begin = 0
-            for end in np.minimum(cuts + 1, len(sizes)).tolist():
-                if end <= begin:
-                    continue
-                n, here = sizes[begin:end], slice(begin, end)
-                entry = np.arange(n.sum()) + np.repeat(start[place[here]] - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
-                cell = of_query[entry] * part.num_rows + np.repeat(rows[here], n)
-                scores += np.bincount(cell, query_weights[entry] * np.repeat(weights[here], n), minlength=len(scores))
-                begin = end
-            scores = np.round(scores.reshape(left.num_rows, part.num_rows), SCORE_DIGITS)
-            scores[scores <= 0] = -np.inf
-            top.add(scores, _ids(part.column(point_id).combine_chunks()))
+        _score_terms(left, right, top, point_id)
 
     parts = lambda v: [F.col(v).getField("indices").alias("_i"), F.col(v).getField("values").alias("_v")]
     stored = points.filter(F.col(vector).isNotNull() & (F.size(F.col(vector).getField("indices")) > 0)).select(point_id, *parts(vector))
     asked = questions.filter(F.col(query_vector).isNotNull()).select(query_id, *parts(query_vector))
     stored, asked = materialize(stored, "search-points"), materialize(asked, "search-questions")
-    grouped = _by_signature(stored, point_id, group or GROUP)
+    group = group or max(GROUP, min(LARGEST_GROUP, _rows_of_terms(stored), stored.count() // GROUPS))
+    grouped = _by_signature(stored, point_id, group)
     terms = asked.select(query_id, F.inline(F.arrays_zip(F.col("_i").alias("term"), F.col("_v").alias("asked"))))
     # A point of the group may have the term or not.
     most = F.greatest(F.col("asked") * F.col("low"), F.col("asked") * F.col("high"), F.lit(0.0))
     bounds = terms.join(group_index(grouped), "term").groupBy(query_id, "_g").agg(F.sum(most).alias("bound"))
-    return _search(grouped, asked, bounds, point_id, query_id, k, _schema(points, questions, query_id, point_id), score, block)
+    return _search(grouped, asked, bounds, point_id, query_id, k, _schema(points, questions, query_id, point_id), score, block or min(LARGEST_BLOCK, _rows_of_terms(asked)))
 
 
 def sparse_topk(points: DataFrame, questions: DataFrame, k: int, point_id: str = "point_id", query_id: str = "query_id", vector: str = "sparse", query_vector: str = "sparse", **sizes) -> DataFrame:
