@@ -6,11 +6,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from ..functions.usage import Quota
 from ..operators import sync
@@ -105,40 +103,38 @@ def settlements(events: DataFrame) -> DataFrame:
     return events.groupBy("id").agg(F.max_by(F.struct("outcome", "cost_usd"), "ts").alias("s")).select("id", "s.outcome", "s.cost_usd")
 
 
-class Reservation(StatefulProcessor):
-    """State of one answer's cost: what was reserved, and the first event that closed it."""
+#: Ids whose reservations share a state: an aligned run of 2 ** RUN_BITS numbers, so that a state holds no more than these.
+RUN_BITS = 10
+_HELD = "ids array<long>, reserved array<double>, kinds array<string>, costs array<double>, ats array<long>, dues array<long>"
+_SHOWN = "id long, outcome string, cost_usd double, no_number boolean"
 
-    def __init__(self, patience_ms: int) -> None:
-        self.patience = patience_ms
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.held = handle.getValueState("held", "reserved double, kind string, cost double, at long")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
-        known = self.held.get()
-        reserved, kind, cost, at = known if known is not None else (None, None, None, None)
-        events = list(rows)
-        costs = [r.cost_usd for r in events if r.kind == "reserve" and r.cost_usd is not None]
-        reserved = max([*costs, *([reserved] if reserved is not None else [])], default=None)
-        closings = [(r.at, r.kind, r.cost_usd) for r in events if r.kind in ("settle", "cancel")] + ([(at, kind, cost)] if kind else [])
-        if closings:
-            at, kind, cost = min(closings, key=lambda c: (c[0], c[1]))
-        if known is None:
-            self.handle.registerTimer(max(max(r.at for r in events) + self.patience, timerValues.getCurrentWatermarkInMs() + 1))
-        self.held.update((reserved, kind, cost, at))
-        yield _shown(key[0], reserved, kind, cost)
-
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
-        reserved, kind, _, _ = self.held.get()
-        self.held.clear()
-        if kind is None:
-            yield Row(id=key[0], outcome="expired", cost_usd=reserved)
-
-
-def _shown(id_: int, reserved: float | None, kind: str | None, cost: float | None) -> Row:
+def _shown(id_: int, reserved: float | None, kind: str | None, cost: float | None) -> tuple[int, str, float | None]:
     outcome, amount = {"settle": ("settled", reserved if cost is None else cost), "cancel": ("cancelled", 0.0), None: ("pending", reserved)}[kind]
-    return Row(id=id_, outcome=outcome, cost_usd=amount)
+    return id_, outcome, amount
+
+
+def _arrived(held: dict[int, list], rows: pd.DataFrame, patience: int, watermark: int) -> list[int]:
+    """Add one micro-batch to the reservations of a run: per id what was reserved, the kind, cost and time of the first
+    closing, and when the state goes. Returns the ids that moved."""
+    newest: dict[int, int] = {}
+    moved: dict[int, None] = {}
+    for id_, kind, cost, has_cost, at in zip(*(rows[c].tolist() for c in ("id", "kind", "cost_usd", "has_cost", "at"))):
+        entry = held.get(id_)
+        if entry is None:
+            entry = held[id_] = [None, None, None, None, None]
+        if entry[4] is None:
+            newest[id_] = max(at, newest.get(id_, at))
+        moved[id_] = None
+        cost = cost if has_cost else None
+        if kind == "reserve":
+            if cost is not None and (entry[0] is None or cost > entry[0]):
+                entry[0] = cost
+        elif entry[1] is None or (at, kind) < (entry[3], entry[1]):
+            entry[1:4] = kind, cost, at
+    for id_, at in newest.items():
+        held[id_][4] = max(at + patience, watermark + 1)
+    return list(moved)
 
 
 def reservations(events: DataFrame, late: str = "10 minutes", patience_minutes: int = 60) -> DataFrame:
@@ -148,10 +144,37 @@ def reservations(events: DataFrame, late: str = "10 minutes", patience_minutes:
     its own cost (without one, at the worst case), or at nothing. A closing may overtake its reservation. After
     ``patience_minutes`` of event time the state goes, with a last row ``expired`` at the worst case where nothing closed it;
     a closing that comes later still counts by itself. Other kinds are ignored, rows without an id are dropped, and of equal
-    times a cancel comes first. Needs the RocksDB state store, which the functions of ``run`` set."""
+    times a cancel comes first. Needs the RocksDB state store, which the functions of ``run`` set.
+
+    Neighbouring ids share one state of bounded size, so that a call of Python handles up to 2 ** RUN_BITS answers at once;
+    ids that are far apart have states of their own."""
+    patience = patience_minutes * 60_000
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        watermark = state.getCurrentWatermarkMs()
+        held = {id_: entry for id_, *entry in zip(*state.get)} if state.exists else {}
+        out = []
+        if not state.hasTimedOut:
+            out = [_shown(id_, *held[id_][:3]) for id_ in _arrived(held, pd.concat(list(batches)), patience, watermark)]
+        gone = [id_ for id_, entry in held.items() if entry[4] < watermark]
+        out += [(id_, "expired", held[id_][0]) for id_ in gone if held[id_][1] is None]
+        for id_ in gone:
+            del held[id_]
+        if held:
+            state.update(tuple(map(list, zip(*([id_, *entry] for id_, entry in held.items())))))
+            state.setTimeoutTimestamp(max(min(entry[4] for entry in held.values()), watermark + 1))
+        elif state.exists:
+            state.remove()
+        if out:
+            # Pandas has one value for no cost and for a cost that is no number.
+            yield pd.DataFrame([(id_, outcome, cost, cost is not None and cost != cost) for id_, outcome, cost in out], columns=["id", "outcome", "cost_usd", "no_number"]).astype({"cost_usd": float})
+
     known = events.withWatermark("ts", late).where("id is not null and kind in ('reserve', 'settle', 'cancel')")
-    rows = known.select(F.col("id").cast("long").alias("id"), "kind", F.col("cost_usd").cast("double").alias("cost_usd"), "ts", F.unix_millis("ts").alias("at"))
-    return rows.groupBy("id").transformWithState(Reservation(patience_minutes * 60_000), "id long, outcome string, cost_usd double", "Update", "EventTime")
+    cost = F.col("cost_usd").cast("double")
+    rows = known.select(F.col("id").cast("long").alias("id"), "kind", cost.alias("cost_usd"), cost.isNotNull().alias("has_cost"), "ts", F.unix_millis("ts").alias("at"))
+    run = rows.withColumn("run", F.shiftright("id", RUN_BITS))
+    shown = run.groupBy("run").applyInPandasWithState(step, _SHOWN, _HELD, "update", GroupStateTimeout.EventTimeTimeout)
+    return shown.select("id", "outcome", F.when(F.col("no_number"), F.lit(float("nan"))).otherwise(F.col("cost_usd")).alias("cost_usd"))
 
 
 def distinct_questions(questions: DataFrame, within: str = "1 day", ts: str = "ts", key: str = "key") -> DataFrame:

@@ -217,6 +217,37 @@ def test_reservations_settle_cancel_and_expire(spark):
     assert empty.count() == 0
 
 
+def test_reservations_share_states_of_bounded_size(spark, tmp_path):
+    """Neighbouring ids are one call and one state; far ones are apart, also below zero and with costs that are no numbers."""
+    rng = random.Random(7)
+    ids = [*range(-1100, 1500), 10**12, 10**15]
+    minute = lambda n: NOW + dt.timedelta(minutes=n)
+    rows = [(i, "reserve", minute(i % 7), float("nan") if i == 3 else 5.0 + i, rng.randrange(2)) for i in ids]
+    rows += [(i, "settle", minute(i % 7 + 2), None if i % 4 else float(i), rng.randrange(2)) for i in ids if i % 3 == 0]
+    rows += [(i, "cancel", minute(i % 7 + 2 + i % 2), None, rng.randrange(2)) for i in ids if i % 6 == 0 or i % 5 == 0]
+    rows += [(77_000_000, "reserve", minute(24 * 60), 1.0, 2)]
+    table = spark.createDataFrame(rows, "id long, kind string, ts timestamp, cost_usd double, slot long")
+    kept, source, path = (str(tmp_path / name) for name in ("checkpoint", "in", "out"))
+    for part in range(3):
+        states = 1 if part == 2 else len({i >> su.RUN_BITS for i, *_, slot in rows if slot <= part})
+        table.filter(F.col("slot") == part).drop("slot").write.mode("append").parquet(source)
+        updates = run.updates_to_table(su.reservations(spark.readStream.schema(table.drop("slot").schema).parquet(source)), "run-test", "update", kept, path)
+        with run.rocksdb(spark):
+            assert spark.read.format("statestore").load(kept).count() == states
+    last = updates.groupBy("id").agg(F.max_by(F.struct("outcome", "cost_usd"), F.struct("batch", F.col("outcome") == "expired")).alias("s")).select("id", "s.*")
+    got = {r["id"]: (r["outcome"], repr(r["cost_usd"])) for r in last.collect()}
+    want = {77_000_000: ("pending", "1.0")}
+    for i in ids:
+        reserved = float("nan") if i == 3 else 5.0 + i
+        closings = sorted((at, k, c) for j, k, at, c, _ in rows if j == i and k != "reserve") if i % 3 == 0 or i % 5 == 0 else []
+        if not closings:
+            want[i] = ("expired", repr(reserved))
+        else:
+            _, kind, cost = closings[0]
+            want[i] = ("cancelled", "0.0") if kind == "cancel" else ("settled", repr(reserved if cost is None else cost))
+    assert got == want
+
+
 def test_head_and_done_join(spark, tmp_path):
     e = events(spark)
     e.write.parquet(str(tmp_path / "e"))
