@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import let
@@ -16,29 +16,34 @@ from ..functions.tokens import words
 K1, B, AVG_LEN = 1.2, 0.75, 256.0
 
 
-def sparse_terms(df: DataFrame, text: str, k1: float = K1, b: float = B, avg_len: float = AVG_LEN, stop_words: tuple[str, ...] = ()) -> DataFrame:
-    """Add ``terms`` (distinct, sorted) and ``weights`` (saturated term frequencies, no
-    IDF). Words are sorted inside the row and runs of equal words counted: no explode and
-    no shuffle, and the cost is linear after the sort."""
-    tokens = words(F.col(text))
-    if stop_words:
-        tokens = F.filter(tokens, lambda w: ~w.isin(*stop_words))
+def _weighted(tokens: Column, k1: float = K1, b: float = B, avg_len: float = AVG_LEN) -> Column:
+    """struct(terms, weights) of an array of words: distinct and sorted, with saturated frequencies. Words are sorted inside
+    the row and runs of equal ones counted: no explode and no shuffle, and the cost is linear after the sort."""
     last = lambda w: F.filter(F.transform(w, lambda x, i: F.when(~x.eqNullSafe(F.get(w, i + 1)), i)), lambda i: i.isNotNull())
     count = lambda ends, i, j: (i - F.coalesce(F.get(ends, j - 1), F.lit(-1))).cast("double")
     norm = lambda w: F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.size(w) / F.lit(avg_len))
     weight = lambda tf, n: tf * F.lit(k1 + 1) / (tf + n)
-    pairs = let(F.array_sort(tokens), lambda w: let(last(w), lambda ends: let(norm(w), lambda n: F.struct(
+    return let(F.sort_array(tokens), lambda w: let(last(w), lambda ends: let(norm(w), lambda n: F.struct(
         F.transform(ends, lambda i: F.get(w, i)).alias("terms"),
         F.transform(ends, lambda i, j: weight(count(ends, i, j), n)).alias("weights")))))
-    return df.withColumn("_v", pairs).select("*", "_v.terms", "_v.weights").drop("_v")
 
 
-def sparse_vector(df: DataFrame, text: str, out: str = "sparse", **params) -> DataFrame:
-    """Add struct(indices, values) with 64-bit term ids."""
-    d = sparse_terms(df, text, **params)
-    ids = F.transform("terms", lambda t: F.xxhash64(t))
-    vector = F.struct(ids.alias("indices"), F.col("weights").alias("values"))
-    return d.withColumn(out, F.when(F.col(text).isNotNull(), vector)).drop("terms", "weights")
+def _tokens(text: str, stop_words: tuple[str, ...]) -> Column:
+    tokens = words(F.col(text))
+    return F.filter(tokens, lambda w: ~w.isin(*stop_words)) if stop_words else tokens
+
+
+def sparse_terms(df: DataFrame, text: str, stop_words: tuple[str, ...] = (), **params) -> DataFrame:
+    """Add ``terms`` (distinct, sorted) and ``weights`` (saturated term frequencies, no IDF)."""
+    return df.withColumn("_v", _weighted(_tokens(text, stop_words), **params)).select("*", "_v.terms", "_v.weights").drop("_v")
+
+
+def sparse_vector(df: DataFrame, text: str, out: str = "sparse", stop_words: tuple[str, ...] = (), **params) -> DataFrame:
+    """Add struct(indices, values) with 64-bit term ids, by rising id. Words become ids before they are sorted: numbers are
+    compared in a fraction of the time of strings."""
+    d = df.withColumn("_v", _weighted(F.transform(_tokens(text, stop_words), lambda w: F.xxhash64(w)), **params))
+    vector = F.struct(F.col("_v.terms").alias("indices"), F.col("_v.weights").alias("values"))
+    return d.withColumn(out, F.when(F.col(text).isNotNull(), vector)).drop("_v")
 
 
 def postings(df: DataFrame, point_id: str, text: str, **params) -> DataFrame:

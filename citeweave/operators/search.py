@@ -17,7 +17,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -46,6 +46,8 @@ CELLS = 1 << 20
 #: A term that one in so many questions has is scored by matrix products, at most HEAVY of them.
 COMMON = 64
 HEAVY = 512
+#: 64-bit words of the bitmap of the questions' terms.
+ASKED_WORDS = 1 << 14
 #: Pairs of a point's term and a question with that term that are spelled out at once.
 PAIRS = 2_000_000
 SCORE_DIGITS = 6
@@ -244,6 +246,33 @@ def group_index(grouped: DataFrame) -> DataFrame:
     return postings.groupBy("term", "_g").agg(F.min("weight").alias("low"), F.max("weight").alias("high"))
 
 
+def _bit(term: Column) -> Column:
+    """The place of a term in the bitmap; term ids are hashes."""
+    return F.pmod(term, F.lit(64 * ASKED_WORDS))
+
+
+def asked_terms(asked: DataFrame) -> Column:
+    """An array of ASKED_WORDS numbers whose bits say which terms the questions have, as a subquery of fixed size. More
+    questions let more other terms through, which add nothing to a score."""
+    bits = asked.select(F.explode("_i").alias("t")).select(_bit(F.col("t")).alias("s")).groupBy(F.shiftright("s", 6).alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("b"))
+    every = asked.sparkSession.range(ASKED_WORDS).join(bits, F.col("id") == F.col("i"), "left").select("id", F.coalesce("b", F.lit(0).cast("bigint")).alias("b"))
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "b"))), lambda x: x.b).alias("bits")).scalar()
+
+
+def _parts(df: DataFrame, id_: str, vector: str, asked: DataFrame | None = None) -> DataFrame:
+    """The terms _i and weights _v of the vectors that are not null; next to ``asked`` only the terms that some question may
+    have, and only vectors with such terms. A vector is used in one expression, with no filter that is pushed below it:
+    vectors may be costly to make, and would be made once for each use."""
+    if asked is None:
+        entries = F.filter(F.array(vector), lambda v: v.isNotNull())
+        return df.select(id_, F.inline(entries)).select(id_, F.col("indices").alias("_i"), F.col("values").alias("_v"))
+    place = lambda x: _bit(x["indices"])
+    met = lambda x: F.getbit(F.get(F.col("_bits"), F.shiftright(place(x), 6).cast("int")), place(x).bitwiseAND(F.lit(63)).cast("int")) == 1
+    kept = F.transform(F.array(vector), lambda v: F.filter(F.arrays_zip(v["indices"], v["values"]), met))
+    entries = F.transform(F.filter(kept, lambda p: F.size(p) > 0), lambda p: F.struct(p["indices"].alias("_i"), p["values"].alias("_v")))
+    return df.withColumn("_bits", asked_terms(asked)).select(id_, F.inline(entries))
+
+
 def _score_terms(left: pa.Table, right: pa.Table, top: _TopK, point_id: str) -> None:
     """The dot products of a tile: terms that many questions have by matrix products, others pair by pair."""
     # Questions by term: for term t the entries start[t]:start[t + 1].
@@ -303,10 +332,8 @@ def sparse_search(points: DataFrame, questions: DataFrame, k: int, point_id: str
     def score(left: pa.Table, right: pa.Table, top: _TopK) -> None:
         _score_terms(left, right, top, point_id)
 
-    parts = lambda v: [F.col(v).getField("indices").alias("_i"), F.col(v).getField("values").alias("_v")]
-    stored = points.filter(F.col(vector).isNotNull() & (F.size(F.col(vector).getField("indices")) > 0)).select(point_id, *parts(vector))
-    asked = questions.filter(F.col(query_vector).isNotNull()).select(query_id, *parts(query_vector))
-    stored, asked = materialize(stored, "search-points"), materialize(asked, "search-questions")
+    asked = materialize(_parts(questions, query_id, query_vector), "search-questions")
+    stored = materialize(_parts(points, point_id, vector, asked), "search-points")
     group = group or max(GROUP, min(LARGEST_GROUP, _rows_of_terms(stored), stored.count() // GROUPS))
     grouped = _by_signature(stored, point_id, group)
     terms = asked.select(query_id, F.inline(F.arrays_zip(F.col("_i").alias("term"), F.col("_v").alias("asked"))))
