@@ -145,6 +145,10 @@ def stream_reservations(t: Tables) -> DataFrame:
     return last_state.select("id", outcome.alias("outcome"), F.round("s.cost_usd", 6).alias("cost_usd"))
 
 
+#: Batches that bring the documents before the one that ends the snapshot.
+SYNC_ARRIVALS = 3
+
+
 @query("stream_sync", """SELECT doc_id::VARCHAR AS point_id, sha256(text) AS content_hash, length(text)::DOUBLE AS vector FROM documents""")
 def stream_sync(t: Tables) -> DataFrame:
     """The documents as one snapshot that comes in several batches, its end in the last."""
@@ -154,7 +158,6 @@ def stream_sync(t: Tables) -> DataFrame:
     stored_points(t).write.parquet(f"{base}/start")
     chunks = t.documents.select(F.col("doc_id").cast("string").alias("point_id"), F.concat(F.lit("s"), F.pmod("doc_id", F.lit(3)).cast("string")).alias("source_type"), F.col("text").alias("text_to_embed"),
                                 F.sha2("text", 256).alias("content_hash"), F.sha2(F.concat("lang", "source"), 256).alias("payload_hash"), F.col("lang").alias("payload"), F.lit(False).alias("ends_snapshot"))
-    chunks.repartition(3, "point_id").write.parquet(f"{base}/arriving")
     end = t.spark.range(1).select(*[(F.lit(True) if f.name == "ends_snapshot" else F.lit(None)).cast(f.dataType).alias(f.name) for f in chunks.schema])
     done: list[int] = []
     write = su.sync_batches(lambda: f"{base}/{done[-1] if done else 'start'}", lambda i: f"{base}/{i}", _encode, f"{base}/seen")
@@ -163,9 +166,10 @@ def stream_sync(t: Tables) -> DataFrame:
         write(batch, batch_id)
         done.append(batch_id)
 
-    stream = run.read_table_stream(t.spark, f"{base}/arriving", "", chunks.schema, files_per_trigger=1)
+    # Every arrival is written as its tasks come, in as many files as there are tasks: none holds more than the input's splits do.
+    arrivals = [chunks.filter(F.pmod(F.xxhash64("point_id"), F.lit(SYNC_ARRIVALS)) == part) for part in range(SYNC_ARRIVALS)]
     checkpoint = fresh_path(t.spark, "sync-checkpoint")
-    run.each_batch(stream, "sync", step, "append", checkpoint)
-    end.write.mode("append").parquet(f"{base}/arriving")
-    run.each_batch(stream, "sync", step, "append", checkpoint)
+    for arrival in (*arrivals, end):
+        arrival.write.mode("append").parquet(f"{base}/arriving")
+        run.each_batch(run.read_table_stream(t.spark, f"{base}/arriving", "", chunks.schema), "sync", step, "append", checkpoint)
     return t.spark.read.parquet(f"{base}/{done[-1]}").select("point_id", "content_hash", F.get("dense", F.lit(0)).cast("double").alias("vector"))

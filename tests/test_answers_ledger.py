@@ -375,3 +375,17 @@ def test_client_buckets_of_users_that_fit_no_part_of_an_address(spark, tmp_path)
     db.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{path}')")
     want = sorted(db.execute(all_oracles()["client_buckets"]).fetchall())
     assert sorted(tuple(r) for r in all_queries()["client_buckets"](spark, str(tmp_path)).collect()) == want
+
+
+def test_streamed_snapshot_comes_in_as_many_files_as_its_input(spark, tmp_path, monkeypatch):
+    """No file of an arrival, and so no task, holds more than a file of the documents."""
+    from citeweave.plans import all_queries, streams
+
+    spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(5).write.parquet(str(tmp_path / "documents.parquet"))
+    at = iter(range(99))
+    monkeypatch.setattr(streams, "fresh_path", lambda _spark, name: str(tmp_path / f"{name}-{next(at)}"))
+    got = all_queries()["stream_sync"](spark, str(tmp_path))
+    files = spark.read.parquet(str(tmp_path / "points-0" / "arriving")).groupBy(F.input_file_name()).count().collect()
+    assert len(files) >= 15 and max(r["count"] for r in files) <= -(-got.count() // 5)
+    batches = [p.name for p in (tmp_path / "points-0").iterdir() if p.name.isdigit()]
+    assert sorted(batches) == ["0", "1", "2", "3"]
