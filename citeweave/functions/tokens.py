@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .expr import let
+
 WORD = r"[\p{L}\p{N}]+"
 BLOCK = 32
 
@@ -18,8 +20,8 @@ def pieces(text: Column) -> Column:
     """The lowercased text cut into gap, word, gap, word, ...: words have odd positions and
     the pieces joined give the text back. One pass over the text."""
     cut = F.regexp_extract_all(F.lower(text), F.lit(rf"{WORD}|[^\p{{L}}\p{{N}}]+"), F.lit(0))
-    starts_with_word = F.coalesce(F.get(cut, F.lit(0)).rlike(rf"^{WORD}"), F.lit(False))
-    return F.when(starts_with_word, F.concat(F.array(F.lit("")), cut)).otherwise(cut)
+    starts_with_word = lambda c: F.coalesce(F.get(c, F.lit(0)).rlike(rf"^{WORD}"), F.lit(False))
+    return let(cut, lambda c: F.when(starts_with_word(c), F.concat(F.array(F.lit("")), c)).otherwise(c))
 
 
 def block_starts(cut: Column) -> Column:

@@ -363,3 +363,13 @@ def test_sparse_tiles_equal_brute_force_for_common_and_rare_terms(monkeypatch, c
         found = [(-sum(float(t % 3 + 1) ** 2 for t in set(terms) & set(p)), i) for i, p in enumerate(stored)]
         want += [(q, -s, i) for s, i in sorted(found)[:4] if s < 0]
     assert list(zip(rows.tolist(), scores.tolist(), ids.tolist())) == want
+
+
+def test_texts_are_cut_once_for_their_matches(spark, random_texts):
+    """A filter on the cut text was pushed below the cut, which was then made again for it."""
+    df = spark.createDataFrame([(1, "the wide gate!"), (2, ""), (3, None), (4, "?!")], "text_id long, text string")
+    found = matching.phrase_matches(df, keys_of(spark, ["wide gate"]))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("|[^\\p{L}\\p{N}]+") == 1
+    assert [tuple(r) for r in found.collect()] == [(1, "wide gate", 4, 13)]
+    symbols = matching.phrase_matches(df, keys_of(spark, ["?!"]))
+    assert [tuple(r) for r in symbols.collect()] == [(4, "?!", 0, 2)]
