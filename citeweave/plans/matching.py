@@ -93,8 +93,8 @@ def ordinary_words(t: Tables) -> DataFrame:
 SELECT m.* FROM matches m JOIN texts t USING (text_id) WHERE key NOT IN (SELECT lower(word) FROM ordinary) OR (regexp_matches(substr(t.text, start + 1, 1), '\\p{{Lu}}')
   AND regexp_replace(left(t.text, start), '[ \\t\\n"''(“‘]+$', '') <> '' AND NOT regexp_matches(regexp_replace(left(t.text, start), '[ \\t\\n"''(“‘]+$', ''), '[.!?]$'))""")
 def ordinary_word_guard(t: Tables) -> DataFrame:
-    m = matching.phrase_matches(texts(t), matching.dictionary(names(t)).select("key"), with_named=True)
-    return _typed(matching.drop_ordinary(m, matching.ordinary_words(t.spread("documents", "doc_id")))).select("text_id", "key", "start", "end")
+    keys = matching.mark_ordinary(matching.dictionary(names(t)).select("key"), matching.ordinary_words(t.spread("documents", "doc_id")))
+    return _typed(matching.phrase_matches(texts(t), keys, with_named=True)).select("text_id", "key", "start", "end")
 
 
 @query("names_in_texts", f"""WITH {TEXTS}, {NAMES}, {MATCHES}, {CONTAINED} SELECT text_id, key, min(start) AS start, any_value(line_no) AS line_no FROM free JOIN dict USING (key) GROUP BY text_id, key""")

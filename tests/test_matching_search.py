@@ -373,3 +373,20 @@ def test_texts_are_cut_once_for_their_matches(spark, random_texts):
     assert [tuple(r) for r in found.collect()] == [(1, "wide gate", 4, 13)]
     symbols = matching.phrase_matches(df, keys_of(spark, ["?!"]))
     assert [tuple(r) for r in symbols.collect()] == [(4, "?!", 0, 2)]
+
+
+def test_ordinary_names_are_told_in_the_dictionary(spark):
+    """A name with very many matches is one row of a join, not all its matches in one task."""
+    from citeweave.plans import all_queries
+
+    texts = spark.createDataFrame([(1, "He has Vigilance now. Other"), (2, "some vigilance"), (3, "Vigilance is. Vigilance"), (4, "the Other one, other")], "text_id long, text string")
+    words = spark.createDataFrame([("vigilance", 5), ("Vigilance", 1)], "word string, n long")
+    keys = matching.mark_ordinary(keys_of(spark, ["Vigilance", "Other"]), words)
+    assert sorted(map(tuple, keys.select("key", "ordinary").collect())) == [("other", False), ("vigilance", True)]
+    got = matching.phrase_matches(texts, keys, with_named=True)
+    before = matching.drop_ordinary(matching.phrase_matches(texts, keys_of(spark, ["Vigilance", "Other"]), with_named=True), words)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, before.collect()))
+    assert {(r["text_id"], r["key"]) for r in got.collect()} == {(1, "vigilance"), (1, "other"), (4, "other")}
+    plan = all_queries()["ordinary_word_guard"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    # Matches meet the dictionary, and what was passed over, alone.
+    assert "Join LeftOuter, (key" not in plan
