@@ -6,7 +6,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +14,8 @@ from ..functions.expr import let
 from ..functions.tokens import words
 
 K1, B, AVG_LEN = 1.2, 0.75, 256.0
+#: Trigrams of a text that are hashed at once.
+RUN = 1 << 16
 
 
 def _weighted(tokens: Column, k1: float = K1, b: float = B, avg_len: float = AVG_LEN) -> Column:
@@ -60,9 +62,12 @@ def hashed_encoder(dim: int = 64) -> Callable[[], Callable[[list[str]], np.ndarr
         def encode(texts: list[str]) -> np.ndarray:
             out = np.zeros((len(texts), dim))
             for row, text in enumerate(texts):
-                points = np.frombuffer(f"  {text.lower()} ".encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-                hashes = (points[:-2] * np.uint64(961) + points[1:-1] * np.uint64(31) + points[2:]) * np.uint64(2654435761) & np.uint64(0xFFFFFFFF)
-                out[row] = np.bincount((hashes >> np.uint64(8) & np.uint64(0x7FFFFF)).astype(np.int64) % dim, np.where(hashes >> np.uint64(31), 1.0, -1.0), dim)
+                text = f"  {text.lower()} "
+                # Neighbouring runs share two characters. The counts are whole numbers, so their sum is exact.
+                for at in range(0, len(text) - 2, RUN):
+                    points = np.frombuffer(text[at:at + RUN + 2].encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+                    hashes = (points[:-2] * np.uint64(961) + points[1:-1] * np.uint64(31) + points[2:]) * np.uint64(2654435761) & np.uint64(0xFFFFFFFF)
+                    out[row] += np.bincount((hashes >> np.uint64(8) & np.uint64(0x7FFFFF)).astype(np.int64) % dim, np.where(hashes >> np.uint64(31), 1.0, -1.0), dim)
             norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
             return out / np.where(norm == 0, 1, norm)
 
@@ -72,21 +77,18 @@ def hashed_encoder(dim: int = 64) -> Callable[[], Callable[[list[str]], np.ndarr
 
 
 def dense_vector(df: DataFrame, text: str, load: Callable[[], Callable[[list[str]], np.ndarray]], out: str = "dense", batch: int = 32) -> DataFrame:
-    """Add a dense vector per row, null for a null text. ``load`` builds the model once per
-    task; texts reach it in small batches inside the Arrow batch."""
+    """Add a dense vector per row, null for a null text. ``load`` builds the model once per task. Texts stay in Arrow and
+    become Python strings in small batches. A filter on the vector is not pushed below it: that would encode every text twice."""
 
-    @F.pandas_udf("array<float>")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<float>")
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encode = load()
         for part in parts:
-            present = part.dropna()
-            texts = present.tolist()
-            vectors: list = []
-            for at in range(0, len(texts), batch):
-                vectors.extend(np.asarray(encode(texts[at:at + batch]), dtype=np.float32))
-            yield pd.Series(vectors, index=present.index, dtype=object).reindex(part.index).where(part.notna(), None)
-
-    return df.withColumn(out, run(F.col(text)))
+            present = part.drop_null()
+            vectors = iter([v for at in range(0, len(present), batch) for v in np.asarray(encode(present.slice(at, batch).to_pylist()), dtype=np.float32)])
+            yield pa.array([next(vectors) if there else None for there in part.is_valid().to_pylist()], pa.list_(pa.float32()))
+
+    return df.withColumn(out, run.asNondeterministic()(F.col(text)))
 
 
 def encode_points(load: Callable[[], Callable[[list[str]], np.ndarray]], **sparse_params) -> Callable[[DataFrame], DataFrame]:

@@ -1,7 +1,10 @@
 import gzip
 import json
 import re
+import sys
+import tracemalloc
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,6 +156,49 @@ def test_encoders(spark):
     assert dense[3] is None and len(dense[1]) == 8 and sum(x * x for x in dense[1]) == pytest.approx(1, abs=1e-5)
 
 
+def test_dense_vectors_are_made_once_and_from_few_strings_at_a_time(spark):
+    texts = spark.range(0, 8000, 1, 1).select("id", F.when(F.col("id") % 5 > 0, F.concat(F.lit("text "), F.col("id"))).alias("text"))
+    seen = spark.sparkContext.accumulator(0)
+
+    def load():
+        import pyarrow.compute  # noqa: F401
+
+        before = sys.getallocatedblocks()
+
+        def encode_few(few):
+            seen.add(len(few))
+            return [[int(x[5:]), len(few), sys.getallocatedblocks() - before] for x in few]
+
+        return encode_few
+
+    made = encode.dense_vector(texts, "text", load)
+    rows = sorted(made.filter("size(dense) = 3 AND dense IS NOT NULL").collect())
+    assert [r["id"] for r in rows] == [i for i in range(8000) if i % 5] and all(r["dense"][:2] == [r["id"], 32] for r in rows)
+    assert rows[0]["dense"][2] < 4000
+    assert seen.value == 6400
+    assert made.filter("dense IS NULL").count() == 1600
+    assert encode.dense_vector(texts.filter("id = 0"), "text", load).first()["dense"] is None
+
+
+@pytest.mark.parametrize("size", [0, 1, encode.RUN - 1, encode.RUN, encode.RUN + 1, 2 * encode.RUN + 7])
+def test_long_texts_are_hashed_in_runs(size):
+    text = "".join(chr(97 + i * i % 23) if i % 7 else "\u03a9" for i in range(size))
+    points, counts = [ord(c) for c in f"  {text.lower()} "], np.zeros(8)
+    for a, b, c in zip(points, points[1:], points[2:]):
+        h = (961 * a + 31 * b + c) * 2654435761 % 2**32
+        counts[h // 256 % 2**23 % 8] += 1 if h >= 2**31 else -1
+    assert (encode.hashed_encoder(8)()([text])[0] == counts / np.sqrt((counts * counts).sum())).all()
+
+
+def test_memory_of_the_hashed_encoder_does_not_grow_with_multiples_of_a_text():
+    made, text = encode.hashed_encoder(8)(), "some words " * 200_000
+    tracemalloc.start()
+    made([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10 * len(text)
+
+
 def test_scans_read_all_formats_in_file_order(spark, tmp_path):
     rows = [{"oracle_id": str(i), "published_at": "2020-01-01", "comment": f"c{i}"} for i in range(5)]
     (tmp_path / "a.json").write_text(json.dumps(rows))
