@@ -17,7 +17,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -38,14 +38,19 @@ SLACK = 1e-5
 #: Terms of the questions or of the points of a tile, and the most rows of either side, in a sparse search. The larger a
 #: tile, the less often either side is sent.
 TERMS = 4_000_000
-LARGEST_BLOCK, LARGEST_GROUP = 32768, 16384
+LARGEST_BLOCK, LARGEST_GROUP = 1 << 18, 16384
 #: Groups from which on they grow.
 GROUPS = 32
-#: Scores that a tile computes at once.
-CELLS = 1 << 20
-#: A term that one in so many questions has is scored by matrix products, at most HEAVY of them.
-COMMON = 64
+#: Questions that a tile scores at once, and scores that it computes at once.
+ROWS = 2048
+CELLS = 1 << 21
+#: A term is scored by matrix products where one in so many pairs of question and point share it, at most HEAVY terms.
+COMMON = 200
 HEAVY = 512
+#: A term that fewer pairs share is scored together with others.
+FEW = 512
+#: Questions whose bounds are summed by one task.
+BLOCK_OF_BOUNDS = 1 << 16
 #: 64-bit words of the bitmap of the questions' terms.
 ASKED_WORDS = 1 << 14
 #: Pairs of a point's term and a question with that term that are spelled out at once.
@@ -54,10 +59,10 @@ SCORE_DIGITS = 6
 
 
 class _TopK:
-    """Best k (score, id) pairs per question over the batches of one task."""
+    """Best k (score, id) pairs per question over the batches of one task; scores below ``edge`` are not among them."""
 
-    def __init__(self, n: int, k: int):
-        self.k, self.edge, self.held = k, np.full(n, -np.inf), None
+    def __init__(self, n: int, k: int, edge: np.ndarray | None = None):
+        self.k, self.edge, self.held, self.new = k, np.full(n, -np.inf) if edge is None else edge, None, []
 
     def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
         if scores.shape[1] > self.k and np.isneginf(self.edge).any():
@@ -66,21 +71,30 @@ class _TopK:
         else:
             edge = self.edge
         rows, places = np.nonzero((scores >= edge[:, None]) & (scores > -np.inf))
-        if not len(rows):
+        self.found(rows, scores[rows, places], ids[places])
+
+    def found(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        """Scores that may be among the best. They are put in order when there are as many as are held."""
+        if len(rows):
+            self.new.append([rows, scores, ids])
+        if sum(len(x[0]) for x in self.new) > (len(self.held[0]) if self.held else 0):
+            self._settle()
+
+    def _settle(self) -> None:
+        if not self.new:
             return
-        found = [rows, scores[rows, places], ids[places]]
-        if self.held is not None:
-            found = [np.concatenate(pair) for pair in zip(self.held, found)]
+        found = [np.concatenate(parts) for parts in zip(*([self.held] if self.held else []), *self.new)]
         # Score first, then the smaller id: same order as the final ranking.
         order = np.lexsort((found[2], -found[1], found[0]))
         rows = found[0][order]
         place = np.arange(len(rows)) - np.searchsorted(rows, rows)
         kept = order[place < self.k]
-        self.held = [column[kept] for column in found]
+        self.held, self.new = [column[kept] for column in found], []
         last = order[place == self.k - 1]
         self.edge[found[0][last]] = found[1][last]
 
     def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        self._settle()
         return self.held or (np.empty(0, int), np.empty(0), np.empty(0))
 
 
@@ -96,35 +110,46 @@ def _ids(column: pa.Array) -> np.ndarray:
 
 
 def _tiles(points: DataFrame, questions: DataFrame, visits: DataFrame, point_id: str, query_id: str, k: int, schema: T.StructType, score: Callable[[pa.Table, pa.Table, _TopK], None], blocks: int) -> DataFrame:
-    """Top-k rows of every tile of ``visits`` (query_id, _g). ``score`` feeds one tile's points to a top-k list."""
-    asked = questions.join(visits.select(query_id, "_g"), query_id).withColumn("_b", F.pmod(F.xxhash64(query_id), F.lit(blocks)))
-    stored = points.join(asked.select("_g", "_b").distinct(), "_g")
+    """Top-k rows of every tile of ``visits`` (query_id, _g, _kth: a score below which nothing counts). ``score`` feeds one
+    tile's points to a top-k list."""
+    block = F.pmod(F.xxhash64(query_id), F.lit(blocks)).alias("_b")
+    asked = questions.select("*", block).join(visits.select(query_id, "_g", "_kth"), query_id)
+    # Written first, as a table of known and small size: else the points would be shuffled to meet it.
+    stored = points.join(materialize(visits.select("_g", block).distinct(), "search-tiles"), "_g")
     # Both sides may come from one table.
     asked, stored = asked.toDF(*asked.columns), stored.toDF(*stored.columns)
     out_schema = to_arrow_schema(schema)
 
     def tile(left: pa.Table, right: pa.Table) -> pa.Table:
-        top = _TopK(left.num_rows, k)
+        kth = left.column("_kth").to_numpy().astype(float)
+        top = _TopK(left.num_rows, k, np.where(np.isnan(kth), -np.inf, kth))
         if left.num_rows and right.num_rows:
             score(left, right, top)
         q, scores, ids = top.rows()
-        names = left.column(query_id).to_pylist()
-        return pa.table([pa.array([names[i] for i in q], type=out_schema.field(0).type), pa.array(ids.tolist(), type=out_schema.field(1).type), pa.array(scores, type=pa.float64())], schema=out_schema)
+        return pa.table([left.column(query_id).combine_chunks().take(pa.array(q)), pa.array(ids.tolist(), type=out_schema.field(1).type), pa.array(scores, type=pa.float64())], schema=out_schema)
 
     return asked.groupBy("_g", "_b").cogroup(stored.groupBy("_g", "_b")).applyInArrow(tile, schema)
 
 
-def _search(points: DataFrame, questions: DataFrame, bounds: DataFrame, point_id: str, query_id: str, k: int, schema: T.StructType, score, block: int) -> tuple[DataFrame, DataFrame]:
-    """(ranked hits, visited pairs of question and group). ``points`` carry their group _g, ``bounds`` are query_id, _g, bound."""
-    blocks = max(1, -(-questions.count() // block))
+def _in_order(bounds: DataFrame, points: DataFrame, query_id: str) -> DataFrame:
+    """``bounds`` with _before: the points in the better groups of the question."""
     sizes = points.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
     best_first = Window.partitionBy(query_id).orderBy(F.desc("bound"), "_g").rowsBetween(Window.unboundedPreceding, -1)
-    pairs = materialize(bounds.join(sizes, "_g").withColumn("_before", F.coalesce(F.sum("_n").over(best_first), F.lit(0))), "search-bounds")
-    first = pairs.filter(F.col("_before") < k)
-    hits = materialize(_tiles(points, questions, first, point_id, query_id, k, schema, score, blocks), "search-hits")
+    return bounds.join(sizes, "_g").withColumn("_before", F.coalesce(F.sum("_n").over(best_first), F.lit(0)))
+
+
+def _search(points: DataFrame, questions: DataFrame, bounds: DataFrame, point_id: str, query_id: str, k: int, schema: T.StructType, score, block: int) -> tuple[DataFrame, DataFrame]:
+    """(ranked hits, visited pairs of question and group). ``points`` carry their group _g, ``bounds`` are query_id, _g,
+    bound, _before."""
+    pairs = materialize(bounds, "search-bounds")
+    first = pairs.filter(F.col("_before") < k).withColumn("_kth", F.lit(None).cast("double"))
+    # Few questions begin with the same group.
+    largest = first.groupBy("_g").count().agg(F.max("count")).first()[0] or 1
+    hits = materialize(_tiles(points, questions, first, point_id, query_id, k, schema, score, -(-largest // block)), "search-hits")
     kth = _rank(hits, query_id, point_id, k).filter(F.col("rank") == k).select(query_id, F.col("score").alias("_kth"))
-    rest = pairs.filter(F.col("_before") >= k).join(kth, query_id, "left").filter(F.col("_kth").isNull() | (F.col("bound") >= F.col("_kth") - SLACK)).drop("_kth")
-    more = _tiles(points, questions, rest, point_id, query_id, k, schema, score, blocks)
+    rest = pairs.filter(F.col("_before") >= k).join(kth, query_id, "left").filter(F.col("_kth").isNull() | (F.col("bound") >= F.col("_kth") - SLACK))
+    rest = materialize(rest, "search-visits")
+    more = _tiles(points, questions, rest, point_id, query_id, k, schema, score, max(1, -(-questions.count() // block)))
     return _rank(hits.unionByName(more), query_id, point_id, k), first.unionByName(rest)
 
 
@@ -216,7 +241,7 @@ def dense_search(points: DataFrame, questions: DataFrame, k: int, point_id: str
     # Vectors may be costly to make, and are read several times.
     stored, asked = materialize(stored, "search-points"), materialize(asked, "search-questions")
     grouped, bounds = _around_pivots(stored, asked, point_id, query_id, group or GROUP, pivots)
-    return _search(grouped, asked, bounds, point_id, query_id, k, _schema(points, questions, query_id, point_id), score, block)
+    return _search(grouped, asked, _in_order(bounds, grouped, query_id), point_id, query_id, k, _schema(points, questions, query_id, point_id), score, block)
 
 
 def dense_topk(points: DataFrame, questions: DataFrame, k: int, point_id: str = "point_id", query_id: str = "query_id", vector: str = "dense", query_vector: str = "dense", **sizes) -> DataFrame:
@@ -228,9 +253,7 @@ def _by_signature(stored: DataFrame, point_id: str, group: int) -> DataFrame:
     """Points with their group: neighbours in the order of the least hashes of their terms, so that points with common
     terms lie together."""
     groups = max(1, -(-stored.count() // group))
-    least = lambda seed: F.array_min(F.transform("_i", lambda t: F.xxhash64(t, F.lit(seed))))
-    signed = stored.select("*", least(1).alias("_s"), least(2).alias("_t"))
-    dealt = signed.repartitionByRange(groups, "_s", "_t", point_id) if groups > 1 else signed.coalesce(1)
+    dealt = stored.repartitionByRange(groups, "_s", "_t", point_id) if groups > 1 else stored.coalesce(1)
     return materialize(dealt.select(point_id, "_i", "_v", F.spark_partition_id().cast("bigint").alias("_g")), "search-groups")
 
 
@@ -240,88 +263,252 @@ def _rows_of_terms(vectors: DataFrame) -> int:
     return max(1, int(TERMS / max(1, mean)))
 
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places starts[i], starts[i] + 1, ... of every run i, one run after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+
+
 def group_index(grouped: DataFrame) -> DataFrame:
     """The inverted index of groups: term, _g, low, high (extreme weights of the term in the group)."""
-    postings = grouped.select("_g", F.inline(F.arrays_zip(F.col("_i").alias("term"), F.col("_v").alias("weight"))))
-    return postings.groupBy("term", "_g").agg(F.min("weight").alias("low"), F.max("weight").alias("high"))
+    schema = T.StructType([T.StructField("term", T.LongType()), T.StructField("_g", T.LongType()), T.StructField("low", T.DoubleType()), T.StructField("high", T.DoubleType())])
+
+    def extremes(batches):
+        for batch in batches:
+            groups = batch.column(0).to_numpy()
+            # Groups are written apart, so a batch holds few.
+            for group in np.unique(groups).tolist():
+                part = batch.filter(pa.array(groups == group))
+                terms, weights = (part.column(c).flatten().to_numpy(zero_copy_only=False) for c in (1, 2))
+                if len(terms):
+                    order = np.argsort(terms)
+                    terms, weights = terms[order], weights[order]
+                    heads = np.flatnonzero(np.concatenate([[True], terms[1:] != terms[:-1]]))
+                    yield pa.RecordBatch.from_arrays([pa.array(terms[heads]), pa.array(np.full(len(heads), group)), pa.array(np.minimum.reduceat(weights, heads)), pa.array(np.maximum.reduceat(weights, heads))], schema.names)
+
+    return grouped.select("_g", "_i", "_v").mapInArrow(extremes, schema).groupBy("term", "_g").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+
+
+def _sparse_bounds(grouped: DataFrame, asked: DataFrame, query_id: str) -> DataFrame:
+    """query_id, _g, bound, _before of the groups that share a term with a question. A point of the group may have the term
+    or not, so a term adds the largest of nothing and its extreme weights."""
+    sizes = grouped.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
+    blocks = max(1, -(-asked.count() // BLOCK_OF_BOUNDS))
+    index = group_index(grouped).join(sizes, "_g").crossJoin(asked.sparkSession.range(blocks).withColumnRenamed("id", "_b"))
+    schema = T.StructType([asked.schema[query_id], T.StructField("_g", T.LongType()), T.StructField("bound", T.DoubleType()), T.StructField("_before", T.LongType())])
+    out_schema = to_arrow_schema(schema)
+
+    def bound(left: pa.Table, right: pa.Table) -> pa.Table:
+        columns = [right.column(c).to_numpy() for c in ("term", "_g", "low", "high", "_n")]
+        order = np.argsort(columns[0], kind="stable")
+        stored, of, low, high, _n = (c[order] for c in columns)
+        groups, of = np.unique(of, return_inverse=True)
+        points = np.zeros(len(groups), int)
+        points[of] = _n
+        # Rows of one id are one question.
+        ids = left.column(query_id).combine_chunks().dictionary_encode()
+        terms, rows = _flat(left.column("_i").combine_chunks())
+        weights, _rows = _flat(left.column("_v").combine_chunks())
+        rows = ids.indices.fill_null(-1).to_numpy()[rows]
+        order = np.argsort(rows, kind="stable")[np.count_nonzero(rows < 0):]
+        terms, weights, rows, questions = terms[order], weights[order], rows[order], len(ids.dictionary)
+        starts = np.searchsorted(stored, terms)
+        counts = np.searchsorted(stored, terms, "right") - starts
+        firsts = np.searchsorted(rows, np.arange(questions + 1))
+        pairs = np.concatenate([[0], np.cumsum(counts)])[firsts]
+        found, begin = [], 0
+        while begin < questions:
+            # So many questions that neither what is spelled out nor the sums grow with the block.
+            end = min(max(begin + 1, int(np.searchsorted(pairs, pairs[begin] + PAIRS, "right")) - 1), begin + max(1, PAIRS // max(1, len(groups))), left.num_rows)
+            here = slice(firsts[begin], firsts[end])
+            e, w = _ranges(starts[here], counts[here]), np.repeat(weights[here], counts[here])
+            cell = np.repeat(rows[here] - begin, counts[here]) * len(groups) + of[e]
+            cells = (end - begin) * len(groups)
+            most = np.bincount(cell, np.maximum(np.maximum(w * low[e], w * high[e]), 0), minlength=cells)
+            met = np.flatnonzero(np.bincount(cell, minlength=cells))
+            row, group, most = met // max(1, len(groups)), met % max(1, len(groups)), most[met]
+            order = np.lexsort((group, -most, row))
+            row, group, most = row[order], group[order], most[order]
+            before = np.cumsum(points[group]) - points[group]
+            found.append((row + begin, groups[group], most, before - before[np.searchsorted(row, row)]))
+            begin = end
+        row, group, most, before = (np.concatenate(c) for c in zip(*found)) if found else (np.empty(0, int), np.empty(0, int), np.empty(0), np.empty(0, int))
+        return pa.table([ids.dictionary.take(pa.array(row)), pa.array(group), pa.array(most), pa.array(before)], schema=out_schema)
+
+    dealt = asked.withColumn("_b", F.pmod(F.xxhash64(query_id), F.lit(blocks)))
+    return dealt.groupBy("_b").cogroup(index.groupBy("_b")).applyInArrow(bound, schema)
 
 
-def _bit(term: Column) -> Column:
-    """The place of a term in the bitmap; term ids are hashes."""
-    return F.pmod(term, F.lit(64 * ASKED_WORDS))
+def asked_terms(asked: DataFrame) -> np.ndarray:
+    """ASKED_WORDS numbers whose bits say which terms the questions have: a bitmap of fixed size. More questions let more
+    other terms through, which add nothing to a score."""
+    place = F.pmod(F.col("t"), F.lit(64 * ASKED_WORDS)).alias("s")
+    bits = asked.select(F.explode("_i").alias("t")).select(place).groupBy(F.shiftright("s", 6).alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("b")).toArrow()
+    out = np.zeros(ASKED_WORDS, np.int64)
+    out[bits.column("i").to_numpy()] = bits.column("b").to_numpy()
+    return out
 
 
-def asked_terms(asked: DataFrame) -> Column:
-    """An array of ASKED_WORDS numbers whose bits say which terms the questions have, as a subquery of fixed size. More
-    questions let more other terms through, which add nothing to a score."""
-    bits = asked.select(F.explode("_i").alias("t")).select(_bit(F.col("t")).alias("s")).groupBy(F.shiftright("s", 6).alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("b"))
-    every = asked.sparkSession.range(ASKED_WORDS).join(bits, F.col("id") == F.col("i"), "left").select("id", F.coalesce("b", F.lit(0).cast("bigint")).alias("b"))
-    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "b"))), lambda x: x.b).alias("bits")).scalar()
+def _parts(df: DataFrame, id_: str, vector: str) -> DataFrame:
+    """The terms _i and weights _v of the vectors that are not null. A vector is used in one expression, with no filter that
+    is pushed below it: vectors may be costly to make, and would be made once for each use."""
+    entries = F.filter(F.array(vector), lambda v: v.isNotNull())
+    return df.select(id_, F.inline(entries)).select(id_, F.col("indices").alias("_i"), F.col("values").alias("_v"))
 
 
-def _parts(df: DataFrame, id_: str, vector: str, asked: DataFrame | None = None) -> DataFrame:
-    """The terms _i and weights _v of the vectors that are not null; next to ``asked`` only the terms that some question may
-    have, and only vectors with such terms. A vector is used in one expression, with no filter that is pushed below it:
-    vectors may be costly to make, and would be made once for each use."""
-    if asked is None:
-        entries = F.filter(F.array(vector), lambda v: v.isNotNull())
-        return df.select(id_, F.inline(entries)).select(id_, F.col("indices").alias("_i"), F.col("values").alias("_v"))
-    place = lambda x: _bit(x["indices"])
-    met = lambda x: F.getbit(F.get(F.col("_bits"), F.shiftright(place(x), 6).cast("int")), place(x).bitwiseAND(F.lit(63)).cast("int")) == 1
-    kept = F.transform(F.array(vector), lambda v: F.filter(F.arrays_zip(v["indices"], v["values"]), met))
-    entries = F.transform(F.filter(kept, lambda p: F.size(p) > 0), lambda p: F.struct(p["indices"].alias("_i"), p["values"].alias("_v")))
-    return df.withColumn("_bits", asked_terms(asked)).select(id_, F.inline(entries))
+def _mixed(terms: np.ndarray, seed: int) -> np.ndarray:
+    """Another order of term ids."""
+    x = (terms.view(np.uint64) ^ np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
+    return ((x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
+
+
+def _signed_parts(df: DataFrame, id_: str, vector: str, asked: DataFrame) -> DataFrame:
+    """``_parts`` with only the terms that some question may have, of vectors that have any, and their two least hashes _s
+    and _t."""
+    bits = asked_terms(asked)
+    schema = T.StructType([df.schema[id_], *(T.StructField(c, T.ArrayType(t())) for c, t in (("_i", T.LongType), ("_v", T.DoubleType))), T.StructField("_s", T.LongType()), T.StructField("_t", T.LongType())])
+
+    def keep(batches):
+        for batch in batches:
+            terms, rows = _flat(batch.column(1))
+            place = terms & (64 * ASKED_WORDS - 1)
+            met = np.flatnonzero(bits[place >> 6] >> (place & 63) & 1)
+            terms, rows, weights = terms[met], rows[met], batch.column(2).flatten().to_numpy(zero_copy_only=False)[met]
+            some, starts = np.unique(rows, return_index=True)
+            if len(some):
+                ends = pa.array(np.append(starts, len(rows)), pa.int32())
+                least = [pa.array(np.minimum.reduceat(_mixed(terms, seed), starts)) for seed in (1, 2)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), pa.ListArray.from_arrays(ends, pa.array(terms)), pa.ListArray.from_arrays(ends, pa.array(weights)), *least], schema.names)
+
+    return _parts(df, id_, vector).mapInArrow(keep, schema)
+
+
+class _Entries:
+    """The vectors of one side of a tile; ``place`` are places in the vocabulary of the questions, -1 for other terms."""
+
+    def __init__(self, table: pa.Table, place: np.ndarray, terms: int):
+        sizes = np.nan_to_num(table.column("_i").combine_chunks().value_lengths().to_numpy(zero_copy_only=False), nan=0).astype(np.int64)
+        self.place, self.terms, self.size = place, terms, sizes
+        self.start, self.weights = np.cumsum(sizes) - sizes, table.column("_v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+
+    def alike(self, rank: np.ndarray) -> np.ndarray:
+        """Rows in the order of their most common term, long ones last: neighbours share terms, and lack the same ones."""
+        first, some = np.full(len(self.size), self.terms), np.flatnonzero(self.size)
+        if len(some):
+            first[some] = np.minimum.reduceat(np.append(rank, self.terms)[self.place], self.start[some])
+        return np.lexsort((self.size, first))
+
+    def run(self, rows: np.ndarray) -> _Run:
+        return _Run(self, rows)
+
+
+class _Run:
+    """Some rows of a side by term: the n-th of ``terms`` has the entries ``start`` to ``start + size`` of ``rows`` and
+    ``weights``."""
+
+    def __init__(self, side: _Entries, rows: np.ndarray):
+        e = _ranges(side.start[rows], side.size[rows])
+        place, row = side.place[e], np.repeat(np.arange(len(rows)), side.size[rows])
+        order = np.argsort(place)
+        order = order[np.searchsorted(place[order], 0):]
+        place = place[order]
+        self.n, self.rows, self.weights = len(rows), row[order], side.weights[e[order]]
+        self.start = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else np.empty(0, int)
+        self.size, self.terms = np.diff(np.append(self.start, len(place))), place[self.start]
 
 
 def _score_terms(left: pa.Table, right: pa.Table, top: _TopK, point_id: str) -> None:
-    """The dot products of a tile: terms that many questions have by matrix products, others pair by pair."""
-    # Questions by term: for term t the entries start[t]:start[t + 1].
-    terms, rows = _flat(left.column("_i").combine_chunks())
-    weights, _rows = _flat(left.column("_v").combine_chunks())
+    """The dot products of a tile: runs of similar questions next to runs of similar points. Terms that many pairs of a run
+    share are scored by matrix products, others pair by pair; questions whose kth score no point of a run can reach pass it over."""
+    terms = left.column("_i").combine_chunks().flatten().to_numpy(zero_copy_only=False)
     if not len(terms):
         return
     vocabulary, place = np.unique(terms, return_inverse=True)
-    uses = np.bincount(place, minlength=len(vocabulary))
-    order = np.argsort(place, kind="stable")
-    start = np.concatenate([[0], np.cumsum(uses)])
-    of_query, query_weights = rows[order], weights[order]
-    heavy = np.argsort(-uses, kind="stable")[:HEAVY]
-    heavy = heavy[uses[heavy] * COMMON >= left.num_rows]
-    column = np.full(len(vocabulary), -1)
-    column[heavy] = np.arange(len(heavy))
-    common = np.zeros((left.num_rows, len(heavy)))
-    of_heavy = column[place] >= 0
-    np.add.at(common, (rows[of_heavy], column[place[of_heavy]]), weights[of_heavy])
-    step = max(1, CELLS // left.num_rows)
-    for at in range(0, right.num_rows, step):
-        part = right.slice(at, step)
-        terms, rows = _flat(part.column("_i").combine_chunks())
-        weights, _rows = _flat(part.column("_v").combine_chunks())
-        if not len(terms):
+    count = len(vocabulary)
+    rank = np.empty(count, np.int32)
+    rank[np.argsort(-np.bincount(place, minlength=count), kind="stable")] = np.arange(count)
+    asked = _Entries(left, place.astype(np.int32), count)
+    of_question = asked.alike(rank)
+    runs = [(rows, asked.run(rows)) for rows in np.split(of_question, range(ROWS, len(of_question), ROWS))]
+    terms = right.column("_i").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    place = np.empty(len(terms), np.int32)
+    for begin in range(0, len(terms), CELLS):
+        part = terms[begin:begin + CELLS]
+        near = np.minimum(np.searchsorted(vocabulary, part), count - 1)
+        place[begin:begin + CELLS] = np.where(vocabulary[near] == part, near, -1)
+    stored = _Entries(right, place, count)
+    of_point, ids = stored.alike(rank), _ids(right.column(point_id).combine_chunks())
+    step, at = max(1, CELLS // min(ROWS, left.num_rows)), np.full(count, -1)
+    for rows in np.split(of_point, range(step, len(of_point), step)):
+        points = stored.run(rows)
+        if not len(points.terms):
             continue
-        place = np.minimum(np.searchsorted(vocabulary, terms), len(vocabulary) - 1)
-        hit = vocabulary[place] == terms
-        place, rows, weights = place[hit], rows[hit], weights[hit]
-        mass = np.zeros((len(heavy), part.num_rows))
-        of_heavy = column[place] >= 0
-        np.add.at(mass, (column[place[of_heavy]], rows[of_heavy]), weights[of_heavy])
-        scores = (common @ mass).ravel()
-        place, rows, weights = place[~of_heavy], rows[~of_heavy], weights[~of_heavy]
-        # Every other (term of a point, question with the term) pair, summed per (question, point), so many pairs at a time.
-        sizes = start[place + 1] - start[place]
-        cuts = np.searchsorted(np.cumsum(sizes), np.arange(PAIRS, int(sizes.sum()) + PAIRS, PAIRS), "left")
-        begin = 0
-        for end in np.minimum(cuts + 1, len(sizes)).tolist():
-            if end <= begin:
-                continue
-            n, here = sizes[begin:end], slice(begin, end)
-            entry = np.arange(n.sum()) + np.repeat(start[place[here]] - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
-            cell = of_query[entry] * part.num_rows + np.repeat(rows[here], n)
-            scores += np.bincount(cell, query_weights[entry] * np.repeat(weights[here], n), minlength=len(scores))
-            begin = end
-        scores = np.round(scores.reshape(left.num_rows, part.num_rows), SCORE_DIGITS)
-        scores[scores <= 0] = -np.inf
-        top.add(scores, _ids(part.column(point_id).combine_chunks()))
+        low, high = np.minimum.reduceat(points.weights, points.start), np.maximum.reduceat(points.weights, points.start)
+        at[points.terms] = np.arange(len(points.terms))
+        for whose, questions in runs:
+            known = at[questions.terms]
+            met = np.flatnonzero(known >= 0)
+            known = known[met]
+            # What a question can score here at most.
+            e, w = _ranges(questions.start[met], questions.size[met]), np.repeat(known, questions.size[met])
+            most = np.bincount(questions.rows[e], np.maximum(np.maximum(questions.weights[e] * low[w], questions.weights[e] * high[w]), 0), minlength=questions.n)
+            wanted = np.flatnonzero((most > 0) & (most >= top.edge[whose] - SLACK))
+            if len(wanted):
+                _add(top, _products(questions, met, wanted, points, known), whose[wanted], ids[rows])
+        at[points.terms] = -1
+
+
+def _products(asked: _Run, met: np.ndarray, wanted: np.ndarray, stored: _Run, known: np.ndarray) -> np.ndarray:
+    """The dot products of the ``wanted`` questions of a run and the points of a run: the terms ``met`` of the questions are
+    the terms ``known`` of the points."""
+    questions, points, line = len(wanted), stored.n, np.full(asked.n, -1)
+    line[wanted] = np.arange(questions)
+    e, sizes = _ranges(asked.start[met], asked.size[met]), asked.size[met]
+    row = line[asked.rows[e]]
+    owner = np.repeat(np.arange(len(met)), sizes)[row >= 0]
+    weights, row = asked.weights[e][row >= 0], row[row >= 0]
+    sizes = np.bincount(owner, minlength=len(met))
+    starts = np.cumsum(sizes) - sizes
+    shared = sizes * stored.size[known]
+    heavy = np.argsort(-shared, kind="stable")[:HEAVY]
+    heavy = heavy[(shared[heavy] > 0) & (shared[heavy] * COMMON >= questions * points)]
+    mine, theirs = np.zeros((questions, len(heavy))), np.zeros((len(heavy), points))
+    e = _ranges(starts[heavy], sizes[heavy])
+    mine[row[e], np.repeat(np.arange(len(heavy)), sizes[heavy])] = weights[e]
+    e = _ranges(stored.start[known[heavy]], stored.size[known[heavy]])
+    theirs[np.repeat(np.arange(len(heavy)), stored.size[known[heavy]]), stored.rows[e]] = stored.weights[e]
+    scores = mine @ theirs
+    flat = scores.reshape(-1)
+    shared[heavy] = 0
+    own, other = starts, stored.start[known]
+    some = np.flatnonzero(shared >= FEW)
+    for a, n, b, m in zip(own[some].tolist(), sizes[some].tolist(), other[some].tolist(), stored.size[known[some]].tolist()):
+        np.add.at(flat, (row[a:a + n, None] * points + stored.rows[b:b + m]).ravel(), (weights[a:a + n, None] * stored.weights[b:b + m]).ravel())
+    # Every other (entry of a question, entry of a point) pair, so many pairs at a time.
+    rare = np.flatnonzero((shared > 0) & (shared < FEW))
+    e = _ranges(own[rare], sizes[rare])
+    n, begin = np.repeat(stored.size[known[rare]], sizes[rare]), np.repeat(other[rare], sizes[rare])
+    step = max(1, PAIRS // FEW)
+    for at in range(0, len(e), step):
+        here, many = e[at:at + step], n[at:at + step]
+        d = _ranges(begin[at:at + step], many)
+        np.add.at(flat, np.repeat(row[here] * points, many) + stored.rows[d], np.repeat(weights[here], many) * stored.weights[d])
+    return scores
+
+
+def _add(top: _TopK, scores: np.ndarray, questions: np.ndarray, ids: np.ndarray) -> None:
+    """The scores above zero that may be among the best of their questions."""
+    edge = top.edge[questions]
+    if scores.shape[1] > top.k and len(none := np.flatnonzero(np.isneginf(edge))):
+        # Cut by score alone, where there are more than k.
+        none = none[np.count_nonzero(scores[none] > 0, axis=1) > top.k]
+        edge[none] = np.partition(scores[none], -top.k, axis=1)[:, -top.k]
+    # Ties of rounded scores at the edge stay in.
+    found = np.flatnonzero(scores >= np.maximum(edge - 2 * 10.0**-SCORE_DIGITS, 0)[:, None])
+    best = np.round(scores.reshape(-1)[found], SCORE_DIGITS)
+    row = found // scores.shape[1]
+    kept = (best > 0) & (best >= top.edge[questions][row])
+    top.found(questions[row[kept]], best[kept], ids[found[kept] % scores.shape[1]])
 
 
 def sparse_search(points: DataFrame, questions: DataFrame, k: int, point_id: str = "point_id", query_id: str = "query_id",
@@ -333,13 +520,10 @@ def sparse_search(points: DataFrame, questions: DataFrame, k: int, point_id: str
         _score_terms(left, right, top, point_id)
 
     asked = materialize(_parts(questions, query_id, query_vector), "search-questions")
-    stored = materialize(_parts(points, point_id, vector, asked), "search-points")
+    stored = materialize(_signed_parts(points, point_id, vector, asked), "search-points")
     group = group or max(GROUP, min(LARGEST_GROUP, _rows_of_terms(stored), stored.count() // GROUPS))
     grouped = _by_signature(stored, point_id, group)
-    terms = asked.select(query_id, F.inline(F.arrays_zip(F.col("_i").alias("term"), F.col("_v").alias("asked"))))
-    # A point of the group may have the term or not.
-    most = F.greatest(F.col("asked") * F.col("low"), F.col("asked") * F.col("high"), F.lit(0.0))
-    bounds = terms.join(group_index(grouped), "term").groupBy(query_id, "_g").agg(F.sum(most).alias("bound"))
+    bounds = _sparse_bounds(grouped, asked, query_id)
     return _search(grouped, asked, bounds, point_id, query_id, k, _schema(points, questions, query_id, point_id), score, block or min(LARGEST_BLOCK, _rows_of_terms(asked)))
 
 
