@@ -6,7 +6,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.results import source_label
@@ -89,8 +89,8 @@ def retrieve(questions: DataFrame, cards: DataFrame, rules: DataFrame, points: D
                            text=F.col("text"), score=F.lit(1.0), match_type=F.lit("card_ruling_match"), oracle_id=F.col("oracle_id"),
                            card_name=F.col("card_name"), published_at=F.col("published_at"), scryfall_uri=F.col("scryfall_uri"))
     # Rules of earlier keywords first; within one keyword, file order.
-    keywords = materialize(keyword_rules(find_keywords(questions, rules, query_id, text), rules, query_id), "keywords")
-    keyword_block = result_block(keywords, query_id, 2, [F.col("start"), F.lpad(F.col("line_no").cast("string"), 20, "0").alias("l")], source=F.lit("rule"),
+    keywords = materialize(find_keywords(questions, rules, query_id, text), "keywords")
+    keyword_block = result_block(keyword_rules(keywords, rules, query_id), query_id, 2, [F.col("start"), F.lpad(F.col("line_no").cast("string"), 20, "0").alias("l")], source=F.lit("rule"),
                             title=F.col("rule_id"), text=F.col("text"), score=F.lit(1.0), match_type=F.lit("keyword_rule_match"), rule_id=F.col("rule_id"))
 
     def search(top_k: str, source_type: str | None) -> DataFrame:
@@ -101,17 +101,27 @@ def retrieve(questions: DataFrame, cards: DataFrame, rules: DataFrame, points: D
             own = settings.select(query_id, F.col("hybrid_dense_weight").alias("dense_weight"), F.col("hybrid_sparse_weight").alias("sparse_weight"), F.col("hybrid_score_threshold").alias("threshold"),
                                   F.col(top_k).alias("top_k"), F.col("hybrid_per_branch_limit").alias("per_branch"))
             hits = hybrid_search_by(points, questions, own, source_type, query_id=query_id)
-        return hits.join(points.select("point_id", "payload"), "point_id").select(query_id, "point_id", "score", "rank", "payload.*")
-
-    # Small (questions * top_k) and used twice: written once, so the corpus is not searched again.
-    mixed = materialize(drop_covered(search("hybrid_top_k", None), named, keywords, query_id), "mixed-hits")
-    mixed_block = result_block(mixed, query_id, 4, [F.col("rank"), F.col("point_id")], source=F.col("source_type"), title=F.coalesce("card_name", "rule_id", F.lit("")),
+        return hits.select(query_id, "point_id", "score", "rank")
+
+    def with_payload(kept: DataFrame, ids: list[str]) -> DataFrame:
+        same = [F.col("point_id") == F.col("_p"), *[F.col(c).eqNullSafe(F.col(f"payload.{c}")) for c in ids]]
+        return kept.join(points.select(F.col("point_id").alias("_p"), "payload"), reduce(Column.__and__, same)).select(query_id, "point_id", "score", "rank", "payload.*")
+
+    # Small (questions * top_k) and used twice: written once, so the corpus is not searched again. Texts are not written.
+    # A point that comes twice is dealt with once here, and is two results as before.
+    hits = materialize(search("hybrid_top_k", None).join(points.select("point_id", "payload.oracle_id", "payload.rule_id"), "point_id").distinct(), "mixed-hits")
+    # A keyword may have very many rules: only those that are hits can cover any.
+    hit_rules = rules.join(hits.select("rule_id").distinct(), "rule_id", "left_semi")
+    kept = materialize(drop_covered(hits, named, keyword_rules(keywords, hit_rules, query_id), query_id), "mixed-kept")
+    mixed_block = result_block(with_payload(kept, ["oracle_id", "rule_id"]), query_id, 4, [F.col("rank"), F.col("point_id")], source=F.col("source_type"), title=F.coalesce("card_name", "rule_id", F.lit("")),
                           text=F.col("text"), score=F.col("score"), match_type=F.lit("vector_hit"), oracle_id=F.col("oracle_id"), rule_id=F.col("rule_id"),
                           card_name=F.col("card_name"), published_at=F.col("published_at"), scryfall_uri=F.col("scryfall_uri"))
     blocks = [card_block, ruling_block, keyword_block, mixed_block]
     if settings is not None or s.rules_top_k > 0:
-        seen = keywords.select(query_id, "rule_id").unionByName(mixed.select(query_id, "rule_id")).filter(F.col("rule_id").isNotNull()).distinct()
-        only = search("rules_top_k", "rule").join(seen, [query_id, "rule_id"], "left_anti")
+        more = materialize(search("rules_top_k", "rule").join(points.select("point_id", "payload.rule_id"), "point_id").distinct(), "rule-hits")
+        more_rules = rules.join(more.select("rule_id").distinct(), "rule_id", "left_semi")
+        seen = keyword_rules(keywords, more_rules, query_id).select(query_id, "rule_id").unionByName(kept.select(query_id, "rule_id")).filter(F.col("rule_id").isNotNull()).distinct()
+        only = with_payload(more.join(seen, [query_id, "rule_id"], "left_anti"), ["rule_id"])
         blocks.append(result_block(only, query_id, 3, [F.col("rank"), F.col("point_id")], source=F.lit("rule"), title=F.coalesce("rule_id", F.lit("")), text=F.col("text"),
                               score=F.col("score"), match_type=F.lit("rule_vector_hit"), rule_id=F.col("rule_id")))
     return number_results(blocks, query_id)
