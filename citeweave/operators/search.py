@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..session import materialize
+from ..session import free_shuffles, materialize
 from .encode import sparse_vector
 
 #: Questions and points of a tile in small searches, and vectors that are scored at once.
@@ -49,8 +49,9 @@ COMMON = 200
 HEAVY = 512
 #: A term that fewer pairs share is scored together with others.
 FEW = 512
-#: Questions whose bounds are summed by one task.
+#: Questions and groups whose bounds are summed by one task.
 BLOCK_OF_BOUNDS = 1 << 16
+GROUPS_OF_BOUNDS = 8
 #: 64-bit words of the bitmap of the questions' terms.
 ASKED_WORDS = 1 << 14
 #: Pairs of a point's term and a question with that term that are spelled out at once.
@@ -142,10 +143,12 @@ def _search(points: DataFrame, questions: DataFrame, bounds: DataFrame, point_id
     """(ranked hits, visited pairs of question and group). ``points`` carry their group _g, ``bounds`` are query_id, _g,
     bound, _before."""
     pairs = materialize(bounds, "search-bounds")
+    free_shuffles(points.sparkSession)
     first = pairs.filter(F.col("_before") < k).withColumn("_kth", F.lit(None).cast("double"))
     # Few questions begin with the same group.
     largest = first.groupBy("_g").count().agg(F.max("count")).first()[0] or 1
     hits = materialize(_tiles(points, questions, first, point_id, query_id, k, schema, score, -(-largest // block)), "search-hits")
+    free_shuffles(points.sparkSession)
     kth = _rank(hits, query_id, point_id, k).filter(F.col("rank") == k).select(query_id, F.col("score").alias("_kth"))
     rest = pairs.filter(F.col("_before") >= k).join(kth, query_id, "left").filter(F.col("_kth").isNull() | (F.col("bound") >= F.col("_kth") - SLACK))
     rest = materialize(rest, "search-visits")
@@ -290,21 +293,19 @@ def group_index(grouped: DataFrame) -> DataFrame:
 
 
 def _sparse_bounds(grouped: DataFrame, asked: DataFrame, query_id: str) -> DataFrame:
-    """query_id, _g, bound, _before of the groups that share a term with a question. A point of the group may have the term
+    """query_id, _g, bound of the groups that share a term with a question. A point of the group may have the term
     or not, so a term adds the largest of nothing and its extreme weights."""
-    sizes = grouped.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
     blocks = max(1, -(-asked.count() // BLOCK_OF_BOUNDS))
-    index = group_index(grouped).join(sizes, "_g").crossJoin(asked.sparkSession.range(blocks).withColumnRenamed("id", "_b"))
-    schema = T.StructType([asked.schema[query_id], T.StructField("_g", T.LongType()), T.StructField("bound", T.DoubleType()), T.StructField("_before", T.LongType())])
+    some = F.floor(F.col("_g") / GROUPS_OF_BOUNDS).alias("_p")
+    index = group_index(grouped).select("*", some, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"))
+    schema = T.StructType([asked.schema[query_id], T.StructField("_g", T.LongType()), T.StructField("bound", T.DoubleType())])
     out_schema = to_arrow_schema(schema)
 
     def bound(left: pa.Table, right: pa.Table) -> pa.Table:
-        columns = [right.column(c).to_numpy() for c in ("term", "_g", "low", "high", "_n")]
-        order = np.argsort(columns[0], kind="stable")
-        stored, of, low, high, _n = (c[order] for c in columns)
+        columns = [right.column(c).to_numpy() for c in ("term", "_g", "low", "high")]
+        order = np.argsort(columns[0])
+        stored, of, low, high = (c[order] for c in columns)
         groups, of = np.unique(of, return_inverse=True)
-        points = np.zeros(len(groups), int)
-        points[of] = _n
         # Rows of one id are one question.
         ids = left.column(query_id).combine_chunks().dictionary_encode()
         terms, rows = _flat(left.column("_i").combine_chunks())
@@ -326,17 +327,15 @@ def _sparse_bounds(grouped: DataFrame, asked: DataFrame, query_id: str) -> DataF
             cells = (end - begin) * len(groups)
             most = np.bincount(cell, np.maximum(np.maximum(w * low[e], w * high[e]), 0), minlength=cells)
             met = np.flatnonzero(np.bincount(cell, minlength=cells))
-            row, group, most = met // max(1, len(groups)), met % max(1, len(groups)), most[met]
-            order = np.lexsort((group, -most, row))
-            row, group, most = row[order], group[order], most[order]
-            before = np.cumsum(points[group]) - points[group]
-            found.append((row + begin, groups[group], most, before - before[np.searchsorted(row, row)]))
+            found.append((met // max(1, len(groups)) + begin, groups[met % max(1, len(groups))], most[met]))
             begin = end
-        row, group, most, before = (np.concatenate(c) for c in zip(*found)) if found else (np.empty(0, int), np.empty(0, int), np.empty(0), np.empty(0, int))
-        return pa.table([ids.dictionary.take(pa.array(row)), pa.array(group), pa.array(most), pa.array(before)], schema=out_schema)
+        row, group, most = (np.concatenate(c) for c in zip(*found)) if found else (np.empty(0, int), np.empty(0, int), np.empty(0))
+        return pa.table([ids.dictionary.take(pa.array(row)), pa.array(group), pa.array(most)], schema=out_schema)
 
-    dealt = asked.withColumn("_b", F.pmod(F.xxhash64(query_id), F.lit(blocks)))
-    return dealt.groupBy("_b").cogroup(index.groupBy("_b")).applyInArrow(bound, schema)
+    parts = grouped.select(some).distinct()
+    block = F.pmod(F.xxhash64(query_id), F.lit(blocks)).cast("int").alias("_b")
+    dealt = asked.select("*", block).crossJoin(materialize(parts, "search-parts"))
+    return dealt.groupBy("_b", "_p").cogroup(index.groupBy("_b", "_p")).applyInArrow(bound, schema)
 
 
 def asked_terms(asked: DataFrame) -> np.ndarray:
@@ -523,7 +522,7 @@ def sparse_search(points: DataFrame, questions: DataFrame, k: int, point_id: str
     stored = materialize(_signed_parts(points, point_id, vector, asked), "search-points")
     group = group or max(GROUP, min(LARGEST_GROUP, _rows_of_terms(stored), stored.count() // GROUPS))
     grouped = _by_signature(stored, point_id, group)
-    bounds = _sparse_bounds(grouped, asked, query_id)
+    bounds = _in_order(_sparse_bounds(grouped, asked, query_id), grouped, query_id)
     return _search(grouped, asked, bounds, point_id, query_id, k, _schema(points, questions, query_id, point_id), score, block or min(LARGEST_BLOCK, _rows_of_terms(asked)))
 
 

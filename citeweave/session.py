@@ -52,3 +52,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of what has been written. It does so when the driver collects its garbage, which
+    may not happen while the next shuffles fill the disks."""
+    spark.sparkContext._jvm.System.gc()
