@@ -17,7 +17,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -37,13 +37,13 @@ SPREAD = 8
 SLACK = 1e-5
 #: Terms of the questions or of the points of a tile, and the most rows of either side, in a sparse search. The larger a
 #: tile, the less often either side is sent.
-TERMS = 4_000_000
+TERMS = 2_000_000
 LARGEST_BLOCK, LARGEST_GROUP = 1 << 18, 16384
 #: Groups from which on they grow.
 GROUPS = 32
 #: Questions that a tile scores at once, and scores that it computes at once.
 ROWS = 2048
-CELLS = 1 << 21
+CELLS = 1 << 20
 #: A term is scored by matrix products where one in so many pairs of question and point share it, at most HEAVY terms.
 COMMON = 200
 HEAVY = 512
@@ -55,7 +55,7 @@ GROUPS_OF_BOUNDS = 8
 #: 64-bit words of the bitmap of the questions' terms.
 ASKED_WORDS = 1 << 14
 #: Pairs of a point's term and a question with that term that are spelled out at once.
-PAIRS = 2_000_000
+PAIRS = 500_000
 SCORE_DIGITS = 6
 
 
@@ -256,7 +256,9 @@ def _by_signature(stored: DataFrame, point_id: str, group: int) -> DataFrame:
     """Points with their group: neighbours in the order of the least hashes of their terms, so that points with common
     terms lie together."""
     groups = max(1, -(-stored.count() // group))
-    dealt = stored.repartitionByRange(groups, "_s", "_t", point_id) if groups > 1 else stored.coalesce(1)
+    least = lambda seed: F.array_min(F.transform("_i", lambda t: F.xxhash64(t, F.lit(seed))))
+    signed = stored.select("*", least(1).alias("_s"), least(2).alias("_t"))
+    dealt = signed.repartitionByRange(groups, "_s", "_t", point_id) if groups > 1 else signed.coalesce(1)
     return materialize(dealt.select(point_id, "_i", "_v", F.spark_partition_id().cast("bigint").alias("_g")), "search-groups")
 
 
@@ -274,22 +276,8 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def group_index(grouped: DataFrame) -> DataFrame:
     """The inverted index of groups: term, _g, low, high (extreme weights of the term in the group)."""
-    schema = T.StructType([T.StructField("term", T.LongType()), T.StructField("_g", T.LongType()), T.StructField("low", T.DoubleType()), T.StructField("high", T.DoubleType())])
-
-    def extremes(batches):
-        for batch in batches:
-            groups = batch.column(0).to_numpy()
-            # Groups are written apart, so a batch holds few.
-            for group in np.unique(groups).tolist():
-                part = batch.filter(pa.array(groups == group))
-                terms, weights = (part.column(c).flatten().to_numpy(zero_copy_only=False) for c in (1, 2))
-                if len(terms):
-                    order = np.argsort(terms)
-                    terms, weights = terms[order], weights[order]
-                    heads = np.flatnonzero(np.concatenate([[True], terms[1:] != terms[:-1]]))
-                    yield pa.RecordBatch.from_arrays([pa.array(terms[heads]), pa.array(np.full(len(heads), group)), pa.array(np.minimum.reduceat(weights, heads)), pa.array(np.maximum.reduceat(weights, heads))], schema.names)
-
-    return grouped.select("_g", "_i", "_v").mapInArrow(extremes, schema).groupBy("term", "_g").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    postings = grouped.select("_g", F.inline(F.arrays_zip(F.col("_i").alias("term"), F.col("_v").alias("weight"))))
+    return postings.groupBy("term", "_g").agg(F.min("weight").alias("low"), F.max("weight").alias("high"))
 
 
 def _sparse_bounds(grouped: DataFrame, asked: DataFrame, query_id: str) -> DataFrame:
@@ -338,48 +326,31 @@ def _sparse_bounds(grouped: DataFrame, asked: DataFrame, query_id: str) -> DataF
     return dealt.groupBy("_b", "_p").cogroup(index.groupBy("_b", "_p")).applyInArrow(bound, schema)
 
 
-def asked_terms(asked: DataFrame) -> np.ndarray:
-    """ASKED_WORDS numbers whose bits say which terms the questions have: a bitmap of fixed size. More questions let more
-    other terms through, which add nothing to a score."""
-    place = F.pmod(F.col("t"), F.lit(64 * ASKED_WORDS)).alias("s")
-    bits = asked.select(F.explode("_i").alias("t")).select(place).groupBy(F.shiftright("s", 6).alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("b")).toArrow()
-    out = np.zeros(ASKED_WORDS, np.int64)
-    out[bits.column("i").to_numpy()] = bits.column("b").to_numpy()
-    return out
-
-
-def _parts(df: DataFrame, id_: str, vector: str) -> DataFrame:
-    """The terms _i and weights _v of the vectors that are not null. A vector is used in one expression, with no filter that
-    is pushed below it: vectors may be costly to make, and would be made once for each use."""
-    entries = F.filter(F.array(vector), lambda v: v.isNotNull())
-    return df.select(id_, F.inline(entries)).select(id_, F.col("indices").alias("_i"), F.col("values").alias("_v"))
-
+def _bit(term: Column) -> Column:
+    """The place of a term in the bitmap; term ids are hashes."""
+    return F.pmod(term, F.lit(64 * ASKED_WORDS))
 
-def _mixed(terms: np.ndarray, seed: int) -> np.ndarray:
-    """Another order of term ids."""
-    x = (terms.view(np.uint64) ^ np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
-    return ((x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
 
+def asked_terms(asked: DataFrame) -> Column:
+    """An array of ASKED_WORDS numbers whose bits say which terms the questions have, as a subquery of fixed size. More
+    questions let more other terms through, which add nothing to a score."""
+    bits = asked.select(F.explode("_i").alias("t")).select(_bit(F.col("t")).alias("s")).groupBy(F.shiftright("s", 6).alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("b"))
+    every = asked.sparkSession.range(ASKED_WORDS).join(bits, F.col("id") == F.col("i"), "left").select("id", F.coalesce("b", F.lit(0).cast("bigint")).alias("b"))
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "b"))), lambda x: x.b).alias("bits")).scalar()
 
-def _signed_parts(df: DataFrame, id_: str, vector: str, asked: DataFrame) -> DataFrame:
-    """``_parts`` with only the terms that some question may have, of vectors that have any, and their two least hashes _s
-    and _t."""
-    bits = asked_terms(asked)
-    schema = T.StructType([df.schema[id_], *(T.StructField(c, T.ArrayType(t())) for c, t in (("_i", T.LongType), ("_v", T.DoubleType))), T.StructField("_s", T.LongType()), T.StructField("_t", T.LongType())])
 
-    def keep(batches):
-        for batch in batches:
-            terms, rows = _flat(batch.column(1))
-            place = terms & (64 * ASKED_WORDS - 1)
-            met = np.flatnonzero(bits[place >> 6] >> (place & 63) & 1)
-            terms, rows, weights = terms[met], rows[met], batch.column(2).flatten().to_numpy(zero_copy_only=False)[met]
-            some, starts = np.unique(rows, return_index=True)
-            if len(some):
-                ends = pa.array(np.append(starts, len(rows)), pa.int32())
-                least = [pa.array(np.minimum.reduceat(_mixed(terms, seed), starts)) for seed in (1, 2)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), pa.ListArray.from_arrays(ends, pa.array(terms)), pa.ListArray.from_arrays(ends, pa.array(weights)), *least], schema.names)
-
-    return _parts(df, id_, vector).mapInArrow(keep, schema)
+def _parts(df: DataFrame, id_: str, vector: str, asked: DataFrame | None = None) -> DataFrame:
+    """The terms _i and weights _v of the vectors that are not null; next to ``asked`` only the terms that some question may
+    have, and only vectors with such terms. A vector is used in one expression, with no filter that is pushed below it:
+    vectors may be costly to make, and would be made once for each use."""
+    if asked is None:
+        entries = F.filter(F.array(vector), lambda v: v.isNotNull())
+        return df.select(id_, F.inline(entries)).select(id_, F.col("indices").alias("_i"), F.col("values").alias("_v"))
+    place = lambda x: _bit(x["indices"])
+    met = lambda x: F.getbit(F.get(F.col("_bits"), F.shiftright(place(x), 6).cast("int")), place(x).bitwiseAND(F.lit(63)).cast("int")) == 1
+    kept = F.transform(F.array(vector), lambda v: F.filter(F.arrays_zip(v["indices"], v["values"]), met))
+    entries = F.transform(F.filter(kept, lambda p: F.size(p) > 0), lambda p: F.struct(p["indices"].alias("_i"), p["values"].alias("_v")))
+    return df.withColumn("_bits", asked_terms(asked)).select(id_, F.inline(entries))
 
 
 class _Entries:
@@ -407,7 +378,7 @@ class _Run:
 
     def __init__(self, side: _Entries, rows: np.ndarray):
         e = _ranges(side.start[rows], side.size[rows])
-        place, row = side.place[e], np.repeat(np.arange(len(rows)), side.size[rows])
+        place, row = side.place[e], np.repeat(np.arange(len(rows), dtype=np.int32), side.size[rows])
         order = np.argsort(place)
         order = order[np.searchsorted(place[order], 0):]
         place = place[order]
@@ -416,25 +387,31 @@ class _Run:
         self.size, self.terms = np.diff(np.append(self.start, len(place))), place[self.start]
 
 
+def _places(terms: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
+    """Places of terms in a sorted vocabulary, -1 where it lacks them, made in parts: tiles are large."""
+    place = np.empty(len(terms), np.int32)
+    for begin in range(0, len(terms), PAIRS):
+        part = terms[begin:begin + PAIRS]
+        near = np.minimum(np.searchsorted(vocabulary, part), len(vocabulary) - 1)
+        place[begin:begin + PAIRS] = np.where(vocabulary[near] == part, near, -1)
+    return place
+
+
 def _score_terms(left: pa.Table, right: pa.Table, top: _TopK, point_id: str) -> None:
     """The dot products of a tile: runs of similar questions next to runs of similar points. Terms that many pairs of a run
     share are scored by matrix products, others pair by pair; questions whose kth score no point of a run can reach pass it over."""
     terms = left.column("_i").combine_chunks().flatten().to_numpy(zero_copy_only=False)
     if not len(terms):
         return
-    vocabulary, place = np.unique(terms, return_inverse=True)
-    count = len(vocabulary)
+    vocabulary = np.unique(terms)
+    count, place = len(vocabulary), _places(terms, vocabulary)
     rank = np.empty(count, np.int32)
     rank[np.argsort(-np.bincount(place, minlength=count), kind="stable")] = np.arange(count)
-    asked = _Entries(left, place.astype(np.int32), count)
+    asked = _Entries(left, place, count)
     of_question = asked.alike(rank)
     runs = [(rows, asked.run(rows)) for rows in np.split(of_question, range(ROWS, len(of_question), ROWS))]
     terms = right.column("_i").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    place = np.empty(len(terms), np.int32)
-    for begin in range(0, len(terms), CELLS):
-        part = terms[begin:begin + CELLS]
-        near = np.minimum(np.searchsorted(vocabulary, part), count - 1)
-        place[begin:begin + CELLS] = np.where(vocabulary[near] == part, near, -1)
+    place = _places(terms, vocabulary)
     stored = _Entries(right, place, count)
     of_point, ids = stored.alike(rank), _ids(right.column(point_id).combine_chunks())
     step, at = max(1, CELLS // min(ROWS, left.num_rows)), np.full(count, -1)
@@ -519,7 +496,7 @@ def sparse_search(points: DataFrame, questions: DataFrame, k: int, point_id: str
         _score_terms(left, right, top, point_id)
 
     asked = materialize(_parts(questions, query_id, query_vector), "search-questions")
-    stored = materialize(_signed_parts(points, point_id, vector, asked), "search-points")
+    stored = materialize(_parts(points, point_id, vector, asked), "search-points")
     group = group or max(GROUP, min(LARGEST_GROUP, _rows_of_terms(stored), stored.count() // GROUPS))
     grouped = _by_signature(stored, point_id, group)
     bounds = _in_order(_sparse_bounds(grouped, asked, query_id), grouped, query_id)
