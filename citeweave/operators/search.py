@@ -35,9 +35,9 @@ PIVOTS = 512
 SPREAD = 8
 #: Bounds this far below a kth score still count: scores are rounded, angles are computed.
 SLACK = 1e-5
-#: Terms of the questions or of the points of a tile, and the most rows of either side, in a sparse search. The larger a
-#: tile, the less often either side is sent.
-TERMS = 2_000_000
+#: Terms of the questions and of the points of a tile, and the most rows of either side, in a sparse search. The larger a
+#: tile, the less often either side is sent, and the more memory it takes.
+TERMS, TERMS_OF_POINTS = 2_000_000, 1_200_000
 LARGEST_BLOCK, LARGEST_GROUP = 1 << 18, 16384
 #: Groups from which on they grow.
 GROUPS = 32
@@ -152,6 +152,7 @@ def _search(points: DataFrame, questions: DataFrame, bounds: DataFrame, point_id
     kth = _rank(hits, query_id, point_id, k).filter(F.col("rank") == k).select(query_id, F.col("score").alias("_kth"))
     rest = pairs.filter(F.col("_before") >= k).join(kth, query_id, "left").filter(F.col("_kth").isNull() | (F.col("bound") >= F.col("_kth") - SLACK))
     rest = materialize(rest, "search-visits")
+    free_shuffles(points.sparkSession)
     more = _tiles(points, questions, rest, point_id, query_id, k, schema, score, max(1, -(-questions.count() // block)))
     return _rank(hits.unionByName(more), query_id, point_id, k), first.unionByName(rest)
 
@@ -262,10 +263,10 @@ def _by_signature(stored: DataFrame, point_id: str, group: int) -> DataFrame:
     return materialize(dealt.select(point_id, "_i", "_v", F.spark_partition_id().cast("bigint").alias("_g")), "search-groups")
 
 
-def _rows_of_terms(vectors: DataFrame) -> int:
-    """How many of the vectors have TERMS terms."""
+def _rows_of_terms(vectors: DataFrame, terms: int) -> int:
+    """How many of the vectors have so many terms."""
     mean = vectors.agg(F.avg(F.size("_i"))).first()[0] or 1
-    return max(1, int(TERMS / max(1, mean)))
+    return max(1, int(terms / max(1, mean)))
 
 
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -497,10 +498,10 @@ def sparse_search(points: DataFrame, questions: DataFrame, k: int, point_id: str
 
     asked = materialize(_parts(questions, query_id, query_vector), "search-questions")
     stored = materialize(_parts(points, point_id, vector, asked), "search-points")
-    group = group or max(GROUP, min(LARGEST_GROUP, _rows_of_terms(stored), stored.count() // GROUPS))
+    group = group or max(GROUP, min(LARGEST_GROUP, _rows_of_terms(stored, TERMS_OF_POINTS), stored.count() // GROUPS))
     grouped = _by_signature(stored, point_id, group)
     bounds = _in_order(_sparse_bounds(grouped, asked, query_id), grouped, query_id)
-    return _search(grouped, asked, bounds, point_id, query_id, k, _schema(points, questions, query_id, point_id), score, block or min(LARGEST_BLOCK, _rows_of_terms(asked)))
+    return _search(grouped, asked, bounds, point_id, query_id, k, _schema(points, questions, query_id, point_id), score, block or min(LARGEST_BLOCK, _rows_of_terms(asked, TERMS)))
 
 
 def sparse_topk(points: DataFrame, questions: DataFrame, k: int, point_id: str = "point_id", query_id: str = "query_id", vector: str = "sparse", query_vector: str = "sparse", **sizes) -> DataFrame:
